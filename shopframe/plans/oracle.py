@@ -67,6 +67,98 @@ SELECT strftime(created_at, '%B') AS month,
        count(*) FILTER (WHERE status = 'draft') AS draft,
        count(*) FILTER (WHERE status = 'Pending') AS Pending
 FROM s_orders WHERE year(created_at) = 1998 GROUP BY 1""",
+    "orders_view": """
+SELECT order_id, o.user_id, username, total, status, description
+FROM s_users u JOIN s_orders o ON u.user_id = o.user_id""",
+    "order_item_view": """
+SELECT order_item_id, i.order_id,
+       CASE WHEN o.order_id IS NULL THEN 'No product found' ELSE CAST(i.product_id AS VARCHAR) END AS product_id,
+       name, quantity, i.price, i.total, username
+FROM s_order_item i JOIN s_products p ON i.product_id = p.product_id
+LEFT JOIN s_orders o ON i.order_id = o.order_id
+LEFT JOIN s_users u ON o.user_id = u.user_id""",
+    "products_view": """
+SELECT product_id, name, description, price, stock, p.is_disabled, category
+FROM s_products p JOIN s_categories c ON p.category_id = c.category_id""",
+    "catalog": """
+SELECT product_id, name, price, stock, category
+FROM s_products p JOIN s_categories c ON p.category_id = c.category_id WHERE stock > 0""",
+    "products_in_category": """
+SELECT product_id, name
+FROM s_products p JOIN s_categories c ON p.category_id = c.category_id WHERE category = 'Brand#2'""",
+    "users_view": """
+SELECT user_id, username, email, user_type, is_disabled FROM s_users WHERE username <> 'administrator'""",
+    "delivery_view": """
+SELECT delivery_id, user_id, order_id, email, country, status FROM s_delivery""",
+    "categories_view": """
+SELECT category_id, category, is_disabled FROM s_categories""",
+    "testimonial_view": """
+SELECT customer_testimonial_id, name, comment, rating FROM s_testimonial""",
+    "newsletter_view": """
+SELECT newsletter_id, email, is_disabled FROM s_newsletter""",
+    "slide_show_view": """
+SELECT slide_show_id, title, description FROM s_slide_show""",
+    "orders_view_by_ids": """
+SELECT order_id, username FROM s_orders o JOIN s_users u ON u.user_id = o.user_id
+WHERE order_id IN (SELECT order_id FROM s_order_requests)""",
+    "order_lines": """
+SELECT order_item_id, order_id, product_id, quantity FROM s_order_item
+WHERE order_id IN (SELECT order_id FROM s_order_requests)""",
+    "login_lookup": """
+SELECT user_id FROM s_users
+WHERE lower(email) IN (SELECT lower(CASE WHEN event_type IN ('signup', 'purchase')
+                                         THEN 'User' || user_id || '@Example.com'
+                                         ELSE printf('Customer#%09d', user_id) END) FROM events)
+   OR lower(username) IN (SELECT lower(CASE WHEN event_type IN ('signup', 'purchase')
+                                            THEN 'User' || user_id || '@Example.com'
+                                            ELSE printf('Customer#%09d', user_id) END) FROM events)""",
+    "order_subtotals": """
+SELECT order_id, CAST(sum(total) AS DOUBLE) AS total FROM s_order_item GROUP BY 1""",
+    "next_ids": """
+SELECT 'orders' AS t, coalesce(max(order_id), 0) + 1 AS next_id FROM s_orders
+UNION ALL SELECT 'users', coalesce(max(user_id), 0) + 1 FROM s_users""",
+    "latest_draft": """
+SELECT user_id, order_id FROM s_orders WHERE status = 'draft'
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, order_id DESC) = 1""",
+    "first_pending": """
+SELECT user_id, order_id FROM s_orders WHERE status = 'Pending'
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at, order_id) = 1""",
+    "stock_check": """
+SELECT order_item_id, name AS p_name, stock AS quantity,
+       CASE WHEN i.quantity > stock THEN 422 ELSE 200 END AS code
+FROM s_order_item i JOIN s_orders o ON i.order_id = o.order_id
+JOIN s_products p ON i.product_id = p.product_id""",
+    "product_demand": """
+SELECT product_id, CAST(sum(quantity) AS BIGINT) AS demand
+FROM s_order_item i JOIN s_orders o ON i.order_id = o.order_id WHERE status = 'paid' GROUP BY 1""",
+    "stock_after_demand": """
+SELECT p.product_id,
+       CASE WHEN stock - coalesce(d, 0) < 0 THEN stock ELSE stock - coalesce(d, 0) END AS stock,
+       CASE WHEN stock - coalesce(d, 0) < 0 THEN 400 ELSE 200 END AS code
+FROM s_products p LEFT JOIN (
+  SELECT product_id, CAST(sum(quantity) AS BIGINT) AS d
+  FROM s_order_item i JOIN s_orders o ON i.order_id = o.order_id WHERE status = 'paid' GROUP BY 1
+) USING (product_id)""",
+    "stock_sequential": """
+SELECT * FROM (
+WITH RECURSIVE l AS (
+  SELECT i.product_id, order_item_id, quantity, stock,
+         row_number() OVER (PARTITION BY i.product_id ORDER BY i.order_id, order_item_id) AS rn
+  FROM s_order_item i JOIN s_products p ON i.product_id = p.product_id
+  JOIN s_orders o ON i.order_id = o.order_id WHERE status = 'paid'),
+r AS (
+  SELECT product_id, order_item_id, rn,
+         CASE WHEN quantity <= stock THEN stock - quantity ELSE stock END AS rem,
+         quantity <= stock AS accepted
+  FROM l WHERE rn = 1
+  UNION ALL
+  SELECT l.product_id, l.order_item_id, l.rn,
+         CASE WHEN l.quantity <= r.rem THEN r.rem - l.quantity ELSE r.rem END,
+         l.quantity <= r.rem
+  FROM r JOIN l ON l.product_id = r.product_id AND l.rn = r.rn + 1)
+SELECT product_id, order_item_id, accepted FROM r)""",
+    "line_totals": """
+SELECT order_item_id, CAST(CAST(quantity * price AS DECIMAL(18,2)) AS DOUBLE) AS total FROM s_order_item""",
 }
 
 

@@ -11,7 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import metrics
+from pyspark.sql import functions as F
+
+from ..functions.scalars import line_total
+from ..operators import lookups, metrics, stock, views
+from ..sources import requests as req
 from ..sources.shop_tables import ShopTables
 
 REPORT_YEAR = 1998
@@ -27,7 +31,150 @@ def q_monthly_status_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.monthly_status_dataset(t.orders(), REPORT_YEAR, extra_statuses=("Pending",))
 
 
+def q_orders_view(spark, sf_dir):
+    return views.table_view(ShopTables(spark, sf_dir), "orders")
+
+
+def q_order_item_view(spark, sf_dir):
+    return views.table_view(ShopTables(spark, sf_dir), "order_item")
+
+
+def q_products_view(spark, sf_dir):
+    return views.table_view(ShopTables(spark, sf_dir), "products").select(
+        "product_id", "name", "description", "price", "stock", "is_disabled", "category"
+    )
+
+
+def q_catalog(spark, sf_dir):
+    t = ShopTables(spark, sf_dir)
+    return views.catalog(t.products(), t.categories()).select(
+        "product_id", "name", "price", "stock", "category"
+    )
+
+
+def q_products_in_category(spark, sf_dir):
+    t = ShopTables(spark, sf_dir)
+    return views.products_in_category(t.products(), t.categories(), "Brand#2").select("product_id", "name")
+
+
+def q_users_view(spark, sf_dir):
+    return views.table_view(ShopTables(spark, sf_dir), "users")
+
+
+def q_delivery_view(spark, sf_dir):
+    return views.table_view(ShopTables(spark, sf_dir), "delivery_details").select(
+        "delivery_id", "user_id", "order_id", "email", "country", "status"
+    )
+
+
+def q_categories_view(spark, sf_dir):
+    return views.table_view(ShopTables(spark, sf_dir), "categories")
+
+
+def q_testimonial_view(spark, sf_dir):
+    return views.table_view(ShopTables(spark, sf_dir), "customer_testimonial").select(
+        "customer_testimonial_id", "name", "comment", "rating"
+    )
+
+
+def q_newsletter_view(spark, sf_dir):
+    return views.table_view(ShopTables(spark, sf_dir), "newsletter")
+
+
+def q_slide_show_view(spark, sf_dir):
+    return views.table_view(ShopTables(spark, sf_dir), "slide_show").select(
+        "slide_show_id", "title", "description"
+    )
+
+
+def q_orders_view_by_ids(spark, sf_dir):
+    t = ShopTables(spark, sf_dir)
+    return views.table_view(t, "orders", ids=req.order_requests(t.events())).select("order_id", "username")
+
+
+def q_order_lines(spark, sf_dir):
+    t = ShopTables(spark, sf_dir)
+    return lookups.lookup(
+        t.order_item(), "order_id", req.order_requests(t.events()),
+        cols=["order_item_id", "order_id", "product_id", "quantity"],
+    )
+
+
+def q_login_lookup(spark, sf_dir):
+    t = ShopTables(spark, sf_dir)
+    return lookups.find_login(t.users(), req.login_attempts(t.events())).select("user_id")
+
+
+def q_order_subtotals(spark, sf_dir):
+    return metrics.order_subtotals(ShopTables(spark, sf_dir).order_item())
+
+
+def q_next_ids(spark, sf_dir):
+    t = ShopTables(spark, sf_dir)
+    return metrics.next_ids({"orders": (t.orders(), "order_id"), "users": (t.users(), "user_id")})
+
+
+def q_latest_draft(spark, sf_dir):
+    return metrics.latest_order(ShopTables(spark, sf_dir).orders(), "draft")
+
+
+def q_first_pending(spark, sf_dir):
+    return metrics.first_order(ShopTables(spark, sf_dir).orders(), "Pending")
+
+
+def q_stock_check(spark, sf_dir):
+    t = ShopTables(spark, sf_dir)
+    requests = t.order_item().select("order_id", "order_item_id", "product_id")
+    return stock.stock_check(requests, t.orders(), t.order_item(), t.products()).select(
+        "order_item_id", "p_name", "quantity", "code"
+    )
+
+
+def q_product_demand(spark, sf_dir):
+    t = ShopTables(spark, sf_dir)
+    return metrics.product_demand(t.order_item(), t.orders(), "paid")
+
+
+def q_stock_after_demand(spark, sf_dir):
+    t = ShopTables(spark, sf_dir)
+    return stock.stock_after_demand(t.products(), stock.paid_lines(t.order_item(), t.orders()))
+
+
+def q_stock_sequential(spark, sf_dir):
+    t = ShopTables(spark, sf_dir)
+    alloc = stock.sequential_allocation(stock.paid_lines(t.order_item(), t.orders()), t.products())
+    return alloc.where(F.col("code") != stock.CODE_NOT_FOUND).select("product_id", "order_item_id", "accepted")
+
+
+def q_line_totals(spark, sf_dir):
+    li = ShopTables(spark, sf_dir).order_item()
+    return li.select("order_item_id", line_total("quantity", "price").cast("double").alias("total"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "orders_by_month_status": q_orders_by_month_status,
     "monthly_status_dataset": q_monthly_status_dataset,
+    "orders_view": q_orders_view,
+    "order_item_view": q_order_item_view,
+    "products_view": q_products_view,
+    "catalog": q_catalog,
+    "products_in_category": q_products_in_category,
+    "users_view": q_users_view,
+    "delivery_view": q_delivery_view,
+    "categories_view": q_categories_view,
+    "testimonial_view": q_testimonial_view,
+    "newsletter_view": q_newsletter_view,
+    "slide_show_view": q_slide_show_view,
+    "orders_view_by_ids": q_orders_view_by_ids,
+    "order_lines": q_order_lines,
+    "login_lookup": q_login_lookup,
+    "order_subtotals": q_order_subtotals,
+    "next_ids": q_next_ids,
+    "latest_draft": q_latest_draft,
+    "first_pending": q_first_pending,
+    "stock_check": q_stock_check,
+    "product_demand": q_product_demand,
+    "stock_after_demand": q_stock_after_demand,
+    "stock_sequential": q_stock_sequential,
+    "line_totals": q_line_totals,
 }
