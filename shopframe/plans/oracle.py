@@ -159,6 +159,39 @@ r AS (
 SELECT product_id, order_item_id, accepted FROM r)""",
     "line_totals": """
 SELECT order_item_id, CAST(CAST(quantity * price AS DECIMAL(18,2)) AS DOUBLE) AS total FROM s_order_item""",
+    "upsert_products": """
+SELECT coalesce(t.product_id, s.product_id) AS product_id,
+       CASE WHEN s.product_id IS NULL THEN t.price ELSE s.price END AS price
+FROM s_products t FULL JOIN (
+  SELECT product_id, CAST(max(price) AS DOUBLE) AS price FROM s_order_item GROUP BY 1
+) s ON t.product_id = s.product_id""",
+    "update_with_fallback": """
+SELECT t.product_id, CASE WHEN c.stock IS NULL OR c.stock = 0 THEN t.stock ELSE c.stock END AS stock
+FROM s_products t LEFT JOIN (
+  SELECT p.product_id, greatest(p.stock - d.demand, 0) AS stock
+  FROM s_products p JOIN (
+    SELECT product_id, sum(quantity) AS demand
+    FROM s_order_item i JOIN s_orders o ON i.order_id = o.order_id WHERE status = 'paid' GROUP BY 1
+  ) d ON p.product_id = d.product_id
+) c ON t.product_id = c.product_id""",
+    "newsletter_signups": """
+SELECT event_id, email,
+       CASE WHEN email IN (SELECT email FROM s_newsletter) THEN 409
+            WHEN row_number() OVER (PARTITION BY email ORDER BY ts, event_id) = 1 THEN 201
+            ELSE 409 END AS code
+FROM (SELECT event_id, ts, 'user' || user_id || '@example.com' AS email FROM events WHERE event_type = 'signup')""",
+    "insert_orders": """
+SELECT event_id, (SELECT coalesce(max(order_id), 0) FROM s_orders)
+                 + row_number() OVER (ORDER BY ts, event_id) AS order_id
+FROM events WHERE event_type = 'purchase'""",
+    "delete_by_ids": """
+SELECT order_id FROM s_orders o
+WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_type = 'error' AND e.user_id = o.order_id)""",
+    "approval_notices": """
+SELECT event_id, order_id, 'New Order Placed' AS subject,
+       printf('You have a new order, order number %d awaiting your verification', order_id) AS body
+FROM s_status_changes WHERE status = 'pending_approval'
+  AND order_id IN (SELECT order_id FROM s_orders)""",
 }
 
 

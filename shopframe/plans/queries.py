@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import line_total
-from ..operators import lookups, metrics, stock, views
+from ..operators import changes, lookups, metrics, stock, views
 from ..sources import requests as req
 from ..sources.shop_tables import ShopTables
 
@@ -151,6 +151,54 @@ def q_line_totals(spark, sf_dir):
     return li.select("order_item_id", line_total("quantity", "price").cast("double").alias("total"))
 
 
+def q_upsert_products(spark, sf_dir):
+    # staged: each sold product re-priced at its highest line price
+    t = ShopTables(spark, sf_dir)
+    staged = t.order_item().groupBy("product_id").agg(F.max("price").alias("price"))
+    return changes.upsert(t.products(), staged, ["product_id"], ["price"]).select("product_id", "price")
+
+
+def q_update_with_fallback(spark, sf_dir):
+    # stock updates after paid demand; a zero result is falsy and keeps the
+    # old stock, as ``new || old`` does
+    t = ShopTables(spark, sf_dir)
+    p = t.products()
+    demand = metrics.product_demand(t.order_item(), t.orders(), "paid")
+    upd = p.join(demand, "product_id", "inner").select(
+        "product_id", F.greatest(F.col("stock") - F.col("demand"), F.lit(0)).alias("stock"),
+        F.lit(1).alias("seq"),
+    )
+    new, _ = changes.apply_updates(p, upd, ["product_id"], ["stock"], seq="seq", mode="falsy")
+    return new.select("product_id", "stock")
+
+
+def q_newsletter_signups(spark, sf_dir):
+    t = ShopTables(spark, sf_dir)
+    batch = req.newsletter_signups(t.events())
+    acc, rej = changes.guarded_insert(t.newsletter(), batch, [("email", False)], ["ts"], "event_id")
+    return acc.select("event_id", "email", F.lit(201).alias("code")).unionByName(
+        rej.join(batch.select("event_id", "email"), "event_id").select("event_id", "email", "code")
+    )
+
+
+def q_insert_orders(spark, sf_dir):
+    t = ShopTables(spark, sf_dir)
+    batch = req.new_orders(t.events()).withColumn("status", F.lit("draft"))
+    rows = changes.allocate_ids(t.orders(), batch, "order_id", ["ts", "event_id"])
+    return rows.select("event_id", "order_id")
+
+
+def q_delete_by_ids(spark, sf_dir):
+    t = ShopTables(spark, sf_dir)
+    new, _ = changes.apply_deletes(t.orders(), req.deletion_requests(t.events()), "order_id")
+    return new.select("order_id")
+
+
+def q_approval_notices(spark, sf_dir):
+    t = ShopTables(spark, sf_dir)
+    return changes.approval_notices(req.status_changes(t.events()), t.orders())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "orders_by_month_status": q_orders_by_month_status,
     "monthly_status_dataset": q_monthly_status_dataset,
@@ -177,4 +225,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stock_after_demand": q_stock_after_demand,
     "stock_sequential": q_stock_sequential,
     "line_totals": q_line_totals,
+    "upsert_products": q_upsert_products,
+    "update_with_fallback": q_update_with_fallback,
+    "newsletter_signups": q_newsletter_signups,
+    "insert_orders": q_insert_orders,
+    "delete_by_ids": q_delete_by_ids,
+    "approval_notices": q_approval_notices,
 }
