@@ -192,6 +192,12 @@ SELECT event_id, order_id, 'New Order Placed' AS subject,
        printf('You have a new order, order number %d awaiting your verification', order_id) AS body
 FROM s_status_changes WHERE status = 'pending_approval'
   AND order_id IN (SELECT order_id FROM s_orders)""",
+    "export_orders": """
+SELECT order_id, user_id, total, status, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, description
+FROM s_orders""",
+    "restore_orders": """
+SELECT order_id, user_id, total, status, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, description
+FROM s_orders""",
 }
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import line_total
 from ..operators import changes, lookups, metrics, stock, views
+from ..session import scratch_path
+from ..sources import csv_transfer
 from ..sources import requests as req
 from ..sources.shop_tables import ShopTables
 
@@ -199,6 +201,23 @@ def q_approval_notices(spark, sf_dir):
     return changes.approval_notices(req.status_changes(t.events()), t.orders())
 
 
+def q_export_orders(spark, sf_dir):
+    return csv_transfer.export_projection(ShopTables(spark, sf_dir).orders(), "orders").drop("updated_at")
+
+
+def q_restore_orders(spark, sf_dir):
+    # back up orders as CSV, delete the orders named by error events, then
+    # restore the backup by keyed upsert: every order is back, timestamps
+    # at whole seconds
+    t = ShopTables(spark, sf_dir)
+    orders = t.orders()
+    path = csv_transfer.export_csv(orders, "orders", scratch_path(spark, "orders-backup"))
+    damaged, _ = changes.apply_deletes(orders, req.deletion_requests(t.events()), "order_id")
+    staged = csv_transfer.read_export_csv(spark, path, "orders", orders.schema)
+    restored = csv_transfer.restore_table(damaged, staged, "orders")
+    return csv_transfer.export_projection(restored, "orders").drop("updated_at")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "orders_by_month_status": q_orders_by_month_status,
     "monthly_status_dataset": q_monthly_status_dataset,
@@ -231,4 +250,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "insert_orders": q_insert_orders,
     "delete_by_ids": q_delete_by_ids,
     "approval_notices": q_approval_notices,
+    "export_orders": q_export_orders,
+    "restore_orders": q_restore_orders,
 }
