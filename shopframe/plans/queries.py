@@ -19,6 +19,7 @@ from ..session import scratch_path
 from ..sources import csv_transfer
 from ..sources import requests as req
 from ..sources.shop_tables import ShopTables
+from ..streaming import order_changes
 
 REPORT_YEAR = 1998
 
@@ -218,6 +219,17 @@ def q_restore_orders(spark, sf_dir):
     return csv_transfer.export_projection(restored, "orders").drop("updated_at")
 
 
+def q_order_change_stream(spark, sf_dir):
+    # the events file is the stream source; each micro-batch is applied by
+    # foreachBatch and the final table is the base plus the change log
+    t = ShopTables(spark, sf_dir)
+    root = order_changes.run_order_change_stream(
+        spark, sf_dir, t.orders(), order_item=t.order_item(), products=t.products(),
+        file_glob="events.parquet",
+    )
+    return order_changes.current_orders(spark, t.orders(), root).select("order_id", "status")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "orders_by_month_status": q_orders_by_month_status,
     "monthly_status_dataset": q_monthly_status_dataset,
@@ -252,4 +264,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "approval_notices": q_approval_notices,
     "export_orders": q_export_orders,
     "restore_orders": q_restore_orders,
+    "order_change_stream": q_order_change_stream,
 }
