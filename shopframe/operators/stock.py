@@ -107,12 +107,48 @@ def stock_after_demand(products: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
+# Products with at most this many lines to allocate are folded in one task
+# (their lines are a bounded array); products above it - hot products - go
+# through the distributed rounds.
+FOLD_MAX_LINES = 2048
+
+
+def _fold_small(lines: DataFrame) -> DataFrame:
+    """``(product_id, order_id, order_item_id, quantity, accepted)`` for the
+    lines of products whose line count is bounded: the lines are sorted into
+    one array per product and folded with the built-in ``aggregate``
+    higher-order function (JVM side, no Python)."""
+    line = F.struct("order_id", "order_item_id", "quantity")
+    per_product = lines.groupBy("product_id", "stock").agg(F.sort_array(F.collect_list(line)).alias("ls"))
+    init = F.struct(F.col("stock").alias("r"), F.array().cast("array<boolean>").alias("f"))
+
+    def step(acc, x):
+        fits = x["quantity"] <= acc["r"]
+        return F.struct(
+            F.when(fits, acc["r"] - x["quantity"]).otherwise(acc["r"]).alias("r"),
+            F.array_append(acc["f"], fits).alias("f"),
+        )
+
+    folded = per_product.select("product_id", "ls", F.aggregate("ls", init, step)["f"].alias("f"))
+    pairs = folded.select("product_id", F.explode(F.arrays_zip("ls", "f")).alias("p"))
+    return pairs.select(
+        "product_id", "p.ls.order_id", "p.ls.order_item_id", "p.ls.quantity",
+        F.col("p.f").alias("accepted"),
+    )
+
+
 def sequential_allocation(
-    lines: DataFrame, products: DataFrame, max_rounds: int = 10_000
+    lines: DataFrame, products: DataFrame, max_rounds: int = 10_000,
+    fold_max_lines: int = FOLD_MAX_LINES,
 ) -> DataFrame:
     """H7 ``mode='sequential'`` (E4): ``(product_id, order_id, order_item_id,
     quantity, accepted, code)`` for every line; lines of an unknown product
-    get ``accepted = false`` and code 404.  See the module doc for the rounds.
+    get ``accepted = false`` and code 404.
+
+    Products are classed by one aggregate (line count and total demand):
+    ``easy`` - all lines fit the stock, all accepted, any size;
+    ``small`` - at most ``fold_max_lines`` lines, folded in one task;
+    ``hot`` - more lines than that, the distributed rounds of the module doc.
     """
     spark = lines.sparkSession
     checkpoint_root(spark)
@@ -121,19 +157,63 @@ def sequential_allocation(
         F.coalesce(F.col("quantity"), F.lit(0)).cast("bigint").alias("quantity"),
     )
     stock = products.select("product_id", F.col("stock").cast("bigint").alias("stock"))
-    known = base.join(stock, "product_id", "inner").checkpoint(eager=True)
-    bounds = block_bounds(known, "order_id")
-    blocks = block_count(spark)
+    positive = F.col("quantity") > 0  # zero-quantity lines always fit
+    demand = (
+        base.where(positive).groupBy("product_id")
+        .agg(F.sum("quantity").alias("_d"), F.count(F.lit(1)).alias("_n"))
+    )
+    # one row per product: the class table is small next to the lines
+    cls = stock.join(demand, "product_id", "left").select(
+        "product_id", "stock",
+        F.when(F.coalesce(F.col("_d"), F.lit(0)) <= F.col("stock"), F.lit("easy"))
+        .when(F.col("_n") <= fold_max_lines, F.lit("small"))
+        .otherwise(F.lit("hot")).alias("cls"),
+    ).checkpoint(eager=True)
+    classed = base.join(cls, "product_id", "left")
+    cols = ["product_id", "order_id", "order_item_id", "quantity"]
+
+    unknown = classed.where(F.col("cls").isNull()).select(
+        *cols, F.lit(False).alias("accepted"), F.lit(True).alias("_unknown")
+    )
+    easy = classed.where((F.col("cls") == "easy") | (F.col("cls").isNotNull() & ~positive)).select(
+        *cols, F.lit(True).alias("accepted"), F.lit(False).alias("_unknown")
+    )
+    small = _fold_small(classed.where((F.col("cls") == "small") & positive)).withColumn(
+        "_unknown", F.lit(False)
+    )
+    parts = [unknown, easy, small]
+    hot_cls = cls.where(F.col("cls") == "hot")
+    if not hot_cls.isEmpty():
+        hot_lines = classed.where((F.col("cls") == "hot") & positive)
+        acc_keys = _rounds(hot_lines.select(*cols, "stock"), hot_cls, max_rounds)
+        parts.append(
+            hot_lines.join(acc_keys.withColumn("_acc", F.lit(True)), ["product_id", "order_item_id"], "left")
+            .select(*cols, F.coalesce(F.col("_acc"), F.lit(False)).alias("accepted"), F.lit(False).alias("_unknown"))
+        )
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    code = (
+        F.when(F.col("_unknown"), F.lit(CODE_NOT_FOUND))
+        .when(F.col("accepted"), F.lit(CODE_OK))
+        .otherwise(F.lit(CODE_BAD_REQUEST))
+    )
+    return out.select(*cols, "accepted", code.alias("code"))
 
-    # zero-quantity lines always fit and change nothing
-    accepted_parts = [known.where(F.col("quantity") <= 0).select("product_id", "order_item_id")]
-    work = known.where(F.col("quantity") > 0).drop("stock")
-    state = stock.select(
+
+def _rounds(known: DataFrame, hot: DataFrame, max_rounds: int) -> DataFrame:
+    """Accepted ``(product_id, order_item_id)`` of hot products by rounds."""
+    spark = known.sparkSession
+    work = known.drop("stock").checkpoint(eager=True)
+    bounds = block_bounds(work, "order_id")
+    blocks = block_count(spark)
+    # per-product state of the fold: remaining stock r and last position;
+    # one row per active product, checkpointed each round (lineage stays flat)
+    state = hot.select(
         "product_id", F.col("stock").alias("r"),
         F.lit(None).cast("bigint").alias("p_order"), F.lit(None).cast("string").alias("p_item"),
-    ).where(F.col("r") > 0)
-    state = state.join(work.select("product_id").distinct(), "product_id", "left_semi").checkpoint(eager=True)
-
+    ).where(F.col("r") > 0).checkpoint(eager=True)
+    accepted_parts = []
     for _ in range(max_rounds):
         if state.isEmpty():
             break
@@ -167,22 +247,10 @@ def sequential_allocation(
         )
     else:
         raise RuntimeError("sequential allocation did not converge")
-
-    accepted = accepted_parts[0]
+    out = accepted_parts[0] if accepted_parts else work.select("product_id", "order_item_id").limit(0)
     for part in accepted_parts[1:]:
-        accepted = accepted.unionByName(part)
-    accepted = accepted.withColumn("_acc", F.lit(True))
-    known_flag = stock.select("product_id", F.lit(True).alias("_known"))
-    out = base.join(known_flag, "product_id", "left").join(
-        accepted, ["product_id", "order_item_id"], "left"
-    )
-    acc = F.coalesce(F.col("_acc"), F.lit(False))
-    return out.select(
-        "product_id", "order_id", "order_item_id", "quantity",
-        acc.alias("accepted"),
-        F.when(F.col("_known").isNull(), F.lit(CODE_NOT_FOUND))
-        .when(acc, F.lit(CODE_OK)).otherwise(F.lit(CODE_BAD_REQUEST)).alias("code"),
-    )
+        out = out.unionByName(part)
+    return out
 
 
 def apply_allocation(products: DataFrame, allocation: DataFrame) -> DataFrame:
