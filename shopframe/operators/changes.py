@@ -279,14 +279,12 @@ def guarded_insert(
         "*", *[norm(c, ci).alias(g) for (c, ci), g in zip(guards, gcols)],
         F.struct(*[F.col(o) for o in order], F.col(row_id)).alias("_ord"),
     )
-    # conflicts with the existing table, first guard first
-    rejected = []
+    # rows clashing with the existing table are rejected outright
+    used = {}
     undecided = b
     for (c, ci), g in zip(guards, gcols):
-        used = target.select(norm(c, ci).alias(g)).where(F.col(g).isNotNull()).distinct()
-        hit = undecided.join(used, g, "left_semi")
-        rejected.append(_reject(hit, [row_id], CODE_CONFLICT, REASON_EXISTS % c))
-        undecided = undecided.join(used, g, "left_anti")
+        used[g] = target.select(norm(c, ci).alias(g)).where(F.col(g).isNotNull()).distinct()
+        undecided = undecided.join(used[g], g, "left_anti")
     undecided = undecided.checkpoint(eager=True)
     accepted = []
     for _ in range(max_rounds):
@@ -303,25 +301,30 @@ def guarded_insert(
         now = firsts.where(wins).select(*b.columns).checkpoint(eager=True)
         accepted.append(now)
         rest = undecided.join(now.select(row_id), row_id, "left_anti")
-        lost_any = None
-        reason = None
-        for (c, _), g in zip(guards, gcols):
-            taken = now.select(g).where(F.col(g).isNotNull()).distinct().withColumn(f"_t{g}", F.lit(True))
-            rest = rest.join(taken, g, "left")
-            t = F.col(f"_t{g}").isNotNull()
-            lost_any = t if lost_any is None else lost_any | t
-            reason = F.when(t, F.lit(REASON_EXISTS % c)) if reason is None else reason.when(t, F.lit(REASON_EXISTS % c))
-        rejected.append(_reject(rest.where(lost_any), [row_id], CODE_CONFLICT, reason))
-        undecided = rest.where(~lost_any).select(*b.columns).checkpoint(eager=True)
+        for g in gcols:
+            taken = now.select(g).where(F.col(g).isNotNull())
+            rest = rest.join(taken, g, "left_anti")
+        undecided = rest.checkpoint(eager=True)
     else:
         raise RuntimeError("guarded insert did not converge")
     acc = accepted[0] if accepted else b.limit(0)
     for a in accepted[1:]:
         acc = acc.unionByName(a)
-    rej = rejected[0]
-    for r in rejected[1:]:
-        rej = rej.unionByName(r)
-    return acc.select(*batch.columns), rej
+
+    # reasons, as the shop checks them: the first guard whose value is used
+    # by the table or by an accepted row that came earlier (accepted values
+    # are unique per guard, so each join matches at most one row)
+    rej = b.join(acc.select(row_id), row_id, "left_anti")
+    reason = None
+    for (c, _), g in zip(guards, gcols):
+        rej = rej.join(used[g].withColumn(f"_t{g}", F.lit(True)), g, "left").join(
+            acc.select(g, F.col("_ord").alias(f"_a{g}")).where(F.col(g).isNotNull()), g, "left"
+        )
+        clash = F.col(f"_t{g}").isNotNull() | (F.col(f"_a{g}") < F.col("_ord"))
+        label = F.lit(REASON_EXISTS % c)
+        reason = F.when(clash, label) if reason is None else reason.when(clash, label)
+    rejects = _reject(rej, [row_id], CODE_CONFLICT, reason)
+    return acc.select(*batch.columns), rejects
 
 
 # --------------------------------------------------------------------------

@@ -1,0 +1,128 @@
+import datetime as dt
+from decimal import Decimal
+import os
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SF_SMALL, rows
+from shopframe.sources import csv_transfer as X
+from shopframe.sources.shop_tables import ShopTables
+from shopframe.streaming import order_changes as OC
+
+
+def _categories(spark):
+    return spark.createDataFrame(
+        [(1, 'say "hi"', True), (2, "two\nlines", False), (3, "", None), (4, None, False)],
+        "category_id INT, category STRING, is_disabled BOOLEAN",
+    )
+
+
+def test_csv_round_trip_keeps_quotes_newlines_empty_and_null(spark, tmp_out):
+    df = _categories(spark)
+    path = X.export_csv(df, "categories", os.path.join(tmp_out, "categories"))
+    back = X.read_export_csv(spark, path, "categories", df.schema)
+    assert rows(back) == rows(df)
+
+
+def test_csv_reads_postgres_dialect(spark, tmp_out):
+    p = os.path.join(tmp_out, "pg.csv")
+    with open(p, "w") as f:
+        f.write('category_id,category,is_disabled\n1,"",t\n2,,f\n3,"a ""b""\nc",\n')
+    got = rows(X.read_export_csv(spark, p, "categories"))
+    assert got == [(1, "", True), (2, None, False), (3, 'a "b"\nc', None)]
+
+
+def test_export_projection_and_restore_round_trip(spark, tmp_out):
+    orders = spark.createDataFrame(
+        [(1, 7, Decimal("9.50"), "paid", dt.datetime(2001, 2, 3, 4, 5, 6, 789000), None, "x"),
+         (2, 8, Decimal("1.25"), "draft", dt.datetime(2001, 2, 4), None, None)],
+        "order_id INT, user_id INT, total DECIMAL(18,2), status STRING, created_at TIMESTAMP, updated_at TIMESTAMP, description STRING",
+    )
+    proj = X.export_projection(orders, "orders")
+    assert proj.where("order_id = 1").first().created_at == "2001-02-03 04:05:06"
+    path = X.export_csv(orders, "orders", os.path.join(tmp_out, "orders"))
+    staged = X.read_export_csv(spark, path, "orders", orders.schema)
+    restored = X.restore_table(orders.limit(0), staged, "orders")
+    want = orders.withColumn("created_at", F.date_trunc("second", "created_at"))
+    assert rows(restored) == rows(want)
+
+
+def test_export_all_restore_all_reports(spark, tmp_out):
+    cats = _categories(spark)
+    news = spark.createDataFrame([(1, "a@x", False)], "newsletter_id INT, email STRING, is_disabled BOOLEAN")
+    tables = {"categories": cats, "newsletter": news}
+
+    def load(t):
+        return tables[t]
+
+    rep = X.export_all(spark, load, os.path.join(tmp_out, "bk"), tables=["categories", "newsletter", "users"])
+    got = {r.table: r.ok for r in rep.collect()}
+    assert got == {"categories": True, "newsletter": True, "users": False}
+    rep2 = X.restore_all(spark, load, os.path.join(tmp_out, "bk"), os.path.join(tmp_out, "v2"),
+                         tables=["categories", "newsletter"])
+    assert all(r.ok for r in rep2.collect())
+    assert rows(spark.read.parquet(os.path.join(tmp_out, "v2", "categories"))) == rows(cats)
+    with pytest.raises(FileNotFoundError):
+        X.restore_all(spark, load, os.path.join(tmp_out, "missing"), os.path.join(tmp_out, "v3"))
+
+
+def test_run_log(spark, tmp_out):
+    log = os.path.join(tmp_out, "runlog")
+    X.record_run(spark, log, "2024-01-01 00:00:00")
+    X.record_run(spark, log, "2024-03-01 00:00:00")
+    assert X.last_run(spark, log).first().last_run == dt.datetime(2024, 3, 1)
+
+
+def _expected_status(sf_dir):
+    con = duckdb.connect()
+    sql = f"""
+    WITH o AS (SELECT o_orderkey AS order_id,
+                 CASE WHEN o_orderstatus='F' THEN 'paid' WHEN o_orderstatus='O' THEN 'draft'
+                      WHEN o_orderpriority='1-URGENT' THEN 'Pending' ELSE 'pending_approval' END AS status
+               FROM read_parquet('{sf_dir}/orders.parquet')),
+    c AS (SELECT user_id AS order_id,
+                 arg_max(CASE event_type WHEN 'purchase' THEN 'paid' WHEN 'signup' THEN 'draft'
+                         ELSE 'pending_approval' END, (ts, event_id)) AS status
+          FROM read_parquet('{sf_dir}/events.parquet')
+          WHERE event_type IN ('purchase','signup','click') GROUP BY 1)
+    SELECT o.order_id, coalesce(c.status, o.status) FROM o LEFT JOIN c USING (order_id)"""
+    return sorted(con.execute(sql).fetchall())
+
+
+def test_stream_in_several_batches_equals_batch_result(spark, tmp_out):
+    t = ShopTables(spark, SF_SMALL)
+    src = os.path.join(tmp_out, "events")
+    # cut the events into three files, newest first, so batches arrive out of time order
+    ev = t.raw("events")
+    bounds = ev.agg(F.min("ts"), F.max("ts")).first()
+    mid1 = bounds[0] + (bounds[1] - bounds[0]) / 3
+    mid2 = bounds[0] + 2 * (bounds[1] - bounds[0]) / 3
+    for i, cond in enumerate([F.col("ts") >= mid2, (F.col("ts") >= mid1) & (F.col("ts") < mid2), F.col("ts") < mid1]):
+        ev.where(cond).coalesce(1).write.parquet(os.path.join(src, f"part{i}"))
+        # flatten into one folder for the file source
+    import glob
+    import shutil
+    flat = os.path.join(tmp_out, "flat")
+    os.makedirs(flat)
+    for i in range(3):
+        for f in glob.glob(os.path.join(src, f"part{i}", "*.parquet")):
+            shutil.copy(f, os.path.join(flat, f"events_{i}.parquet"))
+    root = OC.run_order_change_stream(
+        spark, flat, t.orders(), order_item=t.order_item(), products=t.products(), max_files_per_trigger=1
+    )
+    got = sorted(tuple(r) for r in OC.current_orders(spark, t.orders(), root).select("order_id", "status").collect())
+    assert got == _expected_status(SF_SMALL)
+    # three micro-batches ran; batches 1 and 2 carried only older events, so
+    # nothing in them won and the log holds batch 0 only
+    offsets = os.listdir(os.path.join(root.removeprefix("file:"), "_stream_checkpoint", "offsets"))
+    assert sorted(f for f in offsets if f.isdigit()) == ["0", "1", "2"]
+    batches = {r.batch_id for r in spark.read.parquet(os.path.join(root, OC.LOG)).select("batch_id").distinct().collect()}
+    assert batches == {0}
+    # a replayed batch overwrites its own partition only
+    log_before = rows(spark.read.parquet(os.path.join(root, OC.LOG)))
+    OC.apply_batch(spark, spark.read.parquet(os.path.join(flat, "events_0.parquet")), 0, t.orders(), None, None, root)
+    assert rows(spark.read.parquet(os.path.join(root, OC.LOG))) == log_before
+    notices = spark.read.parquet(os.path.join(root, OC.NOTICES))
+    assert notices.count() > 0 and set(notices.columns) >= {"order_id", "subject", "body"}
