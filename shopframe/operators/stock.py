@@ -50,11 +50,13 @@ def stock_check(
     the three ids independently and report ``(p_name, quantity=stock, code,
     error)``.  Priority: all ids null 400 > order missing 404 > line missing
     404 > product missing 404 > line quantity above stock 422 > 200."""
-    # three independent keyed lookups; keys are unique in their tables
+    # three independent keyed lookups.  A line id can repeat in loaded data;
+    # the lookup answers one row per id (the one with the lowest order id),
+    # like a single-row fetch.  The aggregate's output is already
+    # partitioned by the id, so the join that follows adds no shuffle.
     o = orders.select("order_id", F.lit(True).alias("_o"))
-    i = order_item.select(
-        "order_item_id", F.col("quantity").alias("_item_qty"), F.lit(True).alias("_item_found")
-    )
+    pick = F.min_by("quantity", "order_id") if "order_id" in order_item.columns else F.min("quantity")
+    i = order_item.groupBy("order_item_id").agg(pick.alias("_item_qty"), F.lit(True).alias("_item_found"))
     p = products.select(
         "product_id", F.col("name").alias("p_name"), F.col("stock").alias("_stock"),
         F.lit(True).alias("_p"),
