@@ -365,3 +365,61 @@ def paid_transitions(before: DataFrame, after: DataFrame) -> DataFrame:
         .where(F.col("_old").isNull() | (F.col("_old") != "paid"))
         .select("order_id")
     )
+
+
+# --------------------------------------------------------------------------
+# Table-level jobs: the per-table rules of the shop, driven by the catalog
+# --------------------------------------------------------------------------
+def update_table(
+    table: str, target: DataFrame, changes: DataFrame, seq: str = "seq", mode: str = "falsy",
+    as_of=None, path_key: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """H3/H4 for one catalog table: key and ``updated_at`` stamping from the
+    catalog; users' username and e-mail are lower-cased first (G5)."""
+    from ..catalog import spec
+
+    s = spec(table)
+    if table == "users":
+        for c in ("username", "email"):
+            if c in changes.columns:
+                changes = changes.withColumn(c, F.lower(F.col(c)))
+    return apply_updates(
+        target, changes, list(s.key), seq=seq, mode=mode,
+        stamp_updated_at=s.stamps_update and "updated_at" in target.columns,
+        as_of=as_of, path_key=path_key,
+    )
+
+
+def insert_table(
+    table: str, target: DataFrame, batch: DataFrame, order: Sequence[str], row_id: str, as_of=None
+) -> tuple[DataFrame, DataFrame]:
+    """H1/H2 for one catalog table: uniqueness guards from the catalog, new
+    ids after the current maximum, timestamps stamped.  Users are lower-cased
+    and ``is_disabled`` defaults to false (G5, G13); a newsletter sign-up
+    stores only the e-mail.  Returns ``(new_table, rejects)``."""
+    from ..catalog import spec
+
+    s = spec(table)
+    key = s.key[0]
+    if table == "users":
+        batch = batch.withColumn("username", F.lower("username")).withColumn("email", F.lower("email"))
+        if "is_disabled" in batch.columns:
+            batch = batch.withColumn("is_disabled", F.coalesce(F.col("is_disabled"), F.lit(False)))
+        else:
+            batch = batch.withColumn("is_disabled", F.lit(False))
+    if table == "newsletter":
+        batch = batch.select(row_id, *[c for c in order if c != row_id], "email")
+    if s.unique_guards:
+        accepted, rejects = guarded_insert(target, batch, s.unique_guards, order, row_id)
+    else:
+        accepted, rejects = batch, _reject(batch.limit(0), [row_id], CODE_CONFLICT, "")
+    keep = [c for c in accepted.columns if c in target.columns or c in order]
+    new = insert_rows(target, accepted.select(*keep), key, order, as_of=as_of)
+    return new, rejects
+
+
+def delete_table(table: str, target: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """H5 for one catalog table (no cascade, as in the shop)."""
+    from ..catalog import spec
+
+    return apply_deletes(target, ids, spec(table).key[0])

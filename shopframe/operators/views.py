@@ -78,6 +78,12 @@ def products_in_category(products: DataFrame, categories: DataFrame, category: s
     return products_with_category(products, cats)
 
 
+def singleton(df: DataFrame, key: str = "about_id", value: int = 1) -> DataFrame:
+    """A3: the one-row table (``about``) is read by its fixed key, not by an
+    arbitrary first row."""
+    return df.where(F.col(key) == value)
+
+
 def table_view(tables, table: str, ids=None) -> DataFrame:
     """The data view of one table; with ``ids`` only those keys.
 

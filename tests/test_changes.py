@@ -159,3 +159,36 @@ def test_resolve_category_notices_transitions(spark):
     assert notes[0].subject == "New Order Placed"
     after = spark.createDataFrame([(1, "paid"), (2, "paid"), (3, "draft"), (4, "paid")], "order_id INT, status STRING")
     assert rows(ch.paid_transitions(orders, after)) == [(1,), (4,)]
+
+
+def test_table_level_jobs(spark):
+    users = spark.createDataFrame(
+        [(1, "ann", "ann@x", None, False, None, None, "customer")],
+        "user_id INT, username STRING, email STRING, password STRING, is_disabled BOOLEAN, "
+        "created_at TIMESTAMP, updated_at TIMESTAMP, user_type STRING",
+    )
+    batch = spark.createDataFrame(
+        [(1, "Bob", "BOB@X", None), (2, "ANN", "new@x", True), (3, "bob", "other@x", None), (4, "Cy", "cy@x", None)],
+        "rid INT, username STRING, email STRING, is_disabled BOOLEAN",
+    )
+    new, rej = ch.insert_table("users", users, batch, ["rid"], "rid", as_of="2022-02-02 00:00:00")
+    got = rows(new, "user_id", "username", "email", "is_disabled")
+    assert got == [(1, "ann", "ann@x", False), (2, "bob", "bob@x", False), (3, "cy", "cy@x", False)]
+    assert rows(rej) == [(2, 409, "username already exists"), (3, 409, "username already exists")]
+    upd = spark.createDataFrame([(2, 1, "ROBERT")], "user_id INT, seq INT, username STRING")
+    new2, _ = ch.update_table("users", new, upd, as_of="2023-03-03 00:00:00")
+    r = new2.where("user_id = 2").first()
+    assert r.username == "robert" and r.updated_at == dt.datetime(2023, 3, 3)
+    cats = spark.createDataFrame([(1, "Tools", False)], "category_id INT, category STRING, is_disabled BOOLEAN")
+    cnew, _ = ch.update_table("categories", cats, spark.createDataFrame([(1, 1, "Kit")], "category_id INT, seq INT, category STRING"))
+    assert rows(cnew) == [(1, "Kit", False)]  # categories carry no updated_at
+    gone, summary = ch.delete_table("users", new, spark.createDataFrame([(1,)], "user_id INT"))
+    assert gone.count() == 2 and summary.first().code == 200
+
+
+def test_about_singleton(spark):
+    from shopframe.operators.views import singleton
+
+    about = spark.createDataFrame([(1, "story", "m", "v", None), (2, "x", "y", "z", None)],
+                                  "about_id INT, our_story STRING, mission STRING, vision STRING, images STRING")
+    assert [r.our_story for r in singleton(about).collect()] == ["story"]
