@@ -39,16 +39,23 @@ LOG = "change_log"
 NOTICES = "notices"
 PAID = "paid_transitions"
 ALLOC = "allocations"
+SNAPSHOTS = "snapshots"
+MANIFEST = "manifest"
 
 LOG_SCHEMA = "order_id BIGINT, ts TIMESTAMP_NTZ, event_id BIGINT, status STRING, batch_id BIGINT"
+LAST_TYPE = "struct<ts:timestamp_ntz,event_id:bigint,status:string>"
+# A snapshot of the folded state is written every this many batches, so a
+# batch reads one snapshot plus at most this many log partitions instead of
+# the whole history.
+COMPACT_EVERY = 50
 
 
-def _write_partition(df: DataFrame, root: str, name: str, batch_id: int) -> None:
+def _write_partition(df: DataFrame, root: str, name: str, batch_id: int, col: str = "batch_id") -> None:
     (
-        df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        df.withColumn(col, F.lit(batch_id).cast("bigint"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
+        .partitionBy(col)
         .parquet(os.path.join(root, name))
     )
 
@@ -57,37 +64,120 @@ def _read(spark: SparkSession, root: str, name: str, schema: str | None = None)
     path = os.path.join(root, name)
     try:
         reader = spark.read.schema(schema) if schema else spark.read
-        return reader.parquet(path)
+        df = reader.parquet(path)
+        df.schema  # noqa: B018 - resolve now: a missing folder fails here
+        return df
     except Exception:  # noqa: BLE001 - nothing written yet
         return None
 
 
-def latest_changes(log: DataFrame, before_batch: int | None = None) -> DataFrame:
-    """Latest logged change per order ``(order_id, last)`` (a struct of
-    ``ts, event_id, status``); a decomposable max, pre-aggregated per task."""
+def _snapshot_upto(spark: SparkSession, root: str, name: str, before_batch: int | None) -> int | None:
+    """Newest snapshot of ``name`` covering batches < ``before_batch``.  The
+    manifest has one row per snapshot, so this reads a handful of rows."""
+    man = _read(spark, os.path.join(root, SNAPSHOTS), MANIFEST, "name STRING, upto BIGINT")
+    if man is None:
+        return None
+    man = man.where(F.col("name") == name)
     if before_batch is not None:
-        log = log.where(F.col("batch_id") < before_batch)  # partition pruning
-    return log.groupBy("order_id").agg(F.max(F.struct("ts", "event_id", "status")).alias("last"))
+        man = man.where(F.col("upto") < before_batch)
+    return man.agg(F.max("upto")).first()[0]
+
+
+def _state_rows(
+    spark: SparkSession, root: str, name: str, schema: str, before_batch: int | None,
+    only: DataFrame | None, key: str,
+) -> DataFrame | None:
+    """Rows of log ``name`` for batches < ``before_batch``: the newest
+    snapshot (partition-pruned) plus the log partitions written after it;
+    restricted to the keys in ``only`` before anything is aggregated."""
+    up = _snapshot_upto(spark, root, name, before_batch)
+    parts = []
+    if up is not None:
+        snap = _read(spark, os.path.join(root, SNAPSHOTS), name)
+        parts.append(snap.where(F.col("upto") == up).drop("upto"))
+    log = _read(spark, root, name, schema)
+    if log is not None:
+        if up is not None:
+            log = log.where(F.col("batch_id") > up)
+        if before_batch is not None:
+            log = log.where(F.col("batch_id") < before_batch)
+        parts.append(log.drop("batch_id"))
+    if not parts:
+        return None
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    if only is not None:
+        out = out.join(only.select(key).distinct(), key, "left_semi")
+    return out
+
+
+def latest_changes(
+    spark: SparkSession, root: str, before_batch: int | None = None, only: DataFrame | None = None
+) -> DataFrame | None:
+    """Latest logged change per order ``(order_id, last)`` where ``last`` is
+    a struct ``(ts, event_id, status)``; a decomposable max, pre-aggregated
+    per task."""
+    rows = _state_rows(spark, root, LOG, LOG_SCHEMA, before_batch, only, "order_id")
+    if rows is None:
+        return None
+    if "last" not in rows.columns:
+        rows = rows.withColumn("last", F.lit(None).cast(LAST_TYPE))
+    for c, t in (("ts", "timestamp_ntz"), ("event_id", "bigint"), ("status", "string")):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast(t))
+    cand = F.coalesce(F.col("last"), F.struct("ts", "event_id", "status"))
+    return rows.groupBy("order_id").agg(F.max(cand).alias("last"))
+
+
+def taken_stock(
+    spark: SparkSession, root: str, before_batch: int | None = None
+) -> DataFrame | None:
+    """Stock taken per product by accepted allocations ``(product_id, taken)``."""
+    rows = _state_rows(spark, root, ALLOC, None, before_batch, None, "product_id")
+    if rows is None:
+        return None
+    if "taken" not in rows.columns:
+        rows = rows.withColumn("taken", F.lit(None).cast("bigint"))
+    if "accepted" not in rows.columns:
+        rows = rows.withColumn("accepted", F.lit(None).cast("boolean")).withColumn("quantity", F.lit(None).cast("bigint"))
+    amount = F.coalesce(F.col("taken"), F.when(F.col("accepted"), F.col("quantity")).otherwise(F.lit(0)))
+    return rows.groupBy("product_id").agg(F.sum(amount).alias("taken"))
+
+
+def compact(spark: SparkSession, root: str, upto: int) -> None:
+    """Fold batches <= ``upto`` into snapshots and record them in the
+    manifest.  Re-running it writes the same snapshot again."""
+    snap_root = os.path.join(root, SNAPSHOTS)
+    last = latest_changes(spark, root, before_batch=upto + 1)
+    if last is not None:
+        _write_partition(last, snap_root, LOG, upto, col="upto")
+    taken = taken_stock(spark, root, before_batch=upto + 1)
+    if taken is not None:
+        _write_partition(taken, snap_root, ALLOC, upto, col="upto")
+    names = [n for n, d in ((LOG, last), (ALLOC, taken)) if d is not None]
+    spark.createDataFrame([(n, upto) for n in names], "name STRING, upto BIGINT").write.mode("append").parquet(
+        os.path.join(snap_root, MANIFEST)
+    )
 
 
 def current_orders(spark: SparkSession, base_orders: DataFrame, state_root: str) -> DataFrame:
     """Orders with every logged change applied."""
-    log = _read(spark, state_root, LOG, LOG_SCHEMA)
-    if log is None:
+    last = latest_changes(spark, state_root)
+    if last is None:
         return base_orders
-    last = latest_changes(log)
     return base_orders.join(last, "order_id", "left").withColumn(
         "status", F.coalesce(F.col("last.status"), F.col("status"))
     ).drop("last")
 
 
 def current_stock(spark: SparkSession, products: DataFrame, state_root: str, before_batch: int | None = None) -> DataFrame:
-    alloc = _read(spark, state_root, ALLOC)
-    if alloc is None:
+    taken = taken_stock(spark, state_root, before_batch)
+    if taken is None:
         return products
-    if before_batch is not None:
-        alloc = alloc.where(F.col("batch_id") < before_batch)
-    return st.apply_allocation(products, alloc)
+    return products.join(taken, "product_id", "left").withColumn(
+        "stock", (F.col("stock") - F.coalesce(F.col("taken"), F.lit(0))).cast(products.schema["stock"].dataType)
+    ).select(*products.columns)
 
 
 def apply_batch(
@@ -98,19 +188,18 @@ def apply_batch(
     order_item: DataFrame | None,
     products: DataFrame | None,
     state_root: str,
+    compact_every: int = COMPACT_EVERY,
 ) -> None:
     """The per-batch job run by ``foreachBatch`` (also callable directly)."""
     chg = status_changes(events)
     known = chg.join(base_orders.select("order_id"), "order_id", "left_semi")
     batch_last = known.groupBy("order_id").agg(F.max(F.struct("ts", "event_id", "status")).alias("new"))
 
-    log = _read(spark, state_root, LOG, LOG_SCHEMA)
-    if log is not None:
-        touched = batch_last.select("order_id")
-        prev = latest_changes(log.join(touched, "order_id", "left_semi"), before_batch=batch_id)
+    prev = latest_changes(spark, state_root, before_batch=batch_id, only=batch_last)
+    if prev is not None:
         j = batch_last.join(prev, "order_id", "left")
     else:
-        j = batch_last.withColumn("last", F.lit(None).cast("struct<ts:timestamp_ntz,event_id:bigint,status:string>"))
+        j = batch_last.withColumn("last", F.lit(None).cast(LAST_TYPE))
     base_status = base_orders.select("order_id", F.col("status").alias("_base_status"))
     j = j.join(base_status, "order_id", "left")
     newer = F.col("last").isNull() | (F.col("new") > F.col("last"))
@@ -135,6 +224,8 @@ def apply_batch(
             _write_partition(alloc, state_root, ALLOC, batch_id)
     finally:
         winners.unpersist()
+    if compact_every and (batch_id + 1) % compact_every == 0:
+        compact(spark, state_root, batch_id)
 
 
 def start_order_change_stream(
@@ -147,6 +238,7 @@ def start_order_change_stream(
     file_glob: str | None = None,
     available_now: bool = True,
     max_files_per_trigger: int | None = None,
+    compact_every: int = COMPACT_EVERY,
 ):
     """Start the stream; returns ``(query, state_root)``.
 
@@ -167,7 +259,7 @@ def start_order_change_stream(
     events = reader.parquet(source_dir)
 
     def sink(batch_df: DataFrame, batch_id: int) -> None:
-        apply_batch(spark, batch_df, batch_id, base_orders, order_item, products, state_root)
+        apply_batch(spark, batch_df, batch_id, base_orders, order_item, products, state_root, compact_every)
 
     writer = (
         events.writeStream.foreachBatch(sink)

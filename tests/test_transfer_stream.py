@@ -91,7 +91,8 @@ def _expected_status(sf_dir):
     return sorted(con.execute(sql).fetchall())
 
 
-def test_stream_in_several_batches_equals_batch_result(spark, tmp_out):
+@pytest.mark.parametrize("compact_every", [50, 1])
+def test_stream_in_several_batches_equals_batch_result(spark, tmp_out, compact_every):
     t = ShopTables(spark, SF_SMALL)
     src = os.path.join(tmp_out, "events")
     # cut the events into three files, newest first, so batches arrive out of time order
@@ -112,7 +113,8 @@ def test_stream_in_several_batches_equals_batch_result(spark, tmp_out):
             shutil.copy(f, dst)
             os.utime(dst, (1_700_000_000 + i * 100, 1_700_000_000 + i * 100))  # fixed arrival order
     root = OC.run_order_change_stream(
-        spark, flat, t.orders(), order_item=t.order_item(), products=t.products(), max_files_per_trigger=1
+        spark, flat, t.orders(), order_item=t.order_item(), products=t.products(), max_files_per_trigger=1,
+        compact_every=compact_every,
     )
     got = sorted(tuple(r) for r in OC.current_orders(spark, t.orders(), root).select("order_id", "status").collect())
     assert got == _expected_status(SF_SMALL)
@@ -122,21 +124,27 @@ def test_stream_in_several_batches_equals_batch_result(spark, tmp_out):
     assert sorted(f for f in offsets if f.isdigit()) == ["0", "1", "2"]
     batches = {r.batch_id for r in spark.read.parquet(os.path.join(root, OC.LOG)).select("batch_id").distinct().collect()}
     assert 0 in batches and batches <= {0, 1, 2}
+    # stock taken by the stream equals one allocation over all newly paid lines
+    taken = OC.taken_stock(spark, root)
+    direct = (spark.read.parquet(os.path.join(root, OC.ALLOC)).where("accepted")
+              .groupBy("product_id").agg(F.sum("quantity").alias("taken")))
+    assert rows(taken.where("taken > 0")) == rows(direct)
     notices = spark.read.parquet(os.path.join(root, OC.NOTICES))
     assert notices.count() > 0 and set(notices.columns) >= {"order_id", "subject", "body"}
 
 
-def test_replayed_batch_is_idempotent(spark, tmp_out):
+@pytest.mark.parametrize("compact_every", [50, 1])
+def test_replayed_batch_is_idempotent(spark, tmp_out, compact_every):
     t = ShopTables(spark, SF_SMALL)
     ev = t.raw("events")
     first, second = ev.where("event_id % 2 = 0"), ev.where("event_id % 2 = 1")
     root = os.path.join(tmp_out, "state")
-    OC.apply_batch(spark, first, 0, t.orders(), None, None, root)
-    OC.apply_batch(spark, second, 1, t.orders(), None, None, root)
+    OC.apply_batch(spark, first, 0, t.orders(), None, None, root, compact_every)
+    OC.apply_batch(spark, second, 1, t.orders(), None, None, root, compact_every)
     log = rows(spark.read.parquet(os.path.join(root, OC.LOG)))
     notes = rows(spark.read.parquet(os.path.join(root, OC.NOTICES)))
     # the engine re-runs a batch with the same id and content after a failure
-    OC.apply_batch(spark, first, 0, t.orders(), None, None, root)
+    OC.apply_batch(spark, first, 0, t.orders(), None, None, root, compact_every)
     assert rows(spark.read.parquet(os.path.join(root, OC.LOG))) == log
     assert rows(spark.read.parquet(os.path.join(root, OC.NOTICES))) == notes
     got = sorted(tuple(r) for r in OC.current_orders(spark, t.orders(), root).select("order_id", "status").collect())
