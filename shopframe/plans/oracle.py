@@ -200,6 +200,13 @@ SELECT o.order_id, coalesce(c.status, o.status) AS status
 FROM s_orders o LEFT JOIN (
   SELECT order_id, arg_max(status, (ts, event_id)) AS status FROM s_status_changes GROUP BY 1
 ) c ON o.order_id = c.order_id""",
+    "category_resolution": """
+SELECT p_partkey AS product_id, c.category_id
+FROM part JOIN (SELECT category, min(category_id) AS category_id FROM s_categories GROUP BY 1) c
+  ON p_brand = c.category""",
+    "users_view_by_ids": """
+SELECT user_id, username, email, user_type, is_disabled FROM s_users
+WHERE user_id IN (SELECT user_id FROM events)""",
     "restore_orders": """
 SELECT order_id, user_id, total, status, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, description
 FROM s_orders""",

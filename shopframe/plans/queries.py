@@ -219,6 +219,21 @@ def q_restore_orders(spark, sf_dir):
     return csv_transfer.export_projection(restored, "orders").drop("updated_at")
 
 
+def q_category_resolution(spark, sf_dir):
+    # product changes naming their category by name, resolved to ids
+    t = ShopTables(spark, sf_dir)
+    chg = t.raw("part").select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("category"))
+    ok, _ = changes.resolve_category(chg, t.categories())
+    return ok.select("product_id", "category_id")
+
+
+def q_users_view_by_ids(spark, sf_dir):
+    # keyed users view: the administrator account is shown here
+    t = ShopTables(spark, sf_dir)
+    ids = t.raw("events").select("user_id").distinct()
+    return views.table_view(t, "users", ids=ids)
+
+
 def q_order_change_stream(spark, sf_dir):
     # the events file is the stream source; each micro-batch is applied by
     # foreachBatch and the final table is the base plus the change log
@@ -265,4 +280,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "export_orders": q_export_orders,
     "restore_orders": q_restore_orders,
     "order_change_stream": q_order_change_stream,
+    "category_resolution": q_category_resolution,
+    "users_view_by_ids": q_users_view_by_ids,
 }
