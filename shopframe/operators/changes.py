@@ -285,6 +285,16 @@ def guarded_insert(
     for (c, ci), g in zip(guards, gcols):
         used[g] = target.select(norm(c, ci).alias(g)).where(F.col(g).isNotNull()).distinct()
         undecided = undecided.join(used[g], g, "left_anti")
+    if len(guards) == 1:
+        # one guard: the first row per value wins, the rest lose - one pass,
+        # a per-value min (pre-aggregated per task) and an equi join
+        g = gcols[0]
+        first = undecided.where(F.col(g).isNotNull()).groupBy(g).agg(F.min("_ord").alias("_first"))
+        acc = undecided.join(first, g, "left").where(
+            F.col(g).isNull() | (F.col("_ord") == F.col("_first"))
+        ).select(*b.columns)
+        rej = b.join(acc.select(row_id), row_id, "left_anti")
+        return acc.select(*batch.columns), _reject(rej, [row_id], CODE_CONFLICT, REASON_EXISTS % guards[0][0])
     undecided = undecided.checkpoint(eager=True)
     accepted = []
     for _ in range(max_rounds):
