@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.prefix import block_bounds, block_count, grouped_running_sum
-from ..session import checkpoint_root
+from ..session import checkpoint_root, scratch_path
 
 # Outcome codes and messages of the stock operations.
 CODE_OK = 200
@@ -171,7 +171,10 @@ def sequential_allocation(
         .when(F.col("_n") <= fold_max_lines, F.lit("small"))
         .otherwise(F.lit("hot")).alias("cls"),
     ).checkpoint(eager=True)
-    classed = base.join(cls, "product_id", "left")
+    # the lines with their class are materialised once: every branch below
+    # (and the rounds) reads them instead of re-running the scans and joins
+    # that produced the lines
+    classed = base.join(cls, "product_id", "left").checkpoint(eager=True)
     cols = ["product_id", "order_id", "order_item_id", "quantity"]
 
     unknown = classed.where(F.col("cls").isNull()).select(
@@ -204,19 +207,25 @@ def sequential_allocation(
 
 
 def _rounds(known: DataFrame, hot: DataFrame, max_rounds: int) -> DataFrame:
-    """Accepted ``(product_id, order_item_id)`` of hot products by rounds."""
+    """Accepted ``(product_id, order_item_id)`` of hot products by rounds.
+
+    Per round the candidates are cached (their lineage is the checkpointed
+    lines and state, cheap to recompute if an executor is lost), the small
+    per-product state is checkpointed, and the round's accepted keys are
+    appended to a table in the shared checkpoint folder, so nothing large is
+    rewritten per round and lineage never grows."""
     spark = known.sparkSession
-    work = known.drop("stock").checkpoint(eager=True)
+    work = known.drop("stock")
     bounds = block_bounds(work, "order_id")
     blocks = block_count(spark)
+    out_path = scratch_path(spark, "allocation-accepted")
     # per-product state of the fold: remaining stock r and last position;
-    # one row per active product, checkpointed each round (lineage stays flat)
+    # one row per active product
     state = hot.select(
         "product_id", F.col("stock").alias("r"),
         F.lit(None).cast("bigint").alias("p_order"), F.lit(None).cast("string").alias("p_item"),
     ).where(F.col("r") > 0).checkpoint(eager=True)
-    accepted_parts = []
-    for _ in range(max_rounds):
+    for k in range(max_rounds):
         if state.isEmpty():
             break
         after = (
@@ -227,9 +236,11 @@ def _rounds(known: DataFrame, hot: DataFrame, max_rounds: int) -> DataFrame:
         cand = work.join(state, "product_id", "inner").where(after & (F.col("quantity") <= F.col("r")))
         cand = grouped_running_sum(
             cand, "product_id", ["order_id", "order_item_id"], "quantity", "cs", bounds, blocks
-        ).checkpoint(eager=True)
+        ).cache()
         fits = F.col("cs") <= F.col("r")
-        accepted_parts.append(cand.where(fits).select("product_id", "order_item_id"))
+        cand.where(fits).select("product_id", "order_item_id").withColumn("round", F.lit(k)).write.mode(
+            "overwrite"
+        ).option("partitionOverwriteMode", "dynamic").partitionBy("round").parquet(out_path)
         used = cand.where(fits).groupBy("product_id").agg(F.max("cs").alias("_used"))
         block = (
             cand.where(~fits)
@@ -247,12 +258,14 @@ def _rounds(known: DataFrame, hot: DataFrame, max_rounds: int) -> DataFrame:
             .where(F.col("r") > 0)
             .checkpoint(eager=True)
         )
+        cand.unpersist()
     else:
         raise RuntimeError("sequential allocation did not converge")
-    out = accepted_parts[0] if accepted_parts else work.select("product_id", "order_item_id").limit(0)
-    for part in accepted_parts[1:]:
-        out = out.unionByName(part)
-    return out
+    schema = f"product_id {work.schema['product_id'].dataType.simpleString()}, order_item_id STRING, round INT"
+    try:
+        return spark.read.schema(schema).parquet(out_path).drop("round")
+    except Exception:  # noqa: BLE001 - no round accepted anything
+        return work.select("product_id", "order_item_id").limit(0)
 
 
 def apply_allocation(products: DataFrame, allocation: DataFrame) -> DataFrame:
