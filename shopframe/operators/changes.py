@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import as_of_ts, falsy, notice_body, NOTICE_SUBJECT
+from ..functions.scalars import as_of_ts, falsy, line_total, notice_body, NOTICE_SUBJECT
 from ..plans.ranking import global_row_number
 from ..session import checkpoint_root
 
@@ -393,11 +393,21 @@ def update_table(
         for c in ("username", "email"):
             if c in changes.columns:
                 changes = changes.withColumn(c, F.lower(F.col(c)))
-    return apply_updates(
+    if table == "order_item" and "total" in changes.columns:
+        changes = changes.drop("total")  # the client's total is ignored (G9)
+    new, rejects = apply_updates(
         target, changes, list(s.key), seq=seq, mode=mode,
         stamp_updated_at=s.stamps_update and "updated_at" in target.columns,
         as_of=as_of, path_key=path_key,
     )
+    if table == "order_item":
+        new = _recompute_line_totals(new)
+    return new, rejects
+
+
+def _recompute_line_totals(df: DataFrame) -> DataFrame:
+    """An order line's total is always quantity x price."""
+    return df.withColumn("total", line_total("quantity", "price").cast(df.schema["total"].dataType))
 
 
 def insert_table(
@@ -419,12 +429,17 @@ def insert_table(
             batch = batch.withColumn("is_disabled", F.lit(False))
     if table == "newsletter":
         batch = batch.select(row_id, *[c for c in order if c != row_id], "email")
+    if table == "about":
+        # the about text is a singleton: its row always has id 1
+        batch = batch.withColumn(key, F.lit(1).cast(target.schema[key].dataType))
     if s.unique_guards:
         accepted, rejects = guarded_insert(target, batch, s.unique_guards, order, row_id)
     else:
         accepted, rejects = batch, _reject(batch.limit(0), [row_id], CODE_CONFLICT, "")
     keep = [c for c in accepted.columns if c in target.columns or c in order]
     new = insert_rows(target, accepted.select(*keep), key, order, as_of=as_of)
+    if table == "order_item":
+        new = _recompute_line_totals(new)
     return new, rejects
 
 

@@ -268,6 +268,27 @@ def _rounds(known: DataFrame, hot: DataFrame, max_rounds: int) -> DataFrame:
         return work.select("product_id", "order_item_id").limit(0)
 
 
+def allocation_outcome(paid_orders: DataFrame, allocation: DataFrame) -> DataFrame:
+    """H7 per order: ``(order_id, code, error)`` - 404 when the order has no
+    lines, 500 when any of its lines was refused (unknown product or not
+    enough stock; the accepted lines stay applied), else 200.  One aggregate
+    per order, pre-aggregated per task."""
+    per_order = allocation.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("_lines"), F.count_if(F.col("code") != CODE_OK).alias("_bad")
+    )
+    j = paid_orders.select("order_id").join(per_order, "order_id", "left")
+    code = (
+        F.when(F.coalesce(F.col("_lines"), F.lit(0)) == 0, F.lit(CODE_NOT_FOUND))
+        .when(F.col("_bad") > 0, F.lit(500))
+        .otherwise(F.lit(CODE_OK))
+    )
+    error = (
+        F.when(F.coalesce(F.col("_lines"), F.lit(0)) == 0, F.lit(ERR_NO_LINES))
+        .when(F.col("_bad") > 0, F.lit("Some stock updates failed"))
+    )
+    return j.select("order_id", code.alias("code"), error.alias("error"))
+
+
 def apply_allocation(products: DataFrame, allocation: DataFrame) -> DataFrame:
     """New products table after an allocation: stock minus accepted demand."""
     taken = allocation.where("accepted").groupBy("product_id").agg(F.sum("quantity").alias("_t"))

@@ -39,6 +39,7 @@ LOG = "change_log"
 NOTICES = "notices"
 PAID = "paid_transitions"
 ALLOC = "allocations"
+OUTCOMES = "stock_outcomes"
 SNAPSHOTS = "snapshots"
 MANIFEST = "manifest"
 
@@ -222,6 +223,8 @@ def apply_batch(
             stock_now = current_stock(spark, products, state_root, before_batch=batch_id)
             alloc = st.sequential_allocation(lines, stock_now)
             _write_partition(alloc, state_root, ALLOC, batch_id)
+            alloc_now = _read(spark, state_root, ALLOC).where(F.col("batch_id") == batch_id).drop("batch_id")
+            _write_partition(st.allocation_outcome(paid, alloc_now), state_root, OUTCOMES, batch_id)
     finally:
         winners.unpersist()
     if compact_every and (batch_id + 1) % compact_every == 0:

@@ -1,4 +1,5 @@
 import datetime as dt
+from decimal import Decimal
 import random
 
 import pytest
@@ -192,3 +193,21 @@ def test_about_singleton(spark):
     about = spark.createDataFrame([(1, "story", "m", "v", None), (2, "x", "y", "z", None)],
                                   "about_id INT, our_story STRING, mission STRING, vision STRING, images STRING")
     assert [r.our_story for r in singleton(about).collect()] == ["story"]
+
+
+def test_order_item_totals_recomputed_and_about_id(spark):
+    items = spark.createDataFrame(
+        [(1, 2, Decimal("3.00"), None, None, 10, Decimal("6.00"), 100)],
+        "product_id INT, quantity INT, price DECIMAL(18,2), created_at TIMESTAMP, updated_at TIMESTAMP, "
+        "order_id INT, total DECIMAL(18,2), order_item_id INT",
+    )
+    upd = spark.createDataFrame([(100, 1, 5, Decimal("999.00"))], "order_item_id INT, seq INT, quantity INT, total DECIMAL(18,2)")
+    new, _ = ch.update_table("order_item", items, upd)
+    assert float(new.first().total) == 15.0
+    batch = spark.createDataFrame([(7, 1, 4, Decimal("2.50"), 10, Decimal("0.00"))],
+                                  "rid INT, product_id INT, quantity INT, price DECIMAL(18,2), order_id INT, total DECIMAL(18,2)")
+    new2, _ = ch.insert_table("order_item", items, batch, ["rid"], "rid")
+    assert float(new2.where("order_item_id = 101").first().total) == 10.0
+    about = spark.createDataFrame([], "about_id INT, our_story STRING, mission STRING, vision STRING, images STRING")
+    a, _ = ch.insert_table("about", about, spark.createDataFrame([(1, "s")], "rid INT, our_story STRING"), ["rid"], "rid")
+    assert [r.about_id for r in a.collect()] == [1]

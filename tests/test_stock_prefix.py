@@ -100,3 +100,13 @@ def test_global_row_number(spark):
     df = spark.range(0, 1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(5)
     got = global_row_number(df, ["k"], "rn")
     assert sorted(tuple(r) for r in got.select("k", "rn").collect()) == [(k, k + 1) for k in range(1000)]
+
+
+def test_allocation_outcome_per_order(spark):
+    lines = [(1, 1, "1-1", 5), (1, 2, "2-1", 50), (9, 2, "2-2", 1), (1, 3, "3-1", 1)]
+    ldf = spark.createDataFrame(lines, "product_id INT, order_id INT, order_item_id STRING, quantity INT")
+    pdf = spark.createDataFrame([(1, 8)], "product_id INT, stock INT")
+    alloc = stock.sequential_allocation(ldf, pdf)
+    paid = spark.createDataFrame([(1,), (2,), (3,), (4,)], "order_id INT")
+    got = rows(stock.allocation_outcome(paid, alloc), "order_id", "code")
+    assert got == [(1, 200), (2, 500), (3, 200), (4, 404)]
