@@ -31,15 +31,6 @@ REASON_ID_MISMATCH = "id in body differs from id in path"
 REASON_UNKNOWN_CATEGORY = "Category not found"
 REASON_EXISTS = "%s already exists"
 
-REJECT_COLS = ("code", "reason")
-
-
-def _keys_eq(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = None
-    for k in keys:
-        c = left[k] == right[k]
-        cond = c if cond is None else cond & c
-    return cond
 
 
 def _reject(df: DataFrame, keep: Sequence[str], code: int, reason) -> DataFrame:

@@ -203,7 +203,11 @@ def sequential_allocation(
         .when(F.col("accepted"), F.lit(CODE_OK))
         .otherwise(F.lit(CODE_BAD_REQUEST))
     )
-    return out.select(*cols, "accepted", code.alias("code"))
+    error = (
+        F.when(F.col("_unknown"), F.lit(ERR_NO_PRODUCT))
+        .when(~F.col("accepted"), F.lit(ERR_NEGATIVE))
+    )
+    return out.select(*cols, "accepted", code.alias("code"), error.alias("error"))
 
 
 def _rounds(known: DataFrame, hot: DataFrame, max_rounds: int) -> DataFrame:

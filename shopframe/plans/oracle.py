@@ -157,6 +157,32 @@ r AS (
          l.quantity <= r.rem
   FROM r JOIN l ON l.product_id = r.product_id AND l.rn = r.rn + 1)
 SELECT product_id, order_item_id, accepted FROM r)""",
+    "paid_order_outcomes": """
+SELECT o.order_id,
+       CASE WHEN n IS NULL THEN 404 WHEN refused > 0 THEN 500 ELSE 200 END AS code
+FROM s_orders o LEFT JOIN (
+  SELECT i.order_id, count(*) AS n, count(*) FILTER (WHERE NOT coalesce(a.accepted, false)) AS refused
+  FROM s_order_item i LEFT JOIN (
+    WITH RECURSIVE l AS (
+      SELECT i.product_id, order_item_id, quantity, stock,
+             row_number() OVER (PARTITION BY i.product_id ORDER BY i.order_id, order_item_id) AS rn
+      FROM s_order_item i JOIN s_products p ON i.product_id = p.product_id
+      JOIN s_orders o ON i.order_id = o.order_id WHERE status = 'paid'),
+    r AS (
+      SELECT product_id, order_item_id, rn,
+             CASE WHEN quantity <= stock THEN stock - quantity ELSE stock END AS rem,
+             quantity <= stock AS accepted
+      FROM l WHERE rn = 1
+      UNION ALL
+      SELECT l.product_id, l.order_item_id, l.rn,
+             CASE WHEN l.quantity <= r.rem THEN r.rem - l.quantity ELSE r.rem END,
+             l.quantity <= r.rem
+      FROM r JOIN l ON l.product_id = r.product_id AND l.rn = r.rn + 1)
+    SELECT product_id, order_item_id, accepted FROM r
+  ) a ON i.product_id = a.product_id AND i.order_item_id = a.order_item_id
+  GROUP BY 1
+) x ON o.order_id = x.order_id
+WHERE o.status = 'paid'""",
     "line_totals": """
 SELECT order_item_id, CAST(CAST(quantity * price AS DECIMAL(18,2)) AS DOUBLE) AS total FROM s_order_item""",
     "upsert_products": """

@@ -149,6 +149,15 @@ def q_stock_sequential(spark, sf_dir):
     return alloc.where(F.col("code") != stock.CODE_NOT_FOUND).select("product_id", "order_item_id", "accepted")
 
 
+def q_paid_order_outcomes(spark, sf_dir):
+    # per paid order: 404 without lines, 500 if any line was refused, else 200
+    t = ShopTables(spark, sf_dir)
+    orders = t.orders()
+    alloc = stock.sequential_allocation(stock.paid_lines(t.order_item(), orders), t.products())
+    paid = orders.where(F.col("status") == "paid").select("order_id")
+    return stock.allocation_outcome(paid, alloc).select("order_id", "code")
+
+
 def q_line_totals(spark, sf_dir):
     li = ShopTables(spark, sf_dir).order_item()
     return li.select("order_item_id", line_total("quantity", "price").cast("double").alias("total"))
@@ -270,6 +279,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "product_demand": q_product_demand,
     "stock_after_demand": q_stock_after_demand,
     "stock_sequential": q_stock_sequential,
+    "paid_order_outcomes": q_paid_order_outcomes,
     "line_totals": q_line_totals,
     "upsert_products": q_upsert_products,
     "update_with_fallback": q_update_with_fallback,
