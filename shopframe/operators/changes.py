@@ -203,16 +203,17 @@ def allocate_ids(target: DataFrame, batch: DataFrame, key: str, order: Sequence[
     carry an id keep it.  Numbering is a distributed global row number."""
     spark = batch.sparkSession
     checkpoint_root(spark)
-    base = target.agg(F.coalesce(F.max(key), F.lit(0)).alias("_base"))
+    # the current maximum is one number: read it as a scalar (a partial
+    # aggregate per task) and use it as a literal
+    base = target.agg(F.max(key)).first()[0] or 0
     has = F.col(key).isNotNull() if key in batch.columns else F.lit(False)
     if key not in batch.columns:
         batch = batch.withColumn(key, F.lit(None).cast(target.schema[key].dataType))
     given = batch.where(has)
     fresh = global_row_number(batch.where(~has), order, "_rn")
-    # one-row table: attaching it is a broadcast of a proven single row
-    fresh = fresh.join(F.broadcast(base), how="inner").withColumn(
-        key, (F.col("_base") + F.col("_rn")).cast(target.schema[key].dataType)
-    ).drop("_base", "_rn")
+    fresh = fresh.withColumn(
+        key, (F.lit(base) + F.col("_rn")).cast(target.schema[key].dataType)
+    ).drop("_rn")
     return given.unionByName(fresh)
 
 
