@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from ..catalog import TABLE_ORDER, spec
 from ..functions.scalars import ts_text
 from ..operators.changes import upsert
+from .store import write_version
 
 # CSV dialect of the export files.
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
@@ -117,8 +118,9 @@ def restore_all(
     tables=TABLE_ORDER,
 ) -> DataFrame:
     """Restore every table from ``in_root/<table>`` into the current
-    version given by ``load`` and write the result to ``out_root/<table>``
-    (Parquet).  Errors are collected per table; a missing input root raises."""
+    version given by ``load`` and write the result as the next version in the
+    table store at ``out_root`` (``store.read_current`` reads it).  Errors
+    are collected per table; a missing input root raises."""
     if not _path_exists(spark, in_root):
         raise FileNotFoundError(f"backup folder not found: {in_root}")
     rows = []
@@ -126,7 +128,7 @@ def restore_all(
         try:
             current = load(t)
             staged = read_export_csv(spark, os.path.join(in_root, t), t, current.schema)
-            restore_table(current, staged, t).write.mode("errorifexists").parquet(os.path.join(out_root, t))
+            write_version(restore_table(current, staged, t), out_root, t)
             rows.append((t, True, None))
         except Exception as e:  # noqa: BLE001 - reported per table
             rows.append((t, False, f"{type(e).__name__}: {str(e).splitlines()[0][:300]}"))

@@ -63,7 +63,9 @@ def test_export_all_restore_all_reports(spark, tmp_out):
     rep2 = X.restore_all(spark, load, os.path.join(tmp_out, "bk"), os.path.join(tmp_out, "v2"),
                          tables=["categories", "newsletter"])
     assert all(r.ok for r in rep2.collect())
-    assert rows(spark.read.parquet(os.path.join(tmp_out, "v2", "categories"))) == rows(cats)
+    from shopframe.sources import store
+
+    assert rows(store.read_current(spark, os.path.join(tmp_out, "v2"), "categories")) == rows(cats)
     with pytest.raises(FileNotFoundError):
         X.restore_all(spark, load, os.path.join(tmp_out, "missing"), os.path.join(tmp_out, "v3"))
 
@@ -149,3 +151,17 @@ def test_replayed_batch_is_idempotent(spark, tmp_out, compact_every):
     assert rows(spark.read.parquet(os.path.join(root, OC.NOTICES))) == notes
     got = sorted(tuple(r) for r in OC.current_orders(spark, t.orders(), root).select("order_id", "status").collect())
     assert got == _expected_status(SF_SMALL)
+
+
+def test_table_versions(spark, tmp_out):
+    from shopframe.sources import store
+
+    root = os.path.join(tmp_out, "store")
+    assert store.current_path(spark, root, "categories") is None
+    v1 = store.write_version(_categories(spark), root, "categories")
+    v2 = store.write_version(_categories(spark).where("category_id < 3"), root, "categories")
+    assert v1 != v2
+    assert store.current_path(spark, root, "categories") == v2
+    assert store.read_current(spark, root, "categories").count() == 2
+    with pytest.raises(FileNotFoundError):
+        store.read_current(spark, root, "orders")
