@@ -192,11 +192,12 @@ FROM s_products t FULL JOIN (
   SELECT product_id, CAST(max(price) AS DOUBLE) AS price FROM s_order_item GROUP BY 1
 ) s ON t.product_id = s.product_id""",
     "update_with_fallback": """
-SELECT t.product_id, CASE WHEN c.stock IS NULL OR c.stock = 0 THEN t.stock ELSE c.stock END AS stock
+SELECT t.product_id,
+       CAST(CASE WHEN c.stock IS NULL OR c.stock = 0 THEN t.stock ELSE c.stock END AS INTEGER) AS stock
 FROM s_products t LEFT JOIN (
   SELECT p.product_id, greatest(p.stock - d.demand, 0) AS stock
   FROM s_products p JOIN (
-    SELECT product_id, sum(quantity) AS demand
+    SELECT product_id, CAST(sum(quantity) AS BIGINT) AS demand
     FROM s_order_item i JOIN s_orders o ON i.order_id = o.order_id WHERE status = 'paid' GROUP BY 1
   ) d ON p.product_id = d.product_id
 ) c ON t.product_id = c.product_id""",
