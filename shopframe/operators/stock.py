@@ -25,7 +25,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.scalars import parse_int
 from ..plans.prefix import block_bounds, block_count, grouped_running_sum
 from ..session import checkpoint_root, scratch_path
 
@@ -50,6 +52,19 @@ def stock_check(
     the three ids independently and report ``(p_name, quantity=stock, code,
     error)``.  Priority: all ids null 400 > order missing 404 > line missing
     404 > product missing 404 > line quantity above stock 422 > 200."""
+    # ids given as text (request paths) are parsed like JS parseInt: '12abc'
+    # is 12, 'abc' is null (G7); typed ids pass through
+    id_cols = ("order_id", "order_item_id", "product_id")
+    key_types = {"order_id": orders, "order_item_id": order_item, "product_id": products}
+    parsed = []
+    for c in requests.columns:
+        if c in id_cols and isinstance(requests.schema[c].dataType, T.StringType) and not isinstance(
+            key_types[c].schema[c].dataType, T.StringType
+        ):
+            parsed.append(parse_int(c).cast(key_types[c].schema[c].dataType).alias(c))
+        else:
+            parsed.append(F.col(c))
+    requests = requests.select(*parsed)
     # three independent keyed lookups.  A line id can repeat in loaded data;
     # the lookup answers one row per id (the one with the lowest order id),
     # like a single-row fetch.  The aggregate's output is already

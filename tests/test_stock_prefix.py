@@ -110,3 +110,13 @@ def test_allocation_outcome_per_order(spark):
     paid = spark.createDataFrame([(1,), (2,), (3,), (4,)], "order_id INT")
     got = rows(stock.allocation_outcome(paid, alloc), "order_id", "code")
     assert got == [(1, 200), (2, 500), (3, 200), (4, 404)]
+
+
+def test_stock_check_parses_text_ids(spark):
+    orders = spark.createDataFrame([(1,)], "order_id INT")
+    items = spark.createDataFrame([(10, 5)], "order_item_id INT, quantity INT")
+    products = spark.createDataFrame([(100, "bolt", 20)], "product_id INT, name STRING, stock INT")
+    req = spark.createDataFrame([("1abc", "10", "100"), ("x", "y", "z"), ("x", "10", "100")],
+                                "order_id STRING, order_item_id STRING, product_id STRING")
+    got = [r.code for r in stock.stock_check(req, orders, items, products).collect()]
+    assert sorted(got) == [200, 400, 404]
