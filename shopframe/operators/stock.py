@@ -66,11 +66,12 @@ def stock_check(
             parsed.append(F.col(c))
     requests = requests.select(*parsed)
     # three independent keyed lookups.  A line id can repeat in loaded data;
-    # the lookup answers one row per id (the one with the lowest order id),
+    # the lookup answers one row per id (lowest order id, then quantity),
     # like a single-row fetch.  The aggregate's output is already
     # partitioned by the id, so the join that follows adds no shuffle.
     o = orders.select("order_id", F.lit(True).alias("_o"))
-    pick = F.min_by("quantity", "order_id") if "order_id" in order_item.columns else F.min("quantity")
+    tie = [F.col("order_id")] if "order_id" in order_item.columns else []
+    pick = F.min(F.struct(*tie, F.col("quantity").alias("q")))["q"]
     i = order_item.groupBy("order_item_id").agg(pick.alias("_item_qty"), F.lit(True).alias("_item_found"))
     p = products.select(
         "product_id", F.col("name").alias("p_name"), F.col("stock").alias("_stock"),

@@ -124,10 +124,13 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, order_
 SELECT user_id, order_id FROM s_orders WHERE status = 'Pending'
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at, order_id) = 1""",
     "stock_check": """
-SELECT order_item_id, name AS p_name, stock AS quantity,
-       CASE WHEN i.quantity > stock THEN 422 ELSE 200 END AS code
-FROM s_order_item i JOIN s_orders o ON i.order_id = o.order_id
-JOIN s_products p ON i.product_id = p.product_id""",
+SELECT r.order_item_id, name AS p_name, stock AS quantity,
+       CASE WHEN l.quantity > stock THEN 422 ELSE 200 END AS code
+FROM s_order_item r
+JOIN s_orders o ON r.order_id = o.order_id
+JOIN (SELECT order_item_id, arg_min(quantity, (order_id, quantity)) AS quantity FROM s_order_item GROUP BY 1) l
+  ON r.order_item_id = l.order_item_id
+JOIN s_products p ON r.product_id = p.product_id""",
     "product_demand": """
 SELECT product_id, CAST(sum(quantity) AS BIGINT) AS demand
 FROM s_order_item i JOIN s_orders o ON i.order_id = o.order_id WHERE status = 'paid' GROUP BY 1""",
