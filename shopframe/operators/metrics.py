@@ -10,6 +10,7 @@ reason: a window would sort a hot user's rows in one task.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -21,17 +22,19 @@ from ..functions.scalars import MONEY, month_name
 MONTHLY_STATUSES = ("paid", "pending_approval", "draft")
 
 
-def year_filter(df: DataFrame, col: str, year: int) -> DataFrame:
-    """Rows whose timestamp falls in ``year``, written as a range on the raw
-    column so the predicate reaches the Parquet scan (``year(c) = y`` would
-    not be pushed)."""
+def year_filter(df: DataFrame, col: str, year: int | None) -> DataFrame:
+    """Rows whose timestamp falls in ``year`` (default: the current year, as
+    the shop's report does), written as a range on the raw column so the
+    predicate reaches the Parquet scan (``year(c) = y`` would not be pushed)."""
+    if year is None:
+        year = datetime.date.today().year
     dtype = df.schema[col].dataType.simpleString()
     lo = F.lit(f"{year}-01-01 00:00:00").cast(dtype)
     hi = F.lit(f"{year + 1}-01-01 00:00:00").cast(dtype)
     return df.where((F.col(col) >= lo) & (F.col(col) < hi))
 
 
-def orders_by_month_status(orders: DataFrame, year: int, ts_col: str = "created_at") -> DataFrame:
+def orders_by_month_status(orders: DataFrame, year: int | None = None, ts_col: str = "created_at") -> DataFrame:
     """D1 + E3: order count per (month name, status) of one year, sorted by
     month name like the reference (alphabetical)."""
     return (
@@ -43,7 +46,7 @@ def orders_by_month_status(orders: DataFrame, year: int, ts_col: str = "created_
 
 def monthly_status_dataset(
     orders: DataFrame,
-    year: int,
+    year: int | None = None,
     extra_statuses: Iterable[str] = (),
     with_other: bool = False,
     ts_col: str = "created_at",

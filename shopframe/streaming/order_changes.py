@@ -172,6 +172,19 @@ def current_orders(spark: SparkSession, base_orders: DataFrame, state_root: str)
     ).drop("last")
 
 
+def fold_into_base(
+    spark: SparkSession, base_orders: DataFrame, products: DataFrame | None, state_root: str, store_root: str
+) -> dict[str, str]:
+    """Write the current orders (and stock) as new versions in the table
+    store, so a later stream can start from them with an empty log."""
+    from ..sources.store import write_version
+
+    out = {"orders": write_version(current_orders(spark, base_orders, state_root), store_root, "orders")}
+    if products is not None:
+        out["products"] = write_version(current_stock(spark, products, state_root), store_root, "products")
+    return out
+
+
 def current_stock(spark: SparkSession, products: DataFrame, state_root: str, before_batch: int | None = None) -> DataFrame:
     taken = taken_stock(spark, state_root, before_batch)
     if taken is None:

@@ -165,3 +165,19 @@ def test_table_versions(spark, tmp_out):
     assert store.read_current(spark, root, "categories").count() == 2
     with pytest.raises(FileNotFoundError):
         store.read_current(spark, root, "orders")
+
+
+def test_fold_stream_state_into_base(spark, tmp_out):
+    from shopframe.sources import store
+
+    t = ShopTables(spark, SF_SMALL)
+    root = os.path.join(tmp_out, "state")
+    OC.apply_batch(spark, t.raw("events"), 0, t.orders(), t.order_item(), t.products(), root)
+    paths = OC.fold_into_base(spark, t.orders(), t.products(), root, os.path.join(tmp_out, "store"))
+    assert set(paths) == {"orders", "products"}
+    folded = store.read_current(spark, os.path.join(tmp_out, "store"), "orders")
+    assert sorted(tuple(r) for r in folded.select("order_id", "status").collect()) == _expected_status(SF_SMALL)
+    stock_now = store.read_current(spark, os.path.join(tmp_out, "store"), "products")
+    taken = OC.taken_stock(spark, root)
+    want = rows(OC.current_stock(spark, t.products(), root), "product_id", "stock")
+    assert rows(stock_now, "product_id", "stock") == want and taken is not None
