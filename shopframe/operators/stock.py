@@ -243,7 +243,8 @@ def _rounds(known: DataFrame, hot: DataFrame, max_rounds: int) -> DataFrame:
     # one row per active product
     state = hot.select(
         "product_id", F.col("stock").alias("r"),
-        F.lit(None).cast("bigint").alias("p_order"), F.lit(None).cast("string").alias("p_item"),
+        F.lit(None).cast(work.schema["order_id"].dataType).alias("p_order"),
+        F.lit(None).cast(work.schema["order_item_id"].dataType).alias("p_item"),
     ).where(F.col("r") > 0).checkpoint(eager=True)
     for k in range(max_rounds):
         if state.isEmpty():

@@ -120,3 +120,11 @@ def test_stock_check_parses_text_ids(spark):
                                 "order_id STRING, order_item_id STRING, product_id STRING")
     got = [r.code for r in stock.stock_check(req, orders, items, products).collect()]
     assert sorted(got) == [200, 400, 404]
+
+
+def test_rounds_with_integer_line_ids(spark):
+    lines = [(1, o, o * 10 + i, q) for o, i, q in [(1, 1, 4), (1, 2, 9), (2, 1, 3), (3, 1, 1), (3, 2, 2)]]
+    ldf = spark.createDataFrame(lines, "product_id INT, order_id INT, order_item_id INT, quantity INT")
+    pdf = spark.createDataFrame([(1, 8)], "product_id INT, stock INT")
+    got = {r.order_item_id: r.accepted for r in stock.sequential_allocation(ldf, pdf, fold_max_lines=0).collect()}
+    assert got == {11: True, 12: False, 21: True, 31: True, 32: False}
