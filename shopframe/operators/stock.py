@@ -282,7 +282,10 @@ def _rounds(known: DataFrame, hot: DataFrame, max_rounds: int) -> DataFrame:
         cand.unpersist()
     else:
         raise RuntimeError("sequential allocation did not converge")
-    schema = f"product_id {work.schema['product_id'].dataType.simpleString()}, order_item_id STRING, round INT"
+    schema = (
+        f"product_id {work.schema['product_id'].dataType.simpleString()}, "
+        f"order_item_id {work.schema['order_item_id'].dataType.simpleString()}, round INT"
+    )
     try:
         return spark.read.schema(schema).parquet(out_path).drop("round")
     except Exception:  # noqa: BLE001 - no round accepted anything
