@@ -170,10 +170,12 @@ def sequential_allocation(
     """
     spark = lines.sparkSession
     checkpoint_root(spark)
+    # the lines are materialised once: the class pass and every branch below
+    # read this copy instead of re-running the scans and joins behind them
     base = lines.select(
         "product_id", "order_id", "order_item_id",
         F.coalesce(F.col("quantity"), F.lit(0)).cast("bigint").alias("quantity"),
-    )
+    ).checkpoint(eager=True)
     stock = products.select("product_id", F.col("stock").cast("bigint").alias("stock"))
     positive = F.col("quantity") > 0  # zero-quantity lines always fit
     demand = (
@@ -187,9 +189,7 @@ def sequential_allocation(
         .when(F.col("_n") <= fold_max_lines, F.lit("small"))
         .otherwise(F.lit("hot")).alias("cls"),
     ).checkpoint(eager=True)
-    # the lines with their class are materialised once: every branch below
-    # (and the rounds) reads them instead of re-running the scans and joins
-    # that produced the lines
+    # lines with their class, joined once for all branches (and the rounds)
     classed = base.join(cls, "product_id", "left").checkpoint(eager=True)
     cols = ["product_id", "order_id", "order_item_id", "quantity"]
 
