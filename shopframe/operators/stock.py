@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import parse_int
 from ..plans.prefix import block_bounds, block_count, grouped_running_sum
-from ..session import checkpoint_root, scratch_path
+from ..session import checkpoint_root, is_absent_path_error, scratch_path
 
 # Outcome codes and messages of the stock operations.
 CODE_OK = 200
@@ -287,9 +287,13 @@ def _rounds(known: DataFrame, hot: DataFrame, max_rounds: int) -> DataFrame:
         f"order_item_id {work.schema['order_item_id'].dataType.simpleString()}, round INT"
     )
     try:
-        return spark.read.schema(schema).parquet(out_path).drop("round")
-    except Exception:  # noqa: BLE001 - no round accepted anything
-        return work.select("product_id", "order_item_id").limit(0)
+        out = spark.read.schema(schema).parquet(out_path).drop("round")
+        out.schema  # noqa: B018 - resolve now
+        return out
+    except Exception as e:  # noqa: BLE001
+        if is_absent_path_error(e):  # no round accepted anything
+            return work.select("product_id", "order_item_id").limit(0)
+        raise
 
 
 def allocation_outcome(paid_orders: DataFrame, allocation: DataFrame) -> DataFrame:

@@ -78,3 +78,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     root = checkpoint_root(spark)
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+# Error classes Spark raises when a folder that a job reads does not exist
+# yet, or exists without data files.
+_ABSENT_ERRORS = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
+def is_absent_path_error(exc: Exception) -> bool:
+    """True when ``exc`` says the folder read is missing or holds no data;
+    any other read error (corrupt files, permissions) is not swallowed."""
+    from pyspark.errors import AnalysisException
+
+    return isinstance(exc, AnalysisException) and any(k in str(exc) for k in _ABSENT_ERRORS)

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from ..catalog import TABLE_ORDER, spec
 from ..functions.scalars import ts_text
 from ..operators.changes import upsert
+from ..session import is_absent_path_error
 from .store import write_version
 
 # CSV dialect of the export files.
@@ -106,8 +107,10 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.format("text").load(path).schema
         return True
-    except Exception:  # noqa: BLE001 - a missing path fails analysis
-        return False
+    except Exception as e:  # noqa: BLE001
+        if is_absent_path_error(e):  # a missing path fails analysis
+            return False
+        raise
 
 
 def restore_all(

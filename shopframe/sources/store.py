@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import spec
+from ..session import is_absent_path_error
 
 VERSIONS = "_versions"
 VERSIONS_SCHEMA = "table STRING, version STRING, path STRING, written_at TIMESTAMP"
@@ -53,8 +54,10 @@ def current_path(spark: SparkSession, root: str, table: str) -> str | None:
             .agg(F.max_by("path", F.struct("written_at", "version")).alias("p"))
             .first()
         )
-    except Exception:  # noqa: BLE001 - no pointer table yet
-        return None
+    except Exception as e:  # noqa: BLE001
+        if is_absent_path_error(e):  # no pointer table yet
+            return None
+        raise
     return row["p"] if row else None
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..operators import changes as ch
 from ..operators import stock as st
-from ..session import checkpoint_root, scratch_path
+from ..session import checkpoint_root, is_absent_path_error, scratch_path
 from ..sources.requests import status_changes
 
 LOG = "change_log"
@@ -68,8 +68,10 @@ def _read(spark: SparkSession, root: str, name: str, schema: str | None = None)
         df = reader.parquet(path)
         df.schema  # noqa: B018 - resolve now: a missing folder fails here
         return df
-    except Exception:  # noqa: BLE001 - nothing written yet
-        return None
+    except Exception as e:  # noqa: BLE001
+        if is_absent_path_error(e):  # nothing written yet
+            return None
+        raise
 
 
 def _snapshot_upto(spark: SparkSession, root: str, name: str, before_batch: int | None) -> int | None:
