@@ -43,6 +43,9 @@ ERR_INSUFFICIENT = "Insufficient stock."
 ERR_NEGATIVE = "Insufficient stock"
 ERR_NO_PRODUCT = "Product not found"
 ERR_NO_LINES = "Order items not found"
+ERR_BAD_IDS = "Invalid order ID or order Item ID"
+ERR_SOME_FAILED = "Some stock updates failed"
+CODE_PARTIAL_FAILURE = 500
 
 
 def stock_check(
@@ -90,7 +93,7 @@ def stock_check(
         .otherwise(F.lit(CODE_OK))
     )
     error = (
-        F.when(all_null, F.lit("Invalid order ID or order Item ID"))
+        F.when(all_null, F.lit(ERR_BAD_IDS))
         .when(F.col("_o").isNull(), F.lit(ERR_ORDER))
         .when(item_missing, F.lit(ERR_ITEM))
         .when(F.col("_p").isNull(), F.lit(ERR_PRODUCT))
@@ -307,12 +310,12 @@ def allocation_outcome(paid_orders: DataFrame, allocation: DataFrame) -> DataFra
     j = paid_orders.select("order_id").join(per_order, "order_id", "left")
     code = (
         F.when(F.coalesce(F.col("_lines"), F.lit(0)) == 0, F.lit(CODE_NOT_FOUND))
-        .when(F.col("_bad") > 0, F.lit(500))
+        .when(F.col("_bad") > 0, F.lit(CODE_PARTIAL_FAILURE))
         .otherwise(F.lit(CODE_OK))
     )
     error = (
         F.when(F.coalesce(F.col("_lines"), F.lit(0)) == 0, F.lit(ERR_NO_LINES))
-        .when(F.col("_bad") > 0, F.lit("Some stock updates failed"))
+        .when(F.col("_bad") > 0, F.lit(ERR_SOME_FAILED))
     )
     return j.select("order_id", code.alias("code"), error.alias("error"))
 
