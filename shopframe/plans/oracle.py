@@ -227,6 +227,11 @@ SELECT order_id, user_id, total, status, strftime(created_at, '%Y-%m-%d %H:%M:%S
 FROM s_orders""",
     "order_change_stream": """
 SELECT o.order_id, coalesce(c.status, o.status) AS status
+FROM s_orders o LEFT JOIN (
+  SELECT order_id, arg_max(status, (ts, event_id)) AS status FROM s_status_changes GROUP BY 1
+) c ON o.order_id = c.order_id""",
+    "order_status_updates": """
+SELECT o.order_id, coalesce(c.status, o.status) AS status
 FROM s_orders o LEFT JOIN (
   SELECT order_id, arg_max(status, (ts, event_id)) AS status FROM s_status_changes GROUP BY 1
 ) c ON o.order_id = c.order_id""",

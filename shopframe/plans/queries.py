@@ -228,6 +228,15 @@ def q_restore_orders(spark, sf_dir):
     return csv_transfer.export_projection(restored, "orders").drop("updated_at")
 
 
+def q_order_status_updates(spark, sf_dir):
+    # H4 as a batch job: the whole status-change feed applied to orders in
+    # (ts, event_id) order with the falsy fallback; unknown orders rejected
+    t = ShopTables(spark, sf_dir)
+    chg = req.status_changes(t.events()).withColumn("seq", F.struct("ts", "event_id")).drop("ts", "event_id")
+    new, _ = changes.update_table("orders", t.orders(), chg, seq="seq", as_of="2024-02-01 00:00:00")
+    return new.select("order_id", "status")
+
+
 def q_category_resolution(spark, sf_dir):
     # product changes naming their category by name, resolved to ids
     t = ShopTables(spark, sf_dir)
@@ -290,6 +299,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "export_orders": q_export_orders,
     "restore_orders": q_restore_orders,
     "order_change_stream": q_order_change_stream,
+    "order_status_updates": q_order_status_updates,
     "category_resolution": q_category_resolution,
     "users_view_by_ids": q_users_view_by_ids,
 }
