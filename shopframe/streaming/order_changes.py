@@ -19,8 +19,18 @@ the sink is idempotent.  Last write wins by event time, not arrival, so the
 result does not depend on how events are cut into batches.
 
 The current order table is a view: base orders with the latest logged change
-applied (``current_orders``); a compaction job can fold the log into a new
-base version.
+applied (``current_orders``); ``fold_into_base`` writes it as a new base
+version, and every ``COMPACT_EVERY`` batches a snapshot of the folded state
+bounds what a batch reads.
+
+Why ``foreachBatch`` and explicit state tables rather than a built-in stateful
+operator: each batch needs the state *before* it (to detect transitions to
+``paid`` and to allocate stock against what earlier batches took) and writes
+several outputs that must be replay-safe together; a keyed ``max`` in the
+state store would give the new latest change but not the old one.  No
+watermark is needed: nothing is windowed, the state is one row per order
+(bounded by the orders table), and late events are handled by comparing
+event times, not by dropping them.
 """
 
 from __future__ import annotations
