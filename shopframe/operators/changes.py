@@ -114,7 +114,7 @@ def apply_updates(
     keys: Sequence[str],
     columns: Sequence[str] | None = None,
     seq: str = "seq",
-    mode: str = "falsy",
+    mode: str | dict[str, str] = "falsy",
     stamp_updated_at: bool = False,
     as_of=None,
     path_key: str | None = None,
@@ -131,6 +131,15 @@ def apply_updates(
     if columns is None:
         columns = [c for c in changes.columns
                    if c in target.columns and c not in keys]
+    # one rule for all columns, or a rule per column ({column: mode}, with
+    # "default" for the rest)
+    modes = dict(mode) if isinstance(mode, dict) else {}
+    default_mode = modes.pop("default", "falsy") if isinstance(mode, dict) else mode
+    col_mode = {c: modes.get(c, default_mode) for c in columns}
+    for c in columns:
+        # without a presence flag, a non-null value counts as present
+        if col_mode[c] == "presence" and f"has_{c}" not in changes.columns:
+            changes = changes.withColumn(f"has_{c}", F.col(c).isNotNull())
     rejects = []
     if path_key is not None:
         bad = F.col(path_key).isNotNull() & (F.col(path_key) != F.col(keys[0]))
@@ -142,10 +151,10 @@ def apply_updates(
     typed = changes.select(
         *keys, seq,
         *[F.col(c).cast(target.schema[c].dataType).alias(c) for c in columns],
-        *[F.col(f"has_{c}") for c in columns if mode == "presence"],
+        *[F.col(f"has_{c}") for c in columns if col_mode[c] == "presence"],
     )
     agg = typed.groupBy(*keys).agg(
-        *[_last_value(c, target.schema[c].dataType, seq, mode).alias(f"_u_{c}") for c in columns],
+        *[_last_value(c, target.schema[c].dataType, seq, col_mode[c]).alias(f"_u_{c}") for c in columns],
         F.lit(True).alias("_hit"),
     )
     j = target.join(agg, keys, "left")
@@ -435,6 +444,21 @@ def insert_table(
     return new, rejects
 
 
+def update_products(
+    products: DataFrame, categories: DataFrame, changes: DataFrame, seq: str = "seq", as_of=None
+) -> tuple[DataFrame, DataFrame]:
+    """H3 for products with C9: the change names its category, which must
+    resolve (else 404); ``is_disabled`` follows G12 (an explicit value, even
+    false or null, overwrites - give ``has_is_disabled`` to send null), the
+    resolved category always applies, every other column the falsy rule."""
+    resolved, unknown = resolve_category(changes, categories)
+    new, rejects = update_table(
+        "products", products, resolved, seq=seq, as_of=as_of,
+        mode={"default": "falsy", "is_disabled": "presence", "category_id": "null_only"},
+    )
+    return new, unknown.unionByName(rejects)
+
+
 def delete_table(table: str, target: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """H5 for one catalog table (no cascade, as in the shop)."""
     from ..catalog import spec

@@ -211,3 +211,20 @@ def test_order_item_totals_recomputed_and_about_id(spark):
     about = spark.createDataFrame([], "about_id INT, our_story STRING, mission STRING, vision STRING, images STRING")
     a, _ = ch.insert_table("about", about, spark.createDataFrame([(1, "s")], "rid INT, our_story STRING"), ["rid"], "rid")
     assert [r.about_id for r in a.collect()] == [1]
+
+
+def test_update_products_rules(spark):
+    products = spark.createDataFrame(
+        [(1, "bolt", 1.5, 10, True, 1, None), (2, "nut", 2.5, 3, False, 2, None)],
+        "product_id INT, name STRING, price DOUBLE, stock INT, is_disabled BOOLEAN, category_id INT, updated_at TIMESTAMP",
+    )
+    cats = spark.createDataFrame([(1, "Tools"), (2, "Parts")], "category_id INT, category STRING")
+    chg = spark.createDataFrame(
+        [(1, 1, "", 0.0, 0, False, "Parts"), (2, 1, "NUT", None, 5, None, "Tools"), (3, 1, "x", 1.0, 1, True, "Nope")],
+        "product_id INT, seq INT, name STRING, price DOUBLE, stock INT, is_disabled BOOLEAN, category STRING",
+    )
+    new, rej = ch.update_products(products, cats, chg, as_of="2024-05-05 00:00:00")
+    got = rows(new, "product_id", "name", "price", "stock", "is_disabled", "category_id")
+    # falsy name/price/stock keep the old values; false is_disabled overwrites; category always applies
+    assert got == [(1, "bolt", 1.5, 10, False, 2), (2, "NUT", 2.5, 5, False, 1)]
+    assert rows(rej) == [(3, 404, "Category not found")]
