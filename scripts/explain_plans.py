@@ -20,12 +20,31 @@ import __spark_entry__ as E  # noqa: E402
 from shopframe.session import build_session  # noqa: E402
 
 
+SCALE_NOTES = """
+## At 1000x the data
+
+| Query family | Shuffles of the big input | Hot key (a third of rows on one key) | Broadcast |
+|---|---|---|---|
+| monthly dataset, subtotals, demand, next ids, top-1 picks | one, after partial aggregation | pre-aggregated per task before the shuffle | none |
+| table views (`orders_view`, `order_item_view`, `delivery_view`, ...) | one per equi join on a big side (lines: by order id, by product id if products do not fit) | AQE splits skewed sort-merge partitions | only sides AQE measured under the threshold |
+| keyed views and lookups (`*_by_ids`, `order_lines`, `login_lookup`) | semi join pushed to the scan of the big side | semi join keeps one row per key on the small side | request side if measured small |
+| `stock_check` | three (one per independent lookup) | AQE skew split per join | measured only |
+| `stock_sequential`, `paid_order_outcomes` | lines materialised once; one count/sum aggregate, one join to the class table, one grouped fold for bounded products | hot products leave the fold and run exact rounds with block-split running sums | class table if measured small |
+| upsert / fallback updates / deletes | one: both sides by key (the duplicate check reuses the join's exchange) | per-key aggregates are partial; staged keys are unique by check | none forced |
+| `insert_orders` (id allocation) | one range-partitioned sort | range partitioning splits on the full order key | partition offsets (one row per partition) |
+| guarded inserts | per-value `min` aggregates and equi joins | partial aggregates; AQE skew split | none forced |
+| CSV export / restore | export writes in parallel; restore reads many part files | n/a | none |
+| order-change stream | per batch: batch-sized aggregates plus a semi-joined read of state (one snapshot plus up to 50 log partitions) | latest change per order is a partial max | none forced |
+"""
+
+
 def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.1"
     out = argv[2] if len(argv) > 2 else os.path.join(ROOT, "PLANS.md")
     spark = build_session("local[8]", 8)
     parts = [
         "# Physical plans\n",
+        SCALE_NOTES,
         f"Generated by `scripts/explain_plans.py` on `{sf_dir}` (`local[8]`, AQE on; the tree is the plan before\n"
         "adaptive re-planning, so joins AQE turns into broadcasts at run time still show as planned).\n",
     ]
