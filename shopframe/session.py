@@ -62,9 +62,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
     Read from the session (``spark.checkpoint.dir`` or the context's
-    checkpoint directory).  Only when neither is set, as in local tests, a
-    fresh scratch folder is created and registered; a cluster is expected to
-    name a shared folder.
+    checkpoint directory).  Only when neither is set and the master is local,
+    as in tests, a fresh scratch folder is created and registered; on a
+    cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -72,6 +72,12 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            # a folder on the driver's disk is not visible to executors
+            raise RuntimeError(
+                "set spark.checkpoint.dir to a folder every executor can reach "
+                "(the jobs checkpoint iterative state there)"
+            )
         configured = tempfile.mkdtemp(prefix="shopframe-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
