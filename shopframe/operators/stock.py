@@ -4,7 +4,11 @@ Sequential allocation (H7, ``mode='sequential'``): the lines of each product
 are taken in order ``(order_id, order_item_id)``; a line is accepted when its
 quantity fits the stock left after the lines accepted before it, otherwise it
 is skipped and the stock is unchanged.  This is an order-dependent greedy
-fold, computed here without collecting a product's lines anywhere:
+fold.  Products are first classed by one count/sum aggregate: if a product's
+whole demand fits its stock every line is accepted; if it has at most
+``FOLD_MAX_LINES`` lines (a checked bound) its sorted lines are folded in one
+task with the built-in ``aggregate`` function; a hot product (more lines) is
+never collected anywhere and goes through exact distributed rounds:
 
 * a round takes, per product, the *candidates* - lines after the product's
   current position whose quantity fits the remaining stock ``r``;
