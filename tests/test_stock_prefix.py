@@ -128,3 +128,18 @@ def test_rounds_with_integer_line_ids(spark):
     pdf = spark.createDataFrame([(1, 8)], "product_id INT, stock INT")
     got = {r.order_item_id: r.accepted for r in stock.sequential_allocation(ldf, pdf, fold_max_lines=0).collect()}
     assert got == {11: True, 12: False, 21: True, 31: True, 32: False}
+
+
+def test_hot_product_over_default_fold_bound(spark):
+    # one product with more lines than FOLD_MAX_LINES takes the rounds path
+    # under the default settings; others are folded or accepted outright
+    rnd = random.Random(99)
+    n_hot = stock.FOLD_MAX_LINES + 500
+    lines = [(1, rnd.randint(1, 5000), f"h{i}", rnd.randint(1, 9)) for i in range(n_hot)]
+    lines += [(p, rnd.randint(1, 5000), f"s{p}-{i}", rnd.randint(1, 9)) for p in (2, 3) for i in range(40)]
+    stocks = {1: 3000, 2: 50, 3: 10_000}
+    ldf = spark.createDataFrame(lines, "product_id INT, order_id INT, order_item_id STRING, quantity INT")
+    pdf = spark.createDataFrame(list(stocks.items()), "product_id INT, stock INT")
+    got = {(r.product_id, r.order_item_id): (r.accepted, r.code)
+           for r in stock.sequential_allocation(ldf, pdf).collect()}
+    assert got == brute_allocation(lines, stocks)
