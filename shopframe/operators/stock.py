@@ -84,7 +84,14 @@ def stock_check(
         "product_id", F.col("name").alias("p_name"), F.col("stock").alias("_stock"),
         F.lit(True).alias("_p"),
     )
-    j = requests.join(o, "order_id", "left").join(i, "order_item_id", "left").join(p, "product_id", "left")
+    # the line lookup comes out of an aggregate already hash-partitioned by
+    # id, so a sort-merge join shuffles only the requests; broadcasting it
+    # instead would ship the whole line table through the driver
+    j = (
+        requests.join(o, "order_id", "left")
+        .join(i.hint("merge"), "order_item_id", "left")
+        .join(p, "product_id", "left")
+    )
     all_null = F.col("order_id").isNull() & F.col("order_item_id").isNull() & F.col("product_id").isNull()
     item_missing = F.col("_item_found").isNull()
     insufficient = F.col("_item_qty") > F.coalesce(F.col("_stock"), F.lit(0))
