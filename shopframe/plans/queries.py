@@ -1,8 +1,12 @@
 """Registered queries: one per inventory item checked against an oracle.
 
 Each query takes ``(spark, sf_dir)``, reads the whole test tables through
-the shop mapping and returns a lazy DataFrame whose column names equal the
-oracle's.
+the shop mapping and returns a DataFrame whose column names and types equal
+the oracle's.  Most are lazy plans; the iterative and streaming ones
+(allocation, id allocation, guarded inserts, the order stream, the CSV
+restore) run their intermediate jobs - checkpoints into the shared
+checkpoint folder, the micro-batches, the backup - when called, and return a
+DataFrame over those results.
 """
 
 from __future__ import annotations
@@ -10,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from ..functions.scalars import line_total
