@@ -210,6 +210,17 @@ SELECT event_id, email,
             WHEN row_number() OVER (PARTITION BY email ORDER BY ts, event_id) = 1 THEN 201
             ELSE 409 END AS code
 FROM (SELECT event_id, ts, 'user' || user_id || '@example.com' AS email FROM events WHERE event_type = 'signup')""",
+    "register_users": """
+SELECT event_id, CASE WHEN ok THEN 201 ELSE 409 END AS code,
+       CASE WHEN ok THEN (SELECT max(user_id) FROM s_users)
+                         + row_number() OVER (PARTITION BY ok ORDER BY ts, event_id) END AS user_id
+FROM (
+  SELECT event_id, ts,
+         lower(username) NOT IN (SELECT lower(username) FROM s_users WHERE username IS NOT NULL)
+         AND lower(email) NOT IN (SELECT lower(email) FROM s_users WHERE email IS NOT NULL)
+         AND row_number() OVER (PARTITION BY lower(username) ORDER BY ts, event_id) = 1 AS ok
+  FROM (SELECT event_id, ts, 'Shopper' || user_id AS username, 'New' || event_id || '@Example.com' AS email
+        FROM events WHERE event_type = 'signup'))""",
     "insert_orders": """
 SELECT event_id, (SELECT coalesce(max(order_id), 0) FROM s_orders)
                  + row_number() OVER (ORDER BY ts, event_id) AS order_id

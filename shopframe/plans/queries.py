@@ -196,6 +196,22 @@ def q_newsletter_signups(spark, sf_dir):
     )
 
 
+def q_register_users(spark, sf_dir):
+    # H2 with two guards (username, e-mail; case-insensitive) and H1 ids
+    t = ShopTables(spark, sf_dir)
+    users = t.users()
+    batch = req.user_registrations(t.events()).select(
+        "event_id", "ts", F.lower("username").alias("username"), F.lower("email").alias("email")
+    )
+    acc, rej = changes.guarded_insert(
+        users, batch, [("username", True), ("email", True)], ["ts", "event_id"], "event_id"
+    )
+    ids = changes.allocate_ids(users, acc, "user_id", ["ts", "event_id"])
+    return ids.select("event_id", F.lit(201).alias("code"), "user_id").unionByName(
+        rej.select("event_id", "code", F.lit(None).cast(users.schema["user_id"].dataType).alias("user_id"))
+    )
+
+
 def q_insert_orders(spark, sf_dir):
     t = ShopTables(spark, sf_dir)
     batch = req.new_orders(t.events()).withColumn("status", F.lit("draft"))
@@ -296,6 +312,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "upsert_products": q_upsert_products,
     "update_with_fallback": q_update_with_fallback,
     "newsletter_signups": q_newsletter_signups,
+    "register_users": q_register_users,
     "insert_orders": q_insert_orders,
     "delete_by_ids": q_delete_by_ids,
     "approval_notices": q_approval_notices,

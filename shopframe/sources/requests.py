@@ -59,3 +59,15 @@ def new_orders(events: DataFrame) -> DataFrame:
     return events.where(F.col("event_type") == "purchase").select(
         "event_id", "ts", "user_id", F.col("value").alias("total")
     )
+
+
+def user_registrations(events: DataFrame) -> DataFrame:
+    """User sign-ups ``(event_id, ts, username, email)``: the username names
+    the signing-up visitor (repeats within the feed conflict), the e-mail is
+    per event."""
+    return events.where(F.col("event_type") == "signup").select(
+        "event_id",
+        "ts",
+        F.concat(F.lit("Shopper"), F.col("user_id").cast("string")).alias("username"),
+        F.concat(F.lit("New"), F.col("event_id").cast("string"), F.lit("@Example.com")).alias("email"),
+    )
