@@ -126,3 +126,13 @@ def test_subtotals_next_ids_picks(spark):
     assert rows(metrics.first_order(o, "Pending")) == [(8, 4)]
     dem = metrics.product_demand(items, orders, "paid")
     assert rows(dem) == [(100, 1), (999, 1)]
+
+
+def test_monthly_dataset_defaults_to_current_year(spark):
+    this_year = dt.date.today().year
+    df = spark.createDataFrame(
+        [(1, "paid", dt.datetime(this_year, 3, 1)), (2, "paid", dt.datetime(1998, 3, 1))],
+        "order_id INT, status STRING, created_at TIMESTAMP",
+    )
+    got = metrics.monthly_status_dataset(df).collect()
+    assert [(r.month, r.paid, r.draft) for r in got] == [("March", 1, 0)]
