@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality_rules, secret_scan, toxicity, warc
+from . import chat_format, decontam, quality_rules, secret_scan, simhash, toxicity, warc
 from .common import map_rows, table
 
 
@@ -54,7 +54,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.col("matches").cast("long").alias("matches"))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op10_decontamination": op10_decontamination,
+    "op2_simhash": op2_simhash,
     "op4_chat_format": op4_chat_format,
     "op5_warc": op5_warc,
     "op6_toxicity": op6_toxicity,
@@ -62,4 +73,27 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    # every alignment of a document with an item, window by window
+    "op10_decontamination": r"""
+WITH split_docs AS (
+  SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents
+), split_items AS (
+  SELECT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark
+), d AS (SELECT doc_id, len(w) AS n_doc, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM split_docs),
+b AS (SELECT item_id, len(w) AS n_item, unnest(w) AS token, generate_subscripts(w, 1) AS j FROM split_items),
+same AS (
+  SELECT doc_id, item_id, n_doc, n_item, i - j AS shift, j FROM d JOIN b ON d.token = b.token AND d.token <> ''
+), busy AS (
+  SELECT * FROM same QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, shift) >= 9
+), windows AS (
+  SELECT doc_id, item_id, count(*) OVER (
+    PARTITION BY doc_id, item_id, shift ORDER BY j RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING
+  ) AS matches,
+  -- a window may begin before its first equal token: it must fit inside both
+  least(n_item, n_doc - shift) - greatest(1, 1 - shift) + 1 AS room
+  FROM busy
+)
+SELECT doc_id, item_id, max(matches) AS matches FROM windows WHERE room >= 13 AND matches >= 9 GROUP BY doc_id, item_id
+""",
+}
