@@ -6,7 +6,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, quality_rules, secret_scan, simhash, toxicity, warc
+from . import (
+    chat_format,
+    decontam,
+    line_dedup,
+    packing,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    simhash,
+    toxicity,
+    warc,
+)
 from .common import map_rows, table
 
 
@@ -63,14 +74,32 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    after = line_dedup.drop_recurring_lines(docs.withColumn("original", F.size(F.split("text", "\n"))))
+    left = F.when(F.col("text").isNull(), None).otherwise(F.size(F.split("text", "\n")))
+    return after.select("doc_id", "text", F.col("original").alias("lines_before"), left.alias("lines_after"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
-    "op10_decontamination": op10_decontamination,
+    "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
+    "op3_line_dedup": op3_line_dedup,
     "op4_chat_format": op4_chat_format,
     "op5_warc": op5_warc,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL = {
