@@ -35,6 +35,9 @@ PUNCTUATION = [c for c in range(33, 127) if not chr(c).isalnum()]
 BUCKETS = 32
 CALIBRATION_FOLD = 5  # one labelled row in so many is kept back
 SURE = 0.95
+#: Scores below it are rejected: low, as a clean document lost costs more than
+#: a poor one kept.
+THRESHOLD = 0.2
 
 
 def content_view(text: str | None) -> list[float]:
@@ -185,7 +188,7 @@ def _scores(model: Model | None, text: list, lang: list, source: list) -> tuple[
     return model.score(np.array([content_view(t) for t in text]), np.array([metadata_view(*x) for x in zip(text, lang, source)]))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **settings) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **settings) -> DataFrame:
     """Per document ``doc_id``, the calibrated scores of both views, the
     combined ``score`` and ``kept``."""
     bounded_batches(docs.sparkSession)
@@ -204,7 +207,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **
     ).mapInArrow(run, "doc_id long, text_score double, metadata_score double, score double, kept boolean")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **settings) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **settings) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with all their columns; no
     shuffle."""
     bounded_batches(docs.sparkSession)

@@ -16,6 +16,8 @@ The lexicon and the weights are learned from a bounded sample of the
 labelled rows: at most ``per_class`` rows of each class, chosen by a hash of
 the id.  Terms are words and word beginnings that mark the class; their
 counts are combined in Spark and at most ``max_terms`` come to the driver.
+For the weights the sample is cut into halves, and each is measured with the
+lexicon of the other, so that a term's chance luck earns it no trust.
 
 Defined cases: a null or empty text has no hits and the score of that; ids
 and labels that are null are not learned from; without labels of both classes
@@ -202,7 +204,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 
 
 def labelled_sample(docs, labels, label_col: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``label, text`` of at most ``per_class`` rows of each class outside the
+    """``label, text, half`` of at most ``per_class`` rows of each class outside the
     held-out fold, smallest hashes of the id first."""
     clean = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label_col).cast("int").alias("label")).where(
         "_id is not null and label in (0, 1)"
@@ -215,7 +217,7 @@ def labelled_sample(docs, labels, label_col: str, per_class: int, id_col: str =
     # at most 2 * per_class rows of two numbers: bounded, so broadcast
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).join(
         F.broadcast(some), "_id"
-    ).select("label", "text")
+    ).select("label", "text", (F.xxhash64("_id") % 2 == 0).alias("half"))
 
 
 def held_out(id_col: str):
@@ -223,7 +225,7 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def learn_lexicon(sample: DataFrame, min_rows: int = 10, min_odds: float = 3.0, max_terms: int = 2000) -> tuple[list[str], list[str]]:
+def learn_lexicon(sample: DataFrame, min_rows: int = 4, min_odds: float = 3.5, max_terms: int = 4000) -> tuple[list[str], list[str]]:
     """(words, stems) that mark class 1 in the sample."""
     def run(batches):
         for batch in batches:
@@ -251,16 +253,26 @@ def learn_lexicon(sample: DataFrame, min_rows: int = 10, min_odds: float = 3.0,
         .where((F.col("rows") >= min_rows) & (F.col("odds") >= min_odds))
         .orderBy(F.desc("odds"), F.desc("rows"), "term").limit(max_terms).collect()
     )
-    terms = [r["term"] for r in marked]
-    words = {t[1:] for t in terms if t[0] == "="}
-    # a stem must begin more than one marked word, and no shorter stem begin it
+    words = {r["term"][1:]: r["rows"] for r in marked if r["term"][0] == "="}
+    found = {r["term"][1:]: r["rows"] for r in marked if r["term"][0] == "^" and r["rows"] >= 2 * min_rows}
+    # a stem must be more than the beginning of one marked word, and no
+    # shorter stem may begin it
     stems: set[str] = set()
-    for stem in sorted((t[1:] for t in terms if t[0] == "^"), key=lambda s: (len(s), s)):
-        if sum(w.startswith(stem) for w in words) > 1 and not any(stem.startswith(s) for s in stems):
+    for stem in sorted(found, key=lambda s: (len(s), s)):
+        one = max((n for w, n in words.items() if w.startswith(stem)), default=0)
+        if found[stem] > 1.3 * one and not any(stem.startswith(s) for s in stems):
             stems.add(stem)
     return sorted(w for w in words if not any(w.startswith(s) for s in stems)), sorted(stems)
 
 
+def _measure(words, stems, seed_words):
+    def make():
+        lexicon, known = Lexicon({*words, *seed_words}, stems), {}
+        return lambda label, text: (label, features(text or "", lexicon, known))
+
+    return make
+
+
 def score_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -273,14 +285,13 @@ def score_toxicity(
     that hit the lexicon)."""
     bounded_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, "toxic", per_class, id_col, text_col).cache()
+    halves = [sample.where(F.col("half") == h) for h in (True, False)]
+    rows = []
+    for own, other in (halves, halves[::-1]):
+        learned = learn_lexicon(other)
+        rows += map_rows(own.select("label", "text"), "label int, x array<double>", _measure(*learned, seed_words)).collect()
     words, stems = learn_lexicon(sample)
     words = sorted({*words, *seed_words})
-
-    def measure():
-        lexicon, known = Lexicon(words, stems), {}
-        return lambda label, text: (label, features(text or "", lexicon, known))
-
-    rows = map_rows(sample.select("label", "text"), "label int, x array<double>", measure).collect()
     sample.unpersist()
     y = np.array([r["label"] for r in rows], dtype=float)
     x = np.array([r["x"] for r in rows], dtype=float).reshape(len(rows), N_FEATURES)
