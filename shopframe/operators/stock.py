@@ -1,14 +1,21 @@
 """Stock checks (C5, G10) and stock decrement for paid orders.
 
-Sequential allocation (H7, ``mode='sequential'``): the lines of each product
-are taken in order ``(order_id, order_item_id)``; a line is accepted when its
-quantity fits the stock left after the lines accepted before it, otherwise it
-is skipped and the stock is unchanged.  This is an order-dependent greedy
-fold.  Products are first classed by one count/sum aggregate: if a product's
-whole demand fits its stock every line is accepted; if it has at most
-``FOLD_MAX_LINES`` lines (a checked bound) its sorted lines are folded in one
-task with the built-in ``aggregate`` function; a hot product (more lines) is
-never collected anywhere and goes through exact distributed rounds:
+Sequential allocation (H7): the lines of each product are taken in ``order``
+(order id, line id; then quantity); a line is accepted when the stock left
+after it would not be negative, otherwise it is skipped and the stock is
+unchanged.  This is an order-dependent greedy fold with one meaning on every
+path:
+
+* every line gets a global rank in (product, order), its key from then on, so
+  repeated line ids stay separate lines;
+* a null stock or quantity counts as 0; a negative quantity is refused; a line
+  of 0 is accepted unless the stock is negative.  Neither changes the stock.
+
+Products are classed by one count/sum aggregate.  If a product's whole demand
+fits its stock every line is accepted.  A contended product with few lines is
+folded in one task with the built-in ``aggregate`` function; one with more is
+never collected anywhere and goes through exact distributed rounds, which give
+the same rows:
 
 * a round takes, per product, the *candidates* - lines after the product's
   current position whose quantity fits the remaining stock ``r``;
@@ -19,10 +26,11 @@ never collected anywhere and goes through exact distributed rounds:
   skipped on the way had quantity > the previous ``r`` >= every later
   remaining stock, so they stay rejected.
 
-The fit threshold falls strictly every round (the new ``r`` is below the
-blocking line's quantity, which was <= the old ``r``), so rounds are bounded
-by the number of distinct quantities; in practice a handful.  Each round's
-state is one row per still-active product, checkpointed so lineage stays flat.
+Rounds end: the new ``r`` is below the blocking line's quantity, which was at
+most the old ``r``, so ``r`` falls in every round and a product leaves when no
+candidate blocks it; a product needs no more rounds than it has different
+quantities.  Each round's state is one row per still-active product,
+checkpointed so lineage stays flat.
 """
 
 from __future__ import annotations
@@ -32,8 +40,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import parse_int
-from ..plans.prefix import block_bounds, block_count, grouped_running_sum
-from ..session import checkpoint_root, is_absent_path_error, scratch_path
+from ..plans.prefix import grouped_running_sum
+from ..plans.ranking import global_row_number
+from ..session import is_absent_path_error, scratch_path
 
 # Outcome codes and messages of the stock operations.
 CODE_OK = 200
@@ -72,24 +81,28 @@ def stock_check(
         else:
             parsed.append(F.col(c))
     requests = requests.select(*parsed)
-    # three independent keyed lookups.  A line id can repeat in loaded data;
-    # the lookup answers one row per id (lowest order id, then quantity),
-    # like a single-row fetch.  The aggregate's output is already
-    # partitioned by the id, so the join that follows adds no shuffle.
-    o = orders.select("order_id", F.lit(True).alias("_o"))
-    tie = [F.col("order_id")] if "order_id" in order_item.columns else []
-    pick = F.min(F.struct(*tie, F.col("quantity").alias("q")))["q"]
-    i = order_item.groupBy("order_item_id").agg(pick.alias("_item_qty"), F.lit(True).alias("_item_found"))
-    p = products.select(
+    # three independent keyed lookups, each cut down to the requested ids
+    # first, so a small request moves no table.  A line id can repeat in
+    # loaded data; the lookup answers one row per id: the lowest order id,
+    # then quantity, by two aggregates of plain columns.
+    def requested(c: str) -> DataFrame:
+        return requests.where(F.col(c).isNotNull()).select(c).distinct()
+
+    o = orders.join(requested("order_id"), "order_id", "left_semi").select("order_id").distinct().withColumn("_o", F.lit(True))
+    i = order_item.join(requested("order_item_id"), "order_item_id", "left_semi")
+    if "order_id" in order_item.columns:
+        lowest = i.groupBy("order_item_id", "order_id").agg(F.min("quantity").alias("_q"))
+        i = lowest.groupBy("order_item_id").agg(F.min_by("_q", "order_id").alias("_item_qty"))
+    else:
+        i = i.groupBy("order_item_id").agg(F.min("quantity").alias("_item_qty"))
+    i = i.withColumn("_item_found", F.lit(True))
+    p = products.join(requested("product_id"), "product_id", "left_semi").select(
         "product_id", F.col("name").alias("p_name"), F.col("stock").alias("_stock"),
         F.lit(True).alias("_p"),
     )
-    # the line lookup comes out of an aggregate already hash-partitioned by
-    # id, so a sort-merge join shuffles only the requests; broadcasting it
-    # instead would ship the whole line table through the driver
     j = (
         requests.join(o, "order_id", "left")
-        .join(i.hint("merge"), "order_item_id", "left")
+        .join(i, "order_item_id", "left")
         .join(p, "product_id", "left")
     )
     all_null = F.col("order_id").isNull() & F.col("order_item_id").isNull() & F.col("product_id").isNull()
@@ -139,19 +152,18 @@ def stock_after_demand(products: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-# Products with at most this many lines to allocate are folded in one task
-# (their lines are a bounded array); products above it - hot products - go
-# through the distributed rounds.
+# Contended products with at most this many lines are folded in one task (a
+# bounded array); the others go through rounds.  Both give the same rows: the
+# bound decides where the work is done, not what it yields.
 FOLD_MAX_LINES = 2048
 
 
 def _fold_small(lines: DataFrame) -> DataFrame:
-    """``(product_id, order_id, order_item_id, quantity, accepted)`` for the
-    lines of products whose line count is bounded: the lines are sorted into
-    one array per product and folded with the built-in ``aggregate``
-    higher-order function (JVM side, no Python)."""
-    line = F.struct("order_id", "order_item_id", "quantity")
-    per_product = lines.groupBy("product_id", "stock").agg(F.sort_array(F.collect_list(line)).alias("ls"))
+    """``(rank, accepted)`` for the lines of products with a bounded number
+    of lines: one sorted array per product, folded on the JVM side."""
+    per_product = lines.groupBy("product_id", "stock").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "quantity"))).alias("ls")
+    )
     init = F.struct(F.col("stock").alias("r"), F.array().cast("array<boolean>").alias("f"))
 
     def step(acc, x):
@@ -161,73 +173,62 @@ def _fold_small(lines: DataFrame) -> DataFrame:
             F.array_append(acc["f"], fits).alias("f"),
         )
 
-    folded = per_product.select("product_id", "ls", F.aggregate("ls", init, step)["f"].alias("f"))
-    pairs = folded.select("product_id", F.explode(F.arrays_zip("ls", "f")).alias("p"))
-    return pairs.select(
-        "product_id", "p.ls.order_id", "p.ls.order_item_id", "p.ls.quantity",
-        F.col("p.f").alias("accepted"),
-    )
+    folded = per_product.select("ls", F.aggregate("ls", init, step)["f"].alias("f"))
+    pairs = folded.select(F.explode(F.arrays_zip("ls", "f")).alias("p"))
+    return pairs.select(F.col("p.ls.rank").alias("rank"), F.col("p.f").alias("accepted"))
 
 
 def sequential_allocation(
-    lines: DataFrame, products: DataFrame, max_rounds: int = 10_000,
+    lines: DataFrame, products: DataFrame, order=("order_id", "order_item_id"),
     fold_max_lines: int = FOLD_MAX_LINES,
 ) -> DataFrame:
     """H7 ``mode='sequential'`` (E4): ``(product_id, order_id, order_item_id,
-    quantity, accepted, code)`` for every line; lines of an unknown product
-    get ``accepted = false`` and code 404.
-
-    Products are classed by one aggregate (line count and total demand):
-    ``easy`` - all lines fit the stock, all accepted, any size;
-    ``small`` - at most ``fold_max_lines`` lines, folded in one task;
-    ``hot`` - more lines than that, the distributed rounds of the module doc.
+    quantity, accepted, code, error)`` and further ``order`` columns for every
+    line; lines of an unknown product get ``accepted = false`` and code 404.
     """
-    spark = lines.sparkSession
-    checkpoint_root(spark)
-    # the lines are materialised once: the class pass and every branch below
-    # read this copy instead of re-running the scans and joins behind them
-    base = lines.select(
+    extra = [c for c in order if c not in ("order_id", "order_item_id")]
+    cols = ["product_id", "order_id", "order_item_id", "quantity", *extra]
+    plain = lines.select(
         "product_id", "order_id", "order_item_id",
-        F.coalesce(F.col("quantity"), F.lit(0)).cast("bigint").alias("quantity"),
-    ).checkpoint(eager=True)
-    stock = products.select("product_id", F.col("stock").cast("bigint").alias("stock"))
-    positive = F.col("quantity") > 0  # zero-quantity lines always fit
+        F.coalesce(F.col("quantity"), F.lit(0)).cast("bigint").alias("quantity"), *extra,
+    )
+    # the one copy of the lines: ranked, and written to the checkpoint folder
+    base = global_row_number(plain, ["product_id", *order, "quantity"], "rank")
+    stock = products.select("product_id", F.coalesce(F.col("stock").cast("bigint"), F.lit(0)).alias("stock"))
+    positive = F.col("quantity") > 0
     demand = (
         base.where(positive).groupBy("product_id")
         .agg(F.sum("quantity").alias("_d"), F.count(F.lit(1)).alias("_n"))
     )
-    # one row per product: the class table is small next to the lines
+    # one row per product: small next to the lines
     cls = stock.join(demand, "product_id", "left").select(
         "product_id", "stock",
         F.when(F.coalesce(F.col("_d"), F.lit(0)) <= F.col("stock"), F.lit("easy"))
         .when(F.col("_n") <= fold_max_lines, F.lit("small"))
-        .otherwise(F.lit("hot")).alias("cls"),
+        .when(F.col("_n") > fold_max_lines, F.lit("hot"))
+        .otherwise(F.lit("easy")).alias("cls"),
     ).checkpoint(eager=True)
-    # lines with their class, joined once for all branches (and the rounds)
-    classed = base.join(cls, "product_id", "left").checkpoint(eager=True)
-    cols = ["product_id", "order_id", "order_item_id", "quantity"]
-
-    unknown = classed.where(F.col("cls").isNull()).select(
-        *cols, F.lit(False).alias("accepted"), F.lit(True).alias("_unknown")
+    classed = base.join(cls, "product_id", "left")
+    contended = F.coalesce(F.col("cls").isin("small", "hot"), F.lit(False)) & positive
+    settled = classed.where(~contended).select(
+        *cols, F.col("cls").isNull().alias("_unknown"),
+        F.when(F.col("cls").isNull() | (F.col("quantity") < 0), F.lit(False))
+        .when(F.col("quantity") == 0, F.col("stock") >= 0).otherwise(F.lit(True)).alias("accepted"),
     )
-    easy = classed.where((F.col("cls") == "easy") | (F.col("cls").isNotNull() & ~positive)).select(
-        *cols, F.lit(True).alias("accepted"), F.lit(False).alias("_unknown")
+    small = classed.where((F.col("cls") == "small") & positive)
+    decided = small.join(_fold_small(small), "rank", "left").select(
+        *cols, F.lit(False).alias("_unknown"), F.coalesce("accepted", F.lit(False)).alias("accepted")
     )
-    small = _fold_small(classed.where((F.col("cls") == "small") & positive)).withColumn(
-        "_unknown", F.lit(False)
-    )
-    parts = [unknown, easy, small]
+    out = settled.unionByName(decided)
     hot_cls = cls.where(F.col("cls") == "hot")
     if not hot_cls.isEmpty():
-        hot_lines = classed.where((F.col("cls") == "hot") & positive)
-        acc_keys = _rounds(hot_lines.select(*cols, "stock"), hot_cls, max_rounds)
-        parts.append(
-            hot_lines.join(acc_keys.withColumn("_acc", F.lit(True)), ["product_id", "order_item_id"], "left")
-            .select(*cols, F.coalesce(F.col("_acc"), F.lit(False)).alias("accepted"), F.lit(False).alias("_unknown"))
+        hot = classed.where((F.col("cls") == "hot") & positive)
+        taken = _rounds(hot.select("product_id", "rank", "quantity"), hot_cls).withColumn("_acc", F.lit(True))
+        out = out.unionByName(
+            hot.join(taken, "rank", "left").select(
+                *cols, F.lit(False).alias("_unknown"), F.coalesce("_acc", F.lit(False)).alias("accepted")
+            )
         )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
     code = (
         F.when(F.col("_unknown"), F.lit(CODE_NOT_FOUND))
         .when(F.col("accepted"), F.lit(CODE_OK))
@@ -240,73 +241,50 @@ def sequential_allocation(
     return out.select(*cols, "accepted", code.alias("code"), error.alias("error"))
 
 
-def _rounds(known: DataFrame, hot: DataFrame, max_rounds: int) -> DataFrame:
-    """Accepted ``(product_id, order_item_id)`` of hot products by rounds.
+def _rounds(work: DataFrame, hot: DataFrame) -> DataFrame:
+    """The ``rank`` of every accepted line of hot products, by rounds.
 
     Per round the candidates are cached (their lineage is the checkpointed
     lines and state, cheap to recompute if an executor is lost), the small
-    per-product state is checkpointed, and the round's accepted keys are
+    per-product state is checkpointed, and the round's accepted ranks are
     appended to a table in the shared checkpoint folder, so nothing large is
     rewritten per round and lineage never grows."""
-    spark = known.sparkSession
-    work = known.drop("stock")
-    bounds = block_bounds(work, "order_id")
-    blocks = block_count(spark)
+    spark = work.sparkSession
     out_path = scratch_path(spark, "allocation-accepted")
     # per-product state of the fold: remaining stock r and last position;
     # one row per active product
     state = hot.select(
-        "product_id", F.col("stock").alias("r"),
-        F.lit(None).cast(work.schema["order_id"].dataType).alias("p_order"),
-        F.lit(None).cast(work.schema["order_item_id"].dataType).alias("p_item"),
+        "product_id", F.col("stock").alias("r"), F.lit(-1).cast("bigint").alias("position")
     ).where(F.col("r") > 0).checkpoint(eager=True)
-    for k in range(max_rounds):
-        if state.isEmpty():
-            break
-        after = (
-            F.col("p_order").isNull()
-            | (F.col("order_id") > F.col("p_order"))
-            | ((F.col("order_id") == F.col("p_order")) & (F.col("order_item_id") > F.col("p_item")))
+    round_no = 0
+    while not state.isEmpty():
+        cand = work.join(state, "product_id", "inner").where(
+            (F.col("rank") > F.col("position")) & (F.col("quantity") <= F.col("r"))
         )
-        cand = work.join(state, "product_id", "inner").where(after & (F.col("quantity") <= F.col("r")))
-        cand = grouped_running_sum(
-            cand, "product_id", ["order_id", "order_item_id"], "quantity", "cs", bounds, blocks
-        ).cache()
+        cand = grouped_running_sum(cand, "product_id", "rank", "quantity", "cs").cache()
         fits = F.col("cs") <= F.col("r")
-        cand.where(fits).select("product_id", "order_item_id").withColumn("round", F.lit(k)).write.mode(
+        cand.where(fits).select("rank").withColumn("round", F.lit(round_no)).write.mode(
             "overwrite"
         ).option("partitionOverwriteMode", "dynamic").partitionBy("round").parquet(out_path)
-        used = cand.where(fits).groupBy("product_id").agg(F.max("cs").alias("_used"))
-        block = (
-            cand.where(~fits)
-            .groupBy("product_id", "r")
-            .agg(F.min(F.struct("order_id", "order_item_id")).alias("_b"))
-        )
+        # one aggregate gives both the stock used and the blocking line
         state = (
-            block.join(used, "product_id", "left")
-            .select(
-                "product_id",
-                (F.col("r") - F.coalesce(F.col("_used"), F.lit(0))).alias("r"),
-                F.col("_b.order_id").alias("p_order"),
-                F.col("_b.order_item_id").alias("p_item"),
+            cand.groupBy("product_id", "r").agg(
+                F.max(F.when(fits, F.col("cs"))).alias("used"), F.min(F.when(~fits, F.col("rank"))).alias("position")
             )
+            .where(F.col("position").isNotNull())
+            .select("product_id", (F.col("r") - F.coalesce("used", F.lit(0))).alias("r"), "position")
             .where(F.col("r") > 0)
             .checkpoint(eager=True)
         )
         cand.unpersist()
-    else:
-        raise RuntimeError("sequential allocation did not converge")
-    schema = (
-        f"product_id {work.schema['product_id'].dataType.simpleString()}, "
-        f"order_item_id {work.schema['order_item_id'].dataType.simpleString()}, round INT"
-    )
+        round_no += 1
     try:
-        out = spark.read.schema(schema).parquet(out_path).drop("round")
+        out = spark.read.schema("rank BIGINT, round INT").parquet(out_path).drop("round")
         out.schema  # noqa: B018 - resolve now
         return out
     except Exception as e:  # noqa: BLE001
         if is_absent_path_error(e):  # no round accepted anything
-            return work.select("product_id", "order_item_id").limit(0)
+            return work.select("rank").limit(0)
         raise
 
 

@@ -3,53 +3,31 @@
 A running sum per group is a window ``partitionBy(group).orderBy(...)``;
 planned directly, every row of a group goes to one task, so a group holding a
 third of all rows would sort a third of the data in one task.  Here each
-group is cut into range blocks of its leading (numeric) order column: rows
-get a running sum inside ``(group, block)`` and block totals (a decomposable
-aggregate, pre-aggregated per task) are turned into per-block offsets by a
-window over at most ``blocks`` rows per group.  The result equals the plain
-window exactly.
+group is cut into blocks of consecutive *ranks* (``plans.ranking``): rows get
+a running sum inside ``(group, block)`` - at most ``BLOCK_ROWS`` rows, however
+the ids are spread - and block totals (a decomposable aggregate) are turned
+into per-block offsets by a window over one row per block.  The result
+equals the plain window exactly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def block_count(spark) -> int:
-    """Blocks per group: a few per shuffle partition so a hot group spreads
-    over every task."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def block_bounds(df: DataFrame, col: str) -> tuple[int, int]:
-    """(min, max) of the block column - one small aggregate job."""
-    row = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
-    lo = row["lo"] if row["lo"] is not None else 0
-    hi = row["hi"] if row["hi"] is not None else 0
-    return int(lo), int(hi)
+#: Rows of a block at most; a group's blocks spread over all tasks.
+BLOCK_ROWS = 8192
 
 
 def grouped_running_sum(
-    df: DataFrame,
-    group: str,
-    order: Sequence[str],
-    value: str,
-    out: str,
-    bounds: tuple[int, int],
-    blocks: int,
+    df: DataFrame, group: str, rank: str, value: str, out: str, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """``out`` = sum of ``value`` over rows of the same ``group`` up to and
-    including this row in ``order`` (which must be a total order within the
-    group).  ``order[0]`` must be numeric; ``bounds`` is its (min, max)."""
-    lo, hi = bounds
-    span = max(hi - lo + 1, 1)
-    blk = F.floor((F.col(order[0]) - F.lit(lo)) * F.lit(blocks) / F.lit(span)).cast("int")
-    with_blk = df.withColumn("_blk", blk)
+    including this row in ``rank`` order.  ``rank`` is a global row number:
+    unique over all rows, so a block of ranks has a bounded number of rows."""
+    with_blk = df.withColumn("_blk", F.floor(F.col(rank) / F.lit(block_rows)))
     w_local = (
-        Window.partitionBy(group, "_blk").orderBy(*order)
+        Window.partitionBy(group, "_blk").orderBy(rank)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = with_blk.withColumn("_lcs", F.sum(value).over(w_local))

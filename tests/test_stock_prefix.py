@@ -90,7 +90,8 @@ def test_running_sum_hot_group(spark):
     rnd = random.Random(7)
     data = [(1 if rnd.random() < 0.7 else rnd.randint(2, 5), rnd.randint(0, 1000), i, rnd.randint(1, 9)) for i in range(400)]
     df = spark.createDataFrame(data, "g INT, o INT, i INT, v INT")
-    got = grouped_running_sum(df, "g", ["o", "i"], "v", "cs", (0, 1000), 16)
+    ranked = global_row_number(df, ["g", "o", "i"], "rk")
+    got = grouped_running_sum(ranked, "g", "rk", "v", "cs", block_rows=16)
     w = Window.partitionBy("g").orderBy("o", "i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     want = df.withColumn("cs", F.sum("v").over(w))
     assert rows(got, "g", "o", "i", "cs") == rows(want, "g", "o", "i", "cs")
@@ -143,3 +144,61 @@ def test_hot_product_over_default_fold_bound(spark):
     got = {(r.product_id, r.order_item_id): (r.accepted, r.code)
            for r in stock.sequential_allocation(ldf, pdf).collect()}
     assert got == brute_allocation(lines, stocks)
+
+
+FIVE = [(1, 10, "a", 3), (1, 10, "a", 3), (1, 11, "b", 5), (1, 11, "b", 1), (1, 12, "c", 1)]
+LINES = "product_id INT, order_id INT, order_item_id STRING, quantity INT"
+
+
+@pytest.mark.parametrize("fold_max", [2048, 0])
+def test_repeated_line_ids_stay_separate_lines(spark, fold_max):
+    ldf = spark.createDataFrame(FIVE, LINES)
+    pdf = spark.createDataFrame([(1, 8)], "product_id INT, stock INT")
+    got = rows(stock.sequential_allocation(ldf, pdf, fold_max_lines=fold_max), "order_item_id", "quantity", "accepted")
+    # 3 and 3 leave 2, then 1 (before 5, by quantity) leaves 1, 5 is refused, 1 leaves 0
+    assert got == [("a", 3, True), ("a", 3, True), ("b", 1, True), ("b", 5, False), ("c", 1, True)]
+
+
+@pytest.mark.parametrize("fold_max", [2048, 0])
+def test_odd_quantities_and_stocks(spark, fold_max):
+    lines = [(1, 1, "a", None), (1, 2, "b", 0), (1, 3, "c", -4), (1, 4, "d", 9), (2, 1, "e", 0), (2, 2, "f", 1), (3, 1, "g", 1), (3, 2, "h", 0)]
+    pdf = spark.createDataFrame([(1, 5), (2, -1), (3, None)], "product_id INT, stock INT")
+    got = {r.order_item_id: (r.accepted, r.code) for r in stock.sequential_allocation(
+        spark.createDataFrame(lines, LINES), pdf, fold_max_lines=fold_max).collect()}
+    assert got == {"a": (True, 200), "b": (True, 200), "c": (False, 400), "d": (False, 400), "e": (False, 400),
+                   "f": (False, 400), "g": (False, 400), "h": (True, 200)}
+
+
+@pytest.mark.parametrize("kind,first,step", [("INT", 1_000_000, 1), ("BIGINT", 10**17, 10**13)])
+def test_wide_ids_and_many_partitions(spark, kind, first, step):
+    lines = [(1, first + i * step, f"{i}", 1 + i % 3) for i in range(60)] + [(1, first + 3_000_000, "z", 1)]
+    ldf = spark.createDataFrame(lines, f"product_id INT, order_id {kind}, order_item_id STRING, quantity INT")
+    pdf = spark.createDataFrame([(1, 50)], "product_id INT, stock INT")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        got = {(r.product_id, r.order_item_id): (r.accepted, r.code)
+               for r in stock.sequential_allocation(ldf, pdf, fold_max_lines=0).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got == brute_allocation(lines, {1: 50})
+
+
+def test_narrow_id_range_spreads_over_blocks(spark):
+    # one outlier id next to a narrow range: blocks follow ranks, not ids
+    data = [(1, i, 1) for i in range(2000)] + [(1, 10**12, 1)]
+    ranked = global_row_number(spark.createDataFrame(data, "g INT, o BIGINT, v INT"), ["g", "o"], "rk")
+    per_block = ranked.groupBy(F.floor(F.col("rk") / 64)).count()
+    assert per_block.agg(F.max("count")).first()[0] <= 64 and per_block.count() >= 31
+
+
+def test_one_row_request_moves_no_line_table(spark):
+    items = spark.createDataFrame([(i, i // 3, i % 7) for i in range(5000)], "order_item_id INT, order_id INT, quantity INT").repartition(4)
+    orders = spark.range(2000).select(F.col("id").cast("int").alias("order_id"))
+    products = spark.createDataFrame([(100, "bolt", 20)], "product_id INT, name STRING, stock INT")
+    req = spark.createDataFrame([(1, 5, 100)], "order_id INT, order_item_id INT, product_id INT")
+    out = stock.stock_check(req, orders, items, products)
+    assert [r.code for r in out.collect()] == [200]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # the line scan meets the requested ids before any exchange that feeds an aggregate
+    assert "LeftSemi" in plan and "SortMergeJoin" not in plan.split("Initial Plan")[0]
