@@ -38,6 +38,12 @@ class TableSpec:
     def column_names(self) -> list[str]:
         return [c for c, _ in self.columns]
 
+    @property
+    def updatable(self) -> list[str]:
+        """Columns that an update request may set: all but the key and the
+        time stamps, which the job sets itself."""
+        return [c for c in self.column_names if c not in self.key and c not in ("created_at", "updated_at")]
+
     @property
     def schema(self) -> T.StructType:
         return T.StructType([T.StructField(c, t, True) for c, t in self.columns])
@@ -48,8 +54,8 @@ class TableSpec:
 
 
 # Table names, physical/export column order, keys and the
-# per-table display column lists of the shop schema, in the order the shop
-# uses them.
+# per-table display column lists of the shop schema, in the order in which
+# the export runs.
 TABLE_ORDER = (
     "orders",
     "order_item",

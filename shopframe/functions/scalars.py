@@ -30,11 +30,6 @@ def month_name(c) -> Column:
     return F.trim(F.date_format(_c(c), MONTH_NAME_FORMAT))
 
 
-def year_of(c) -> Column:
-    """G3."""
-    return F.year(_c(c))
-
-
 def as_of_ts(as_of=None) -> Column:
     """The run's 'now' as a column; a fixed value keeps jobs replayable."""
     if as_of is None:
@@ -48,9 +43,10 @@ def norm_login(c) -> Column:
 
 
 def parse_int(c) -> Column:
-    """Leading-integer parse like JS ``parseInt``; no digits gives null."""
+    """Leading-integer parse like JS ``parseInt``, as BIGINT; no digits,
+    or more than a BIGINT holds, gives null."""
     digits = F.regexp_extract(_c(c).cast("string"), r"^\s*([+-]?[0-9]+)", 1)
-    return _try_cast(digits, "int")
+    return _try_cast(digits, "bigint")
 
 
 def parse_float(c, to: T.DataType = MONEY) -> Column:
@@ -87,20 +83,31 @@ def falsy(c, dtype: T.DataType) -> Column:
     return col.isNull()
 
 
-def falsy_or(new, old, dtype: T.DataType) -> Column:
-    """``new || old`` - a falsy new value keeps the old one."""
-    return F.when(falsy(new, dtype), _c(old)).otherwise(_c(new))
+def update_applies(new, dtype: T.DataType | None, mode: str, present=None) -> Column:
+    """Whether a change's value replaces the old one.
 
+    falsy     G11, ``new || old``: falsy values keep the old one
+    null_only ``new ?? old``: only null keeps the old one
+    presence  G12, ``new !== undefined ? new : old``: the change's presence
+              flag decides, so an explicit null overwrites
+    """
+    if mode == "falsy":
+        return ~falsy(new, dtype)
+    if mode == "null_only":
+        return _c(new).isNotNull()
+    if mode == "presence":
+        return F.coalesce(_c(present), F.lit(False))
+    raise ValueError(f"unknown update mode {mode!r}")
 
-def nonnull_or(new, old) -> Column:
-    """``new ?? old`` - only a null new value keeps the old one."""
-    return F.coalesce(_c(new), _c(old))
+
+def falsy_or(new, old, dtype: T.DataType) -> Column:
+    """G11 for one value: ``new || old``."""
+    return F.when(update_applies(new, dtype, "falsy"), _c(new)).otherwise(_c(old))
 
 
 def present_or(new, present, old) -> Column:
-    """``new !== undefined ? new : old`` - an explicit null overwrites;
-    ``present`` is the change row's presence flag for that column."""
-    return F.when(_c(present), _c(new)).otherwise(_c(old))
+    """G12 for one value: ``new !== undefined ? new : old``."""
+    return F.when(update_applies(new, None, "presence", present), _c(new)).otherwise(_c(old))
 
 
 def default_false(c) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import as_of_ts, falsy, line_total, notice_body, NOTICE_SUBJECT
+from ..functions.scalars import as_of_ts, default_false, line_total, norm_login, notice_body, parse_float, update_applies, NOTICE_SUBJECT
 from ..plans.ranking import global_row_number
 from ..session import checkpoint_root
 
@@ -54,7 +54,8 @@ def upsert(
     inserted.  A key staged twice raises, as the database does.
 
     One full outer join on the key; the duplicate check is a count over the
-    same key partitioning, so it adds no shuffle of its own.
+    same key partitioning, so it adds no shuffle of its own.  It is part of
+    the join key, so no column pruning can remove it.
     """
     keys = list(keys)
     tcols = target.columns
@@ -65,11 +66,11 @@ def upsert(
         *[F.col(c).cast(target.schema[c].dataType).alias(c) if c in tcols else F.col(c) for c in staged.columns]
     )
     dup = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    s = s_cast.withColumn("_n", dup).withColumn(
-        "_s",
-        F.when(F.col("_n") > 1, F.raise_error(F.lit("staged rows contain a key more than once")))
-        .otherwise(F.lit(True)),
-    ).drop("_n")
+    first = keys[0]
+    checked = F.when(
+        F.col("_n") > 1, F.raise_error(F.lit("staged rows contain a key more than once")).cast(target.schema[first].dataType)
+    ).otherwise(F.col(first))
+    s = s_cast.withColumn("_n", dup).withColumn(first, checked).drop("_n").withColumn("_s", F.lit(True))
     t = target.withColumn("_t", F.lit(True))
     j = t.alias("t").join(s.alias("s"), keys, "full_outer")
     out = []
@@ -97,14 +98,7 @@ def _last_value(c: str, dtype: T.DataType, seq: str, mode: str) -> Column:
               ``has_<c>`` flag is set, even when it is null
     The result is a struct (null when no change touches the column).
     """
-    if mode == "falsy":
-        takes = ~falsy(c, dtype)
-    elif mode == "null_only":
-        takes = F.col(c).isNotNull()
-    elif mode == "presence":
-        takes = F.coalesce(F.col(f"has_{c}"), F.lit(False))
-    else:
-        raise ValueError(f"unknown update mode {mode!r}")
+    takes = update_applies(c, dtype, mode, f"has_{c}")
     return F.max(F.when(takes, F.struct(F.col(seq).alias("s"), F.col(c).alias("v"))))
 
 
@@ -181,13 +175,16 @@ def apply_updates(
 # --------------------------------------------------------------------------
 def apply_deletes(target: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """H5: remove the rows whose key is in ``ids``.  Returns the new table and
-    a one-row summary ``(requested, deleted, code)``: 400 for an empty id
+    a one-row summary ``(requested, deleted, code)`` - ``deleted`` counts
+    different ids: 400 for an empty id
     list, 404 when none of the ids exists, else 200."""
     ids = ids.select(F.col(ids.columns[0]).alias(key)) if key not in ids.columns else ids.select(key)
     new_target = target.join(ids, key, "left_anti")
+    # counts per distinct id, so that a repeated request is one deletion
+    named = ids.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     hits = target.select(key).distinct().withColumn("_hit", F.lit(1))
-    summary = ids.join(hits, key, "left").agg(
-        F.count(F.lit(1)).alias("requested"), F.count("_hit").alias("deleted")
+    summary = named.join(hits, key, "left").agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("requested"), F.count("_hit").alias("deleted")
     )
     summary = summary.withColumn(
         "code",
@@ -208,24 +205,55 @@ def truncate(target: DataFrame, confirm: bool = False) -> DataFrame:
 # --------------------------------------------------------------------------
 def allocate_ids(target: DataFrame, batch: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """H1: give batch rows without a ``key`` the next ids after the table's
-    current maximum, in batch ``order`` (like a serial column); rows that
-    carry an id keep it.  Numbering is a distributed global row number."""
+    current maximum, in batch ``order`` (like a serial column), passing over
+    ids that other rows of the batch carry; those rows keep theirs - see
+    ``key_conflicts``.  Numbering is a distributed global row number."""
     spark = batch.sparkSession
     checkpoint_root(spark)
     # the current maximum is one number: read it as a scalar (a partial
     # aggregate per task) and use it as a literal
     base = target.agg(F.max(key)).first()[0] or 0
+    top = (batch.agg(F.max(key)).first()[0] or 0) if key in batch.columns else 0
     has = F.col(key).isNotNull() if key in batch.columns else F.lit(False)
     if key not in batch.columns:
         batch = batch.withColumn(key, F.lit(None).cast(target.schema[key].dataType))
     given = batch.where(has)
     fresh = global_row_number(batch.where(~has), order, "_rn")
+    if top > base:
+        # the j-th given id g above the maximum has g - max - j free numbers
+        # below it: sorted among the row numbers, it moves the later ones up
+        carried = global_row_number(given.where(F.col(key) > base).select(key).distinct(), [key], "_j")
+        marks = fresh.select(F.col("_rn").alias("_v"), F.lit(0).alias("_kind"), "_rn").unionByName(
+            carried.select(
+                (F.col(key).cast("bigint") - base - F.col("_j")).alias("_v"), F.lit(1).alias("_kind"),
+                F.lit(None).cast("bigint").alias("_rn"),
+            )
+        )
+        moved = global_row_number(marks, ["_v", "_kind"], "_place").where("_kind = 0").select("_rn", "_place")
+        fresh = fresh.join(moved, "_rn").drop("_rn").withColumnRenamed("_place", "_rn")
     fresh = fresh.withColumn(
         key, (F.lit(base) + F.col("_rn")).cast(target.schema[key].dataType)
     ).drop("_rn")
     return given.unionByName(fresh)
 
 
+def key_conflicts(
+    target: DataFrame, batch: DataFrame, key: str, order: Sequence[str], row_id: str
+) -> tuple[DataFrame, DataFrame]:
+    """H1: (rows to insert, rejects 409): a row that gives an id already in
+    the table, or given by an earlier row of the batch, breaks the primary
+    key; rows without an id cannot."""
+    if key not in batch.columns:
+        return batch, _reject(batch.limit(0), [row_id], CODE_CONFLICT, "")
+    ordered = F.struct(*[F.col(o) for o in order], F.col(row_id).alias("_rid"))
+    firsts = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(ordered)["_rid"].alias(row_id)).select(row_id)
+    taken = batch.join(target.select(key), key, "left_semi").select(row_id)
+    given = batch.where(F.col(key).isNotNull()).join(firsts, row_id, "left_semi").join(taken, row_id, "left_anti")
+    fine = batch.where(F.col(key).isNull()).unionByName(given)
+    bad = batch.join(fine.select(row_id), row_id, "left_anti")
+    return fine, _reject(bad, [row_id], CODE_CONFLICT, REASON_EXISTS % key)
+
+
 def insert_rows(
     target: DataFrame, batch: DataFrame, key: str, order: Sequence[str], as_of=None
 ) -> DataFrame:
@@ -253,7 +281,6 @@ def guarded_insert(
     guards: Sequence[tuple[str, bool]],
     order: Sequence[str],
     row_id: str,
-    max_rounds: int = 10_000,
 ) -> tuple[DataFrame, DataFrame]:
     """H2: accept batch rows in ``order`` unless a guarded value is already
     used - by the table or by a row accepted earlier in the batch.
@@ -266,8 +293,10 @@ def guarded_insert(
     each of its guard values is accepted (nothing earlier can claim those
     values); undecided rows sharing a value with a newly accepted row are
     rejected.  The earliest undecided row always qualifies, so each round
-    decides at least one row; with a single guard one round decides all.
-    Each step is a per-value ``min`` aggregate or an equi join.
+    decides at least one row and the rounds end; their number follows the
+    longest chain of rows that share values in turn.  With a single guard one
+    pass decides all.  Each step is a per-value ``min`` aggregate or an equi
+    join.
     """
     spark = batch.sparkSession
     checkpoint_root(spark)
@@ -278,36 +307,43 @@ def guarded_insert(
     gcols = [f"_g{i}" for i in range(len(guards))]
     b = batch.select(
         "*", *[norm(c, ci).alias(g) for (c, ci), g in zip(guards, gcols)],
-        F.struct(*[F.col(o) for o in order], F.col(row_id)).alias("_ord"),
+        F.struct(*[F.col(o) for o in order], F.col(row_id).alias("_rid")).alias("_ord"),
     )
-    # rows clashing with the existing table are rejected outright
-    used = {}
-    undecided = b
-    for (c, ci), g in zip(guards, gcols):
-        used[g] = target.select(norm(c, ci).alias(g)).where(F.col(g).isNotNull()).distinct()
-        undecided = undecided.join(used[g], g, "left_anti")
+    used = {
+        g: target.select(norm(c, ci).alias(g)).where(F.col(g).isNotNull()) for (c, ci), g in zip(guards, gcols)
+    }
+
+    def winners(rows: DataFrame, g: str) -> DataFrame:
+        # the first row of each value: one aggregate, combined on the map
+        # side, that names the row itself, so nothing joins on the value
+        first = rows.where(F.col(g).isNotNull()).groupBy(g).agg(F.min("_ord").alias("_first"))
+        return first.select(g, F.col("_first._rid").alias(row_id))
+
     if len(guards) == 1:
-        # one guard: the first row per value wins, the rest lose - one pass,
-        # a per-value min (pre-aggregated per task) and an equi join
+        # one guard: the first row per value wins unless the table has the
+        # value, the rest lose - one pass; only winners, a row per value,
+        # meet the table
         g = gcols[0]
-        first = undecided.where(F.col(g).isNotNull()).groupBy(g).agg(F.min("_ord").alias("_first"))
-        acc = undecided.join(first, g, "left").where(
-            F.col(g).isNull() | (F.col("_ord") == F.col("_first"))
-        ).select(*b.columns)
+        first = winners(b, g).join(used[g], g, "left_anti").select(row_id)
+        acc = b.where(F.col(g).isNull()).unionByName(b.join(first, row_id, "left_semi"))
         rej = b.join(acc.select(row_id), row_id, "left_anti")
         return acc.select(*batch.columns), _reject(rej, [row_id], CODE_CONFLICT, REASON_EXISTS % guards[0][0])
+    # rows clashing with the existing table are rejected outright; both sides
+    # of these joins come straight from an exchange, so a hot value is split
+    undecided = b
+    for g in gcols:
+        undecided = undecided.join(used[g], g, "left_anti")
     undecided = undecided.checkpoint(eager=True)
     accepted = []
-    for _ in range(max_rounds):
-        if undecided.isEmpty():
-            break
+    while not undecided.isEmpty():
         firsts = undecided
         for g in gcols:
-            first = undecided.where(F.col(g).isNotNull()).groupBy(g).agg(F.min("_ord").alias(f"_first{g}"))
-            firsts = firsts.join(first, g, "left")
+            firsts = firsts.join(
+                winners(undecided, g).select(row_id).withColumn(f"_w{g}", F.lit(True)), row_id, "left"
+            )
         wins = None
         for g in gcols:
-            w = F.col(g).isNull() | (F.col("_ord") == F.col(f"_first{g}"))
+            w = F.col(g).isNull() | F.col(f"_w{g}").isNotNull()
             wins = w if wins is None else wins & w
         now = firsts.where(wins).select(*b.columns).checkpoint(eager=True)
         accepted.append(now)
@@ -316,8 +352,6 @@ def guarded_insert(
             taken = now.select(g).where(F.col(g).isNotNull())
             rest = rest.join(taken, g, "left_anti")
         undecided = rest.checkpoint(eager=True)
-    else:
-        raise RuntimeError("guarded insert did not converge")
     acc = accepted[0] if accepted else b.limit(0)
     for a in accepted[1:]:
         acc = acc.unionByName(a)
@@ -328,7 +362,8 @@ def guarded_insert(
     rej = b.join(acc.select(row_id), row_id, "left_anti")
     reason = None
     for (c, _), g in zip(guards, gcols):
-        rej = rej.join(used[g].withColumn(f"_t{g}", F.lit(True)), g, "left").join(
+        clashing = rej.join(used[g], g, "left_semi").select(row_id).withColumn(f"_t{g}", F.lit(True))
+        rej = rej.join(clashing, row_id, "left").join(
             acc.select(g, F.col("_ord").alias(f"_a{g}")).where(F.col(g).isNotNull()), g, "left"
         )
         clash = F.col(f"_t{g}").isNotNull() | (F.col(f"_a{g}") < F.col("_ord"))
@@ -393,22 +428,27 @@ def update_table(
     if table == "users":
         for c in ("username", "email"):
             if c in changes.columns:
-                changes = changes.withColumn(c, F.lower(F.col(c)))
+                changes = changes.withColumn(c, norm_login(c))
     if table == "order_item" and "total" in changes.columns:
         changes = changes.drop("total")  # the client's total is ignored (G9)
+    # a change may carry more than the request may set
+    allowed = [c for c in changes.columns if c in s.updatable and c in target.columns]
     new, rejects = apply_updates(
-        target, changes, list(s.key), seq=seq, mode=mode,
+        target, changes, list(s.key), allowed, seq=seq, mode=mode,
         stamp_updated_at=s.stamps_update and "updated_at" in target.columns,
         as_of=as_of, path_key=path_key,
     )
     if table == "order_item":
-        new = _recompute_line_totals(new)
+        touched = changes.select(*s.key).distinct().withColumn("_touched", F.lit(True))
+        new = _recompute_line_totals(new.join(touched, list(s.key), "left"), F.col("_touched")).select(*target.columns)
     return new, rejects
 
 
-def _recompute_line_totals(df: DataFrame) -> DataFrame:
-    """An order line's total is always quantity x price."""
-    return df.withColumn("total", line_total("quantity", "price").cast(df.schema["total"].dataType))
+def _recompute_line_totals(df: DataFrame, where: Column) -> DataFrame:
+    """The total of a line that was set is quantity x price; other lines
+    keep theirs."""
+    total = line_total("quantity", "price").cast(df.schema["total"].dataType)
+    return df.withColumn("total", F.when(where, total).otherwise(F.col("total")))
 
 
 def insert_table(
@@ -423,25 +463,23 @@ def insert_table(
     s = spec(table)
     key = s.key[0]
     if table == "users":
-        batch = batch.withColumn("username", F.lower("username")).withColumn("email", F.lower("email"))
-        if "is_disabled" in batch.columns:
-            batch = batch.withColumn("is_disabled", F.coalesce(F.col("is_disabled"), F.lit(False)))
-        else:
-            batch = batch.withColumn("is_disabled", F.lit(False))
+        batch = batch.withColumn("username", norm_login("username")).withColumn("email", norm_login("email"))
+        flag = F.col("is_disabled") if "is_disabled" in batch.columns else F.lit(None).cast("boolean")
+        batch = batch.withColumn("is_disabled", default_false(flag))
     if table == "newsletter":
         batch = batch.select(row_id, *[c for c in order if c != row_id], "email")
     if table == "about":
         # the about text is a singleton: its row always has id 1
         batch = batch.withColumn(key, F.lit(1).cast(target.schema[key].dataType))
+    if table == "order_item":
+        total = line_total("quantity", "price").cast(target.schema["total"].dataType)
+        batch = batch.withColumn("total", total)
+    accepted, rejects = key_conflicts(target, batch, key, order, row_id)
     if s.unique_guards:
-        accepted, rejects = guarded_insert(target, batch, s.unique_guards, order, row_id)
-    else:
-        accepted, rejects = batch, _reject(batch.limit(0), [row_id], CODE_CONFLICT, "")
+        accepted, clashes = guarded_insert(target, accepted, s.unique_guards, order, row_id)
+        rejects = rejects.unionByName(clashes)
     keep = [c for c in accepted.columns if c in target.columns or c in order]
-    new = insert_rows(target, accepted.select(*keep), key, order, as_of=as_of)
-    if table == "order_item":
-        new = _recompute_line_totals(new)
-    return new, rejects
+    return insert_rows(target, accepted.select(*keep), key, order, as_of=as_of), rejects
 
 
 def update_products(
@@ -451,6 +489,8 @@ def update_products(
     resolve (else 404); ``is_disabled`` follows G12 (an explicit value, even
     false or null, overwrites - give ``has_is_disabled`` to send null), the
     resolved category always applies, every other column the falsy rule."""
+    if "price" in changes.columns and isinstance(changes.schema["price"].dataType, T.StringType):
+        changes = changes.withColumn("price", parse_float("price"))  # G8
     resolved, unknown = resolve_category(changes, categories)
     new, rejects = update_table(
         "products", products, resolved, seq=seq, as_of=as_of,

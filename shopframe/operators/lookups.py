@@ -1,9 +1,9 @@
 """Point and id-list lookups (B4-B7, B10, B11) and existence checks.
 
-An id list is either a short Python list given by the caller (planned as an
-``IN`` predicate that reaches the Parquet scan) or a DataFrame of ids of any
-size (planned as a semi join; adaptive execution broadcasts it only when its
-measured size is under the broadcast threshold, else it is a sort-merge join).
+Ids are semi joined whatever their number: a Python list becomes a local
+table (which the planner broadcasts by its known size), a DataFrame of ids
+stays one.  One rule holds for both: a null id matches nothing, and ids given
+as text are parsed like JS ``parseInt`` when the key is a number.
 """
 
 from __future__ import annotations
@@ -12,40 +12,35 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.scalars import norm_login
+from ..functions.scalars import norm_login, parse_int
 
-# A Python id list longer than this is turned into a DataFrame and semi
-# joined instead of being inlined into the plan as an IN list.
-MAX_INLINE_IDS = 1000
 
-
-def _ids_frame(df: DataFrame, key: str, ids: Iterable) -> DataFrame:
-    spark = df.sparkSession
+def _ids_frame(df: DataFrame, key: str, ids) -> DataFrame:
+    """The ids as a one-column table of the key's type, without nulls."""
     dtype = df.schema[key].dataType
-    return spark.createDataFrame([(i,) for i in ids], f"{key} {dtype.simpleString()}")
+    if isinstance(ids, DataFrame):
+        name = key if key in ids.columns else ids.columns[0]
+        given, text = ids.select(F.col(name).alias(key)), isinstance(ids.schema[name].dataType, T.StringType)
+    else:
+        rows = [(None if i is None else str(i),) for i in ids]
+        given, text = df.sparkSession.createDataFrame(rows, f"{key} string"), True
+    if text and isinstance(dtype, T.IntegralType):
+        value = parse_int(key).try_cast(dtype)
+    else:
+        value = F.col(key).try_cast(dtype)
+    return given.select(value.alias(key)).where(F.col(key).isNotNull())
 
 
 def in_ids(df: DataFrame, key: str, ids) -> DataFrame:
     """Rows whose ``key`` is in ``ids`` (``= ANY(int[])``)."""
-    if isinstance(ids, DataFrame):
-        other = ids.select(F.col(ids.columns[0]).alias(key)) if key not in ids.columns else ids.select(key)
-        return df.join(other, key, "left_semi")
-    ids = list(ids)
-    if len(ids) <= MAX_INLINE_IDS:
-        return df.where(F.col(key).isin(ids))
     return df.join(_ids_frame(df, key, ids), key, "left_semi")
 
 
 def not_in_ids(df: DataFrame, key: str, ids) -> DataFrame:
     """Rows whose ``key`` is not in ``ids`` (null keys are kept: they cannot
-    match a delete request)."""
-    if isinstance(ids, DataFrame):
-        other = ids.select(F.col(ids.columns[0]).alias(key)) if key not in ids.columns else ids.select(key)
-        return df.join(other, key, "left_anti")
-    ids = list(ids)
-    if len(ids) <= MAX_INLINE_IDS:
-        return df.where(~F.col(key).isin(ids) | F.col(key).isNull())
+    match a delete request; a null id excludes nothing)."""
     return df.join(_ids_frame(df, key, ids), key, "left_anti")
 
 

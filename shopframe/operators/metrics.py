@@ -41,6 +41,8 @@ def orders_by_month_status(orders: DataFrame, year: int | None = None, ts_col: s
         year_filter(orders, ts_col, year)
         .groupBy(month_name(ts_col).alias("month"), F.col("status"))
         .agg(F.count(F.lit(1)).alias("count"))
+        # 12 months by few statuses: the sort is over the grouped rows
+        .orderBy("month", "status")
     )
 
 
@@ -67,19 +69,26 @@ def monthly_status_dataset(
             year_filter(orders, ts_col, year)
             .groupBy(month_name(ts_col).alias("month"))
             .agg(*aggs)
+            .orderBy("month")
         )
     # two-level: (month, status) counts first, then one row per month; the
     # second level sees at most one row per distinct status and month
-    per_status = orders_by_month_status(orders, year, ts_col)
+    # a null status and the text "null" share a key, so they are counted
+    # together before the map is made
     status_key = F.coalesce(F.col("status"), F.lit("null"))
+    per_status = (
+        year_filter(orders, ts_col, year)
+        .groupBy(month_name(ts_col).alias("month"), status_key.alias("status"))
+        .agg(F.count(F.lit(1)).alias("count"))
+    )
     others = F.filter(
-        F.collect_list(F.struct(status_key.alias("k"), F.col("count").alias("v"))),
-        lambda e: ~e["k"].isin(fixed) | F.isnull(e["k"]),
+        F.collect_list(F.struct(F.col("status").alias("k"), F.col("count").alias("v"))),
+        lambda e: ~e["k"].isin(fixed),
     )
     aggs = [F.sum(F.when(F.col("status") == s, F.col("count")).otherwise(0)).alias(s) for s in fixed]
     return per_status.groupBy("month").agg(
         *aggs, F.map_from_entries(others).alias("other")
-    )
+    ).orderBy("month")
 
 
 def order_subtotals(order_item: DataFrame) -> DataFrame:
@@ -116,13 +125,18 @@ def product_demand(order_item: DataFrame, orders: DataFrame, status: str = "paid
 
 
 def _pick(orders: DataFrame, status: str, latest: bool, ts_col: str) -> DataFrame:
-    agg = F.max if latest else F.min
-    return (
+    """Two aggregates of plain columns, both hash-based and combined on the
+    map side: the best id of each (user, time), then the id of the best time."""
+    agg, by = (F.max, F.max_by) if latest else (F.min, F.min_by)
+    per_time = (
         orders.where(F.col("status") == status)
-        .groupBy("user_id")
-        .agg(agg(F.struct(F.col(ts_col), F.col("order_id"))).alias("_pick"))
-        .select("user_id", F.col("_pick.order_id").alias("order_id"))
+        .groupBy("user_id", ts_col).agg(agg("order_id").alias("order_id"))
+    )
+    # a null time never wins against a time, but is an order all the same
+    best = per_time.groupBy("user_id").agg(
+        by("order_id", ts_col).alias("_timed"), agg(F.when(F.col(ts_col).isNull(), F.col("order_id"))).alias("_untimed")
     )
+    return best.select("user_id", F.coalesce("_timed", "_untimed").alias("order_id"))
 
 
 def latest_order(orders: DataFrame, status: str = "draft", ts_col: str = "created_at") -> DataFrame:

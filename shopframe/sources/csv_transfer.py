@@ -14,6 +14,7 @@ directory (a Parquet path cannot be overwritten while it is being read).
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,12 +27,23 @@ from ..operators.changes import upsert
 from ..session import is_absent_path_error
 from .store import write_version
 
-# CSV dialect of the export files.
-CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
-# On read an unquoted empty field is null and a quoted "" is the empty
-# string; a sentinel that never occurs in data as nullValue keeps the two
-# apart (Spark would otherwise read both as null).
-READ_NULL_SENTINEL = "\u0001"
+# CSV dialect of the export files.  Text is kept as it is, with
+# the white space at its edges.
+CSV_OPTIONS = {
+    "header": "true", "quote": '"', "escape": '"', "multiLine": "true",
+    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
+# Rows per export file: a quoted field may hold line ends, so a file is read
+# by one task.
+MAX_RECORDS_PER_FILE = 1_000_000
+
+
+def _null_marker() -> str:
+    """On read an unquoted empty field is null and a quoted "" the empty
+    string; Spark keeps the two apart only if the null text is something
+    else.  The marker is drawn for each read, so no text written before can
+    equal it."""
+    return f"null-{uuid.uuid4().hex}"
 
 
 def export_projection(df: DataFrame, table: str) -> DataFrame:
@@ -50,7 +62,9 @@ def export_projection(df: DataFrame, table: str) -> DataFrame:
 
 def export_csv(df: DataFrame, table: str, path: str) -> str:
     """A4: write the export projection of ``df`` as CSV under ``path``."""
-    export_projection(df, table).write.mode("errorifexists").options(**CSV_OPTIONS).csv(path)
+    export_projection(df, table).write.mode("errorifexists").options(
+        **CSV_OPTIONS, maxRecordsPerFile=MAX_RECORDS_PER_FILE
+    ).csv(path)
     return path
 
 
@@ -68,7 +82,7 @@ def read_export_csv(spark: SparkSession, path: str, table: str, target_schema: T
     raw = (
         spark.read.schema(text_schema)
         .options(**CSV_OPTIONS)
-        .option("nullValue", READ_NULL_SENTINEL)
+        .option("nullValue", _null_marker())
         .option("mode", "FAILFAST")
         .csv(path)
     )
@@ -98,7 +112,7 @@ def export_all(
             export_csv(load(t), t, os.path.join(out_root, t))
             rows.append((t, True, None))
         except Exception as e:  # noqa: BLE001 - reported per table
-            rows.append((t, False, f"{type(e).__name__}: {str(e).splitlines()[0][:300]}"))
+            rows.append((t, False, f"{type(e).__name__}: {e}"))
     return _report(spark, rows)
 
 
@@ -134,7 +148,7 @@ def restore_all(
             write_version(restore_table(current, staged, t), out_root, t)
             rows.append((t, True, None))
         except Exception as e:  # noqa: BLE001 - reported per table
-            rows.append((t, False, f"{type(e).__name__}: {str(e).splitlines()[0][:300]}"))
+            rows.append((t, False, f"{type(e).__name__}: {e}"))
     return _report(spark, rows)
 
 

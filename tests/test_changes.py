@@ -228,3 +228,74 @@ def test_update_products_rules(spark):
     # falsy name/price/stock keep the old values; false is_disabled overwrites; category always applies
     assert got == [(1, "bolt", 1.5, 10, False, 2), (2, "NUT", 2.5, 5, False, 1)]
     assert rows(rej) == [(3, 404, "Category not found")]
+
+
+def test_upsert_duplicate_check_cannot_be_pruned(spark):
+    t = _products(spark)
+    s = spark.createDataFrame([(1, "a"), (1, "b")], "product_id INT, name STRING")
+    for use in (lambda df: df.count(), lambda df: df.select("product_id").collect(), lambda df: df.select("stock").collect()):
+        with pytest.raises(Exception, match="more than once"):
+            use(ch.upsert(t, s, ["product_id"]))
+
+
+def test_one_update_leaves_other_totals_alone(spark):
+    items = spark.createDataFrame(
+        [(1, 2, Decimal("3.00"), 10, Decimal("6.00"), 100), (1, 3, Decimal("2.22"), 10, Decimal("6.67"), 101)],
+        "product_id INT, quantity INT, price DECIMAL(18,2), order_id INT, total DECIMAL(18,2), order_item_id INT",
+    )
+    upd = spark.createDataFrame([(100, 1, 5)], "order_item_id INT, seq INT, quantity INT")
+    new, _ = ch.update_table("order_item", items, upd)
+    assert rows(new, "order_item_id", "total") == [(100, Decimal("15.00")), (101, Decimal("6.67"))]
+    more = spark.createDataFrame([(7, 1, 4, Decimal("2.50"), 10)], "rid INT, product_id INT, quantity INT, price DECIMAL(18,2), order_id INT")
+    new2, _ = ch.insert_table("order_item", items, more, ["rid"], "rid")
+    assert rows(new2, "order_item_id", "total") == [(100, Decimal("6.00")), (101, Decimal("6.67")), (102, Decimal("10.00"))]
+
+
+def test_key_conflicts_are_rejected_and_ids_stay_unique(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "b")], "category_id INT, category STRING")
+    b = spark.createDataFrame([(1, 2, "x"), (2, 3, "y"), (3, None, "z"), (4, 3, "w")], "rid INT, category_id INT, category STRING")
+    new, rej = ch.insert_table("categories", t, b, ["rid"], "rid")
+    assert rows(new) == [(1, "a"), (2, "b"), (3, "y"), (4, "z")]
+    assert rows(rej, "rid", "code") == [(1, 409), (4, 409)]
+    about = spark.createDataFrame([(1, "s")], "about_id INT, our_story STRING")
+    again, rej = ch.insert_table("about", about, spark.createDataFrame([(1, "t")], "rid INT, our_story STRING"), ["rid"], "rid")
+    assert rows(again) == [(1, "s")] and rows(rej, "rid", "code") == [(1, 409)]
+
+
+def test_update_sets_only_updatable_columns(spark):
+    t = spark.createDataFrame([(1, 5, "draft", dt.datetime(2000, 1, 1))], "order_id INT, user_id INT, status STRING, created_at TIMESTAMP")
+    c = spark.createDataFrame([(1, 1, "paid", dt.datetime(1990, 1, 1))], "order_id INT, seq INT, status STRING, created_at TIMESTAMP")
+    new, _ = ch.update_table("orders", t, c)
+    assert rows(new) == [(1, 5, "paid", dt.datetime(2000, 1, 1))]
+
+
+def test_repeated_delete_ids_count_once(spark):
+    t = _products(spark)
+    _, summary = ch.apply_deletes(t, spark.createDataFrame([(1,), (1,), (1,)], "product_id INT"), "product_id")
+    assert tuple(summary.first()) == (3, 1, 200)
+
+
+def test_hot_guard_value_meets_the_table_once(spark):
+    """A third of the sign-ups share one e-mail that the table has: with one
+    guard only a row per value is joined with the table."""
+    b = spark.range(60_000, numPartitions=8).select(
+        F.col("id").alias("rid"), F.when(F.col("id") % 3 == 0, "hot@x").otherwise(F.concat("id", F.lit("@x"))).alias("email")
+    )
+    t = spark.range(500).select(F.concat(F.col("id") * 7, F.lit("@x")).alias("email")).unionByName(
+        spark.createDataFrame([("hot@x",)], "email STRING"))
+    acc, rej = ch.guarded_insert(t, b, [("email", False)], ["rid"], "rid")
+    clashing = sum(1 for i in range(500) if 7 * i % 3)  # ids that are no multiple of 3 and in the table
+    assert acc.count() == 40_000 - clashing and acc.count() + rej.count() == 60_000
+    plan = acc._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    anti = next(i for i, x in enumerate(plan) if "LeftAnti" in x)
+    assert any("Aggregate" in x for x in plan[anti + 1:anti + 4])
+
+
+def test_allocated_ids_pass_over_given_ones(spark):
+    rnd = random.Random(4)
+    t = spark.createDataFrame([(3,), (10,)], "k INT")
+    given = rnd.sample(range(11, 60), 20)
+    batch = [(g, i) for i, g in enumerate(given)] + [(None, 100 + i) for i in range(30)]
+    got = ch.allocate_ids(t, spark.createDataFrame(batch, "k INT, seq INT"), "k", ["seq"])
+    free = iter(k for k in range(11, 200) if k not in given)
+    assert rows(got, "seq", "k") == sorted([(i, g) for i, g in enumerate(given)] + [(100 + i, next(free)) for i in range(30)], key=lambda r: tuple((x is None, str(x)) for x in r))

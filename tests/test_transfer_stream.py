@@ -26,6 +26,13 @@ def test_csv_round_trip_keeps_quotes_newlines_empty_and_null(spark, tmp_out):
     assert rows(back) == rows(df)
 
 
+def test_csv_keeps_text_as_it_is(spark, tmp_out):
+    texts = ["  lead", "trail  ", "   ", "line\n", "\t", "\u0001", "", None, "null", '"', "a,b", "\r\n x"]
+    df = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)], "category_id INT, category STRING, is_disabled BOOLEAN")
+    path = X.export_csv(df, "categories", os.path.join(tmp_out, "categories"))
+    assert rows(X.read_export_csv(spark, path, "categories", df.schema)) == rows(df)
+
+
 def test_csv_reads_postgres_dialect(spark, tmp_out):
     p = os.path.join(tmp_out, "pg.csv")
     with open(p, "w") as f:

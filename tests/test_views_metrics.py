@@ -136,3 +136,30 @@ def test_monthly_dataset_defaults_to_current_year(spark):
     )
     got = metrics.monthly_status_dataset(df).collect()
     assert [(r.month, r.paid, r.draft) for r in got] == [("March", 1, 0)]
+
+
+def test_one_rule_for_ids_at_every_size(spark):
+    df = spark.createDataFrame([(1,), (2,), (3,), (None,)], "k INT")
+    for pad in ([], list(range(1000, 3000))):
+        assert rows(lookups.in_ids(df, "k", [1, None, *pad])) == [(1,)]
+        assert rows(lookups.not_in_ids(df, "k", [1, None, *pad])) == [(2,), (3,), (None,)]
+        text = ["2", "3abc", "x", "3000000000", None, *map(str, pad)]
+        assert rows(lookups.in_ids(df, "k", text)) == [(2,), (3,)]
+        ids = spark.createDataFrame([(i,) for i in text], "k STRING")
+        assert rows(lookups.in_ids(df, "k", ids)) == [(2,), (3,)]
+        assert rows(lookups.not_in_ids(df, "k", ids)) == [(1,), (None,)]
+
+
+def test_months_come_sorted_by_name(spark):
+    df = spark.createDataFrame(
+        [(i, "paid", dt.datetime(1998, m, 1)) for i, m in enumerate([7, 4, 2, 12, 1, 9])], "order_id INT, status STRING, created_at TIMESTAMP"
+    ).repartition(4)
+    names = ["April", "December", "February", "January", "July", "September"]
+    assert [r.month for r in metrics.orders_by_month_status(df, 1998).collect()] == names
+    assert [r.month for r in metrics.monthly_status_dataset(df, 1998).collect()] == names
+    assert [r.month for r in metrics.monthly_status_dataset(df, 1998, with_other=True).collect()] == names
+
+
+def test_null_status_and_the_text_null_share_a_key(spark):
+    df = spark.createDataFrame([(1, None, dt.datetime(1998, 1, 1)), (2, "null", dt.datetime(1998, 1, 2))], "order_id INT, status STRING, created_at TIMESTAMP")
+    assert metrics.monthly_status_dataset(df, 1998, with_other=True).first().other == {"null": 2}
