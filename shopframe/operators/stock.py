@@ -288,15 +288,16 @@ def _rounds(work: DataFrame, hot: DataFrame) -> DataFrame:
         raise
 
 
-def allocation_outcome(paid_orders: DataFrame, allocation: DataFrame) -> DataFrame:
-    """H7 per order: ``(order_id, code, error)`` - 404 when the order has no
-    lines, 500 when any of its lines was refused (unknown product or not
-    enough stock; the accepted lines stay applied), else 200.  One aggregate
-    per order, pre-aggregated per task."""
-    per_order = allocation.groupBy("order_id").agg(
+def allocation_outcome(paid_orders: DataFrame, allocation: DataFrame, keys=("order_id",)) -> DataFrame:
+    """H7 per order (or per request, by ``keys``): ``(*keys, code, error)`` -
+    404 when the order has no lines, 500 when any of its lines was refused
+    (unknown product or not enough stock; the accepted lines stay applied),
+    else 200.  One aggregate per order, pre-aggregated per task."""
+    keys = list(keys)
+    per_order = allocation.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_lines"), F.count_if(F.col("code") != CODE_OK).alias("_bad")
     )
-    j = paid_orders.select("order_id").join(per_order, "order_id", "left")
+    j = paid_orders.select(*keys).join(per_order, keys, "left")
     code = (
         F.when(F.coalesce(F.col("_lines"), F.lit(0)) == 0, F.lit(CODE_NOT_FOUND))
         .when(F.col("_bad") > 0, F.lit(CODE_PARTIAL_FAILURE))
@@ -306,7 +307,7 @@ def allocation_outcome(paid_orders: DataFrame, allocation: DataFrame) -> DataFra
         F.when(F.coalesce(F.col("_lines"), F.lit(0)) == 0, F.lit(ERR_NO_LINES))
         .when(F.col("_bad") > 0, F.lit(ERR_SOME_FAILED))
     )
-    return j.select("order_id", code.alias("code"), error.alias("error"))
+    return j.select(*keys, code.alias("code"), error.alias("error"))
 
 
 def apply_allocation(products: DataFrame, allocation: DataFrame) -> DataFrame:

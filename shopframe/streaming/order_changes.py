@@ -4,19 +4,23 @@ A Structured Streaming query reads change events from a file source and
 hands each micro-batch to ``foreachBatch``.  The batch job:
 
 1. maps events to status changes and rejects changes to unknown orders;
-2. keeps, per order, the batch's latest change by ``(ts, event_id)`` and
-   compares it with the latest change already logged for those orders only
-   (semi join on the batch's order ids, never a scan-and-collect);
-3. appends the winning changes to a change log, the approval notices (H9)
-   to an outbox and the orders that became ``paid`` (H8) to a transitions
-   table; newly paid orders get a sequential stock allocation (H7) against
-   the stock left by earlier batches.
+2. takes each order's changes in ``(ts, event_id)`` order, beginning with the
+   status before the batch - the latest change already logged for those
+   orders (semi join on the batch's ids, never a scan-and-collect), else the
+   base status - and derives *every* transition to ``paid`` (H8), as every
+   request of the shop does, not only the last change of a batch;
+3. appends each order's latest change to a change log, the approval notices
+   (H9) to an outbox and the transitions to a table; each transition gets a
+   sequential stock allocation (H7), in transition order, against the stock
+   left by earlier batches.
 
 Every output is partitioned by ``batch_id`` and written with dynamic
 partition overwrite, so a replayed batch (after a failure, the engine
 re-runs the last uncommitted batch) replaces its own rows and nothing else:
-the sink is idempotent.  Last write wins by event time, not arrival, so the
-result does not depend on how events are cut into batches.
+the sink is idempotent.  Last write wins by event time, not arrival: a change
+older than the logged one is no longer applied.  Events that arrive in time
+order give the same log, transitions, allocations, outcomes and stock however
+they are cut into batches.
 
 The current order table is a view: base orders with the latest logged change
 applied (``current_orders``); ``fold_into_base`` writes it as a new base
@@ -42,6 +46,7 @@ from pyspark.sql import functions as F
 
 from ..operators import changes as ch
 from ..operators import stock as st
+from ..plans.ranking import global_row_number
 from ..session import checkpoint_root, is_absent_path_error, scratch_path
 from ..sources.requests import status_changes
 
@@ -144,10 +149,11 @@ def latest_changes(
 
 
 def taken_stock(
-    spark: SparkSession, root: str, before_batch: int | None = None
+    spark: SparkSession, root: str, before_batch: int | None = None, only: DataFrame | None = None
 ) -> DataFrame | None:
-    """Stock taken per product by accepted allocations ``(product_id, taken)``."""
-    rows = _state_rows(spark, root, ALLOC, None, before_batch, None, "product_id")
+    """Stock taken per product by accepted allocations ``(product_id, taken)``,
+    for the products in ``only``."""
+    rows = _state_rows(spark, root, ALLOC, None, before_batch, only, "product_id")
     if rows is None:
         return None
     if "taken" not in rows.columns:
@@ -197,8 +203,13 @@ def fold_into_base(
     return out
 
 
-def current_stock(spark: SparkSession, products: DataFrame, state_root: str, before_batch: int | None = None) -> DataFrame:
-    taken = taken_stock(spark, state_root, before_batch)
+def current_stock(
+    spark: SparkSession, products: DataFrame, state_root: str, before_batch: int | None = None, only: DataFrame | None = None
+) -> DataFrame:
+    """Products with the stock left; only those in ``only`` if given."""
+    if only is not None:
+        products = products.join(only, "product_id", "left_semi")
+    taken = taken_stock(spark, state_root, before_batch, only)
     if taken is None:
         return products
     return products.join(taken, "product_id", "left").withColumn(
@@ -206,6 +217,23 @@ def current_stock(spark: SparkSession, products: DataFrame, state_root: str, bef
     ).select(*products.columns)
 
 
+def _with_status_before(changes: DataFrame) -> DataFrame:
+    """Changes with ``_old``, the status their order had before each: that of
+    the row before it in the global order, if it is the same order's, else
+    ``_start``.  Ranks and an equi join, so an order with many changes is
+    spread like any other rows."""
+    ranked = global_row_number(changes, ["order_id", "ts", "event_id"], "_rank")
+    before = ranked.select((F.col("_rank") + 1).alias("_rank"), F.col("order_id").alias("_order"), F.col("status").alias("_was"))
+    return ranked.join(before, "_rank", "left").withColumn(
+        "_old", F.when(F.col("_order") == F.col("order_id"), F.col("_was")).otherwise(F.col("_start"))
+    )
+
+
+def _notices(known: DataFrame) -> DataFrame:
+    """H9 for changes whose orders are known to exist."""
+    return ch.approval_notices(known, known)
+
+
 def apply_batch(
     spark: SparkSession,
     events: DataFrame,
@@ -217,41 +245,45 @@ def apply_batch(
     compact_every: int = COMPACT_EVERY,
 ) -> None:
     """The per-batch job run by ``foreachBatch`` (also callable directly)."""
-    chg = status_changes(events)
-    known = chg.join(base_orders.select("order_id"), "order_id", "left_semi")
-    batch_last = known.groupBy("order_id").agg(F.max(F.struct("ts", "event_id", "status")).alias("new"))
-
-    prev = latest_changes(spark, state_root, before_batch=batch_id, only=batch_last)
-    if prev is not None:
-        j = batch_last.join(prev, "order_id", "left")
-    else:
-        j = batch_last.withColumn("last", F.lit(None).cast(LAST_TYPE))
-    base_status = base_orders.select("order_id", F.col("status").alias("_base_status"))
-    j = j.join(base_status, "order_id", "left")
-    newer = F.col("last").isNull() | (F.col("new") > F.col("last"))
-    winners = j.where(newer).select(
-        "order_id",
-        F.col("new.ts").alias("ts"),
-        F.col("new.event_id").alias("event_id"),
-        F.col("new.status").alias("status"),
-        F.coalesce(F.col("last.status"), F.col("_base_status")).alias("_old"),
-    ).cache()
+    base = base_orders.select("order_id", F.col("status").alias("_base_status"))
+    # the orders are joined once: unknown ids go, known ones bring their status
+    known = status_changes(events).join(base, "order_id").cache()
+    steps = None
     try:
-        _write_partition(winners.drop("_old"), state_root, LOG, batch_id)
-        _write_partition(ch.approval_notices(known, base_orders), state_root, NOTICES, batch_id)
-        paid = winners.where(
-            (F.col("status") == "paid") & (F.col("_old").isNull() | (F.col("_old") != "paid"))
-        ).select("order_id")
+        prev = latest_changes(spark, state_root, before_batch=batch_id, only=known)
+        if prev is not None:
+            j = known.join(prev, "order_id", "left")
+        else:
+            j = known.withColumn("last", F.lit(None).cast(LAST_TYPE))
+        fresh = F.col("last").isNull() | (F.struct("ts", "event_id") > F.struct("last.ts", "last.event_id"))
+        newer = j.where(fresh).select(
+            "order_id", "ts", "event_id", "status", F.coalesce(F.col("last.status"), F.col("_base_status")).alias("_start")
+        )
+        steps = _with_status_before(newer).cache()
+        winners = steps.groupBy("order_id").agg(F.max(F.struct("ts", "event_id", "status")).alias("new")).select(
+            "order_id", "new.ts", "new.event_id", "new.status"
+        )
+        _write_partition(winners, state_root, LOG, batch_id)
+        _write_partition(_notices(known), state_root, NOTICES, batch_id)
+        paid = steps.where((F.col("status") == "paid") & ~F.col("_old").eqNullSafe("paid")).select("order_id", "ts", "event_id")
         _write_partition(paid, state_root, PAID, batch_id)
-        if order_item is not None and products is not None:
-            lines = order_item.join(paid, "order_id", "left_semi")
-            stock_now = current_stock(spark, products, state_root, before_batch=batch_id)
-            alloc = st.sequential_allocation(lines, stock_now)
+        if order_item is not None and products is not None and not paid.isEmpty():
+            # an order that became paid twice has its lines taken twice
+            lines = order_item.join(paid, "order_id")
+            touched = lines.select("product_id").distinct()
+            stock_now = current_stock(spark, products, state_root, before_batch=batch_id, only=touched)
+            alloc = st.sequential_allocation(lines, stock_now, order=("ts", "event_id", "order_id", "order_item_id"))
             _write_partition(alloc, state_root, ALLOC, batch_id)
-            alloc_now = _read(spark, state_root, ALLOC).where(F.col("batch_id") == batch_id).drop("batch_id")
-            _write_partition(st.allocation_outcome(paid, alloc_now), state_root, OUTCOMES, batch_id)
+            schema = f"{alloc._jdf.schema().toDDL()}, batch_id BIGINT"
+            written = _read(spark, state_root, ALLOC, schema)
+            mine = alloc.limit(0) if written is None else written.where(F.col("batch_id") == batch_id).drop("batch_id")
+            _write_partition(
+                st.allocation_outcome(paid, mine, keys=("order_id", "event_id")), state_root, OUTCOMES, batch_id
+            )
     finally:
-        winners.unpersist()
+        known.unpersist()
+        if steps is not None:
+            steps.unpersist()
     if compact_every and (batch_id + 1) % compact_every == 0:
         compact(spark, state_root, batch_id)
 

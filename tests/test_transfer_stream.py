@@ -188,3 +188,49 @@ def test_fold_stream_state_into_base(spark, tmp_out):
     taken = OC.taken_stock(spark, root)
     want = rows(OC.current_stock(spark, t.products(), root), "product_id", "stock")
     assert rows(stock_now, "product_id", "stock") == want and taken is not None
+
+
+def _stream_results(spark, root, products):
+    return {
+        "log": rows(spark.read.parquet(os.path.join(root, OC.LOG)).groupBy("order_id").agg(F.max_by("status", F.struct("ts", "event_id")))),
+        "paid": rows(spark.read.parquet(os.path.join(root, OC.PAID)), "order_id", "event_id"),
+        "alloc": rows(spark.read.parquet(os.path.join(root, OC.ALLOC)), "order_id", "event_id", "order_item_id", "quantity", "accepted", "code"),
+        "outcomes": rows(spark.read.parquet(os.path.join(root, OC.OUTCOMES)), "order_id", "event_id", "code"),
+        "stock": rows(OC.current_stock(spark, products, root), "product_id", "stock"),
+    }
+
+
+def test_batch_cuts_in_time_order_change_nothing(spark, tmp_out):
+    t = ShopTables(spark, SF_SMALL)
+    ev = t.raw("events")
+    lo, hi = ev.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [lo + (hi - lo) / 3, lo + 2 * (hi - lo) / 3]
+    parts = [ev.where(F.col("ts") < cuts[0]), ev.where((F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1])), ev.where(F.col("ts") >= cuts[1])]
+    one, three = os.path.join(tmp_out, "one"), os.path.join(tmp_out, "three")
+    OC.apply_batch(spark, ev, 0, t.orders(), t.order_item(), t.products(), one)
+    for i, part in enumerate(parts):
+        OC.apply_batch(spark, part, i, t.orders(), t.order_item(), t.products(), three)
+    got = _stream_results(spark, one, t.products())
+    assert got == _stream_results(spark, three, t.products())
+    # orders that became paid more than once within the feed
+    assert len(got["paid"]) > len({o for o, _ in got["paid"]})
+
+
+def _event(event_id, minute, order_id, kind):
+    return (event_id, dt.datetime(2024, 1, 1, 0, minute), order_id, kind, 1.0, None)
+
+
+EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+
+
+def test_first_batch_without_paid_orders_and_transitions_inside_a_batch(spark, tmp_out):
+    orders = spark.createDataFrame([(1, "draft"), (3, "draft")], "order_id BIGINT, status STRING")
+    items = spark.createDataFrame([(1, "1-a", 5, 2), (3, "3-a", 5, 1)], "order_id BIGINT, order_item_id STRING, product_id BIGINT, quantity INT")
+    products = spark.createDataFrame([(5, 10)], "product_id BIGINT, stock INT")
+    root = os.path.join(tmp_out, "s")
+    OC.apply_batch(spark, spark.createDataFrame([_event(1, 1, 1, "click")], EVENTS), 0, orders, items, products, root)
+    batch = [_event(2, 2, 1, "purchase"), _event(3, 3, 1, "signup"), _event(4, 4, 3, "purchase"), _event(5, 5, 1, "purchase"), _event(6, 6, 1, "purchase")]
+    OC.apply_batch(spark, spark.createDataFrame(batch, EVENTS), 1, orders, items, products, root)
+    assert rows(spark.read.parquet(os.path.join(root, OC.PAID)), "order_id", "event_id") == [(1, 2), (1, 5), (3, 4)]
+    assert rows(OC.current_stock(spark, products, root)) == [(5, 5)]
+    assert rows(spark.read.parquet(os.path.join(root, OC.OUTCOMES)), "order_id", "event_id", "code") == [(1, 2, 200), (1, 5, 200), (3, 4, 200)]
