@@ -179,7 +179,8 @@ def apply_deletes(target: DataFrame, ids: DataFrame, key: str) -> tuple[DataFram
     different ids: 400 for an empty id
     list, 404 when none of the ids exists, else 200."""
     ids = ids.select(F.col(ids.columns[0]).alias(key)) if key not in ids.columns else ids.select(key)
-    new_target = target.join(ids, key, "left_anti")
+    # a join by name puts the key first: the table keeps its column order
+    new_target = target.join(ids, key, "left_anti").select(*target.columns)
     # counts per distinct id, so that a repeated request is one deletion
     named = ids.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     hits = target.select(key).distinct().withColumn("_hit", F.lit(1))

@@ -35,13 +35,13 @@ def _ids_frame(df: DataFrame, key: str, ids) -> DataFrame:
 
 def in_ids(df: DataFrame, key: str, ids) -> DataFrame:
     """Rows whose ``key`` is in ``ids`` (``= ANY(int[])``)."""
-    return df.join(_ids_frame(df, key, ids), key, "left_semi")
+    return df.join(_ids_frame(df, key, ids), key, "left_semi").select(*df.columns)
 
 
 def not_in_ids(df: DataFrame, key: str, ids) -> DataFrame:
     """Rows whose ``key`` is not in ``ids`` (null keys are kept: they cannot
     match a delete request; a null id excludes nothing)."""
-    return df.join(_ids_frame(df, key, ids), key, "left_anti")
+    return df.join(_ids_frame(df, key, ids), key, "left_anti").select(*df.columns)
 
 
 def lookup(df: DataFrame, key: str, ids, cols: Iterable[str] | None = None) -> DataFrame:

@@ -41,7 +41,7 @@ s_delivery AS (
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
 s_newsletter AS (
   SELECT c_custkey AS newsletter_id, 'user' || c_custkey || '@example.com' AS email, false AS is_disabled
-  FROM customer WHERE c_mktsegment = 'HOUSEHOLD'),
+  FROM customer),
 s_testimonial AS (
   SELECT d.doc_id AS customer_testimonial_id, source AS name, text AS comment, quality AS rating
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
@@ -78,10 +78,10 @@ FROM s_order_item i JOIN s_products p ON i.product_id = p.product_id
 LEFT JOIN s_orders o ON i.order_id = o.order_id
 LEFT JOIN s_users u ON o.user_id = u.user_id""",
     "products_view": """
-SELECT product_id, name, description, price, stock, p.is_disabled, category
+SELECT product_id, name, description, price, stock, CAST(NULL AS VARCHAR) AS images, p.is_disabled, category
 FROM s_products p JOIN s_categories c ON p.category_id = c.category_id""",
     "catalog": """
-SELECT product_id, name, price, stock, category
+SELECT product_id, name, description, price, stock, CAST(NULL AS VARCHAR) AS images, p.category_id, category
 FROM s_products p JOIN s_categories c ON p.category_id = c.category_id WHERE stock > 0""",
     "products_in_category": """
 SELECT product_id, name
@@ -89,15 +89,17 @@ FROM s_products p JOIN s_categories c ON p.category_id = c.category_id WHERE cat
     "users_view": """
 SELECT user_id, username, email, user_type, is_disabled FROM s_users WHERE username <> 'administrator'""",
     "delivery_view": """
-SELECT delivery_id, user_id, order_id, email, country, status FROM s_delivery""",
+SELECT delivery_id, user_id, order_id, email, country, status,
+       CAST(NULL AS VARCHAR) AS f_name, CAST(NULL AS VARCHAR) AS l_name, CAST(NULL AS VARCHAR) AS address, CAST(NULL AS VARCHAR) AS city, CAST(NULL AS VARCHAR) AS postal_code, CAST(NULL AS VARCHAR) AS phone_number, CAST(NULL AS VARCHAR) AS description
+FROM s_delivery""",
     "categories_view": """
 SELECT category_id, category, is_disabled FROM s_categories""",
     "testimonial_view": """
-SELECT customer_testimonial_id, name, comment, rating FROM s_testimonial""",
+SELECT customer_testimonial_id, name, comment, rating, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS VARCHAR) AS avatar FROM s_testimonial""",
     "newsletter_view": """
 SELECT newsletter_id, email, is_disabled FROM s_newsletter""",
     "slide_show_view": """
-SELECT slide_show_id, title, description FROM s_slide_show""",
+SELECT slide_show_id, title, description, CAST(NULL AS VARCHAR) AS image FROM s_slide_show""",
     "orders_view_by_ids": """
 SELECT order_id, username FROM s_orders o JOIN s_users u ON u.user_id = o.user_id
 WHERE order_id IN (SELECT order_id FROM s_order_requests)""",
@@ -124,13 +126,16 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, order_
 SELECT user_id, order_id FROM s_orders WHERE status = 'Pending'
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at, order_id) = 1""",
     "stock_check": """
-SELECT r.order_item_id, name AS p_name, stock AS quantity,
-       CASE WHEN l.quantity > stock THEN 422 ELSE 200 END AS code
-FROM s_order_item r
-JOIN s_orders o ON r.order_id = o.order_id
-JOIN (SELECT order_item_id, arg_min(quantity, (order_id, quantity)) AS quantity FROM s_order_item GROUP BY 1) l
+SELECT r.order_item_id, r.order_id, r.product_id,
+       CASE WHEN o.order_id IS NOT NULL AND l.order_item_id IS NOT NULL THEN name END AS p_name,
+       CASE WHEN o.order_id IS NOT NULL AND l.order_item_id IS NOT NULL THEN stock END AS quantity,
+       CASE WHEN o.order_id IS NULL OR l.order_item_id IS NULL OR p.product_id IS NULL THEN 404
+            WHEN l.quantity > stock THEN 422 ELSE 200 END AS code
+FROM (SELECT order_item_id, order_id * 2 AS order_id, product_id + quantity AS product_id FROM s_order_item) r
+LEFT JOIN s_orders o ON r.order_id = o.order_id
+LEFT JOIN (SELECT order_item_id, arg_min(quantity, (order_id, quantity)) AS quantity FROM s_order_item GROUP BY 1) l
   ON r.order_item_id = l.order_item_id
-JOIN s_products p ON r.product_id = p.product_id""",
+LEFT JOIN s_products p ON r.product_id = p.product_id""",
     "product_demand": """
 SELECT product_id, CAST(sum(quantity) AS BIGINT) AS demand
 FROM s_order_item i JOIN s_orders o ON i.order_id = o.order_id WHERE status = 'paid' GROUP BY 1""",
@@ -192,7 +197,8 @@ SELECT order_item_id, CAST(CAST(quantity * price AS DECIMAL(18,2)) AS DOUBLE) AS
 SELECT coalesce(t.product_id, s.product_id) AS product_id,
        CASE WHEN s.product_id IS NULL THEN t.price ELSE s.price END AS price
 FROM s_products t FULL JOIN (
-  SELECT product_id, CAST(max(price) AS DOUBLE) AS price FROM s_order_item GROUP BY 1
+  SELECT product_id * 2 AS product_id, CASE WHEN count(*) % 2 = 1 THEN CAST(max(price) AS DOUBLE) END AS price
+  FROM s_order_item GROUP BY 1
 ) s ON t.product_id = s.product_id""",
     "update_with_fallback": """
 SELECT t.product_id,
@@ -209,7 +215,7 @@ SELECT event_id, email,
        CASE WHEN email IN (SELECT email FROM s_newsletter) THEN 409
             WHEN row_number() OVER (PARTITION BY email ORDER BY ts, event_id) = 1 THEN 201
             ELSE 409 END AS code
-FROM (SELECT event_id, ts, 'user' || user_id || '@example.com' AS email FROM events WHERE event_type = 'signup')""",
+FROM (SELECT event_id, ts, 'user' || user_id * 20 || '@example.com' AS email FROM events WHERE event_type = 'signup')""",
     "register_users": """
 SELECT event_id, CASE WHEN ok THEN 201 ELSE 409 END AS code,
        CASE WHEN ok THEN (SELECT max(user_id) FROM s_users)
@@ -234,7 +240,8 @@ SELECT event_id, order_id, 'New Order Placed' AS subject,
 FROM s_status_changes WHERE status = 'pending_approval'
   AND order_id IN (SELECT order_id FROM s_orders)""",
     "export_orders": """
-SELECT order_id, user_id, total, status, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, description
+SELECT order_id, user_id, total, status, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at,
+       CAST(NULL AS VARCHAR) AS updated_at, description
 FROM s_orders""",
     "order_change_stream": """
 SELECT o.order_id, coalesce(c.status, o.status) AS status
@@ -247,15 +254,170 @@ FROM s_orders o LEFT JOIN (
   SELECT order_id, arg_max(status, (ts, event_id)) AS status FROM s_status_changes GROUP BY 1
 ) c ON o.order_id = c.order_id""",
     "category_resolution": """
-SELECT p_partkey AS product_id, c.category_id
-FROM part JOIN (SELECT category, min(category_id) AS category_id FROM s_categories GROUP BY 1) c
-  ON p_brand = c.category""",
+SELECT p_partkey AS product_id, c.category_id, CASE WHEN c.category_id IS NULL THEN 404 ELSE 200 END AS code
+FROM part LEFT JOIN (SELECT category, min(category_id) AS category_id FROM s_categories GROUP BY 1) c
+  ON CASE WHEN p_size > 25 THEN p_type ELSE p_brand END = c.category""",
     "users_view_by_ids": """
 SELECT user_id, username, email, user_type, is_disabled FROM s_users
 WHERE user_id IN (SELECT user_id FROM events)""",
     "restore_orders": """
-SELECT order_id, user_id, total, status, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, description
-FROM s_orders""",
+SELECT order_id, user_id, total,
+       CASE WHEN user_id IN (SELECT user_id FROM events) THEN status ELSE 'draft' END AS status,
+       strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at,
+       CASE WHEN user_id IN (SELECT user_id FROM events) THEN NULL ELSE '2024-02-01 00:00:00' END AS updated_at,
+       description
+FROM s_orders
+WHERE user_id IN (SELECT user_id FROM events)
+   OR order_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')""",
+    "paid_transitions": """
+SELECT order_id, event_id FROM (
+SELECT order_id, event_id, ts FROM (
+  SELECT c.order_id, c.event_id, c.ts, c.status,
+         coalesce(lag(c.status) OVER (PARTITION BY c.order_id ORDER BY c.ts, c.event_id), o.status) AS old
+  FROM s_status_changes c JOIN s_orders o ON c.order_id = o.order_id)
+WHERE status = 'paid' AND old <> 'paid')""",
+    "paid_request_outcomes": """
+SELECT t.order_id, t.event_id, CASE WHEN n IS NULL THEN 404 WHEN refused > 0 THEN 500 ELSE 200 END AS code
+FROM (
+SELECT order_id, event_id, ts FROM (
+  SELECT c.order_id, c.event_id, c.ts, c.status,
+         coalesce(lag(c.status) OVER (PARTITION BY c.order_id ORDER BY c.ts, c.event_id), o.status) AS old
+  FROM s_status_changes c JOIN s_orders o ON c.order_id = o.order_id)
+WHERE status = 'paid' AND old <> 'paid') t LEFT JOIN (
+  SELECT order_id, event_id, count(*) AS n, count(*) FILTER (WHERE NOT accepted) AS refused
+  FROM (
+  SELECT * FROM (WITH RECURSIVE l AS (
+    SELECT i.product_id, i.order_item_id, i.order_id, t.event_id, i.quantity, p.stock,
+           row_number() OVER (PARTITION BY i.product_id ORDER BY t.ts, t.event_id, i.order_id, i.order_item_id, i.quantity) AS rn
+    FROM s_order_item i JOIN (
+SELECT order_id, event_id, ts FROM (
+  SELECT c.order_id, c.event_id, c.ts, c.status,
+         coalesce(lag(c.status) OVER (PARTITION BY c.order_id ORDER BY c.ts, c.event_id), o.status) AS old
+  FROM s_status_changes c JOIN s_orders o ON c.order_id = o.order_id)
+WHERE status = 'paid' AND old <> 'paid') t ON i.order_id = t.order_id JOIN s_products p ON i.product_id = p.product_id),
+  r AS (
+    SELECT product_id, order_id, event_id, quantity, rn,
+           CASE WHEN quantity <= stock THEN stock - quantity ELSE stock END AS rem, quantity <= stock AS accepted
+    FROM l WHERE rn = 1
+    UNION ALL
+    SELECT l.product_id, l.order_id, l.event_id, l.quantity, l.rn,
+           CASE WHEN l.quantity <= r.rem THEN r.rem - l.quantity ELSE r.rem END, l.quantity <= r.rem
+    FROM r JOIN l ON l.product_id = r.product_id AND l.rn = r.rn + 1)
+  SELECT * FROM r)) GROUP BY 1, 2
+) a ON t.order_id = a.order_id AND t.event_id = a.event_id""",
+    "stock_after_stream": """
+SELECT p.product_id, CAST(stock - coalesce(taken, 0) AS BIGINT) AS stock
+FROM s_products p LEFT JOIN (
+  SELECT product_id, sum(quantity) FILTER (WHERE accepted) AS taken FROM (
+  SELECT * FROM (WITH RECURSIVE l AS (
+    SELECT i.product_id, i.order_item_id, i.order_id, t.event_id, i.quantity, p.stock,
+           row_number() OVER (PARTITION BY i.product_id ORDER BY t.ts, t.event_id, i.order_id, i.order_item_id, i.quantity) AS rn
+    FROM s_order_item i JOIN (
+SELECT order_id, event_id, ts FROM (
+  SELECT c.order_id, c.event_id, c.ts, c.status,
+         coalesce(lag(c.status) OVER (PARTITION BY c.order_id ORDER BY c.ts, c.event_id), o.status) AS old
+  FROM s_status_changes c JOIN s_orders o ON c.order_id = o.order_id)
+WHERE status = 'paid' AND old <> 'paid') t ON i.order_id = t.order_id JOIN s_products p ON i.product_id = p.product_id),
+  r AS (
+    SELECT product_id, order_id, event_id, quantity, rn,
+           CASE WHEN quantity <= stock THEN stock - quantity ELSE stock END AS rem, quantity <= stock AS accepted
+    FROM l WHERE rn = 1
+    UNION ALL
+    SELECT l.product_id, l.order_id, l.event_id, l.quantity, l.rn,
+           CASE WHEN l.quantity <= r.rem THEN r.rem - l.quantity ELSE r.rem END, l.quantity <= r.rem
+    FROM r JOIN l ON l.product_id = r.product_id AND l.rn = r.rn + 1)
+  SELECT * FROM r)) GROUP BY 1
+) a ON p.product_id = a.product_id""",
+    "order_item_view_orphans": """
+SELECT order_item_id, i.order_id,
+       CASE WHEN o.order_id IS NULL THEN 'No product found' ELSE CAST(i.product_id AS VARCHAR) END AS product_id,
+       name, quantity, i.price, i.total, username
+FROM s_order_item i JOIN s_products p ON i.product_id = p.product_id
+LEFT JOIN (SELECT * FROM s_orders WHERE order_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')) o
+  ON i.order_id = o.order_id
+LEFT JOIN s_users u ON o.user_id = u.user_id""",
+    "username_lookup": """
+SELECT user_id, username FROM s_users
+WHERE username IN (SELECT CASE WHEN event_type IN ('signup', 'purchase') THEN 'User' || user_id || '@Example.com'
+                               ELSE printf('Customer#%09d', user_id) END FROM events)""",
+    "delete_summary": """
+SELECT count(*) AS requested,
+       count(DISTINCT user_id) FILTER (WHERE user_id IN (SELECT order_id FROM s_orders)) AS deleted,
+       CASE WHEN count(*) = 0 THEN 400
+            WHEN count(*) FILTER (WHERE user_id IN (SELECT order_id FROM s_orders)) = 0 THEN 404 ELSE 200 END AS code
+FROM events WHERE event_type = 'error'""",
+    "status_update_rejects": """
+SELECT order_id, 404 AS code, 'not found' AS reason FROM s_status_changes
+WHERE order_id IN (SELECT user_id FROM events WHERE value > 100) OR order_id NOT IN (SELECT order_id FROM s_orders)""",
+    "numbered_orders": """
+SELECT event_id, CASE WHEN code = 201 THEN coalesce(given, free) END AS order_id, code FROM (
+  SELECT b.event_id, b.given, b.code, f.free FROM (
+    SELECT *, row_number() OVER (PARTITION BY given IS NULL ORDER BY ts, event_id) AS k,
+           CASE WHEN given IS NULL THEN 201
+                WHEN given IN (SELECT order_id FROM s_orders) THEN 409
+                WHEN row_number() OVER (PARTITION BY given ORDER BY ts, event_id) > 1 THEN 409 ELSE 201 END AS code
+    FROM (SELECT event_id, ts, CASE WHEN value > 50 THEN user_id * 200 END AS given FROM events WHERE event_type = 'purchase')
+  ) b LEFT JOIN (
+    SELECT free, row_number() OVER (ORDER BY free) AS k FROM (
+      SELECT unnest(generate_series((SELECT max(order_id) + 1 FROM s_orders),
+                                    (SELECT max(order_id) FROM s_orders) + 2 * (SELECT count(*) FROM events))) AS free
+    ) WHERE free NOT IN (SELECT user_id * 200 FROM events WHERE event_type = 'purchase' AND value > 50)
+  ) f ON b.given IS NULL AND b.k = f.k)""",
+    "insert_users": """
+SELECT user_id, username, email, is_disabled FROM s_users
+UNION ALL
+SELECT (SELECT max(user_id) FROM s_users) + row_number() OVER (ORDER BY ts, event_id),
+       lower(username), lower(email), is_disabled
+FROM (
+  SELECT event_id, ts, 'Shopper' || user_id AS username, 'New' || event_id || '@Example.com' AS email, value > 50 AS is_disabled,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k
+  FROM events WHERE event_type = 'signup')
+WHERE k = 1 AND lower(username) NOT IN (SELECT lower(username) FROM s_users)
+  AND lower(email) NOT IN (SELECT lower(email) FROM s_users)""",
+    "register_shared_emails": """
+SELECT event_id, CASE WHEN reason IS NULL THEN 201 ELSE 409 END AS code, reason FROM (
+WITH RECURSIVE l AS (
+  SELECT event_id, lower('Shopper' || user_id) AS username, lower('Mail' || CAST(floor(value) AS BIGINT) || '@Example.com') AS email,
+         row_number() OVER (ORDER BY ts, event_id) AS rn
+  FROM events WHERE event_type = 'signup'),
+r AS (
+  SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS reason,
+         (SELECT list(lower(username)) FROM s_users) AS names, (SELECT list(lower(email)) FROM s_users) AS mails
+  UNION ALL
+  SELECT l.rn, l.event_id,
+         CASE WHEN list_contains(names, l.username) THEN 'username already exists'
+              WHEN list_contains(mails, l.email) THEN 'email already exists' END,
+         CASE WHEN list_contains(names, l.username) OR list_contains(mails, l.email) THEN names ELSE list_append(names, l.username) END,
+         CASE WHEN list_contains(names, l.username) OR list_contains(mails, l.email) THEN mails ELSE list_append(mails, l.email) END
+  FROM r JOIN l ON l.rn = r.rn + 1)
+SELECT event_id, reason FROM r WHERE rn > 0)""",
+    "update_products": """
+SELECT t.product_id,
+       CASE WHEN known AND p_size <= 25 THEN upper(p_name) ELSE t.name END AS name,
+       CASE WHEN known AND p_size % 5 <> 0 THEN p_size % 5 ELSE t.stock END AS stock,
+       CASE WHEN known THEN p_size * 2 + 0.5e0 ELSE t.price END AS price,
+       CASE WHEN known THEN p_size > 10 ELSE t.is_disabled END AS is_disabled,
+       t.category_id
+FROM s_products t JOIN (SELECT *, p_size <= 40 AS known FROM part) p ON t.product_id = p_partkey""",
+    "export_all": """
+SELECT 'orders' AS t, true AS ok, count(*) AS n FROM s_orders
+UNION ALL SELECT 'order_item' AS t, true AS ok, count(*) AS n FROM s_order_item
+UNION ALL SELECT 'delivery_details' AS t, true AS ok, count(*) AS n FROM s_delivery
+UNION ALL SELECT 'users' AS t, true AS ok, count(*) AS n FROM s_users
+UNION ALL SELECT 'products' AS t, true AS ok, count(*) AS n FROM s_products
+UNION ALL SELECT 'categories' AS t, true AS ok, count(*) AS n FROM s_categories
+UNION ALL SELECT 'customer_testimonial' AS t, true AS ok, count(*) AS n FROM s_testimonial
+UNION ALL SELECT 'newsletter' AS t, true AS ok, count(*) AS n FROM s_newsletter
+UNION ALL SELECT 'slide_show' AS t, true AS ok, count(*) AS n FROM s_slide_show""",
+    "restore_all": """
+SELECT 'orders' AS t, true AS ok, count(*) AS n FROM s_orders
+UNION ALL SELECT 'delivery_details' AS t, true AS ok, count(*) AS n FROM s_delivery
+UNION ALL SELECT 'users' AS t, true AS ok, count(*) AS n FROM s_users
+UNION ALL SELECT 'products' AS t, true AS ok, count(*) AS n FROM s_products
+UNION ALL SELECT 'categories' AS t, true AS ok, count(*) AS n FROM s_categories
+UNION ALL SELECT 'customer_testimonial' AS t, true AS ok, count(*) AS n FROM s_testimonial
+UNION ALL SELECT 'newsletter' AS t, true AS ok, count(*) AS n FROM s_newsletter
+UNION ALL SELECT 'slide_show' AS t, true AS ok, count(*) AS n FROM s_slide_show""",
 }
 
 

@@ -16,10 +16,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..catalog import spec
 from ..functions.scalars import line_total
 from ..operators import changes, lookups, metrics, stock, views
 from ..session import scratch_path
-from ..sources import csv_transfer
+from ..sources import csv_transfer, store
 from ..sources import requests as req
 from ..sources.shop_tables import ShopTables
 from ..streaming import order_changes
@@ -46,16 +47,12 @@ def q_order_item_view(spark, sf_dir):
 
 
 def q_products_view(spark, sf_dir):
-    return views.table_view(ShopTables(spark, sf_dir), "products").select(
-        "product_id", "name", "description", "price", "stock", "is_disabled", "category"
-    )
+    return views.table_view(ShopTables(spark, sf_dir), "products")
 
 
 def q_catalog(spark, sf_dir):
     t = ShopTables(spark, sf_dir)
-    return views.catalog(t.products(), t.categories()).select(
-        "product_id", "name", "price", "stock", "category"
-    )
+    return views.catalog(t.products(), t.categories())
 
 
 def q_products_in_category(spark, sf_dir):
@@ -68,9 +65,7 @@ def q_users_view(spark, sf_dir):
 
 
 def q_delivery_view(spark, sf_dir):
-    return views.table_view(ShopTables(spark, sf_dir), "delivery_details").select(
-        "delivery_id", "user_id", "order_id", "email", "country", "status"
-    )
+    return views.table_view(ShopTables(spark, sf_dir), "delivery_details")
 
 
 def q_categories_view(spark, sf_dir):
@@ -78,9 +73,7 @@ def q_categories_view(spark, sf_dir):
 
 
 def q_testimonial_view(spark, sf_dir):
-    return views.table_view(ShopTables(spark, sf_dir), "customer_testimonial").select(
-        "customer_testimonial_id", "name", "comment", "rating"
-    )
+    return views.table_view(ShopTables(spark, sf_dir), "customer_testimonial")
 
 
 def q_newsletter_view(spark, sf_dir):
@@ -88,9 +81,7 @@ def q_newsletter_view(spark, sf_dir):
 
 
 def q_slide_show_view(spark, sf_dir):
-    return views.table_view(ShopTables(spark, sf_dir), "slide_show").select(
-        "slide_show_id", "title", "description"
-    )
+    return views.table_view(ShopTables(spark, sf_dir), "slide_show")
 
 
 def q_orders_view_by_ids(spark, sf_dir):
@@ -130,9 +121,8 @@ def q_first_pending(spark, sf_dir):
 
 def q_stock_check(spark, sf_dir):
     t = ShopTables(spark, sf_dir)
-    requests = t.order_item().select("order_id", "order_item_id", "product_id")
-    return stock.stock_check(requests, t.orders(), t.order_item(), t.products()).select(
-        "order_item_id", "p_name", "quantity", "code"
+    return stock.stock_check(req.stock_requests(t.order_item()), t.orders(), t.order_item(), t.products()).select(
+        "order_item_id", "order_id", "product_id", "p_name", "quantity", "code"
     )
 
 
@@ -167,9 +157,12 @@ def q_line_totals(spark, sf_dir):
 
 
 def q_upsert_products(spark, sf_dir):
-    # staged: each sold product re-priced at its highest line price
+    # staged: twice the number of each sold product, so half are new; the
+    # price is missing where the product has an even number of lines
     t = ShopTables(spark, sf_dir)
-    staged = t.order_item().groupBy("product_id").agg(F.max("price").alias("price"))
+    staged = t.order_item().groupBy((F.col("product_id") * 2).alias("product_id")).agg(
+        F.when(F.count(F.lit(1)) % 2 == 1, F.max("price")).alias("price")
+    )
     return changes.upsert(t.products(), staged, ["product_id"], ["price"]).select("product_id", "price")
 
 
@@ -231,20 +224,24 @@ def q_approval_notices(spark, sf_dir):
 
 
 def q_export_orders(spark, sf_dir):
-    return csv_transfer.export_projection(ShopTables(spark, sf_dir).orders(), "orders").drop("updated_at")
+    return csv_transfer.export_projection(ShopTables(spark, sf_dir).orders(), "orders")
 
 
 def q_restore_orders(spark, sf_dir):
-    # back up orders as CSV, delete the orders named by error events, then
-    # restore the backup by keyed upsert: every order is back, timestamps
-    # at whole seconds
+    # the backup holds the orders of the users seen in the events; since then
+    # every order was set to draft and those named by error events were
+    # deleted.  Restored: known rows take the backup's values, deleted ones
+    # come back if the backup has them, all others stay as they are
     t = ShopTables(spark, sf_dir)
     orders = t.orders()
-    path = csv_transfer.export_csv(orders, "orders", scratch_path(spark, "orders-backup"))
-    damaged, _ = changes.apply_deletes(orders, req.deletion_requests(t.events()), "order_id")
+    backup = lookups.in_ids(orders, "user_id", t.events().select("user_id").distinct())
+    path = csv_transfer.export_csv(backup, "orders", scratch_path(spark, "orders-backup"))
+    drafts = orders.select("order_id", F.lit("draft").alias("status"), F.lit(1).alias("seq"))
+    changed, _ = changes.update_table("orders", orders, drafts, as_of="2024-02-01 00:00:00")
+    damaged, _ = changes.delete_table("orders", changed, req.deletion_requests(t.events()))
     staged = csv_transfer.read_export_csv(spark, path, "orders", orders.schema)
     restored = csv_transfer.restore_table(damaged, staged, "orders")
-    return csv_transfer.export_projection(restored, "orders").drop("updated_at")
+    return csv_transfer.export_projection(restored, "orders")
 
 
 def q_order_status_updates(spark, sf_dir):
@@ -257,11 +254,15 @@ def q_order_status_updates(spark, sf_dir):
 
 
 def q_category_resolution(spark, sf_dir):
-    # product changes naming their category by name, resolved to ids
+    # product changes naming their category by name, resolved to ids; larger
+    # products name their type, which is no category
     t = ShopTables(spark, sf_dir)
-    chg = t.raw("part").select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("category"))
-    ok, _ = changes.resolve_category(chg, t.categories())
-    return ok.select("product_id", "category_id")
+    name = F.when(F.col("p_size") > 25, F.col("p_type")).otherwise(F.col("p_brand"))
+    chg = t.raw("part").select(F.col("p_partkey").alias("product_id"), name.alias("category"))
+    ok, bad = changes.resolve_category(chg, t.categories())
+    return ok.select("product_id", "category_id", F.lit(200).alias("code")).unionByName(
+        bad.select("product_id", F.lit(None).cast("int").alias("category_id"), "code")
+    )
 
 
 def q_users_view_by_ids(spark, sf_dir):
@@ -271,7 +272,7 @@ def q_users_view_by_ids(spark, sf_dir):
     return views.table_view(t, "users", ids=ids)
 
 
-def q_order_change_stream(spark, sf_dir):
+def _streamed(spark, sf_dir) -> tuple[ShopTables, str]:
     # the events file is the stream source; each micro-batch is applied by
     # foreachBatch and the final table is the base plus the change log
     t = ShopTables(spark, sf_dir)
@@ -279,9 +280,149 @@ def q_order_change_stream(spark, sf_dir):
         spark, sf_dir, t.orders(), order_item=t.order_item(), products=t.products(),
         file_glob="events.parquet",
     )
+    return t, root
+
+
+def q_order_change_stream(spark, sf_dir):
+    t, root = _streamed(spark, sf_dir)
     return order_changes.current_orders(spark, t.orders(), root).select("order_id", "status")
 
 
+def q_paid_transitions(spark, sf_dir):
+    _, root = _streamed(spark, sf_dir)
+    return spark.read.parquet(f"{root}/{order_changes.PAID}").select("order_id", "event_id")
+
+
+def q_paid_request_outcomes(spark, sf_dir):
+    _, root = _streamed(spark, sf_dir)
+    return spark.read.parquet(f"{root}/{order_changes.OUTCOMES}").select("order_id", "event_id", "code")
+
+
+def q_stock_after_stream(spark, sf_dir):
+    t, root = _streamed(spark, sf_dir)
+    left = order_changes.current_stock(spark, t.products(), root)
+    return left.select("product_id", F.col("stock").cast("bigint").alias("stock"))
+
+
+def q_order_item_view_orphans(spark, sf_dir):
+    # the view after orders named by error events were deleted: their lines
+    # stay (no cascade) and show the marker text
+    t = ShopTables(spark, sf_dir)
+    left, _ = changes.delete_table("orders", t.orders(), req.deletion_requests(t.events()))
+    return views.order_item_enriched(t.order_item(), t.products(), left, t.users())
+
+
+def q_username_lookup(spark, sf_dir):
+    # Exact, case included
+    t = ShopTables(spark, sf_dir)
+    return lookups.lookup(t.users(), "username", req.login_attempts(t.events()).select("login"), cols=["user_id", "username"])
+
+
+def q_delete_summary(spark, sf_dir):
+    t = ShopTables(spark, sf_dir)
+    _, summary = changes.delete_table("orders", t.orders(), req.deletion_requests(t.events()))
+    return summary
+
+
+def q_status_update_rejects(spark, sf_dir):
+    # changes to orders of which some were removed
+    t = ShopTables(spark, sf_dir)
+    left = lookups.not_in_ids(t.orders(), "order_id", t.events().where("value > 100").select("user_id"))
+    chg = req.status_changes(t.events()).withColumn("seq", F.struct("ts", "event_id"))
+    _, rejects = changes.update_table("orders", left, chg)
+    return rejects.select("order_id", "code", "reason")
+
+
+def q_numbered_orders(spark, sf_dir):
+    # H1 with given ids: 201 with the id, or 409
+    t = ShopTables(spark, sf_dir)
+    batch = req.numbered_orders(t.events()).withColumn("status", F.lit("draft"))
+    fine, rejects = changes.key_conflicts(t.orders(), batch, "order_id", ["ts"], "event_id")
+    ids = changes.allocate_ids(t.orders(), fine, "order_id", ["ts", "event_id"])
+    return ids.select("event_id", "order_id", F.lit(201).alias("code")).unionByName(
+        rejects.select("event_id", F.lit(None).cast("bigint").alias("order_id"), "code")
+    )
+
+
+def q_insert_users(spark, sf_dir):
+    # H1/H2 for users: lower-cased, is_disabled false unless given
+    t = ShopTables(spark, sf_dir)
+    users = t.users()
+    flags = t.events().select("event_id", F.when(F.col("value") > 50, F.lit(True)).alias("is_disabled"))
+    batch = req.user_registrations(t.events()).join(flags, "event_id")
+    new, _ = changes.insert_table("users", users, batch, ["ts", "event_id"], "event_id", as_of="2024-02-01 00:00:00")
+    return new.select("user_id", "username", "email", "is_disabled")
+
+
+def q_register_shared_emails(spark, sf_dir):
+    # H2 with both guards clashing inside the feed
+    t = ShopTables(spark, sf_dir)
+    acc, rej = changes.guarded_insert(
+        t.users(), req.shared_email_registrations(t.events()), [("username", True), ("email", True)], ["ts", "event_id"], "event_id"
+    )
+    return acc.select("event_id", F.lit(201).alias("code"), F.lit(None).cast("string").alias("reason")).unionByName(
+        rej.select("event_id", "code", "reason")
+    )
+
+
+def q_update_products(spark, sf_dir):
+    # H3 with C9, G8 and G12: empty names and zero stocks keep the old value,
+    # the price is text, is_disabled always applies, unknown categories reject
+    t = ShopTables(spark, sf_dir)
+    p = t.raw("part")
+    chg = p.select(
+        F.col("p_partkey").alias("product_id"), F.lit(1).alias("seq"),
+        F.when(F.col("p_size") > 25, F.lit("")).otherwise(F.upper("p_name")).alias("name"),
+        (F.col("p_size") % 5).alias("stock"), (F.col("p_size") > 10).alias("is_disabled"),
+        F.concat((F.col("p_size") * 2).cast("string"), F.lit(".5 each")).alias("price"),
+        F.when(F.col("p_size") > 40, F.col("p_type")).otherwise(F.col("p_brand")).alias("category"),
+    )
+    new, _ = changes.update_products(t.products(), t.categories(), chg, as_of="2024-02-01 00:00:00")
+    return new.select("product_id", "name", "stock", "price", "is_disabled", "category_id")
+
+
+MAPPED_TABLES = (
+    "orders", "order_item", "delivery_details", "users", "products", "categories",
+    "customer_testimonial", "newsletter", "slide_show",
+)
+
+
+def _counts(frames) -> DataFrame:
+    out = None
+    for name, df in frames:
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("t"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def q_export_all(spark, sf_dir):
+    # A5: every table exported, and the rows found in each export
+    t = ShopTables(spark, sf_dir)
+    root = scratch_path(spark, "export-all")
+    report = csv_transfer.export_all(spark, t.table, root, MAPPED_TABLES).select(F.col("table").alias("t"), "ok")
+    counts = _counts(
+        (n, csv_transfer.read_export_csv(spark, f"{root}/{n}", n, t.table(n).schema)) for n in MAPPED_TABLES
+    )
+    return report.join(counts, "t")
+
+
+def q_restore_all(spark, sf_dir):
+    # Every table restored from its export into a version that lost rows
+    t = ShopTables(spark, sf_dir)
+    backup, store_root = scratch_path(spark, "backup"), scratch_path(spark, "store")
+    csv_transfer.export_all(spark, t.table, backup, MAPPED_TABLES)
+    lost = t.events().select("user_id").distinct()
+
+    def damaged(name: str) -> DataFrame:
+        return lookups.not_in_ids(t.table(name), spec(name).key[0], lost)
+
+    # order lines repeat an id in some data, which a keyed restore refuses
+    tables = [n for n in MAPPED_TABLES if n != "order_item"]
+    report = csv_transfer.restore_all(spark, damaged, backup, store_root, tables).select(F.col("table").alias("t"), "ok")
+    counts = _counts((n, store.read_current(spark, store_root, n)) for n in tables)
+    return report.join(counts, "t")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "orders_by_month_status": q_orders_by_month_status,
     "monthly_status_dataset": q_monthly_status_dataset,
@@ -322,4 +463,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "order_status_updates": q_order_status_updates,
     "category_resolution": q_category_resolution,
     "users_view_by_ids": q_users_view_by_ids,
+    "paid_transitions": q_paid_transitions,
+    "paid_request_outcomes": q_paid_request_outcomes,
+    "stock_after_stream": q_stock_after_stream,
+    "order_item_view_orphans": q_order_item_view_orphans,
+    "username_lookup": q_username_lookup,
+    "delete_summary": q_delete_summary,
+    "status_update_rejects": q_status_update_rejects,
+    "numbered_orders": q_numbered_orders,
+    "insert_users": q_insert_users,
+    "register_shared_emails": q_register_shared_emails,
+    "update_products": q_update_products,
+    "export_all": q_export_all,
+    "restore_all": q_restore_all,
 }

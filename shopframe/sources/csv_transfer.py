@@ -76,7 +76,10 @@ def read_export_csv(spark: SparkSession, path: str, table: str, target_schema: T
     and the timestamp text to timestamps.  A wrong field count fails.
     """
     s = spec(table)
-    schema = target_schema or s.schema
+    schema = s.schema
+    if target_schema is not None:
+        # the file's order is the catalog's, whatever order the target has
+        schema = T.StructType([target_schema[c] for c in s.column_names])
     names = [f.name for f in schema.fields]
     text_schema = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
     raw = (

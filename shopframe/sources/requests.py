@@ -46,11 +46,13 @@ def deletion_requests(events: DataFrame) -> DataFrame:
 
 
 def newsletter_signups(events: DataFrame) -> DataFrame:
-    """Newsletter sign-ups ``(event_id, ts, email)`` from sign-up events."""
+    """Newsletter sign-ups ``(event_id, ts, email)`` from sign-up events: the
+    visitor's number times 20, so some addresses are subscribers' and others
+    are new, and visitors sign up repeatedly."""
     return events.where(F.col("event_type") == "signup").select(
         "event_id",
         "ts",
-        F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@example.com")).alias("email"),
+        F.concat(F.lit("user"), (F.col("user_id") * 20).cast("string"), F.lit("@example.com")).alias("email"),
     )
 
 
@@ -71,3 +73,32 @@ def user_registrations(events: DataFrame) -> DataFrame:
         F.concat(F.lit("Shopper"), F.col("user_id").cast("string")).alias("username"),
         F.concat(F.lit("New"), F.col("event_id").cast("string"), F.lit("@Example.com")).alias("email"),
     )
+
+
+def shared_email_registrations(events: DataFrame) -> DataFrame:
+    """User sign-ups in which both guards clash: usernames by visitor, and
+    e-mails shared by visitors whose event values round alike."""
+    return events.where(F.col("event_type") == "signup").select(
+        "event_id",
+        "ts",
+        F.concat(F.lit("Shopper"), F.col("user_id").cast("string")).alias("username"),
+        F.concat(F.lit("Mail"), F.floor("value").cast("string"), F.lit("@Example.com")).alias("email"),
+    )
+
+
+def numbered_orders(events: DataFrame) -> DataFrame:
+    """New orders of which some bring their own number: used ones, repeated
+    ones and free ones beyond the table's."""
+    number = F.when(F.col("value") > 50, F.col("user_id") * 200)
+    return new_orders(events).join(
+        events.select("event_id", number.alias("order_id")), "event_id"
+    )
+
+
+def stock_requests(order_item: DataFrame) -> DataFrame:
+    """Stock checks whose three ids come from different places: the line's
+    own id, twice its order's number and its product's number moved by the
+    quantity, so that orders and products are sometimes missing."""
+    return order_item.select(
+        "order_item_id", (F.col("order_id") * 2).alias("order_id"), (F.col("product_id") + F.col("quantity")).alias("product_id")
+    )

@@ -172,10 +172,10 @@ class ShopTables:
         )
 
     def newsletter(self) -> DataFrame:
-        # subscribers: the household market segment
+        # subscribers: every customer
         c = self.raw("customer")
         return _conform(
-            c.where(F.col("c_mktsegment") == "HOUSEHOLD").select(
+            c.select(
                 F.col("c_custkey").alias("newsletter_id"),
                 F.concat(F.lit("user"), F.col("c_custkey").cast("string"), F.lit("@example.com")).alias("email"),
                 F.lit(False).alias("is_disabled"),

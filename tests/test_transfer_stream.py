@@ -26,6 +26,15 @@ def test_csv_round_trip_keeps_quotes_newlines_empty_and_null(spark, tmp_out):
     assert rows(back) == rows(df)
 
 
+def test_restore_follows_the_catalog_order_of_columns(spark, tmp_out):
+    slides = spark.createDataFrame([("t1", "d", None, 1), ("t2", None, "i", 2)], "title STRING, description STRING, image STRING, slide_show_id INT")
+    path = X.export_csv(slides, "slide_show", os.path.join(tmp_out, "slides"))
+    moved = slides.select("slide_show_id", "title", "image", "description").limit(1)
+    staged = X.read_export_csv(spark, path, "slide_show", moved.schema)
+    got = X.restore_table(moved, staged, "slide_show")
+    assert rows(got, "slide_show_id", "title", "description", "image") == [(1, "t1", "d", None), (2, "t2", None, "i")]
+
+
 def test_csv_keeps_text_as_it_is(spark, tmp_out):
     texts = ["  lead", "trail  ", "   ", "line\n", "\t", "\u0001", "", None, "null", '"', "a,b", "\r\n x"]
     df = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)], "category_id INT, category STRING, is_disabled BOOLEAN")
