@@ -1,9 +1,10 @@
 """Spark session settings and the shared checkpoint folder.
 
-Settings are chosen for a large cluster first: adaptive execution re-plans
-joins from measured shuffle sizes (so a broadcast only happens when the
-measured side is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``),
-coalesces small shuffle partitions and splits skewed join partitions.
+Settings are chosen for a large cluster first: the planner broadcasts a join
+side whose size, estimated from its files, is under
+``spark.sql.autoBroadcastJoinThreshold`` (Spark's 10 MB by default); adaptive
+execution re-plans the other joins from measured shuffle sizes, coalesces
+small shuffle partitions and splits skewed join partitions.
 Local runs only lower the shuffle partition count.
 """
 
