@@ -16,7 +16,7 @@ import sys
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-import __spark_entry__ as E  # noqa: E402
+from shopframe.plans.queries import QUERIES  # noqa: E402
 from shopframe.session import build_session  # noqa: E402
 
 
@@ -26,15 +26,15 @@ SCALE_NOTES = """
 | Query family | Shuffles of the big input | Hot key (a third of rows on one key) | Broadcast |
 |---|---|---|---|
 | monthly dataset, subtotals, demand, next ids, top-1 picks | one, after partial aggregation | pre-aggregated per task before the shuffle | none |
-| table views (`orders_view`, `order_item_view`, `delivery_view`, ...) | one per equi join on a big side (lines: by order id, by product id if products do not fit) | AQE splits skewed sort-merge partitions | only sides AQE measured under the threshold |
+| table views (`orders_view`, `order_item_view`, `delivery_view`, ...) | one per equi join on a big side (lines: by order id, by product id if products do not fit) | AQE splits skewed sort-merge partitions | sides estimated (10 MB) or measured under the threshold |
 | keyed views and lookups (`*_by_ids`, `order_lines`, `login_lookup`) | semi join pushed to the scan of the big side | semi join keeps one row per key on the small side | request side if measured small |
-| `stock_check` | three (one per independent lookup) | AQE skew split per join | measured only |
-| `stock_sequential`, `paid_order_outcomes` | lines materialised once; one count/sum aggregate, one join to the class table, one grouped fold for bounded products | hot products leave the fold and run exact rounds with block-split running sums | class table if measured small |
+| `stock_check` | the distinct requested ids; tables are cut down by semi joins before their exchanges, so a small request moves no table | the line lookup aggregates by (line id, order id) and then by line id, combined on the map side; the joins back hold one row per requested id on one side, and a hot requested id is not split there (that side is an aggregate) | if estimated or measured small |
+| `stock_sequential`, `paid_order_outcomes` | one sort gives every line its rank (the one checkpointed copy); one count/sum aggregate, one join to the class table, one grouped fold for products with few lines | hot products leave the fold and run exact rounds with running sums over blocks of ranks; same rows either way | class table if measured small |
 | upsert / fallback updates / deletes | one: both sides by key (the duplicate check reuses the join's exchange) | per-key aggregates are partial; staged keys are unique by check | none forced |
 | `insert_orders` (id allocation) | one range-partitioned sort | range partitioning splits on the full order key | partition offsets (one row per partition) |
-| guarded inserts | per-value `min` aggregates and equi joins | partial aggregates; AQE skew split | none forced |
+| guarded inserts | per-value `min` aggregates and equi joins on the row id | one guard: only a row per value meets the table; several guards: the anti joins with the table have plain exchanges on both sides, which AQE can split | none forced |
 | CSV export / restore | export writes in parallel; restore reads many part files | n/a | none |
-| order-change stream | per batch: batch-sized aggregates plus a semi-joined read of state (one snapshot plus up to 50 log partitions) | latest change per order is a partial max | none forced |
+| order-change stream | per batch: the changes joined once with the orders, a ranked sort of the changes, a semi-joined read of state (one snapshot plus up to 50 log partitions), lines and products of the batch's paid orders only | status before a change comes from the rank before it, latest change per order from a partial max | none forced |
 """
 
 
@@ -48,7 +48,7 @@ def main(argv):
         f"Generated by `scripts/explain_plans.py` on `{sf_dir}` (`local[8]`, AQE on; the tree is the plan before\n"
         "adaptive re-planning, so joins AQE turns into broadcasts at run time still show as planned).\n",
     ]
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         df = fn(spark, sf_dir)
         buf = io.StringIO()
         with contextlib.redirect_stdout(buf):

@@ -79,15 +79,32 @@ def checkpoint_root(spark: SparkSession) -> str:
                 "set spark.checkpoint.dir to a folder every executor can reach "
                 "(the jobs checkpoint iterative state there)"
             )
-        configured = tempfile.mkdtemp(prefix="shopframe-ckpt-")
+        configured = _kept_until_exit(spark, tempfile.mkdtemp(prefix="shopframe-ckpt-"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+_scratch_roots: dict[tuple[str, str], str] = {}
+
+
+def _kept_until_exit(spark: SparkSession, path: str) -> str:
+    """Create the folder and have the file system remove it, with all that
+    is in it, when the application ends."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return path
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared checkpoint folder."""
-    root = checkpoint_root(spark)
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh, unique path under the shared checkpoint folder, in a folder of
+    this application that goes when it ends."""
+    key = (spark.sparkContext.applicationId, checkpoint_root(spark))
+    if key not in _scratch_roots:
+        _scratch_roots[key] = _kept_until_exit(spark, os.path.join(key[1], f"scratch-{uuid.uuid4().hex[:12]}"))
+    return os.path.join(_scratch_roots[key], f"{name}-{uuid.uuid4().hex[:12]}")
 
 
 # Error classes Spark raises when a folder that a job reads does not exist

@@ -37,3 +37,23 @@ def test_readme_flow(spark, tmp_out):
     touched = order_changes.select("order_id").distinct().join(orders.select("order_id"), "order_id", "left_semi")
     assert current.join(touched, "order_id", "left_semi").where("status <> 'paid'").count() == 0
     assert rejects.count() == order_changes.join(orders.select("order_id"), "order_id", "left_anti").count()
+
+
+def test_scratch_goes_when_the_application_ends(tmp_out):
+    import subprocess
+    import sys
+
+    from conftest import ROOT
+
+    code = f"""
+import sys; sys.path.insert(0, {ROOT!r})
+from shopframe.session import build_session, scratch_path
+spark = build_session("local[1]", 1, extra_conf={{"spark.checkpoint.dir": {tmp_out!r}}})
+path = scratch_path(spark, "t")
+spark.range(3).write.parquet(path)
+assert path.startswith("file:" + {tmp_out!r}) and spark.read.parquet(path).count() == 3
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, capture_output=True)
+    left = [f for _, _, files in os.walk(tmp_out) for f in files if f.endswith(".parquet")]
+    assert left == []
