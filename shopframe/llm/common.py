@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,8 +25,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def _ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that
+    they can import it wherever the driver was started."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    # the driver's own copy: Spark's file server hands it to the executors
+    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="shopframe-code-")), "shopframe_code.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, files in os.walk(package):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(target)
+    _shipped.add(sc.applicationId)
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of the session by bytes as well as by rows."""
+    """Before Python work: the workers get this package, and the session's
+    Arrow batches are bounded by bytes as well as by rows."""
+    _ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
