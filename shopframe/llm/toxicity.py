@@ -14,7 +14,7 @@ the score.
 
 The lexicon and the weights are learned from a bounded sample of the
 labelled rows: at most ``per_class`` rows of each class, chosen by a hash of
-the id.  Terms are words and word beginnings that mark the class; their
+the id, equal texts once.  Terms are words and word beginnings that mark the class; their
 counts are combined in Spark and at most ``max_terms`` come to the driver.
 For the weights the sample is cut into halves, and each is measured with the
 lexicon of the other, so that a term's chance luck earns it no trust.
@@ -30,6 +30,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -145,23 +146,49 @@ def plain(word: str) -> str:
     return word.strip(EDGES)
 
 
-def features(text: str, lexicon: Lexicon, known: dict[str, int]) -> list[float]:
-    """Counts of hits by kind and context; ``known`` keeps words' matches."""
+class Words:
+    """What the lexicon says of words, kept for those seen before."""
+
+    LIMIT = 300_000
+
+    def __init__(self, lexicon: Lexicon):
+        self.lexicon = lexicon
+        self.seen: set[str] = set()
+        self.hits: dict[str, int] = {}
+
+    def among(self, words: set[str]) -> set[str]:
+        """Those of the words that hit the lexicon."""
+        if len(self.seen) > self.LIMIT:
+            self.seen.clear()
+            self.hits.clear()
+        new = words - self.seen
+        for w in new:
+            kind = self.lexicon.match(plain(w))
+            if kind:
+                self.hits[w] = kind
+        self.seen |= new
+        return words & self.hits.keys()
+
+
+@lru_cache(maxsize=4)
+def lexicon_words(words: tuple[str, ...], stems: tuple[str, ...]) -> Words:
+    """One automaton per worker process, whatever the number of its tasks."""
+    return Words(Lexicon(words, stems))
+
+
+def features(text: str, known: Words) -> list[float]:
+    """Counts of hits by kind and context."""
     words = text.lower().split()
-    kinds = []
-    for w in words:
-        k = known.get(w)
-        if k is None:
-            if len(known) > 200_000:
-                known.clear()
-            k = known[w] = lexicon.match(plain(w))
-        kinds.append(k)
-    if not any(kinds):
+    found = known.among(set(words))
+    if not found:
         return [0.0] * N_FEATURES
+    kinds = [known.hits[w] if w in found else 0 for w in words]
     hits = [i for i, k in enumerate(kinds) if k]
     n = Counter()
     # quotation marks so far, to see whether a hit stands between two
-    marks = np.cumsum([sum(w.count(q) for q in QUOTES) for w in words])
+    marks = np.zeros(len(words), dtype=int)
+    if any(q in text for q in QUOTES):
+        marks = np.cumsum([sum(w.count(q) for q in QUOTES) for w in words])
     for i in hits:
         near = [plain(w) for w in words[max(0, i - WINDOW):i + WINDOW + 1]]
         before = int(marks[i - 1]) if i else 0
@@ -217,7 +244,7 @@ def labelled_sample(docs, labels, label_col: str, per_class: int, id_col: str =
     # at most 2 * per_class rows of two numbers: bounded, so broadcast
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).join(
         F.broadcast(some), "_id"
-    ).select("label", "text", (F.xxhash64("_id") % 2 == 0).alias("half"))
+    ).dropDuplicates(["label", "text"]).select("label", "text", (F.xxhash64("_id") % 2 == 0).alias("half"))
 
 
 def held_out(id_col: str):
@@ -266,9 +293,11 @@ def learn_lexicon(sample: DataFrame, min_rows: int = 4, min_odds: float = 3.5, m
 
 
 def _measure(words, stems, seed_words):
+    terms = tuple(sorted({*words, *seed_words})), tuple(stems)
+
     def make():
-        lexicon, known = Lexicon({*words, *seed_words}, stems), {}
-        return lambda label, text: (label, features(text or "", lexicon, known))
+        known = lexicon_words(*terms)
+        return lambda label, text: (label, features(text or "", known))
 
     return make
 
@@ -291,7 +320,7 @@ def score_toxicity(
         learned = learn_lexicon(other)
         rows += map_rows(own.select("label", "text"), "label int, x array<double>", _measure(*learned, seed_words)).collect()
     words, stems = learn_lexicon(sample)
-    words = sorted({*words, *seed_words})
+    terms = tuple(sorted({*words, *seed_words})), tuple(stems)
     sample.unpersist()
     y = np.array([r["label"] for r in rows], dtype=float)
     x = np.array([r["x"] for r in rows], dtype=float).reshape(len(rows), N_FEATURES)
@@ -299,13 +328,13 @@ def score_toxicity(
     weights = fit_logistic(x, y) if both else np.zeros(N_FEATURES + 1)
 
     def make():
-        lexicon, known = Lexicon(words, stems), {}
+        known = lexicon_words(*terms)
 
         def row(doc_id, text):
             text = text or ""
-            v = features(text, lexicon, known)
+            v = features(text, known)
             score = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(v, weights[:-1]) + weights[-1]))))) if both else 0.0
-            hits = sorted({p for p in map(plain, text.lower().split()) if lexicon.match(p)}) if any(v) else []
+            hits = sorted({plain(w) for w in known.among(set(text.lower().split()))}) if any(v) else []
             return doc_id, score, int(score >= 0.5), hits
 
         return row

@@ -265,15 +265,15 @@ def test_automaton_equals_edit_distance(term, changes):
 
 
 def test_quotation_is_told_from_abuse():
-    lexicon = toxicity.Lexicon(["idiot", "scum"], [])
-    abuse = toxicity.features("you idiot , you scum", lexicon, {})
-    quote = toxicity.features('he wrote "idiot scum" in a letter', lexicon, {})
-    misspelled = toxicity.features("what an idi0t he is", lexicon, {})
+    lexicon = toxicity.Words(toxicity.Lexicon(["idiot", "scum"], []))
+    abuse = toxicity.features("you idiot , you scum", lexicon)
+    quote = toxicity.features('he wrote "idiot scum" in a letter', lexicon)
+    misspelled = toxicity.features("what an idi0t he is", lexicon)
     assert abuse[0] > 0 and abuse[3] == 0 and abuse[4] > 0
     assert quote[0] == 0 and quote[3] > 0
     assert misspelled[1] > 0
-    assert toxicity.features("", lexicon, {}) == [0.0] * toxicity.N_FEATURES
-    assert toxicity.features("idiot", toxicity.Lexicon([], []), {}) == [0.0] * toxicity.N_FEATURES
+    assert toxicity.features("", lexicon) == [0.0] * toxicity.N_FEATURES
+    assert toxicity.features("idiot", toxicity.Words(toxicity.Lexicon([], []))) == [0.0] * toxicity.N_FEATURES
 
 
 # secrets -------------------------------------------------------------------
