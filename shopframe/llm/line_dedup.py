@@ -12,12 +12,12 @@ A template recurs if lines of it stand in different documents.  Its lines
 stay in the document of the line that founded it and are dropped from all
 others.
 
-Only lines of leaves with several different lines are clustered, and only
-their texts move; a line in a leaf of its own is decided by its smallest and
-largest document id.  Equal lines are one row before anything is gathered, by
-aggregates that combine on the map side; the join back to their occurrences
-may split hot lines.  A task streams its leaves and holds the templates of
-one.
+Equal lines are one row per batch of documents before anything is gathered,
+so the text of a line that everyone has moves a few times only.  A task
+streams its leaves and holds the lines of one; it reports only lines that
+joined an earlier line's template.  Every other line's home is the smallest
+document id that has it, from an aggregate that combines on the map side; the
+join back to the occurrences, rows of a few numbers, may split hot lines.
 
 Defined cases: lines with fewer than ``min_tokens`` tokens always stay; a
 null text stays null; a document that loses every line has an empty text and
@@ -29,40 +29,77 @@ are read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, stored
 
 DEPTH = 4
-FIELD = "<*>"
-BLANKS = r"[\x20\x09-\x0D]+"
-VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
+FIELD = b"<*>"
+DIGIT = re.compile(rb"[0-9]")
 
 
-def masked(line: Column) -> Column:
-    """The line's tokens joined by single blanks, variable fields masked."""
-    return F.trim(F.regexp_replace(F.regexp_replace(line, VARIABLE, FIELD), BLANKS, " "))
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int) -> DataFrame:
-    """``doc_id, line_no, masked, leaf, line`` of the lines that count; leaf
+def parsed(text: str, min_tokens: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(number, leaf, line, masked line) of a text's lines that count; leaf
     and line are hashes, used together."""
-    split = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(
-        "doc_id is not null"
-    ).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    parsed = split.select("doc_id", "line_no", masked(F.col("raw")).alias("masked"))
-    tokens = parsed.select("*", F.split("masked", " ").alias("t"))
-    keyed = tokens.select(
-        "doc_id", "line_no", "masked",
-        F.size("t").alias("n"), F.xxhash64(F.size("t"), *[F.get("t", F.lit(i)) for i in range(DEPTH)]).alias("leaf"),
-    )
-    return keyed.where((F.col("n") >= min_tokens) & (F.col("masked") != "")).select(
-        "doc_id", "line_no", "masked", "leaf", F.xxhash64("masked").alias("line")
-    )
+    for number, raw in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
+        tokens = raw.split()  # at blanks and bytes 9-13
+        if len(tokens) < min_tokens:
+            continue
+        if DIGIT.search(raw):
+            tokens = [FIELD if DIGIT.search(t) else t for t in tokens]
+        masked = b" ".join(tokens)
+        head = b"%d %b" % (len(tokens), b" ".join(tokens[:DEPTH]))
+        yield number, _signed(xxhash.xxh64_intdigest(head, 42)), _signed(xxhash.xxh64_intdigest(masked, 42)), masked
+
+
+def _batch(columns: list[list], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _places(docs: DataFrame, min_tokens: int) -> DataFrame:
+    """``doc_id, line_no, leaf, line`` of every line that counts."""
+    target = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("leaf", pa.int64()), ("line", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for number, leaf, line, _ in parsed(text, min_tokens):
+                    for column, value in zip(out, (doc_id, number, leaf, line)):
+                        column.append(value)
+            yield _batch(out, target)
+
+    return docs.mapInArrow(run, "doc_id long, line_no int, leaf long, line long")
+
+
+def _different(docs: DataFrame, min_tokens: int) -> DataFrame:
+    """``leaf, line, first_doc, masked``: a row per different line of a batch
+    of documents."""
+    target = pa.schema([("leaf", pa.int64()), ("line", pa.int64()), ("first_doc", pa.int64()), ("masked", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple[int, int], tuple[int, bytes]] = {}
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for _, leaf, line, masked in parsed(text, min_tokens):
+                    if (leaf, line) not in found or found[leaf, line][0] > doc_id:
+                        found[leaf, line] = doc_id, masked
+            yield _batch(
+                [[k[0] for k in found], [k[1] for k in found], [v[0] for v in found.values()], [v[1] for v in found.values()]],
+                target,
+            )
+
+    return docs.mapInArrow(run, "leaf long, line long, first_doc long, masked binary")
 
 
 class Leaf:
@@ -70,14 +107,14 @@ class Leaf:
 
     def __init__(self, similarity: float):
         self.similarity = similarity
-        self.templates: list[list[str]] = []
+        self.templates: list[list[bytes]] = []
         self.homes: list[int] = []
 
-    def place(self, tokens: list[str], doc_id: int) -> int:
+    def place(self, tokens: list[bytes], doc_id: int) -> int:
         """The home document of the template that takes the line."""
         best, most = -1, self.similarity * len(tokens) - 1e-9
         for k, template in enumerate(self.templates):
-            same = sum(map(str.__eq__, template, tokens))
+            same = sum(map(bytes.__eq__, template, tokens))
             if same >= most and (best < 0 or same > most):
                 best, most = k, same
         if best < 0:
@@ -90,25 +127,33 @@ class Leaf:
         return self.homes[best]
 
 
-def _clustered(shared: DataFrame, similarity: float) -> DataFrame:
-    """``leaf, line, home`` of the lines of shared leaves."""
+def _clustered(different: DataFrame, similarity: float) -> DataFrame:
+    """``leaf, line, home`` of the lines that joined an earlier line's
+    template."""
+    target = pa.schema([("leaf", pa.int64()), ("line", pa.int64()), ("home", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, leaf = None, Leaf(similarity)
+        current, founder, leaf, lines = None, None, None, set()
         for batch in batches:
-            leaves, lines, docs, texts = (c.to_pylist() for c in batch.columns)
-            homes = []
-            for key, doc_id, text in zip(leaves, docs, texts):
+            out: list[list] = [[], [], []]
+            for key, line, doc_id, masked in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != current:
-                    current, leaf = key, Leaf(similarity)
-                homes.append(leaf.place(text.split(" "), doc_id))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(homes, pa.int64())], names=["leaf", "line", "home"]
-            )
+                    current, founder, leaf, lines = key, (masked, doc_id), None, {line}
+                    continue
+                if line in lines:  # of a later batch of documents
+                    continue
+                if leaf is None:
+                    leaf = Leaf(similarity)
+                    leaf.place(founder[0].split(b" "), founder[1])
+                lines.add(line)
+                home = leaf.place(masked.split(b" "), doc_id)
+                if home != doc_id:
+                    for column, value in zip(out, (key, line, home)):
+                        column.append(value)
+            yield _batch(out, target)
 
     return (
-        shared.select("leaf", "line", "first_doc", "masked").repartition("leaf")
-        .sortWithinPartitions("leaf", "first_doc", "line")
+        different.repartition("leaf").sortWithinPartitions("leaf", "first_doc", "line")
         .mapInArrow(run, "leaf long, line long, home long")
     )
 
@@ -118,19 +163,14 @@ def recurring_lines(
 ) -> DataFrame:
     """``doc_id, lines``: numbers (from 0) of the lines that a document loses."""
     bounded_batches(docs.sparkSession)
-    lines = _lines(docs, id_col, text_col, min_tokens)
-    places = stored(lines.select("doc_id", "line_no", "leaf", "line"), "lines")
-    different = stored(
-        places.groupBy("leaf", "line").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")), "different-lines"
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(
+        "doc_id is not null and text is not null"
     )
-    crowded = different.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf")
-    shared = stored(different.join(crowded, "leaf").select("leaf", "line", "first_doc"), "shared-leaves")
-    texts = lines.select("leaf", "line", F.col("doc_id").alias("first_doc"), "masked").join(
-        shared, ["leaf", "line", "first_doc"]
-    ).dropDuplicates(["leaf", "line"])
-    homes = stored(_clustered(texts, similarity), "homes")
-    dropped = different.join(homes, ["leaf", "line"], "left").select(
-        "leaf", "line", "last_doc", "first_doc", F.coalesce("home", "first_doc").alias("home")
+    homes = stored(_clustered(_different(texts, min_tokens), similarity), "homes")
+    places = stored(_places(texts, min_tokens), "lines")
+    ends = places.groupBy("leaf", "line").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    dropped = ends.join(homes, ["leaf", "line"], "left").select(
+        "leaf", "line", "first_doc", "last_doc", F.coalesce("home", "first_doc").alias("home")
     ).where("first_doc <> home or last_doc <> home").select("leaf", "line", "home")
     return (
         places.join(dropped, ["leaf", "line"]).where("doc_id <> home")

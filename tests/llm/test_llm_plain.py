@@ -330,9 +330,9 @@ def test_base_figures():
 
 def test_leaf_generalises_fields():
     leaf = line_dedup.Leaf(0.8)
-    a = "the user Anna logged in from the north gate today".split()
-    b = "the user Berta logged in from the north gate today".split()
-    c = "the user Carla went off to a south wall yesterday".split()
+    a = "the user Anna logged in from the north gate today".encode().split()
+    b = "the user Berta logged in from the north gate today".encode().split()
+    c = "the user Carla went off to a south wall yesterday".encode().split()
     assert [leaf.place(a, 1), leaf.place(b, 2), leaf.place(c, 3), leaf.place(a, 4)] == [1, 1, 3, 1]
     assert leaf.templates[0][2] == line_dedup.FIELD
 
