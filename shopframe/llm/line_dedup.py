@@ -185,7 +185,9 @@ def drop_recurring_lines(
     lost = stored(recurring_lines(docs, id_col, text_col, min_tokens, similarity), "lost-lines").select(
         F.col("doc_id").alias("_doc"), F.col("lines").alias("_lines")
     )
-    joined = docs.join(lost, F.col(id_col).cast("long") == F.col("_doc"), "left")
+    # one plan at every size: the documents are dealt out by id, like the lost
+    # lines, which grow with them
+    joined = docs.join(lost.hint("merge"), F.col(id_col).cast("long") == F.col("_doc"), "left")
     left = F.array_join(
         F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("_lines", i)), "\n"
     )
