@@ -337,15 +337,17 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, words: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id names their component; rows that repeat such an
-    id are one document."""
+    """The documents whose id names their component.  Rows that repeat such
+    an id are one document; rows without an id, which nothing can name, stay."""
     found = near_duplicates(docs, words, max_bits, id_col, text_col)
     kept = stored(
-        found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept"
+        found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept"
     ).select(F.col("doc_id").alias("_kept"), "n")
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_kept"))
-    once = docs.join(kept.where("n = 1"), same, "left_semi")
+    same = docs[id_col].cast("long") == F.col("_kept")
+    # the kept ids grow with the documents: one plan at every size
+    out = docs.join(kept.where("n = 1").hint("merge"), same, "left_semi")
     repeated = kept.where("n > 1")
-    if repeated.isEmpty():
-        return once
-    return once.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates([id_col]))
+    if not repeated.isEmpty():
+        out = out.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates([id_col]))
+    nameless = docs.where(F.col(id_col).cast("long").isNull())
+    return out if nameless.isEmpty() else out.unionByName(nameless)

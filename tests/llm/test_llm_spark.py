@@ -79,6 +79,7 @@ def test_odd_documents_simhash(spark):
     assert len(result(spark, "simhash")) == 10
     kept = result(spark, "keep_one")
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 3, 5, 7] and kept[0].home == 2
+    assert sum(r.doc_id is None for r in kept) == 2
 
 
 def test_odd_documents_lines(spark):
