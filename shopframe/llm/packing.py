@@ -43,13 +43,13 @@ SHARD_TOKENS = 1_000_000
 RANGE_CHARS = 12_000_000
 LONG_WORD = 9
 K1, B = 1.2, 0.75
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
 PIECES = re.compile(r"[^\W\d_]+|(?:[\W_])+")
-SIGNS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 # separators that Python splits at and the tokenizer does not, and the
-# beginning of special tokens: such texts are encoded whole
-PLAIN = re.compile(r"[\x1c-\x1f]|<\|")
+# beginning of special tokens: texts with these are encoded whole
+ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
 
 class Encoder:
@@ -73,51 +73,54 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # of pieces
 
-    def _split(self, word: str) -> list[str] | None:
+    def _split(self, word: str) -> tuple[str, ...] | None:
         """The pieces of a word; None if the rules for it are not plain."""
-        word = unicodedata.normalize("NFC", word)
+        if not word.isascii():
+            if "Σ" in word:
+                return None
+            word = unicodedata.normalize("NFC", word)
         low = word.lower()
-        if "Σ" in word or not all(c.isalpha() or c in SIGNS for c in low):
+        core = low.rstrip(SIGNS)
+        if core.isalpha():  # letters, and signs after them: nearly all words
+            return (core, low[len(core):]) if len(core) < len(low) else (core,)
+        if not all(c.isalpha() or c in SIGNS for c in low):
             return None
-        return PIECES.findall(low)
+        return tuple(PIECES.findall(low))
 
-    def learn(self, words: Iterable[str]) -> None:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        plain: dict[str, list[str]] = {}
-        for w in words:
-            parts = self._split(w)
-            if parts is None:
-                ids = self.whole.encode(w, add_special_tokens=False).ids
-                self.words[w] = np.array(ids, dtype="<u4").tobytes()
-            else:
-                plain[w] = parts
-        different = list({p for parts in plain.values() for p in parts})
-        known: dict[str, bytes] = {}
-        for at in range(0, len(different), 20_000):
-            some = different[at:at + 20_000]
+    def _learn_pieces(self, pieces: set[str]) -> None:
+        # not by subtracting the keys, which would walk through all of them
+        new = [p for p in pieces if p not in self.known]
+        for at in range(0, len(new), 20_000):
+            some = new[at:at + 20_000]
             ids = np.array(self.pieces.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             bounds = np.flatnonzero(self.ends[ids]) + 1
             if len(bounds) != len(some):
                 raise AssertionError("a piece does not end where its word does")
             raw, start = ids.tobytes(), 0
             for p, end in zip(some, (4 * bounds).tolist()):
-                known[p] = raw[start:end]
+                self.known[p] = raw[start:end]
                 start = end
-        for w, parts in plain.items():
-            self.words[w] = b"".join([known[p] for p in parts]) if len(parts) > 1 else known[parts[0]]
+
+    def learn(self, words: Iterable[str]) -> None:
+        split = {w: self._split(w) for w in words}
+        self._learn_pieces({p for parts in split.values() if parts for p in parts})
+        known = self.known
+        for w, parts in split.items():
+            if parts is None:
+                ids = self.whole.encode(w, add_special_tokens=False).ids
+                self.words[w] = np.array(ids, dtype="<u4").tobytes()
+            else:
+                self.words[w] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text and the end id."""
-        split = [t.split() if t and not PLAIN.search(t) else None for t in texts]
-        need = set().union(*(s for s in split if s)) - self.words.keys()
-        # the cache may be cleared by learning: learn all the batch needs then
+        split = [t.split() if t and not any(c in t for c in ODD) else None for t in texts]
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-            need = set().union(*(s for s in split if s))
-        if need:
-            self.learn(need)
+            self.known.clear()
+        self.learn([w for w in set().union(*(s for s in split if s)) if w not in self.words])
         end, get = np.array([END_ID], dtype="<u4").tobytes(), self.words.__getitem__
         out = []
         for t, s in zip(texts, split):
@@ -244,9 +247,9 @@ def pack(
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    long_words = F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w) >= LONG_WORD)
+    hashed = F.transform(F.split("text", " "), lambda w: F.when(F.octet_length(w) >= LONG_WORD, F.xxhash64(w)))
     ordered = (
-        rows.withColumn("key", F.array_min(F.transform(long_words, lambda w: F.xxhash64(w))))
+        rows.withColumn("key", F.array_min(hashed))
         .repartitionByRange(max(1, -(-total // RANGE_CHARS)), "key", "doc_id")
         .sortWithinPartitions("key", "doc_id")
         .select("doc_id", "text")
