@@ -43,7 +43,8 @@ SHARD_TOKENS = 1_000_000
 RANGE_CHARS = 12_000_000
 LONG_WORD = 9
 K1, B = 1.2, 0.75
-CACHE_WORDS = 500_000
+#: Words a worker keeps: about 300 MB.
+CACHE_WORDS = 900_000
 
 PIECES = re.compile(r"[^\W\d_]+|(?:[\W_])+")
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
