@@ -7,6 +7,11 @@ tiktoken vocabulary; low ratios are reported as spans of kind ``random``
 after strings of a known harmless shape are excluded: hexadecimal digests of
 the usual lengths, UUIDs, plain words and identifiers made of words.
 
+A run of a higher ratio, or of a harmless shape as a whole, may still hold a
+random string behind the words of a path or a name.  Its pieces between the
+separators are measured one by one, and so are its stretches of low ratio,
+which join the pieces of a string that itself holds separators.
+
 Three fixed patterns are reported beside it (``assign``, ``access``, ``hex``)
 and are never removed by the exclusions.
 
@@ -48,6 +53,14 @@ HEX_ANY_CASE = re.compile(r"[0-9a-f]+\Z|[0-9A-F]+\Z")
 # runs of letters in one of the usual cases, or short numbers, joined by - _ or /
 IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8})(?:[-_/=+]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8}))*[-_/=+]*\Z")
 
+SEPARATORS = "+/_=-"
+PIECE = re.compile(r"[A-Za-z0-9]+")
+# digests and UUIDs as whole pieces of a run
+KNOWN = re.compile(
+    r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}|(?:%s))(?![A-Za-z0-9])"
+    % "|".join("[0-9a-f]{%d}|[0-9A-F]{%d}" % (n, n) for n in sorted(DIGEST_LENGTHS))
+)
+
 # a run long enough; a maximal run of the hex kind is a part of such a run
 HEX_RUN = re.compile(r"[0-9a-f]{%d,}" % HEX_MIN)
 
@@ -82,12 +95,82 @@ def harmless(s: str) -> bool:
     return bool(UUID.match(s) or IDENTIFIER.match(s))
 
 
+def is_random(s: str, encoding, min_chars: int, max_ratio: float) -> bool:
+    return len(s) >= min_chars and not harmless(s) and len(s) <= max_ratio * len(encoding.encode_ordinary(s))
+
+
+def dense_parts(s: str, encoding, min_chars: int, max_ratio: float) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """(start, end) and the core's (start, end) of the parts of ``s`` covered by
+    token stretches of at least ``min_chars`` whose ratio is low.  The core is
+    the part's sum of ``max_ratio`` less characters, over tokens, at its
+    greatest: the part without the words at its ends."""
+    at = [0]
+    for t in encoding.decode_tokens_bytes(encoding.encode_ordinary(s)):
+        at.append(at[-1] + len(t))
+    parts, j = [], 0
+    for i in range(len(at)):
+        while j < len(at) and at[j] - at[i] < min_chars:
+            j += 1
+        if j == len(at):
+            break
+        if at[j] - at[i] <= max_ratio * (j - i):
+            if parts and i <= parts[-1][1]:
+                parts[-1][1] = j
+            else:
+                parts.append([i, j])
+    out = []
+    for i, j in parts:
+        best, core, total, first = 0.0, (i, j), 0.0, i
+        for k in range(i, j):
+            total += max_ratio - (at[k + 1] - at[k])
+            if total <= 0:
+                total, first = 0.0, k + 1
+            elif total > best:
+                best, core = total, (first, k + 1)
+        out.append(((at[i], at[j]), (at[core[0]], at[core[1]])))
+    return out
+
+
+def random_parts(s: str, encoding, min_chars: int, max_ratio: float) -> list[tuple[int, int]]:
+    """Random strings inside a run that is none as a whole."""
+    found = []
+    cuts = [0, *(x for m in KNOWN.finditer(s) for x in m.span()), len(s)]
+    for a, b in zip(cuts[::2], cuts[1::2]):
+        if b - a < min_chars:
+            continue
+        part = s[a:b]
+        pieces = [m.span() for m in PIECE.finditer(part)]
+        found += [(a + i, a + j) for i, j in pieces if is_random(part[i:j], encoding, min_chars, max_ratio)]
+        for part_span, core in dense_parts(part, encoding, min_chars, max_ratio):
+            touched = [p for p in pieces if p[1] > core[0] and p[0] < core[1]]
+            if not touched:
+                continue
+            # the core grown to whole pieces, and if these hold words too, as it is
+            whole = touched[0][0], touched[-1][1]
+            if harmless(part[whole[0]:whole[1]]):
+                continue
+            for i, j in (whole, core, part_span):
+                i, j = i + len(part[i:j]) - len(part[i:j].lstrip(SEPARATORS)), i + len(part[i:j].rstrip(SEPARATORS))
+                if is_random(part[i:j], encoding, min_chars, max_ratio):
+                    found.append((a + i, a + j))
+                    break
+    merged: list[tuple[int, int]] = []
+    for i, j in sorted(found):
+        if merged and i < merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(j, merged[-1][1]))
+        else:
+            merged.append((i, j))
+    return merged
+
+
 def random_spans(text: str, encoding, min_chars: int, max_ratio: float) -> list[tuple[int, int, int]]:
     found = []
     for m in _runs(min_chars).finditer(text):
-        s = m.group()
-        if not harmless(s) and len(s) <= max_ratio * len(encoding.encode_ordinary(s)):
-            found.append((m.start(), 3, m.end()))
+        s, at = m.group(), m.start()
+        if is_random(s, encoding, min_chars, max_ratio):
+            found.append((at, 3, m.end()))
+        else:
+            found += [(at + a, 3, at + b) for a, b in random_parts(s, encoding, min_chars, max_ratio)]
     return found
 
 

@@ -309,6 +309,29 @@ def test_random_strings_are_found_and_harmless_ones_are_not():
     assert secret_scan.redacted("a token=abcdef b", secret_scan.written(secret_scan.base_spans("a token=abcdef b"))) == "a [assign] b"
 
 
+def test_random_strings_behind_long_paths_and_names_are_found():
+    import base64
+    import string
+
+    encoding = secret_scan.vocabulary(tokenizer_file("byte_bpe_50k.tiktoken"))
+    rng = random.Random(5)
+    for before in ("com/customer/account/settings/notification/callback/", "session_identifier_for_customer_account="):
+        for size in (20, 24, 32, 40):
+            for _ in range(25):
+                key = "".join(rng.choices(string.ascii_letters + string.digits, k=size))
+                text = f"see {before}{key}/customer/account"
+                [(i, _, j)] = secret_scan.random_spans(text, encoding, 20, 2.2)
+                assert i <= 4 + len(before) and j >= 4 + len(before) + size
+        for _ in range(50):  # keys that hold separators themselves
+            key = base64.urlsafe_b64encode(rng.randbytes(30)).decode()
+            a = 4 + len(before)
+            [(i, _, j)] = secret_scan.random_spans(f"see {before}{key} ok", encoding, 20, 2.2)
+            assert min(j, a + 40) - max(i, a) >= 30
+    for s in ["com/blog/2024/01/15/how-to-write-a-good-test-in-python", "usr/local/lib/python/site-packages/numpy/core",
+              "com/files/d41d8cd98f00b204e9800998ecf8427e/download/customer/account", "someLongCamelCaseIdentifierOfAProgram"]:
+        assert secret_scan.random_spans(f"see {s} ok", encoding, 20, 2.2) == []
+
+
 # quality rules -------------------------------------------------------------
 
 @settings(max_examples=300, derandomize=True, deadline=None)
