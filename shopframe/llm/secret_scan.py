@@ -5,7 +5,8 @@ several characters per token.  Random strings do not.  Every run of at least
 ``min_chars`` key-like characters is measured in characters per token under a
 tiktoken vocabulary; low ratios are reported as spans of kind ``random``
 after strings of a known harmless shape are excluded: hexadecimal digests of
-the usual lengths, UUIDs, plain words and identifiers made of words.
+the usual lengths, UUIDs, plain words and identifiers made of words, which is
+asked of their letters' own ratio.
 
 A run of a higher ratio, or of a harmless shape as a whole, may still hold a
 random string behind the words of a path or a name.  Its pieces between the
@@ -50,6 +51,7 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))  # MD5, SHA-1, SHA-2 family in hex
 UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}\Z")
 HEX_ANY_CASE = re.compile(r"[0-9a-f]+\Z|[0-9A-F]+\Z")
+LETTERS = re.compile(r"[A-Za-z]+")
 # runs of letters in one of the usual cases, or short numbers, joined by - _ or /
 IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8})(?:[-_/=+]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8}))*[-_/=+]*\Z")
 
@@ -89,14 +91,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def harmless(s: str) -> bool:
+def worded(s: str, encoding, max_ratio: float) -> bool:
+    """Whether the letter runs of an identifier have the ratio of words.  Runs
+    of one or two letters that are one token tell nothing.  Case is left out,
+    and the better of a run at the start and inside of a text counts, as
+    capitals and starts of lines are rarer in vocabularies."""
+    chars = tokens = 0
+    for run in LETTERS.findall(s):
+        run = run.lower()
+        n = min(len(encoding.encode_ordinary(run)), len(encoding.encode_ordinary(" " + run)))
+        if n > 1 or len(run) > 2:
+            chars, tokens = chars + len(run), tokens + n
+    return chars > max_ratio * tokens or not tokens
+
+
+def harmless(s: str, encoding, max_ratio: float) -> bool:
     if HEX_ANY_CASE.match(s):
         return len(s) in DIGEST_LENGTHS
-    return bool(UUID.match(s) or IDENTIFIER.match(s))
+    return bool(UUID.match(s) or IDENTIFIER.match(s) and worded(s, encoding, max_ratio))
 
 
 def is_random(s: str, encoding, min_chars: int, max_ratio: float) -> bool:
-    return len(s) >= min_chars and not harmless(s) and len(s) <= max_ratio * len(encoding.encode_ordinary(s))
+    return len(s) >= min_chars and len(s) <= max_ratio * len(encoding.encode_ordinary(s)) and not harmless(s, encoding, max_ratio)
 
 
 def dense_parts(s: str, encoding, min_chars: int, max_ratio: float) -> list[tuple[tuple[int, int], tuple[int, int]]]:
@@ -147,7 +163,7 @@ def random_parts(s: str, encoding, min_chars: int, max_ratio: float) -> list[tup
                 continue
             # the core grown to whole pieces, and if these hold words too, as it is
             whole = touched[0][0], touched[-1][1]
-            if harmless(part[whole[0]:whole[1]]):
+            if harmless(part[whole[0]:whole[1]], encoding, max_ratio):
                 continue
             for i, j in (whole, core, part_span):
                 i, j = i + len(part[i:j]) - len(part[i:j].lstrip(SEPARATORS)), i + len(part[i:j].rstrip(SEPARATORS))

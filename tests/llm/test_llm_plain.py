@@ -332,6 +332,27 @@ def test_random_strings_behind_long_paths_and_names_are_found():
         assert secret_scan.random_spans(f"see {s} ok", encoding, 20, 2.2) == []
 
 
+def test_random_strings_of_one_case_are_found_and_words_are_not():
+    import string
+
+    encoding = secret_scan.vocabulary(tokenizer_file("byte_bpe_50k.tiktoken"))
+    rng = random.Random(6)
+    found = tried = 0
+    for letters in (string.ascii_lowercase, string.ascii_uppercase):
+        for size in (20, 24, 32, 40):
+            for _ in range(25):
+                key = "".join(rng.choices(letters, k=size))
+                groups = "-".join([*(key[i:i + 5] for i in range(0, size, 5)), str(rng.randrange(10**7, 10**8))])
+                for s in (key, groups, "customer/account/" + key):
+                    tried += 1
+                    found += any(j >= 4 + len(s) for _, _, j in secret_scan.random_spans(f"key {s} ok", encoding, 20, 2.2))
+    assert found >= 0.97 * tried
+    for s in ["INTERNATIONALIZATION_OF_THINGS_AND_STRINGS", "MAX_RETRY_COUNT_PER_REQUEST_2024", "a/b/c/d/e/f/g/h/i/j/k/l/m",
+              "en-us-gb-fr-2024-01-15-id-7", "id-20240115-12345678-001", "Donaudampfschifffahrtsgesellschaft",
+              "Rechtsschutzversicherungsgesellschaften", "anticonstitutionnellement", "electroencefalografista"]:
+        assert secret_scan.random_spans(f"key {s} ok", encoding, 20, 2.2) == []
+
+
 # quality rules -------------------------------------------------------------
 
 @settings(max_examples=300, derandomize=True, deadline=None)
