@@ -289,6 +289,20 @@ def test_outliers_are_rejected_and_the_rest_kept(spark):
     assert got == {d: d % 10 != 0 for d in range(900)}
 
 
+@pytest.mark.parametrize("share", [10, 20])
+def test_a_cluster_of_outliers_does_not_hide_itself(spark, share):
+    rng = random.Random(5)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "lmnr"]
+    rows = []
+    for d in range(1500):
+        words = rng.choices(vocabulary, k=rng.randint(40, 400))
+        if d % 100 < share:  # templated: one form, the words differ
+            words = [w.upper() + "##" for w in rng.choices(vocabulary, k=rng.randint(150, 160))]
+        rows.append((d, ". ".join(words), "en" if d % 3 else "de", "hot", 0))
+    got = {r.doc_id: r.kept for r in quality_rules.judge_quality(frame(spark, rows)).collect()}
+    assert got == {d: d % 100 >= share for d in range(1500)}
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
