@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import (
     chat_format,
     decontam,
+    hard_negatives,
     line_dedup,
     packing,
     quality_classifier,
@@ -89,6 +90,18 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(
+        "label is not null and embedding is not null and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
+    )
+    items = rows.select(
+        F.col("vec_id").cast("long").alias("id"),
+        F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end").alias("label"),
+        F.expr("transform(embedding, x -> floor(256 * double(x)))").alias("vector"),
+    )
+    return hard_negatives.mine_hard_negatives(items, F.expr("id % 50 = 0"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
@@ -100,6 +113,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -124,5 +138,27 @@ same AS (
   FROM busy
 )
 SELECT doc_id, item_id, max(matches) AS matches FROM windows WHERE room >= 13 AND matches >= 9 GROUP BY doc_id, item_id
+""",
+    # every anchor against every row, its positives and negatives ranked
+    "op13_hard_negatives": """
+WITH q AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.v, r.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM q a JOIN q r ON a.vec_id % 50 = 0 AND len(a.v) = len(r.v) AND a.vec_id <> r.vec_id
+), positives AS (
+  SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), ranked AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS rank
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+    AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3
 """,
 }
