@@ -10,6 +10,7 @@ from . import (
     chat_format,
     decontam,
     hard_negatives,
+    jaccard_join,
     line_dedup,
     packing,
     quality_classifier,
@@ -98,6 +99,10 @@ def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("groups")
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").where(
         "label is not null and embedding is not null and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
@@ -122,6 +127,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
     "op11_token_align": op11_token_align,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
