@@ -11,38 +11,37 @@ path:
 * a null stock or quantity counts as 0; a negative quantity is refused; a line
   of 0 is accepted unless the stock is negative.  Neither changes the stock.
 
-Products are classed by one count/sum aggregate.  If a product's whole demand
-fits its stock every line is accepted.  A contended product with few lines is
-folded in one task with the built-in ``aggregate`` function; one with more is
-never collected anywhere and goes through exact distributed rounds, which give
-the same rows:
-
-* a round takes, per product, the *candidates* - lines after the product's
-  current position whose quantity fits the remaining stock ``r``;
-* a skew-safe running sum ``cs`` of candidate quantities (``plans.prefix``)
-  accepts every candidate with ``cs <= r`` (all of them fit, in order);
-* the first candidate with ``cs > r`` is the first line that does not fit;
-  it becomes the new position and ``r`` drops by what was accepted.  Lines
-  skipped on the way had quantity > the previous ``r`` >= every later
-  remaining stock, so they stay rejected.
-
-Rounds end: the new ``r`` is below the blocking line's quantity, which was at
-most the old ``r``, so ``r`` falls in every round and a product leaves when no
-candidate blocks it; a product needs no more rounds than it has different
-quantities.  Each round's state is one row per still-active product,
-checkpointed so lineage stays flat.
+A product whose whole demand fits its stock accepts every line (one sum per
+product decides that).  The lines of the others are cut into blocks of
+consecutive ranks, an array a block, and all products go on side by side in
+passes.  A pass knows each product's remaining stock ``r`` and next block, and
+the power of two ``2^k <= r < 2^(k+1)``.  As long as the remaining stock stays
+at ``2^k`` or above
+
+* lines below ``2^k`` fit, all of them;
+* lines of ``2^(k+1)`` or more never fit again;
+* a line in between, if it fits, leaves less than ``2^k``.
+
+So a block's sum of the small lines, and the least stock at its beginning with
+which some line in between fits, tell whether the product's stock can fall
+below ``2^k`` in it.  The first such block, found by a running sum over one
+row per block, is folded line by line (the built-in ``aggregate`` over one
+bounded array); the blocks before it accept their small lines.  Each pass
+lowers a product's ``k``, so there are at most as many passes as the largest
+stock has binary digits - 31 for an INT column, whatever the lines are - and
+never more than a product has blocks.  A hot product's blocks spread over all
+tasks; one task holds one row per block of it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import parse_int
-from ..plans.prefix import grouped_running_sum
 from ..plans.ranking import global_row_number
-from ..session import is_absent_path_error, scratch_path
+from ..session import checkpoint_root, scratch_path
 
 # Outcome codes and messages of the stock operations.
 CODE_OK = 200
@@ -152,35 +151,13 @@ def stock_after_demand(products: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-# Contended products with at most this many lines are folded in one task (a
-# bounded array); the others go through rounds.  Both give the same rows: the
-# bound decides where the work is done, not what it yields.
-FOLD_MAX_LINES = 2048
-
-
-def _fold_small(lines: DataFrame) -> DataFrame:
-    """``(rank, accepted)`` for the lines of products with a bounded number
-    of lines: one sorted array per product, folded on the JVM side."""
-    per_product = lines.groupBy("product_id", "stock").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "quantity"))).alias("ls")
-    )
-    init = F.struct(F.col("stock").alias("r"), F.array().cast("array<boolean>").alias("f"))
-
-    def step(acc, x):
-        fits = x["quantity"] <= acc["r"]
-        return F.struct(
-            F.when(fits, acc["r"] - x["quantity"]).otherwise(acc["r"]).alias("r"),
-            F.array_append(acc["f"], fits).alias("f"),
-        )
-
-    folded = per_product.select("ls", F.aggregate("ls", init, step)["f"].alias("f"))
-    pairs = folded.select(F.explode(F.arrays_zip("ls", "f")).alias("p"))
-    return pairs.select(F.col("p.ls.rank").alias("rank"), F.col("p.f").alias("accepted"))
+# Lines of a block: one bounded array, folded by one task.
+BLOCK_ROWS = 2048
 
 
 def sequential_allocation(
     lines: DataFrame, products: DataFrame, order=("order_id", "order_item_id"),
-    fold_max_lines: int = FOLD_MAX_LINES,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """H7 ``mode='sequential'`` (E4): ``(product_id, order_id, order_item_id,
     quantity, accepted, code, error)`` and further ``order`` columns for every
@@ -196,39 +173,33 @@ def sequential_allocation(
     base = global_row_number(plain, ["product_id", *order, "quantity"], "rank")
     stock = products.select("product_id", F.coalesce(F.col("stock").cast("bigint"), F.lit(0)).alias("stock"))
     positive = F.col("quantity") > 0
-    demand = (
-        base.where(positive).groupBy("product_id")
-        .agg(F.sum("quantity").alias("_d"), F.count(F.lit(1)).alias("_n"))
-    )
+    demand = base.where(positive).groupBy("product_id").agg(F.sum("quantity").alias("_d"))
     # one row per product: small next to the lines
     cls = stock.join(demand, "product_id", "left").select(
-        "product_id", "stock",
-        F.when(F.coalesce(F.col("_d"), F.lit(0)) <= F.col("stock"), F.lit("easy"))
-        .when(F.col("_n") <= fold_max_lines, F.lit("small"))
-        .when(F.col("_n") > fold_max_lines, F.lit("hot"))
-        .otherwise(F.lit("easy")).alias("cls"),
+        "product_id", "stock", (F.coalesce(F.col("_d"), F.lit(0)) > F.col("stock")).alias("contended")
     ).checkpoint(eager=True)
-    classed = base.join(cls, "product_id", "left")
-    contended = F.coalesce(F.col("cls").isin("small", "hot"), F.lit(False)) & positive
-    settled = classed.where(~contended).select(
-        *cols, F.col("cls").isNull().alias("_unknown"),
-        F.when(F.col("cls").isNull() | (F.col("quantity") < 0), F.lit(False))
-        .when(F.col("quantity") == 0, F.col("stock") >= 0).otherwise(F.lit(True)).alias("accepted"),
+    classed = base.join(cls, "product_id", "left").withColumn(
+        "_contended", F.coalesce("contended", F.lit(False)) & positive
     )
-    small = classed.where((F.col("cls") == "small") & positive)
-    decided = small.join(_fold_small(small), "rank", "left").select(
-        *cols, F.lit(False).alias("_unknown"), F.coalesce("accepted", F.lit(False)).alias("accepted")
+    settled = classed.where("not _contended").select(
+        *cols, F.col("contended").isNull().alias("_unknown"),
+        F.when(F.col("contended").isNull() | (F.col("quantity") < 0), F.lit(False))
+        .when(F.col("quantity") == 0, F.col("stock") >= 0).otherwise(F.lit(True)).alias("accepted"),
     )
-    out = settled.unionByName(decided)
-    hot_cls = cls.where(F.col("cls") == "hot")
-    if not hot_cls.isEmpty():
-        hot = classed.where((F.col("cls") == "hot") & positive)
-        taken = _rounds(hot.select("product_id", "rank", "quantity"), hot_cls).withColumn("_acc", F.lit(True))
-        out = out.unionByName(
-            hot.join(taken, "rank", "left").select(
-                *cols, F.lit(False).alias("_unknown"), F.coalesce("_acc", F.lit(False)).alias("accepted")
-            )
+    work = classed.where("_contended")
+    spans, folded = _passes(work, cls.where("contended"), block_rows)
+    if spans is None:  # nothing is contended, or no contended product has stock
+        decided = work.withColumn("accepted", F.lit(False))
+    else:
+        block = F.floor(F.col("rank") / F.lit(block_rows))
+        decided = (
+            work.join(folded, "rank", "left").join(spans, "product_id", "left")
+            .withColumn("_small", F.exists(
+                "spans", lambda x: (block >= x["first"]) & (block < x["end"]) & (F.col("quantity") < x["below"])
+            ))
+            .withColumn("accepted", F.coalesce("fits", "_small", F.lit(False)))
         )
+    out = settled.unionByName(decided.select(*cols, F.lit(False).alias("_unknown"), "accepted"))
     code = (
         F.when(F.col("_unknown"), F.lit(CODE_NOT_FOUND))
         .when(F.col("accepted"), F.lit(CODE_OK))
@@ -241,51 +212,92 @@ def sequential_allocation(
     return out.select(*cols, "accepted", code.alias("code"), error.alias("error"))
 
 
-def _rounds(work: DataFrame, hot: DataFrame) -> DataFrame:
-    """The ``rank`` of every accepted line of hot products, by rounds.
+def _passes(work: DataFrame, contended: DataFrame, block_rows: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Per product the ``spans`` of blocks that accept their lines ``below`` a
+    bound, and ``(rank, fits)`` for the lines of folded blocks.
 
-    Per round the candidates are cached (their lineage is the checkpointed
-    lines and state, cheap to recompute if an executor is lost), the small
-    per-product state is checkpointed, and the round's accepted ranks are
-    appended to a table in the shared checkpoint folder, so nothing large is
-    rewritten per round and lineage never grows."""
+    The blocks are written once; a pass writes one row per product that is
+    still going on: its span, the block it folded and the stock left.  Both
+    lie in the shared checkpoint folder, so a pass reads files and lineage
+    never grows."""
     spark = work.sparkSession
-    out_path = scratch_path(spark, "allocation-accepted")
-    # per-product state of the fold: remaining stock r and last position;
-    # one row per active product
-    state = hot.select(
-        "product_id", F.col("stock").alias("r"), F.lit(-1).cast("bigint").alias("position")
-    ).where(F.col("r") > 0).checkpoint(eager=True)
-    round_no = 0
+    checkpoint_root(spark)
+    state = contended.where(F.col("stock") > 0).select(
+        "product_id", F.col("stock").alias("r"), F.lit(0).cast("bigint").alias("first")
+    )
+    blocks_path = scratch_path(spark, "allocation-blocks")
+    (
+        work.select("product_id", F.floor(F.col("rank") / F.lit(block_rows)).alias("block"), F.struct("rank", "quantity").alias("line"))
+        .groupBy("product_id", "block").agg(F.sort_array(F.collect_list("line")).alias("ls"))
+        .write.parquet(blocks_path)
+    )
+    blocks = spark.read.schema(
+        "product_id %s, block BIGINT, ls ARRAY<STRUCT<rank: BIGINT, quantity: BIGINT>>" % work.schema["product_id"].dataType.simpleString()
+    ).parquet(blocks_path)
+    done: list[DataFrame] = []
     while not state.isEmpty():
-        cand = work.join(state, "product_id", "inner").where(
-            (F.col("rank") > F.col("position")) & (F.col("quantity") <= F.col("r"))
+        path = scratch_path(spark, "allocation-pass")
+        _pass(blocks, state).write.parquet(path)
+        now = spark.read.parquet(path)
+        done.append(now)
+        state = now.where("left > 0").select("product_id", F.col("left").alias("r"), (F.col("end") + 1).alias("first"))
+    if not done:
+        return None, None
+    every = done[0]
+    for d in done[1:]:
+        every = every.unionByName(d)
+    spans = every.groupBy("product_id").agg(
+        F.collect_list(F.struct("first", F.coalesce("end", F.lit(1 << 62)).alias("end"), "below")).alias("spans")
+    )
+    folded = every.select(F.explode(F.arrays_zip("ranks", "flags")).alias("x")).select(
+        F.col("x.ranks").alias("rank"), F.col("x.flags").alias("fits")
+    )
+    return spans, folded
+
+
+def _pass(blocks: DataFrame, state: DataFrame) -> DataFrame:
+    """One row per product of ``state``: blocks ``first`` up to ``end`` accept
+    their lines ``below`` the bound; block ``end`` (null: there is none) is
+    folded into ``ranks``, ``flags`` and the stock ``left``."""
+    # the power of two at or below r: its binary text gives the digits
+    now = state.withColumn("below", F.expr("shiftleft(1L, length(bin(r)) - 1)"))
+
+    def met(acc, x):
+        small = x["quantity"] < F.col("below")
+        between = ~small & (x["quantity"] - F.col("below") < F.col("below"))
+        return F.struct(
+            F.when(small, acc["sum"] + x["quantity"]).otherwise(acc["sum"]).alias("sum"),
+            F.when(between, F.least(acc["need"], acc["sum"] + x["quantity"])).otherwise(acc["need"]).alias("need"),
+        )
+
+    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(1 << 62).cast("bigint").alias("need"))
+    summed = (
+        blocks.join(now, "product_id").where(F.col("block") >= F.col("first"))
+        .select("product_id", "block", "r", "below", F.aggregate("ls", start, met).alias("b"))
+    )
+    before = Window.partitionBy("product_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    reached = summed.select(
+        "product_id", "block", "below", "b",
+        (F.col("r") - F.coalesce(F.sum("b.sum").over(before), F.lit(0))).alias("r"),
+    ).where((F.col("r") - F.col("b.sum") < F.col("below")) | (F.col("b.need") <= F.col("r")))
+    end = reached.groupBy("product_id").agg(F.min(F.struct("block", "r")).alias("e"))
+
+    def fold(acc, x):
+        fits = x["quantity"] <= acc["r"]
+        return F.struct(
+            F.when(fits, acc["r"] - x["quantity"]).otherwise(acc["r"]).alias("r"),
+            F.array_append(acc["flags"], fits).alias("flags"),
         )
-        cand = grouped_running_sum(cand, "product_id", "rank", "quantity", "cs").cache()
-        fits = F.col("cs") <= F.col("r")
-        cand.where(fits).select("rank").withColumn("round", F.lit(round_no)).write.mode(
-            "overwrite"
-        ).option("partitionOverwriteMode", "dynamic").partitionBy("round").parquet(out_path)
-        # one aggregate gives both the stock used and the blocking line
-        state = (
-            cand.groupBy("product_id", "r").agg(
-                F.max(F.when(fits, F.col("cs"))).alias("used"), F.min(F.when(~fits, F.col("rank"))).alias("position")
-            )
-            .where(F.col("position").isNotNull())
-            .select("product_id", (F.col("r") - F.coalesce("used", F.lit(0))).alias("r"), "position")
-            .where(F.col("r") > 0)
-            .checkpoint(eager=True)
+
+    folded = (
+        blocks.join(end.select("product_id", F.col("e.block").alias("block"), F.col("e.r").alias("r")), ["product_id", "block"])
+        .select(
+            "product_id", F.col("block").alias("end"), F.col("ls.rank").alias("ranks"),
+            F.aggregate("ls", F.struct(F.col("r").alias("r"), F.array().cast("array<boolean>").alias("flags")), fold).alias("f"),
         )
-        cand.unpersist()
-        round_no += 1
-    try:
-        out = spark.read.schema("rank BIGINT, round INT").parquet(out_path).drop("round")
-        out.schema  # noqa: B018 - resolve now
-        return out
-    except Exception as e:  # noqa: BLE001
-        if is_absent_path_error(e):  # no round accepted anything
-            return work.select("rank").limit(0)
-        raise
+        .select("product_id", "end", "ranks", F.col("f.flags").alias("flags"), F.col("f.r").alias("left"))
+    )
+    return now.join(folded, "product_id", "left").select("product_id", "first", "end", "below", "left", "ranks", "flags")
 
 
 def allocation_outcome(paid_orders: DataFrame, allocation: DataFrame, keys=("order_id",)) -> DataFrame:

@@ -164,7 +164,11 @@ r AS (
          CASE WHEN l.quantity <= r.rem THEN r.rem - l.quantity ELSE r.rem END,
          l.quantity <= r.rem
   FROM r JOIN l ON l.product_id = r.product_id AND l.rn = r.rn + 1)
-SELECT product_id, order_item_id, accepted FROM r)""",
+SELECT product_id, order_item_id, accepted, CASE WHEN accepted THEN 200 ELSE 400 END AS code FROM r)
+UNION ALL
+SELECT i.product_id, order_item_id, false, 404
+FROM s_order_item i JOIN s_orders o ON i.order_id = o.order_id
+WHERE status = 'paid' AND i.product_id NOT IN (SELECT product_id FROM s_products)""",
     "paid_order_outcomes": """
 SELECT o.order_id,
        CASE WHEN n IS NULL THEN 404 WHEN refused > 0 THEN 500 ELSE 200 END AS code

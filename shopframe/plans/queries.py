@@ -139,7 +139,7 @@ def q_stock_after_demand(spark, sf_dir):
 def q_stock_sequential(spark, sf_dir):
     t = ShopTables(spark, sf_dir)
     alloc = stock.sequential_allocation(stock.paid_lines(t.order_item(), t.orders()), t.products())
-    return alloc.where(F.col("code") != stock.CODE_NOT_FOUND).select("product_id", "order_item_id", "accepted")
+    return alloc.select("product_id", "order_item_id", "accepted", "code")
 
 
 def q_paid_order_outcomes(spark, sf_dir):

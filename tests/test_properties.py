@@ -20,13 +20,13 @@ line = st.tuples(st.integers(1, 4), st.integers(1, 30), st.integers(0, 15))
 @SETTINGS
 @given(lines=st.lists(line, min_size=1, max_size=40),
        stocks=st.dictionaries(st.integers(1, 3), st.integers(0, 40), min_size=1),
-       fold_max=st.sampled_from([0, 2, 2048]))
-def test_allocation_equals_sequential_fold(spark, lines, stocks, fold_max):
+       block_rows=st.sampled_from([1, 2, 2048]))
+def test_allocation_equals_sequential_fold(spark, lines, stocks, block_rows):
     data = [(p, o, f"{o}-{i}", q) for i, (p, o, q) in enumerate(lines)]
     ldf = spark.createDataFrame(data, "product_id INT, order_id INT, order_item_id STRING, quantity INT")
     pdf = spark.createDataFrame(list(stocks.items()), "product_id INT, stock INT")
     got = {(r.product_id, r.order_item_id): (r.accepted, r.code)
-           for r in stock.sequential_allocation(ldf, pdf, fold_max_lines=fold_max).collect()}
+           for r in stock.sequential_allocation(ldf, pdf, block_rows=block_rows).collect()}
     assert got == brute_allocation(data, stocks)
 
 

@@ -42,14 +42,14 @@ def _random_case(seed, hot=False):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3, 4])
-@pytest.mark.parametrize("fold_max", [2048, 0, 3])
-def test_sequential_allocation_matches_fold(spark, seed, fold_max):
+@pytest.mark.parametrize("block_rows", [2048, 1, 3])
+def test_sequential_allocation_matches_fold(spark, seed, block_rows):
     lines, stocks = _random_case(seed, hot=seed % 2 == 0)
     ldf = spark.createDataFrame(lines, "product_id INT, order_id INT, order_item_id STRING, quantity INT")
     pdf = spark.createDataFrame(list(stocks.items()), "product_id INT, stock INT")
     got = {
         (r.product_id, r.order_item_id): (r.accepted, r.code)
-        for r in stock.sequential_allocation(ldf, pdf, fold_max_lines=fold_max).collect()
+        for r in stock.sequential_allocation(ldf, pdf, block_rows=block_rows).collect()
     }
     assert got == brute_allocation(lines, stocks)
 
@@ -123,48 +123,79 @@ def test_stock_check_parses_text_ids(spark):
     assert sorted(got) == [200, 400, 404]
 
 
-def test_rounds_with_integer_line_ids(spark):
+def test_passes_with_integer_line_ids(spark):
     lines = [(1, o, o * 10 + i, q) for o, i, q in [(1, 1, 4), (1, 2, 9), (2, 1, 3), (3, 1, 1), (3, 2, 2)]]
     ldf = spark.createDataFrame(lines, "product_id INT, order_id INT, order_item_id INT, quantity INT")
     pdf = spark.createDataFrame([(1, 8)], "product_id INT, stock INT")
-    got = {r.order_item_id: r.accepted for r in stock.sequential_allocation(ldf, pdf, fold_max_lines=0).collect()}
+    got = {r.order_item_id: r.accepted for r in stock.sequential_allocation(ldf, pdf, block_rows=1).collect()}
     assert got == {11: True, 12: False, 21: True, 31: True, 32: False}
 
 
-def test_hot_product_over_default_fold_bound(spark):
-    # one product with more lines than FOLD_MAX_LINES takes the rounds path
-    # under the default settings; others are folded or accepted outright
+def allocated(spark, lines, stocks, **more):
+    ldf = spark.createDataFrame(lines, "product_id INT, order_id INT, order_item_id STRING, quantity INT")
+    pdf = spark.createDataFrame(list(stocks.items()), "product_id INT, stock INT")
+    return {(r.product_id, r.order_item_id): (r.accepted, r.code)
+            for r in stock.sequential_allocation(ldf, pdf, **more).collect()}
+
+
+def counted_passes(monkeypatch):
+    passes = []
+    one = stock._pass
+    monkeypatch.setattr(stock, "_pass", lambda *a: (passes.append(1), one(*a))[1])
+    return passes
+
+
+def test_hot_product_of_several_blocks(spark):
     rnd = random.Random(99)
-    n_hot = stock.FOLD_MAX_LINES + 500
+    n_hot = stock.BLOCK_ROWS + 500
     lines = [(1, rnd.randint(1, 5000), f"h{i}", rnd.randint(1, 9)) for i in range(n_hot)]
     lines += [(p, rnd.randint(1, 5000), f"s{p}-{i}", rnd.randint(1, 9)) for p in (2, 3) for i in range(40)]
     stocks = {1: 3000, 2: 50, 3: 10_000}
-    ldf = spark.createDataFrame(lines, "product_id INT, order_id INT, order_item_id STRING, quantity INT")
-    pdf = spark.createDataFrame(list(stocks.items()), "product_id INT, stock INT")
-    got = {(r.product_id, r.order_item_id): (r.accepted, r.code)
-           for r in stock.sequential_allocation(ldf, pdf).collect()}
-    assert got == brute_allocation(lines, stocks)
+    assert allocated(spark, lines, stocks) == brute_allocation(lines, stocks)
+
+
+@pytest.mark.parametrize("quantity", ["falling", "rising", "halving", "all sizes"])
+def test_passes_follow_the_digits_of_the_stock(spark, monkeypatch, quantity):
+    # 5,000 lines of different quantities, in blocks of 64: one pass per
+    # binary digit at most, not one per quantity or block
+    rnd = random.Random(7)
+    size = {
+        "falling": lambda i: 5000 - i, "rising": lambda i: i + 1, "halving": lambda i: 1 << (12 - i % 13),
+        "all sizes": lambda i: int(2 ** rnd.uniform(0, 17)),
+    }[quantity]
+    lines = [(1, i, f"h{i}", size(i)) for i in range(5000)] + [(2, i, f"s{i}", i % 5 + 1) for i in range(300)]
+    stocks = {1: 100_003, 2: 77}
+    passes = counted_passes(monkeypatch)
+    assert allocated(spark, lines, stocks, block_rows=64) == brute_allocation(lines, stocks)
+    assert len(passes) <= 17  # 100,003 has 17 binary digits
+
+
+def test_a_product_of_one_block_takes_one_pass(spark, monkeypatch):
+    lines = [(1, i, f"h{i}", 1500 - i) for i in range(1500)]
+    passes = counted_passes(monkeypatch)
+    assert allocated(spark, lines, {1: 20_000}) == brute_allocation(lines, {1: 20_000})
+    assert len(passes) <= 2  # ranks of one product may lie in two blocks
 
 
 FIVE = [(1, 10, "a", 3), (1, 10, "a", 3), (1, 11, "b", 5), (1, 11, "b", 1), (1, 12, "c", 1)]
 LINES = "product_id INT, order_id INT, order_item_id STRING, quantity INT"
 
 
-@pytest.mark.parametrize("fold_max", [2048, 0])
-def test_repeated_line_ids_stay_separate_lines(spark, fold_max):
+@pytest.mark.parametrize("block_rows", [2048, 1])
+def test_repeated_line_ids_stay_separate_lines(spark, block_rows):
     ldf = spark.createDataFrame(FIVE, LINES)
     pdf = spark.createDataFrame([(1, 8)], "product_id INT, stock INT")
-    got = rows(stock.sequential_allocation(ldf, pdf, fold_max_lines=fold_max), "order_item_id", "quantity", "accepted")
+    got = rows(stock.sequential_allocation(ldf, pdf, block_rows=block_rows), "order_item_id", "quantity", "accepted")
     # 3 and 3 leave 2, then 1 (before 5, by quantity) leaves 1, 5 is refused, 1 leaves 0
     assert got == [("a", 3, True), ("a", 3, True), ("b", 1, True), ("b", 5, False), ("c", 1, True)]
 
 
-@pytest.mark.parametrize("fold_max", [2048, 0])
-def test_odd_quantities_and_stocks(spark, fold_max):
+@pytest.mark.parametrize("block_rows", [2048, 1])
+def test_odd_quantities_and_stocks(spark, block_rows):
     lines = [(1, 1, "a", None), (1, 2, "b", 0), (1, 3, "c", -4), (1, 4, "d", 9), (2, 1, "e", 0), (2, 2, "f", 1), (3, 1, "g", 1), (3, 2, "h", 0)]
     pdf = spark.createDataFrame([(1, 5), (2, -1), (3, None)], "product_id INT, stock INT")
     got = {r.order_item_id: (r.accepted, r.code) for r in stock.sequential_allocation(
-        spark.createDataFrame(lines, LINES), pdf, fold_max_lines=fold_max).collect()}
+        spark.createDataFrame(lines, LINES), pdf, block_rows=block_rows).collect()}
     assert got == {"a": (True, 200), "b": (True, 200), "c": (False, 400), "d": (False, 400), "e": (False, 400),
                    "f": (False, 400), "g": (False, 400), "h": (True, 200)}
 
@@ -178,7 +209,7 @@ def test_wide_ids_and_many_partitions(spark, kind, first, step):
     spark.conf.set("spark.sql.shuffle.partitions", "200")
     try:
         got = {(r.product_id, r.order_item_id): (r.accepted, r.code)
-               for r in stock.sequential_allocation(ldf, pdf, fold_max_lines=0).collect()}
+               for r in stock.sequential_allocation(ldf, pdf, block_rows=1).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert got == brute_allocation(lines, {1: 50})
