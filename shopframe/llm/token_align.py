@@ -34,6 +34,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +44,12 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, stored
 
 CHUNK_BYTES = 4 * 1024 * 1024
-#: Units a worker keeps: about 120 MB.
-CACHE_UNITS = 250_000
+#: Units a worker keeps: about 120 MB, forgotten together.
+CACHE_UNITS = 500_000
 UNIT = re.compile(r"[ \n]+[^ \n]*")
 OTHER_SPACE = re.compile(r"[^\S \n]")
 MARK = "▁"
+NONE = 1 << 62
 
 
 def byte_of_char() -> dict[str, int]:
@@ -94,62 +96,90 @@ class Pair:
         self.len_a = np.array([len(x) for x in self.bytes_a], dtype=np.int64)
         self.len_b = np.array([len(x) for x in self.bytes_b], dtype=np.int64)
         self.digits, self.n_digits = _digits(max(len(self.bytes_a), len(self.bytes_b)))
-        self.units_a: dict[str, bytes] = {}
-        self.units_b: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str], prefixed: list[str]) -> Iterator[tuple[bytes, bytes] | None]:
-        """Ids of B's texts and A's, as bytes; None where the bytes differ.
-        ``prefixed`` is what both must spell."""
-        got_a = self.a.encode_batch_fast(prefixed, add_special_tokens=False)
-        got_b = self.b.encode(texts, num_threads=1)
-        for whole, a, b in zip(prefixed, got_a, got_b):
-            yield self._same(whole, a.ids, b)
-
-    def _same(self, whole: str, a: list[int], b: list[int]) -> tuple[bytes, bytes] | None:
-        raw = whole.encode("utf-8")
-        if b"".join([self.bytes_a[i] for i in a]) != raw or b"".join([self.bytes_b[i] for i in b]) != raw:
-            return None
-        return np.array(a, dtype="<i4").tobytes(), np.array(b, dtype="<i4").tobytes()
+        self._forget()
+
+    def _forget(self) -> None:
+        """No unit is known: ``place`` numbers them, and their ids lie one
+        after another.  A unit whose bytes differ has none, and is not sound."""
+        self.place: dict[str, int] = {}
+        self.ids_a, self.ids_b = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
+        self.to_a, self.to_b = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.sound = np.zeros(0, dtype=bool)
+
+    def _add(self, texts: list[str], got_a: list[list[int]], got_b: list[list[int]]) -> None:
+        """New units and their ids; both sides' tokens must spell them."""
+        raw = "".join(texts).encode("utf-8")
+        long = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        if len(raw) > long.sum():
+            long = np.array([len(t.encode("utf-8")) for t in texts])
+        sound = np.ones(len(texts), dtype=bool)
+        sides = []
+        for got, spell, width in ((got_a, self.bytes_a, self.len_a), (got_b, self.bytes_b, self.len_b)):
+            flat = np.fromiter(chain.from_iterable(got), dtype=np.int32)
+            size = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+            to = np.cumsum(size)
+            spelled = np.concatenate([[0], np.cumsum(width[flat])])[np.concatenate([[0], to])]
+            sound &= np.diff(spelled) == long
+            if sound.all() and b"".join(map(spell.__getitem__, flat.tolist())) != raw:
+                sound &= np.array([b"".join(spell[i] for i in x) == t.encode("utf-8") for t, x in zip(texts, got)])
+            sides.append((flat, size))
+        if not sound.all():  # some byte count differs: each text is looked at
+            sound = np.array([
+                b"".join(self.bytes_a[i] for i in x) == t.encode("utf-8") == b"".join(self.bytes_b[i] for i in y)
+                for t, x, y in zip(texts, got_a, got_b)
+            ])
+            sides = [(flat[np.repeat(sound, size)], np.where(sound, size, 0)) for flat, size in sides]
+        for (flat, size), ids, to in zip(sides, ("ids_a", "ids_b"), ("to_a", "to_b")):
+            setattr(self, to, np.concatenate([getattr(self, to), getattr(self, to)[-1] + np.cumsum(size)]))
+            setattr(self, ids, np.concatenate([getattr(self, ids), flat]))
+        self.sound = np.concatenate([self.sound, sound])
 
     def _learn(self, units: Iterable[str]) -> None:
         new = list(units)
-        for at in range(0, len(new), 20_000):
-            some = new[at:at + 20_000]
-            got_a = self.a.encode_batch_fast(some, add_special_tokens=False)
+        for at in range(0, len(new), 50_000):
+            some = new[at:at + 50_000]
+            got_a = [x.ids for x in self.a.encode_batch_fast(some, add_special_tokens=False)]
             # B adds a blank of its own: it stands for the unit's first one,
             # or goes again before a line feed, with which nothing merges
             got_b = self.b.encode([u[1:] if u[0] == " " else u for u in some], num_threads=1)
-            for u, a, b in zip(some, got_a, got_b):
-                if u == " ":  # nothing is left to give to B
-                    b = [self.b.piece_to_id(MARK)]
-                same = self._same(u, a.ids, b if u[0] == " " else b[1:])
-                self.units_a[u], self.units_b[u] = same or (None, None)
-
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
-        """Ids of both sides of each text, as little-endian int32 bytes."""
-        out: list[tuple[bytes, bytes]] = [(b"", b"")] * len(texts)
-        if len(self.units_a) > CACHE_UNITS:
-            self.units_a.clear()
-            self.units_b.clear()
-        split, whole = {}, []
+            for i in [i for i, u in enumerate(some) if u[0] != " " or u == " "]:
+                # of a lone blank nothing is left to give to B
+                got_b[i] = got_b[i][1:] if some[i] != " " else [self.b.piece_to_id(MARK)]
+            self.place.update(zip(some, range(len(self.sound), len(self.sound) + len(some))))
+            self._add(some, got_a, got_b)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """How many ids each text has on both sides, and the ids."""
+        if len(self.sound) > CACHE_UNITS:
+            self._forget()
+        split: list[list[str]] = [[] for _ in texts]
+        whole = []
         for k, text in enumerate(texts):
-            if not text or MARK in text:
-                continue
-            if OTHER_SPACE.search(text):
-                whole.append(k)
-            else:
-                split[k] = UNIT.findall(" " + text)
-        known = self.units_a
-        self._learn(u for u in set().union(*split.values()) if u not in known)
-        get_a, get_b = self.units_a.__getitem__, self.units_b.__getitem__
-        for k, units in split.items():
-            try:
-                out[k] = b"".join(map(get_a, units)), b"".join(map(get_b, units))
-            except TypeError:  # a unit whose bytes differ
-                pass
-        for k, same in zip(whole, self._whole([texts[k] for k in whole], [" " + texts[k] for k in whole])):
-            out[k] = same or (b"", b"")
-        return out
+            if text and MARK not in text:
+                if OTHER_SPACE.search(text):
+                    whole.append(k)
+                else:
+                    split[k] = UNIT.findall(" " + text)
+        known = self.place
+        self._learn(u for u in set().union(*split) if u not in known)
+        count = np.array([len(u) for u in split])
+        place = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(count.sum()))
+        if whole:  # each is a unit of its own, which is not kept
+            prefixed = [" " + texts[k] for k in whole]
+            first = len(self.sound)
+            got = self.a.encode_batch_fast(prefixed, add_special_tokens=False)
+            self._add(prefixed, [x.ids for x in got], self.b.encode([texts[k] for k in whole], num_threads=1))
+            place = np.insert(place, np.cumsum(count)[whole], np.arange(first, first + len(whole)))
+            count[whole] = 1
+        owner = np.repeat(np.arange(len(texts)), count)
+        bad = np.zeros(len(texts), dtype=bool)
+        bad[owner[~self.sound[place]]] = True
+        place, owner = place[~bad[owner]], owner[~bad[owner]]
+        out = []
+        for ids, to in ((self.ids_a, self.to_a), (self.ids_b, self.to_b)):
+            size = to[place + 1] - to[place]
+            out.append((np.bincount(owner, weights=size, minlength=len(texts)).astype(np.int64), ids[_ragged(to[place], size)].astype(np.int64)))
+        return out[0][0], out[1][0], out[0][1], out[1][1]
 
 
 @lru_cache(maxsize=2)
@@ -173,20 +203,20 @@ def _nearest(ends_a: np.ndarray, ends_b: np.ndarray, lo: np.ndarray, hi: np.ndar
     todo = np.arange(len(lo))
     while len(todo):
         new_left, new_right = np.maximum(lo[todo], left[todo] - step), np.minimum(hi[todo], right[todo] + step)
-        # what is new on both sides of each range
+        # what is new on both sides of each range, at least one end
         start = np.stack([new_left, right[todo]], 1).ravel()
         size = np.stack([left[todo] - new_left, new_right - right[todo]], 1).ravel()
-        place, owner = _ragged(start, size), np.repeat(np.repeat(todo, 2), size)
+        place = _ragged(start, size)
         end = ends_a[place]
         # A's last end of all is B's too: the place is inside B's ends
         shared = ends_b[np.searchsorted(ends_b, end)] == end
-        place, owner = place[shared], owner[shared]
-        far = np.abs(place - mid[owner])
-        order = np.lexsort((far, owner))
-        owner, place = owner[order], place[order]
-        first = np.ones(len(owner), dtype=bool)
-        first[1:] = owner[1:] != owner[:-1]
-        best[owner[first]] = place[first]
+        # twice the distance from the middle, and one more on the right
+        far = place - np.repeat(np.repeat(mid[todo], 2), size)
+        code = np.where(shared, np.where(far < 0, -2 * far, 2 * far + 1), NONE)
+        pairs = size[::2] + size[1::2]
+        least = np.minimum.reduceat(code, np.cumsum(pairs) - pairs)
+        found = least < NONE
+        best[todo[found]] = mid[todo[found]] + np.where(least[found] & 1, least[found] >> 1, -(least[found] >> 1))
         left[todo], right[todo] = new_left, new_right
         todo = todo[(best[todo] < 0) & ((new_left > lo[todo]) | (new_right < hi[todo]))]
         step *= 4
@@ -212,20 +242,16 @@ def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, bounds: np.ndarray) -> n
         # ends nearer to the middle than the cut are no cuts
         far = np.abs(cut - mid)
         below = cut < mid
-        lo, hi = (
-            np.concatenate([lo, np.where(below, mid + far, cut + 1)]),
-            np.concatenate([np.where(below | (far == 0), cut, mid - far + 1), hi]),
-        )
+        # both parts side by side, so that ends are looked up in order
+        lo = np.stack([lo, np.where(below, mid + far, cut + 1)], 1).ravel()
+        hi = np.stack([np.where(below | (far == 0), cut, mid - far + 1), hi], 1).ravel()
 
 
 class Chunk:
     """Groups and links of some documents."""
 
-    def __init__(self, pair: Pair, encoded: list[tuple[bytes, bytes]]):
-        self.n_a = np.array([len(a) // 4 for a, _ in encoded], dtype=np.int64)
-        self.n_b = np.array([len(b) // 4 for _, b in encoded], dtype=np.int64)
-        self.a = np.frombuffer(b"".join([a for a, _ in encoded]), dtype="<i4").astype(np.int64)
-        self.b = np.frombuffer(b"".join([b for _, b in encoded]), dtype="<i4").astype(np.int64)
+    def __init__(self, pair: Pair, texts: list[str | None]):
+        self.n_a, self.n_b, self.a, self.b = pair.encode(texts)
         ends_a, ends_b = np.cumsum(pair.len_a[self.a]), np.cumsum(pair.len_b[self.b])
         bounds = np.cumsum(self.n_a)[self.n_a > 0]
         self.cut_a = shared_cuts(ends_a, ends_b, bounds) if len(bounds) else np.zeros(0, dtype=np.int64)
@@ -234,8 +260,10 @@ class Chunk:
         self.cuts_to = np.searchsorted(self.cut_a, np.cumsum(self.n_a))
         self.n_groups = np.diff(self.cuts_to, prepend=0)
         # B tokens whose bytes overlap those of each A token
-        first = np.searchsorted(ends_b, ends_a - pair.len_a[self.a], side="right")
-        last = np.searchsorted(ends_b, ends_a)
+        ended = np.zeros(int(ends_b[-1]) + 1 if len(ends_b) else 1, dtype=np.int32)
+        ended[ends_b] = 1
+        ended = np.cumsum(ended, dtype=np.int32)  # B's ends up to each byte
+        first, last = (ended[at].astype(np.int64) for at in (ends_a - pair.len_a[self.a], ends_a - 1))
         size = last - first + 1
         self.link_a, self.link_b = np.repeat(np.arange(len(self.a)), size), _ragged(first, size)
         self.links_to = np.concatenate([[0], np.cumsum(size)])[np.cumsum(self.n_a)]
@@ -291,7 +319,7 @@ RESULT = (
 
 def _chunk_rows(pair: Pair, number: int, ids: list, texts: list[str | None], with_groups: bool) -> Iterator[pa.RecordBatch]:
     """A row for each document, then one of the chunk's pairs."""
-    chunk = Chunk(pair, pair.encode(texts))
+    chunk = Chunk(pair, texts)
     a, b, n, codes = chunk.coded()
     groups = chunk.group_texts()
     # byte planes: the upper ones are nearly all zero and pack well
