@@ -156,6 +156,17 @@ TABLES: dict[str, TableSpec] = {
     ),
 }
 
+# The foreign keys (child table, column, parent table); the
+# parent's key column is its catalog key.
+FOREIGN_KEYS = (
+    ("orders", "user_id", "users"),
+    ("order_item", "product_id", "products"),
+    ("order_item", "order_id", "orders"),
+    ("products", "category_id", "categories"),
+    ("delivery_details", "user_id", "users"),
+    ("delivery_details", "order_id", "orders"),
+)
+
 # The column-name listing (B1) shows ``password`` for users although the data
 # view never returns it; the listing keeps that quirk.
 _LISTED_VIEW_COLUMNS = {

@@ -56,6 +56,61 @@ s_status_changes AS (
   FROM events WHERE event_type IN ('purchase', 'signup', 'click'))
 """
 
+# The tables after deletes that did not cascade, their references and keys.
+_AFTER_DELETES = """
+, d_orders AS (SELECT * FROM s_orders WHERE order_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')),
+d_users AS (SELECT * FROM s_users WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup')),
+d_products AS (SELECT * FROM s_products WHERE product_id NOT IN (SELECT user_id FROM events WHERE event_type IN ('error', 'signup'))),
+refs AS (
+  SELECT 'orders' AS child, 'user_id' AS "column", 'users' AS parent, user_id AS key FROM d_orders
+  UNION ALL SELECT 'order_item', 'product_id', 'products', product_id FROM s_order_item
+  UNION ALL SELECT 'order_item', 'order_id', 'orders', order_id FROM s_order_item
+  UNION ALL SELECT 'products', 'category_id', 'categories', category_id FROM d_products
+  UNION ALL SELECT 'delivery_details', 'user_id', 'users', user_id FROM s_delivery
+  UNION ALL SELECT 'delivery_details', 'order_id', 'orders', order_id FROM s_delivery),
+parents AS (
+  SELECT 'users' AS parent, user_id AS key FROM d_users
+  UNION ALL SELECT 'products', product_id FROM d_products
+  UNION ALL SELECT 'orders', order_id FROM d_orders
+  UNION ALL SELECT 'categories', category_id FROM s_categories)
+"""
+
+
+def _content(table: str, view: str, columns: str) -> str:
+    """Row count and content digest of a table; a column of the export order
+    is a name with t (time), m (money) or nothing after a colon, or - if the
+    test data has no values for it."""
+    parts = []
+    for c in columns.split():
+        name, _, kind = c.partition(":")
+        if name == "-":
+            parts.append("'n'")
+            continue
+        text = {
+            "t": f"strftime({name}, '%Y-%m-%d %H:%M:%S')", "m": f"CAST(CAST({name} AS DECIMAL(18,2)) AS VARCHAR)",
+        }.get(kind, f"CAST({name} AS VARCHAR)")
+        parts.append(f"coalesce(strlen({text}) || ':' || {text}, 'n')")
+    row = " || ".join(parts)
+    return (
+        f"SELECT '{table}' AS t, true AS ok, count(*) AS n, "
+        f"CAST(coalesce(sum(CAST(('0x' || substr(md5({row}), 1, 12)) AS BIGINT)), 0) AS VARCHAR) AS digest FROM {view}"
+    )
+
+
+_CONTENT = "\n" + "\nUNION ALL ".join(
+    _content(*x) for x in (
+        ("orders", "s_orders", "order_id user_id total:m status created_at:t - description"),
+        ("order_item", "s_order_item", "product_id quantity price:m - - order_id total:m order_item_id"),
+        ("delivery_details", "s_delivery", "delivery_id user_id order_id email country - - - - - - status - - -"),
+        ("users", "s_users", "user_id username email - is_disabled - - user_type"),
+        ("products", "s_products", "product_id name description price:m stock - is_disabled - - category_id"),
+        ("categories", "s_categories", "category_id category is_disabled"),
+        ("customer_testimonial", "s_testimonial", "customer_testimonial_id name comment rating - -"),
+        ("newsletter", "s_newsletter", "newsletter_id email is_disabled"),
+        ("slide_show", "s_slide_show", "title description - slide_show_id"),
+    )
+)
+
 _BODIES: dict[str, str] = {
     "orders_by_month_status": """
 SELECT strftime(created_at, '%B') AS month, status, count(*) AS count
@@ -118,7 +173,12 @@ WHERE lower(email) IN (SELECT lower(CASE WHEN event_type IN ('signup', 'purchase
 SELECT order_id, CAST(sum(total) AS DOUBLE) AS total FROM s_order_item GROUP BY 1""",
     "next_ids": """
 SELECT 'orders' AS t, coalesce(max(order_id), 0) + 1 AS next_id FROM s_orders
-UNION ALL SELECT 'users', coalesce(max(user_id), 0) + 1 FROM s_users""",
+UNION ALL SELECT 'users', coalesce(max(user_id), 0) + 1 FROM s_users
+UNION ALL SELECT 'delivery_details', coalesce(max(delivery_id), 0) + 1 FROM s_delivery""",
+    "next_ids_after_truncate": """
+SELECT 'orders' AS t, CAST(1 AS BIGINT) AS next_id, CAST(0 AS BIGINT) AS n
+UNION ALL SELECT 'users', coalesce(max(user_id), 0) + 1, count(*) FROM s_users
+UNION ALL SELECT 'delivery_details', 1, 0""",
     "latest_draft": """
 SELECT user_id, order_id FROM s_orders WHERE status = 'draft'
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, order_id DESC) = 1""",
@@ -403,25 +463,38 @@ SELECT t.product_id,
        CASE WHEN known THEN p_size > 10 ELSE t.is_disabled END AS is_disabled,
        t.category_id
 FROM s_products t JOIN (SELECT *, p_size <= 40 AS known FROM part) p ON t.product_id = p_partkey""",
-    "export_all": """
-SELECT 'orders' AS t, true AS ok, count(*) AS n FROM s_orders
-UNION ALL SELECT 'order_item' AS t, true AS ok, count(*) AS n FROM s_order_item
-UNION ALL SELECT 'delivery_details' AS t, true AS ok, count(*) AS n FROM s_delivery
-UNION ALL SELECT 'users' AS t, true AS ok, count(*) AS n FROM s_users
-UNION ALL SELECT 'products' AS t, true AS ok, count(*) AS n FROM s_products
-UNION ALL SELECT 'categories' AS t, true AS ok, count(*) AS n FROM s_categories
-UNION ALL SELECT 'customer_testimonial' AS t, true AS ok, count(*) AS n FROM s_testimonial
-UNION ALL SELECT 'newsletter' AS t, true AS ok, count(*) AS n FROM s_newsletter
-UNION ALL SELECT 'slide_show' AS t, true AS ok, count(*) AS n FROM s_slide_show""",
-    "restore_all": """
-SELECT 'orders' AS t, true AS ok, count(*) AS n FROM s_orders
-UNION ALL SELECT 'delivery_details' AS t, true AS ok, count(*) AS n FROM s_delivery
-UNION ALL SELECT 'users' AS t, true AS ok, count(*) AS n FROM s_users
-UNION ALL SELECT 'products' AS t, true AS ok, count(*) AS n FROM s_products
-UNION ALL SELECT 'categories' AS t, true AS ok, count(*) AS n FROM s_categories
-UNION ALL SELECT 'customer_testimonial' AS t, true AS ok, count(*) AS n FROM s_testimonial
-UNION ALL SELECT 'newsletter' AS t, true AS ok, count(*) AS n FROM s_newsletter
-UNION ALL SELECT 'slide_show' AS t, true AS ok, count(*) AS n FROM s_slide_show""",
+    "orphan_report": _AFTER_DELETES + """
+SELECT child, "column", parent, CAST(key AS VARCHAR) AS missing_key, count(*) AS n
+FROM refs WHERE key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM parents p WHERE p.parent = refs.parent AND p.key = refs.key)
+GROUP BY ALL""",
+    "orphan_summary": _AFTER_DELETES + """
+SELECT child, "column", parent, count(key) AS referring, count(*) - count(key) AS null_refs, count(DISTINCT key) AS keys,
+       count(DISTINCT key) FILTER (WHERE lost) AS missing_keys, count(*) FILTER (WHERE lost) AS orphans
+FROM (SELECT *, key IS NOT NULL AND (parent, key) NOT IN (SELECT (parent, key) FROM parents) AS lost FROM refs)
+GROUP BY ALL""",
+    "orphan_lines": _AFTER_DELETES + """
+SELECT order_item_id, quantity,
+       concat_ws(',', CASE WHEN product_id NOT IN (SELECT product_id FROM d_products) THEN 'product_id' END,
+                 CASE WHEN order_id NOT IN (SELECT order_id FROM d_orders) THEN 'order_id' END) AS missing
+FROM s_order_item
+WHERE product_id NOT IN (SELECT product_id FROM d_products) OR order_id NOT IN (SELECT order_id FROM d_orders)""",
+    "stock_check_text_ids": """
+SELECT event_id, r.order_id, r.product_id,
+       CASE WHEN o.order_id IS NULL OR l.order_item_id IS NULL OR p.product_id IS NULL THEN 404
+            WHEN l.quantity > stock THEN 422 ELSE 200 END AS code,
+       CASE WHEN o.order_id IS NULL THEN 'order not found' WHEN l.order_item_id IS NULL THEN 'unable to fetch order item stock quantity'
+            WHEN p.product_id IS NULL THEN 'unable to fetch product quantity' WHEN l.quantity > stock THEN 'Insufficient stock.' END AS error
+FROM (
+  SELECT event_id, user_id || '-1' AS order_item_id,
+         CASE event_type WHEN 'click' THEN user_id WHEN 'error' THEN NULL WHEN 'signup' THEN user_id ELSE user_id + 8589934592 END AS order_id,
+         CASE WHEN value > 90 THEN NULL ELSE user_id END AS product_id
+  FROM events) r
+LEFT JOIN s_orders o ON r.order_id = o.order_id
+LEFT JOIN (SELECT order_item_id, arg_min(quantity, (order_id, quantity)) AS quantity FROM s_order_item GROUP BY 1) l
+  ON r.order_item_id = l.order_item_id
+LEFT JOIN s_products p ON r.product_id = p.product_id""",
+    "export_all": _CONTENT,
+    "restore_all": _CONTENT,
 }
 
 

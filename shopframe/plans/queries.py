@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import spec
 from ..functions.scalars import line_total
-from ..operators import changes, lookups, metrics, stock, views
+from ..operators import changes, integrity, lookups, metrics, stock, views
 from ..session import scratch_path
 from ..sources import csv_transfer, store
 from ..sources import requests as req
@@ -108,7 +108,18 @@ def q_order_subtotals(spark, sf_dir):
 
 def q_next_ids(spark, sf_dir):
     t = ShopTables(spark, sf_dir)
-    return metrics.next_ids({"orders": (t.orders(), "order_id"), "users": (t.users(), "user_id")})
+    # the test data's line ids are text, so order_item has no next one
+    return metrics.next_ids({n: (t.table(n), spec(n).key[0]) for n in ("orders", "users", "delivery_details")})
+
+
+def q_next_ids_after_truncate(spark, sf_dir):
+    # H6: the emptied tables start anew; the others go on
+    t = ShopTables(spark, sf_dir)
+    tables = {n: t.table(n) for n in ("orders", "users", "delivery_details")}
+    emptied = {n: changes.truncate(tables[n], confirm=True) for n in ("orders", "delivery_details")}
+    return metrics.next_ids({n: (df, spec(n).key[0]) for n, df in (tables | emptied).items()}).join(
+        _counts((tables | emptied).items()), "t"
+    )
 
 
 def q_latest_draft(spark, sf_dir):
@@ -395,32 +406,88 @@ def _counts(frames) -> DataFrame:
     return out
 
 
+def _digests(frames) -> DataFrame:
+    out = None
+    for name, df in frames:
+        one = csv_transfer.content_digest(df, name).select(F.lit(name).alias("t"), "n", "digest")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def q_export_all(spark, sf_dir):
-    # A5: every table exported, and the rows found in each export
+    # A5: every table exported; the rows found in each export and a digest of
+    # their content
     t = ShopTables(spark, sf_dir)
     root = scratch_path(spark, "export-all")
     report = csv_transfer.export_all(spark, t.table, root, MAPPED_TABLES).select(F.col("table").alias("t"), "ok")
-    counts = _counts(
+    found = _digests(
         (n, csv_transfer.read_export_csv(spark, f"{root}/{n}", n, t.table(n).schema)) for n in MAPPED_TABLES
     )
-    return report.join(counts, "t")
+    return report.join(found, "t")
+
+
+#: Loaded lines may repeat an id, with another quantity.
+RESTORE_KEYS = {"order_item": ("order_item_id", "quantity")}
 
 
 def q_restore_all(spark, sf_dir):
     # Every table restored from its export into a version that lost rows
+    # and has other texts in some of those left
     t = ShopTables(spark, sf_dir)
     backup, store_root = scratch_path(spark, "backup"), scratch_path(spark, "store")
     csv_transfer.export_all(spark, t.table, backup, MAPPED_TABLES)
     lost = t.events().select("user_id").distinct()
+    altered = {"orders": "description", "users": "user_type", "products": "name", "delivery_details": "status",
+               "customer_testimonial": "comment", "slide_show": "title"}
 
     def damaged(name: str) -> DataFrame:
-        return lookups.not_in_ids(t.table(name), spec(name).key[0], lost)
+        if name == "order_item":
+            return t.order_item().join(lost.withColumnRenamed("user_id", "order_id"), "order_id", "left_anti")
+        left = lookups.not_in_ids(t.table(name), spec(name).key[0], lost)
+        return left.withColumn(altered[name], F.lit("?")) if name in altered else left
+
+    report = csv_transfer.restore_all(spark, damaged, backup, store_root, MAPPED_TABLES, RESTORE_KEYS)
+    found = _digests((n, store.read_current(spark, store_root, n)) for n in MAPPED_TABLES)
+    return report.select(F.col("table").alias("t"), "ok").join(found, "t")
+
 
-    # order lines repeat an id in some data, which a keyed restore refuses
-    tables = [n for n in MAPPED_TABLES if n != "order_item"]
-    report = csv_transfer.restore_all(spark, damaged, backup, store_root, tables).select(F.col("table").alias("t"), "ok")
-    counts = _counts((n, store.read_current(spark, store_root, n)) for n in tables)
-    return report.join(counts, "t")
+def _deleted(spark, sf_dir) -> Callable[[str], DataFrame]:
+    """The tables after deletes that did not cascade: orders of error events,
+    customers of sign-up events, products named by both."""
+    t = ShopTables(spark, sf_dir)
+    events = t.events()
+    ids = {
+        "orders": req.deletion_requests(events),
+        "users": events.where("event_type = 'signup'").select("user_id"),
+        "products": events.where("event_type in ('error', 'signup')").select(F.col("user_id").alias("product_id")),
+    }
+
+    def load(name: str) -> DataFrame:
+        return changes.delete_table(name, t.table(name), ids[name])[0] if name in ids else t.table(name)
+
+    return load
+
+
+def q_orphan_report(spark, sf_dir):
+    return integrity.orphan_report(_deleted(spark, sf_dir), MAPPED_TABLES)
+
+
+def q_orphan_summary(spark, sf_dir):
+    return integrity.orphan_summary(_deleted(spark, sf_dir), MAPPED_TABLES)
+
+
+def q_orphan_lines(spark, sf_dir):
+    return integrity.orphan_rows(_deleted(spark, sf_dir), "order_item", MAPPED_TABLES).select(
+        "order_item_id", "quantity", F.array_join("missing", ",").alias("missing")
+    )
+
+
+def q_stock_check_text_ids(spark, sf_dir):
+    # Ids as the text of request paths, against numeric keys
+    t = ShopTables(spark, sf_dir)
+    return stock.stock_check(req.text_id_requests(t.events()), t.orders(), t.order_item(), t.products()).select(
+        "event_id", "order_id", "product_id", "code", "error"
+    )
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -476,4 +543,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "update_products": q_update_products,
     "export_all": q_export_all,
     "restore_all": q_restore_all,
+    "orphan_report": q_orphan_report,
+    "orphan_summary": q_orphan_summary,
+    "orphan_lines": q_orphan_lines,
+    "next_ids_after_truncate": q_next_ids_after_truncate,
+    "stock_check_text_ids": q_stock_check_text_ids,
 }

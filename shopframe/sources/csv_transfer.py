@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,11 +92,34 @@ def read_export_csv(spark: SparkSession, path: str, table: str, target_schema: T
     return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def restore_table(target: DataFrame, staged: DataFrame, table: str) -> DataFrame:
-    """Staged upsert on the table key; ``delivery_details.country`` keeps
-    the target's value on conflict."""
+def content_digest(df: DataFrame, table: str) -> DataFrame:
+    """One row ``(n, digest)``: the number of rows and an order-free digest of
+    the table's content in its export form.
+
+    A row's text is, column after column, ``<bytes>:<text>`` or ``n`` for a
+    null, so neither a moved border nor a null for an empty text goes unseen;
+    numbers with a fraction are taken to the cent.  The digest is the sum of
+    the first 48 bits of the rows' MD5 - repeated rows count, and one partial
+    sum per task is all that is shuffled."""
+    parts = []
+    for f in export_projection(df, table).schema.fields:
+        c = F.col(f.name)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
+            c = c.cast("decimal(18,2)")
+        text = c.cast("string")
+        parts.append(F.when(text.isNull(), F.lit("n")).otherwise(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text)))
+    row = F.conv(F.substring(F.md5(F.concat(*parts)), 1, 12), 16, 10).cast("decimal(38,0)")
+    return export_projection(df, table).select(row.alias("h")).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("h"), F.lit(0).cast("decimal(38,0)")).cast("string").alias("digest")
+    )
+
+
+def restore_table(target: DataFrame, staged: DataFrame, table: str, key: Sequence[str] | None = None) -> DataFrame:
+    """Staged upsert on the table key, or on ``key`` where loaded data
+    repeat the table's; ``delivery_details.country`` keeps the target's value
+    on conflict."""
     s = spec(table)
-    return upsert(target, staged, list(s.key), keep_on_conflict=list(s.keep_on_conflict))
+    return upsert(target, staged, list(key or s.key), keep_on_conflict=list(s.keep_on_conflict))
 
 
 def _report(spark: SparkSession, rows: list[tuple[str, bool, str | None]]) -> DataFrame:
@@ -136,11 +159,13 @@ def restore_all(
     in_root: str,
     out_root: str,
     tables=TABLE_ORDER,
+    keys: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Restore every table from ``in_root/<table>`` into the current
     version given by ``load`` and write the result as the next version in the
-    table store at ``out_root`` (``store.read_current`` reads it).  Errors
-    are collected per table; a missing input root raises."""
+    table store at ``out_root`` (``store.read_current`` reads it).  ``keys``
+    names other key columns for tables whose key the loaded data repeat.
+    Errors are collected per table; a missing input root raises."""
     if not _path_exists(spark, in_root):
         raise FileNotFoundError(f"backup folder not found: {in_root}")
     rows = []
@@ -148,7 +173,7 @@ def restore_all(
         try:
             current = load(t)
             staged = read_export_csv(spark, os.path.join(in_root, t), t, current.schema)
-            write_version(restore_table(current, staged, t), out_root, t)
+            write_version(restore_table(current, staged, t, (keys or {}).get(t)), out_root, t)
             rows.append((t, True, None))
         except Exception as e:  # noqa: BLE001 - reported per table
             rows.append((t, False, f"{type(e).__name__}: {e}"))
@@ -165,5 +190,13 @@ def record_run(spark: SparkSession, log_path: str, run_ts=None) -> None:
 
 
 def last_run(spark: SparkSession, log_path: str) -> DataFrame:
-    """One row with the latest recorded run time (null if none)."""
-    return spark.read.schema("run_ts TIMESTAMP").parquet(log_path).agg(F.max("run_ts").alias("last_run"))
+    """One row with the latest recorded run time; null before the first
+    run, when there is no log yet."""
+    try:
+        log = spark.read.schema("run_ts TIMESTAMP").parquet(log_path)
+        log.schema  # noqa: B018 - resolve now
+    except Exception as e:  # noqa: BLE001
+        if not is_absent_path_error(e):
+            raise
+        log = spark.createDataFrame([], "run_ts TIMESTAMP")
+    return log.agg(F.max("run_ts").alias("last_run"))

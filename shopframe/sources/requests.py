@@ -102,3 +102,18 @@ def stock_requests(order_item: DataFrame) -> DataFrame:
     return order_item.select(
         "order_item_id", (F.col("order_id") * 2).alias("order_id"), (F.col("product_id") + F.col("quantity")).alias("product_id")
     )
+
+
+def text_id_requests(events: DataFrame) -> DataFrame:
+    """Stock checks as they come in request paths, ids as text: a number with
+    something after it, blanks and a sign before it, no number at all, or one
+    beyond 32 bits, by event type."""
+    number = F.col("user_id").cast("string")
+    kind = F.col("event_type")
+    order = (
+        F.when(kind == "click", F.concat(number, F.lit("abc"))).when(kind == "error", F.lit("abc"))
+        .when(kind == "signup", F.concat(F.lit("  +"), number)).otherwise((F.col("user_id") + (1 << 33)).cast("string"))
+    )
+    product = F.when(F.col("value") > 90, F.lit("")).otherwise(F.concat(number, F.lit(".5")))
+    line = F.concat(number, F.lit("-1"))
+    return events.select("event_id", order.alias("order_id"), line.alias("order_item_id"), product.alias("product_id"))
