@@ -10,10 +10,12 @@ document that does not fit whole is cut; its rest seeds the next window.  So
 no window but a shard's last has room left, and the last is closed as
 sequences whose lengths are powers of two, which need no padding either.
 
-Token ids are those of the tokenizer file, by its library.  Words are encoded
-once per worker and looked up after that: the tokenizer's pre-tokenizer never
-joins text over white space, so ids of a text are the ids of its words.
-Texts for which that is not plain go to the library whole.
+Token ids are those of the tokenizer file, by its library, strings of special
+tokens included.  A text is cut into the pieces of the file's pre-tokenizer,
+which are encoded once per worker and looked up after that.  Texts with
+characters beyond ``PLAIN`` are cut into words first (no piece reaches over
+white space), and those for which that is not plain either go to the library
+whole.
 
 Defined cases: a null or empty text has the end id alone; equal scores are
 ordered by the shard's order; rows that repeat an id are packed each; null
@@ -48,6 +50,12 @@ CACHE_WORDS = 900_000
 
 PIECES = re.compile(r"[^\W\d_]+|(?:[\W_])+")
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# Texts of these characters only are cut by one expression: ASCII, the letters
+# of Latin-1 and Latin Extended-A but the dotted capital I (whose lower case is
+# two characters), and some signs.
+PLAIN = re.compile("[^\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e\u2013\u2014\u2018-\u201e\u2026\u20ac]")
+# Fixed value: the pre-tokenizer's rule, for such texts in lower case.
+CUT = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u017e]+")
 # separators that Python splits at and the tokenizer does not, and the
 # beginning of special tokens: texts with these are encoded whole
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
@@ -60,7 +68,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         # The same model for pieces that need no normalisation or splitting
@@ -117,16 +124,27 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text and the end id."""
-        split = [t.split() if t and not any(c in t for c in ODD) else None for t in texts]
-        if len(self.words) > CACHE_WORDS:
+        if len(self.words) + len(self.known) > CACHE_WORDS:
             self.words.clear()
             self.known.clear()
-        self.learn([w for w in set().union(*(s for s in split if s)) if w not in self.words])
-        end, get = np.array([END_ID], dtype="<u4").tobytes(), self.words.__getitem__
+        cut: list[list[str] | None] = []
+        split: list[list[str] | None] = []
+        for t in texts:
+            odd = not t or any(c in t for c in ODD)
+            plain = not odd and not PLAIN.search(t)
+            cut.append(CUT.findall(t.lower()) if plain else None)
+            split.append(t.split() if not odd and not plain else None)
+        self._learn_pieces(set().union(*(c for c in cut if c)))
+        words = set().union(*(s for s in split if s))
+        self.learn([w for w in words if w not in self.words])
+        end = np.array([END_ID], dtype="<u4").tobytes()
+        piece, word = self.known.__getitem__, self.words.__getitem__
         out = []
-        for t, s in zip(texts, split):
-            if s is not None:
-                raw = b"".join(map(get, s)) + end
+        for t, c, s in zip(texts, cut, split):
+            if c is not None:
+                raw = b"".join(map(piece, c)) + end
+            elif s is not None:
+                raw = b"".join(map(word, s)) + end
             else:
                 ids = self.whole.encode(t, add_special_tokens=False).ids if t else []
                 raw = np.array([*ids, END_ID], dtype="<u4").tobytes()

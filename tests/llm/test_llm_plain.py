@@ -29,16 +29,15 @@ def encoder():
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
 
 
 WHITE = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (chr(c).isspace() or c in (0x180E, 0x200B, 0x1C))]
 
 
 @pytest.mark.parametrize("text", [
-    "", " ", "It's 10 o'clock, DON'T", "ΣΑΣ όΣ", "İstanbul ıI", "a\x1cb c\x1fd", "<|endoftext|> x", "éa ́b", "ﬁ ² Ⅷ ½",
+    "", " ", "It's 10 o'clock, DON'T", "ΣΑΣ όΣ", "İstanbul ıI", "a\x1cb c\x1fd", "<|endoftext|> x", "hello <|endoftext|> world",
+    "a<|startoftext|>b", "<|ENDOFTEXT|> y", "<|end oftext|>", "it'S 'sound 'TWAS we'd've x''s", "3.14 12a a12 1st £5 5€ “q” – a…b", "ĳ Ŀ ŉ ſ Ÿ × ÷ ª º µ", "éa ́b", "ﬁ ² Ⅷ ½",
     "naïve ÄÖÜß élan -- ***", "日本語 テスト。", "a_b__c", "🙂🙂 ok", "x" * 500, *[f"ab{c}cd {c}, e" for c in WHITE],
 ])
 def test_ids_equal_the_library(encoder, library, text):
@@ -51,6 +50,20 @@ def test_ids_equal_the_library_on_any_text(encoder, library, text):
     assert encoder.encode([text])[0].tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
 
 
+@settings(max_examples=400, derandomize=True, deadline=None)
+@given(st.text(st.sampled_from([chr(c) for c in [9, 10, 13, *range(32, 127), *range(0xA0, 0x180)] + [0x2013, 0x2014, 0x2018, 0x201E, 0x2026, 0x20AC]]), max_size=40))
+def test_ids_equal_the_library_on_plain_text(encoder, library, text):
+    assert encoder.encode([text])[0].tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_every_plain_character_alone_and_inside(encoder, library):
+    plain = [chr(c) for c in range(0x3000) if not packing.PLAIN.search(chr(c))]
+    assert len(plain) > 250
+    texts = [t for c in plain for t in (c, f"ab{c}cd 1{c}2 {c}")]
+    want = [[*e.ids, 2] for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.encode(texts)] == want
+
+
 def test_cache_that_is_cleared_changes_nothing(encoder, library, monkeypatch):
     monkeypatch.setattr(packing, "CACHE_WORDS", 3)
     fresh = packing.Encoder(tokenizer_file("word_bpe_49k.json"))
