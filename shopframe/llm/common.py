@@ -47,6 +47,14 @@ def _ship_package(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have, in either case."""
+    taken, name = {c.lower() for c in df.columns}, f"_{stem}"
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Before Python work: the workers get this package, and the session's
     Arrow batches are bounded by bytes as well as by rows."""

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_name, stored
 
 # The token positions that each mask looks at.
 MASKS = (
@@ -154,5 +154,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> Data
     """The documents without those that overlap an item."""
     id_col = settings.get("id_col", "doc_id")
     found = stored(find_overlaps(docs, benchmark, **settings).select("doc_id").distinct(), "decontam-found")
-    found = found.select(F.col("doc_id").alias("_found"))
-    return docs.join(found, F.col(id_col).cast("long") == F.col("_found"), "left_anti")
+    name = free_name(docs, "found")
+    found = found.select(F.col("doc_id").alias(name))
+    return docs.join(found, docs[id_col].cast("long") == F.col(name), "left_anti")

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored
+from .common import free_name, map_rows, stored
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEGMENTS = ((0, 23), (23, 23), (46, 18))  # first bit, bits
@@ -340,13 +340,14 @@ def keep_one(docs: DataFrame, words: int = 4, max_bits: int = 4, id_col: str = "
     """The documents whose id names their component.  Rows that repeat such
     an id are one document; rows without an id, which nothing can name, stay."""
     found = near_duplicates(docs, words, max_bits, id_col, text_col)
+    name, times = free_name(docs, "kept"), free_name(docs, "times")
     kept = stored(
         found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept"
-    ).select(F.col("doc_id").alias("_kept"), "n")
-    same = docs[id_col].cast("long") == F.col("_kept")
+    ).select(F.col("doc_id").alias(name), F.col("n").alias(times))
+    same = docs[id_col].cast("long") == F.col(name)
     # the kept ids grow with the documents: one plan at every size
-    out = docs.join(kept.where("n = 1").hint("merge"), same, "left_semi")
-    repeated = kept.where("n > 1")
+    out = docs.join(kept.where(F.col(times) == 1).hint("merge"), same, "left_semi")
+    repeated = kept.where(F.col(times) > 1)
     if not repeated.isEmpty():
         out = out.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates([id_col]))
     nameless = docs.where(F.col(id_col).cast("long").isNull())

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -12,14 +13,19 @@ from shopframe.llm import (
 )
 from shopframe.llm.queries import tokenizer_file
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, line string, key string, h string, i int, home long"
+DOCS = (
+    "doc_id long, text string, lang string, source string, n_chars long, line string, key string, h string, i int, home long, "
+    "_doc int, _lines int, _LOST string, _kept int, _found int, _parts int, __parts int, _times int, n int, lines int, fp string, w string"
+)
 SENTENCE = "the quick brown fox jumps over the lazy dog near the old river bank today"
 VERY_LONG = " ".join(f"word{i} of the text" for i in range(30_000))
 
 
 def frame(spark, rows):
     """Documents with extra columns whose names operators use inside."""
-    return spark.createDataFrame([(*r, "x", "y", "z", 1, 2) for r in rows], DOCS)
+    return spark.createDataFrame(
+        [(*r, "x", "y", "z", 1, 2, 1, 2, "l", 3, 4, 5, 6, 7, 8, 9, "f", "w") for r in rows], DOCS
+    )
 
 
 def odd_documents(spark):
@@ -192,14 +198,14 @@ def test_long_chain_is_one_component(spark):
     assert got == {**{i: 0 for i in range(1, 301)}, 2000: 1000}
 
 
-def naive_lines(docs, min_tokens=5, similarity=0.8):
+def naive_lines(docs, min_tokens=1, similarity=0.8):
     first, places = {}, []
     for d, text in docs:
         if text is None or d is None:
             continue
         for no, raw in enumerate(text.split("\n")):
             tokens = tuple("<*>" if re.search("[0-9]", t) else t for t in re.split(r"[\x20\x09-\x0D]+", raw.strip(" \t\n\x0b\x0c\r")) if t)
-            if len(tokens) >= min_tokens:
+            if len(tokens) >= min_tokens and set(tokens) != {"<*>"}:
                 places.append((d, no, tokens))
                 first[tokens] = min(first.get(tokens, d), d)
     leaves = {}
@@ -211,7 +217,7 @@ def naive_lines(docs, min_tokens=5, similarity=0.8):
 def test_lines_equal_sequential_parsing(spark):
     rng = random.Random(9)
     pool = [f"user {rng.choice('abc')} opened the door number {{}} in wing {{}} at noon" for _ in range(6)]
-    prose = [" ".join(rng.choices("red green blue cat dog sun".split(), k=rng.randint(3, 9))) for _ in range(60)]
+    prose = [" ".join(rng.choices("red green blue cat dog sun".split(), k=rng.randint(1, 9))) for _ in range(60)] + ["", "12", "7 8 9 10 11", "page 4", "page 17", "}"]
     docs = []
     for d in range(40):
         lines = [rng.choice(pool).format(rng.randint(0, 99), rng.choice("xyz")) for _ in range(2)] + rng.choices(prose, k=6)
@@ -316,3 +322,24 @@ def test_held_out_accuracy(spark):
     kept = {(r.quality, r.kept): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
     assert kept[(1, True)] >= 0.995 * (kept[(1, True)] + kept.get((1, False), 0))
     assert kept[(0, False)] >= 0.95 * (kept[(0, False)] + kept.get((0, True), 0))
+
+
+def test_lines_of_scripts_without_spaces(spark):
+    one = "これは吾輩が書いた長い文章であり何度も同じ形で現れるので一度だけ残すべきものである"
+    near = one.replace("長い", "短い")  # one character in over forty
+    other = "全く違う内容の段落がここにあり他のどの文書にも現れないのでそのまま残るはずだと思う"
+    docs = [(1, f"{one}\nfirst"), (2, f"second\n{one}"), (3, f"{near}\nthird"), (4, other), (5, "{\nYes"), (6, "Yes\n12\n")]
+    got = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: f"{one}\nfirst", 2: "second", 3: "third", 4: other, 5: "{\nYes", 6: "12\n"}
+
+
+def test_very_many_lines(spark):
+    # a text of a million recurring lines, and many lines in one leaf
+    rng = random.Random(2)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]
+    leaf = ["one two three four " + " ".join(rng.choices(words, k=12)) for _ in range(20_000)]
+    docs = [(1, "same\nline"), (2, "same\n" * 1_000_000 + "end"), (3, "\n".join(leaf)), (4, "\n".join(leaf[:100] + ["mine"]))]
+    begun = time.time()
+    got = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1] == docs[0][1] and got[2] == "end" and got[3] == docs[2][1] and got[4] == "mine"
+    assert time.time() - begun < 90
