@@ -6,20 +6,26 @@ Every position of every document is hashed under the fixed ``MASKS``, the
 hashes are joined with those of the benchmark, and around each hit the
 documents' tokens are compared with the item's on the same alignment: a
 window of ``window`` positions, all inside both, with at least ``min_matches``
-equal tokens is an overlap.  Under the default sizes the search is complete:
-wherever 4 of 13 positions differ, one of the masks sees equal tokens only.
-
-Only DataFrame functions are used.  Before the join a bit set of fixed size
-(``BIT_WORDS`` longs) made from the benchmark's hashes removes nearly all
-positions inside the scan; it is a proven bound, whatever the benchmark's
-size, and it can only let needless rows pass.  The rows that pass carry the
-hashes around their position, so that verification needs no second look at
-the texts.
+equal tokens is an overlap.  An item shorter than the window is its own window
+and needs the same share of equal tokens; one of fewer than ``EXACT_BELOW``
+tokens needs them all.
+
+Under the default sizes the search is complete: wherever 4 of 13 positions
+differ, one of ``MASKS`` sees equal tokens only; items of fewer tokens than 12
+have two masks of three positions, which do the same for the differences that
+their length allows; the shortest are their own masks.  A document is hashed
+under the masks that the benchmark's items call for.
+
+Only DataFrame functions are used.  Before the join a bit set made from the
+benchmark's hashes removes nearly all positions inside the scan.  It has
+``BITS_PER_SEED`` bits for each of the counted hashes, up to ``MOST_WORDS``
+longs (16 MB), a proven bound whatever the benchmark's size; it can only let
+needless rows pass.  The rows that pass carry the hashes around their position,
+so that verification needs no second look at the texts.
 
 Tokens are runs of letters and digits in lower case.  Defined cases: null and
-empty texts have no tokens; an item with fewer tokens than the shortest mask
-spans cannot hit; an item shorter than the window is its own window and needs
-the same share; a document shorter than that has no overlap; repeated rows and items give one row per pair of ids; a null
+empty texts have no tokens, and an item without tokens hits nothing; a document
+shorter than an item's window has no overlap with it; repeated rows and items give one row per pair of ids; a null
 ``doc_id`` is kept as such; empty tables give an empty result.  Only the
 named columns are read.
 """
@@ -36,10 +42,17 @@ MASKS = (
     (0, 1, 2, 4, 5), (0, 1, 3, 7, 8), (0, 1, 4, 6, 7), (0, 1, 6, 9, 10),
     (0, 4, 8, 9, 10), (0, 1, 3, 6, 8), (0, 1, 2, 5, 6), (0, 1, 2, 3, 9),
 )
-MIN_SPAN = min(m[-1] for m in MASKS) + 1
-MAX_SPAN = max(m[-1] for m in MASKS) + 1
-#: Size of the bit set: 64 bits each.  A power of two.
-BIT_WORDS = 1 << 16
+SHORT_MASKS = ((0, 1, 2), (0, 1, 3))
+#: Items below so many tokens take the short masks, or hit word for word only.
+SHORT_BELOW, EXACT_BELOW = 12, 6
+#: The masks for items of ``low`` to ``high - 1`` tokens.
+GROUPS = (
+    (SHORT_BELOW, 1 << 30, MASKS), (EXACT_BELOW, SHORT_BELOW, SHORT_MASKS),
+    *((n, n + 1, (tuple(range(n)),)) for n in range(1, EXACT_BELOW)),
+)
+MAX_SPAN = max(m[-1] for _, _, masks in GROUPS for m in masks) + 1
+#: Size of the bit set; its words hold 64 bits, their numbers are powers of two.
+BITS_PER_SEED, LEAST_WORDS, MOST_WORDS, PROBES = 16, 1 << 16, 1 << 21, 4
 
 
 def tokens(text: Column) -> Column:
@@ -50,11 +63,10 @@ def tokens(text: Column) -> Column:
 def _hashed(df: DataFrame, id_col: str, text_col: str, out: str, window: int) -> DataFrame:
     """``h``: the tokens' hashes between zeros for ``window - 1`` positions
     before the text and as many as a seed and a window may reach behind it;
-    ``n``: the number of tokens; ``i``: each position at which a seed of the
-    shortest span may begin."""
+    ``n``: the number of tokens."""
     zero = F.lit(0).cast("long")
     words = df.select(F.col(id_col).cast("long").alias(out), tokens(F.col(text_col)).alias("w"))
-    hashed = words.select(
+    return words.select(
         out,
         F.size("w").alias("n"),
         F.concat(
@@ -63,19 +75,32 @@ def _hashed(df: DataFrame, id_col: str, text_col: str, out: str, window: int) ->
             F.array_repeat(zero, MAX_SPAN + window),
         ).alias("h"),
     )
-    starts = F.when(F.col("n") >= MIN_SPAN, F.sequence(F.lit(0), F.col("n") - MIN_SPAN))
-    return hashed.withColumn("i", F.explode(starts))
 
 
-def _seeds(positions: DataFrame, window: int) -> DataFrame:
-    """A row per position and mask, with the hash ``key``.
+def _seeds(hashed: DataFrame, window: int, groups, own_group: bool) -> DataFrame:
+    """A row per position ``i`` at which a seed may begin and mask of the
+    groups, with the hash ``key``; of items only the masks of their own group.
 
     The tokens are looked up once per position and the keys unfold from one
     array: generated code stays small enough to be compiled, and no filter on
     keys can be moved to where it would repeat the hashing."""
-    at = [F.col("h")[F.col("i") + (window - 1) + o].alias(f"t{o}") for o in range(MAX_SPAN)]
-    keys = [F.xxhash64(F.lit(k), *[F.col(f"t{o}") for o in mask]) for k, mask in enumerate(MASKS)]
-    return positions.select("*", *at).select(*positions.columns, F.explode(F.array(*keys)).alias("key"))
+    # an item's masks begin at every position where the shortest of its group
+    # fits, and a document's where the shortest of all does
+    spans = [(low, high, min(m[-1] for m in masks) + 1) for low, high, masks in groups]
+    span = F.lit(min(s for _, _, s in spans))
+    for low, high, s in spans if own_group else ():
+        span = F.when((F.col("n") >= low) & (F.col("n") < high), F.lit(s)).otherwise(span)
+    positions = hashed.withColumn("i", F.explode(F.when(F.col("n") >= span, F.sequence(F.lit(0), F.col("n") - span))))
+    reach = max(m[-1] for _, _, masks in groups for m in masks) + 1
+    at = [F.col("h")[F.col("i") + (window - 1) + o].alias(f"t{o}") for o in range(reach)]
+    keys = []
+    for low, high, masks in groups:
+        for mask in masks:
+            # a mask has one number wherever it is used: its own positions
+            key = F.xxhash64(F.lit(str(mask)), *[F.col(f"t{o}") for o in mask])
+            keys.append(F.when((F.col("n") >= low) & (F.col("n") < high), key) if own_group else key)
+    unfolded = positions.select("*", *at).select(*positions.columns, F.explode(F.array(*keys)).alias("key"))
+    return unfolded.where("key is not null") if own_group else unfolded
 
 
 def _around(window: int) -> Column:
@@ -84,11 +109,14 @@ def _around(window: int) -> Column:
     return F.slice("h", F.col("i") + 1, 2 * (window - 1) + MAX_SPAN)
 
 
-def _probes(key: Column) -> list[tuple[Column, Column]]:
-    """Two places of a hash in the bit set: (word, bit inside it)."""
+def _probes(key: Column, words: int) -> list[tuple[Column, Column]]:
+    """Places of a hash in a bit set of ``words`` longs: (word, bit inside it).
+    The steps from place to place come from the hash's upper half."""
+    step = F.shiftrightunsigned(key, 32).bitwiseOR(F.lit(1))
+    places = [key + step * F.lit(p) for p in range(PROBES)]
     return [
-        (F.shiftrightunsigned(key, 48).cast("int"), key.bitwiseAND(F.lit(63)).cast("int")),
-        (F.shiftrightunsigned(key, 32).bitwiseAND(F.lit(BIT_WORDS - 1)).cast("int"), F.shiftright(key, 6).bitwiseAND(F.lit(63)).cast("int")),
+        (F.shiftrightunsigned(at, 6).bitwiseAND(F.lit(words - 1)).cast("int"), at.bitwiseAND(F.lit(63)).cast("int"))
+        for at in places
     ]
 
 
@@ -96,14 +124,19 @@ def _one(bit: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), bit)
 
 
-def _bit_set(seeds: DataFrame) -> DataFrame:
-    """One row with the array ``bits`` of BIT_WORDS longs."""
+def _low(key: Column) -> Column:
+    """The key without its uppermost bits: sums of places stay in a long."""
+    return key.bitwiseAND(F.lit((1 << 60) - 1))
+
+
+def _bit_set(seeds: DataFrame, words: int) -> DataFrame:
+    """One row with the array ``bits`` of ``words`` longs."""
     set_bits = (
-        seeds.select(F.explode(F.array(*[F.struct(w.alias("w"), b.alias("b")) for w, b in _probes(F.col("key"))])).alias("p"))
+        seeds.select(F.explode(F.array(*[F.struct(w.alias("w"), b.alias("b")) for w, b in _probes(_low(F.col("key")), words)])).alias("p"))
         .groupBy(F.col("p.w").alias("w")).agg(F.bit_or(_one(F.col("p.b"))).alias("v"))
     )
-    # BIT_WORDS rows at most, whatever the benchmark's size
-    every = seeds.sparkSession.range(BIT_WORDS).select(F.col("id").cast("int").alias("w"))
+    # so many rows at most, whatever the benchmark's size
+    every = seeds.sparkSession.range(words).select(F.col("id").cast("int").alias("w"))
     filled = every.join(set_bits, "w", "left").select("w", F.coalesce("v", F.lit(0).cast("long")).alias("v"))
     return filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "v"))), lambda x: x["v"]).alias("bits"))
 
@@ -121,16 +154,25 @@ def find_overlaps(
     """``doc_id, item_id, matches`` (most equal tokens in a window) and
     ``position`` (first token of the document at which a seed of a verified
     overlap begins), one row per pair."""
+    items = stored(_hashed(benchmark, item_col, item_text_col, "item_id", window).where("n > 0"), "decontam-items")
+    # one row: which groups of masks the items call for
+    called = items.agg(*[F.max((F.col("n") >= low) & (F.col("n") < high)).alias(str(low)) for low, high, _ in GROUPS]).first()
+    groups = [g for g in GROUPS if called[str(g[0])]] or [GROUPS[0]]
     seeds = stored(
-        _seeds(_hashed(benchmark, item_col, item_text_col, "item_id", window), window)
+        _seeds(items, window, groups, own_group=True)
         .select("item_id", F.col("n").alias("n_item"), _around(window).alias("item_h"), "key"),
         "decontam-seeds",
     )
-    bits = _bit_set(seeds).scalar()
-    known = [F.get(bits, w).bitwiseAND(_one(b)) != 0 for w, b in _probes(F.col("key"))]
+    wanted = seeds.count() * BITS_PER_SEED // 64
+    words = min(MOST_WORDS, max(LEAST_WORDS, 1 << wanted.bit_length()))
+    bits = _bit_set(seeds, words).scalar()
+    known = None
+    for w, b in _probes(_low(F.col("key")), words):
+        one = F.get(bits, w).bitwiseAND(_one(b)) != 0
+        known = one if known is None else known & one
     candidates = (
-        _seeds(_hashed(docs, id_col, text_col, "doc_id", window), window)
-        .where(known[0] & known[1])
+        _seeds(_hashed(docs, id_col, text_col, "doc_id", window), window, groups, own_group=False)
+        .where(known)
         .select("doc_id", "i", _around(window).alias("doc_h"), "key")
     )
     # positions outside either text rule a window out
@@ -145,7 +187,7 @@ def find_overlaps(
         candidates.join(seeds, "key")
         .select("doc_id", "item_id", "i", "n_item", equal.alias("equal"))
         .select("doc_id", "item_id", "i", "n_item", F.array_max(sums).alias("matches"))
-        .where(F.col("matches") * window >= size * min_matches)
+        .where((F.col("matches") * window >= size * min_matches) & ((F.col("n_item") >= EXACT_BELOW) | (F.col("matches") == F.col("n_item"))))
         .groupBy("doc_id", "item_id").agg(F.max("matches").alias("matches"), F.min("i").alias("position"))
     )
 

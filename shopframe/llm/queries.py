@@ -141,18 +141,21 @@ WITH split_docs AS (
 ), d AS (SELECT doc_id, len(w) AS n_doc, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM split_docs),
 b AS (SELECT item_id, len(w) AS n_item, unnest(w) AS token, generate_subscripts(w, 1) AS j FROM split_items),
 same AS (
-  SELECT doc_id, item_id, n_doc, n_item, i - j AS shift, j FROM d JOIN b ON d.token = b.token AND d.token <> ''
+  -- an item of fewer than 13 words is its own window; of fewer than 6, all must be equal
+  SELECT doc_id, item_id, n_doc, n_item, i - j AS shift, j, least(13, n_item) AS size,
+    CASE WHEN n_item < 6 THEN n_item ELSE ceil(9 * least(13, n_item) / 13) END AS need
+  FROM d JOIN b ON d.token = b.token AND d.token <> ''
 ), busy AS (
-  SELECT * FROM same QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, shift) >= 9
+  SELECT * FROM same QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, shift) >= need
 ), windows AS (
-  SELECT doc_id, item_id, count(*) OVER (
+  SELECT doc_id, item_id, size, need, count(*) OVER (
     PARTITION BY doc_id, item_id, shift ORDER BY j RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING
   ) AS matches,
   -- a window may begin before its first equal token: it must fit inside both
   least(n_item, n_doc - shift) - greatest(1, 1 - shift) + 1 AS room
   FROM busy
 )
-SELECT doc_id, item_id, max(matches) AS matches FROM windows WHERE room >= 13 AND matches >= 9 GROUP BY doc_id, item_id
+SELECT doc_id, item_id, max(matches) AS matches FROM windows WHERE room >= size AND matches >= need GROUP BY doc_id, item_id
 """,
     # every anchor against every row, its positives and negatives ranked
     "op13_hard_negatives": """

@@ -1,5 +1,7 @@
 """The operators as Spark jobs: against brute force, and on odd rows."""
 
+import itertools
+import math
 import random
 import re
 import time
@@ -128,7 +130,7 @@ def naive_overlaps(docs, items, window=13, least=9):
             for i in range(len(a) - size + 1):
                 for j in range(len(b) - size + 1):
                     same = sum(x == y for x, y in zip(a[i:i + size], b[j:j + size]))
-                    if size == window and same >= least:
+                    if size and (same == size if size < 6 else same * window >= size * least):
                         out[(d, k)] = max(out.get((d, k), 0), same)
     return out
 
@@ -152,6 +154,47 @@ def test_overlaps_equal_brute_force(spark):
     assert {(r.doc_id, r.item_id): r.matches for r in got} == want and len(want) > 20
 
 
+@pytest.mark.parametrize("sizes", [(1, 20), (6, 12), (1, 6)])
+def test_short_items_equal_brute_force(spark, sizes):
+    """Items of few tokens, with as many other words as their rule allows and
+    more, at every place."""
+    rng = random.Random(sum(sizes))
+    words = [f"w{i}" for i in range(90)]
+    items = [(k, " ".join(rng.choices(words, k=rng.randint(*sizes)))) for k in range(30)]
+    docs = []
+    for d in range(240):
+        body, passage = rng.choices(words, k=rng.randint(0, 25)), items[d % 30][1].split()
+        for at in rng.sample(range(len(passage)), min(len(passage), d // 30 % 5)):
+            passage[at] = "Other"
+        docs.append((d, " ".join([*body, *passage, *body[:4]])))
+    got = decontam.find_overlaps(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    want = naive_overlaps(docs, items)
+    assert {(r.doc_id, r.item_id): r.matches for r in got} == want and len(want) > 100
+
+
+def test_masks_are_complete():
+    """Wherever the differing positions lie, a mask sees equal ones only."""
+    for n in range(6, 14):
+        masks = next(m for low, high, m in decontam.GROUPS if low <= n < high)
+        for bad in itertools.combinations(range(n), n - math.ceil(9 * n / 13)):
+            assert any(not {s + o for o in m} & set(bad) for m in masks for s in range(n - m[-1])), (n, bad)
+
+
+def test_bit_set_grows_with_the_benchmark(spark, monkeypatch):
+    sizes = []
+    build = decontam._bit_set
+    monkeypatch.setattr(decontam, "_bit_set", lambda seeds, words: (sizes.append(words), build(seeds, words))[1])
+    monkeypatch.setattr(decontam, "LEAST_WORDS", 4)
+    monkeypatch.setattr(decontam, "MOST_WORDS", 4096)
+    docs = spark.createDataFrame([(1, SENTENCE), (2, "nothing else")], "doc_id long, text string")
+    for n in (1, 40, 2000):
+        items = spark.createDataFrame([(0, SENTENCE), *((k, f"{k} " * 14 + "other") for k in range(1, n))], "item_id long, text string")
+        assert [tuple(r)[:3] for r in decontam.find_overlaps(docs, items).collect()] == [(1, 0, 13)]
+    assert sizes[0] < sizes[1] < sizes[2] == 4096
+
+
 def test_overlap_operator_runs_no_python(spark):
     docs = spark.createDataFrame([(1, SENTENCE)], "doc_id long, text string")
     items = spark.createDataFrame([(1, SENTENCE)], "item_id long, text string")
