@@ -290,14 +290,16 @@ def guarded_insert(
     (the first conflicting guard names the reason).  Returns ``(accepted,
     rejects)``; ``row_id`` identifies batch rows.
 
-    Rounds: every undecided row that comes first among undecided rows for
-    each of its guard values is accepted (nothing earlier can claim those
-    values); undecided rows sharing a value with a newly accepted row are
-    rejected.  The earliest undecided row always qualifies, so each round
-    decides at least one row and the rounds end; their number follows the
-    longest chain of rows that share values in turn.  With a single guard one
-    pass decides all.  Each step is a per-value ``min`` aggregate or an equi
-    join.
+    With a single guard one pass decides all.  With several, a first round of
+    per-value ``min`` aggregates accepts every row that comes first for each
+    of its values and rejects the rows that share one with it; this settles
+    popular values, however many rows have them.  What is left hangs together
+    in chains (a row waits for one that waits for another).  Rows that share
+    values are joined into components, and a component of at most
+    ``FOLD_ROWS`` rows is decided in one task by going through it in order;
+    if all that is left is that few, it is one component.  Larger components
+    go through further rounds, each of which decides at least the earliest
+    row of every component.  All ways give the same rows.
     """
     spark = batch.sparkSession
     checkpoint_root(spark)
@@ -335,7 +337,7 @@ def guarded_insert(
     for g in gcols:
         undecided = undecided.join(used[g], g, "left_anti")
     undecided = undecided.checkpoint(eager=True)
-    accepted = []
+    accepted, folded = [], False
     while not undecided.isEmpty():
         firsts = undecided
         for g in gcols:
@@ -353,6 +355,11 @@ def guarded_insert(
             taken = now.select(g).where(F.col(g).isNotNull())
             rest = rest.join(taken, g, "left_anti")
         undecided = rest.checkpoint(eager=True)
+        if not folded and not undecided.isEmpty():
+            # chains do not get shorter by rounds: fold them, once
+            folded = True
+            now, undecided = _fold_components(undecided, gcols, row_id)
+            accepted.append(now)
     acc = accepted[0] if accepted else b.limit(0)
     for a in accepted[1:]:
         acc = acc.unionByName(a)
@@ -374,6 +381,76 @@ def guarded_insert(
     return acc.select(*batch.columns), rejects
 
 
+#: Rows that one task goes through in order, at most.
+FOLD_ROWS = 20_000
+
+
+def _fold_components(rows: DataFrame, gcols: Sequence[str], row_id: str) -> tuple[DataFrame, DataFrame]:
+    """(accepted rows of the components that fit a task, rows of the others)."""
+    if rows.count() <= FOLD_ROWS:
+        whole, large = rows.withColumn("_part", F.lit(0).cast("bigint")), rows.limit(0)
+    else:
+        placed = _components(rows, gcols, row_id)
+        sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+        placed = placed.join(sizes, "_part").checkpoint(eager=True)
+        whole = placed.where(F.col("_size") <= FOLD_ROWS).drop("_size")
+        large = placed.where(F.col("_size") > FOLD_ROWS).select(*rows.columns).checkpoint(eager=True)
+    n = len(gcols)
+
+    def go_through(part):
+        used: list[set] = [set() for _ in range(n)]
+        wins = []
+        for values in zip(*(part[f"_v{i}"] for i in range(n))):
+            free = all(v is None or v not in u for v, u in zip(values, used))
+            wins.append(free)
+            for v, u in zip(values, used):
+                if free and v is not None:
+                    u.add(v)
+        return part.loc[wins, ["_at"]]
+
+    # what travels is the place in the order and the values; the order is made
+    # by Spark, whose comparison of the order columns holds everywhere
+    ordered = global_row_number(whole, ["_ord"], "_at")
+    values = ordered.select("_part", "_at", *[F.col(g).cast("string").alias(f"_v{i}") for i, g in enumerate(gcols)])
+    wins = values.groupBy("_part").applyInPandas(lambda part: go_through(part.sort_values("_at")), "_at bigint")
+    now = ordered.join(wins, "_at", "left_semi").select(*rows.columns).checkpoint(eager=True)
+    return now, large
+
+
+def _components(rows: DataFrame, gcols: Sequence[str], row_id: str) -> DataFrame:
+    """``rows`` with ``_part``: rows that share values, in turn, have one.
+
+    Labels move by alternating steps: each row's neighbours are tied to the
+    smallest one (a map-side combined ``min``), so the distance to it shrinks
+    by a factor in every step and the number of steps follows the logarithm
+    of the longest chain."""
+    numbered = global_row_number(rows, ["_ord"], "_n").checkpoint(eager=True)
+    edges = None
+    for g in gcols:
+        named = numbered.where(F.col(g).isNotNull()).select(F.col(g).cast("string").alias("_v"), "_n")
+        first = named.groupBy("_v").agg(F.min("_n").alias("_m"))
+        one = named.join(first, "_v").where("_n <> _m").select(F.col("_n").alias("u"), F.col("_m").alias("v"))
+        edges = one if edges is None else edges.unionByName(one)
+    edges = edges.distinct().checkpoint(eager=True)
+    mark = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        far = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = far.groupBy("u").agg(F.min("v").alias("m"))
+        near = far.join(low, "u").select(F.explode(F.array(
+            F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))
+        )).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
+        edges = near.checkpoint(eager=True)
+        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == mark:
+            break
+        mark = now
+    return numbered.join(edges, numbered["_n"] == edges["u"], "left").select(
+        *rows.columns, F.coalesce("v", "_n").alias("_part")
+    )
+
+
 # --------------------------------------------------------------------------
 # Category name -> id
 # --------------------------------------------------------------------------

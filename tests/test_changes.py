@@ -119,6 +119,63 @@ def test_guarded_insert_matches_sequential(spark, seed):
     assert {r.rid: r.reason for r in rej.collect()} == {k: f"{v} already exists" for k, v in want_rej.items()}
 
 
+def chains(n, length, rnd):
+    """Rows that share a username with one neighbour and an e-mail with the
+    other, in chains; the rows come in any order."""
+    rows = []
+    for c in range(n):
+        for i in range(length):
+            rows.append((f"u{c}-{i // 2}", f"e{c}-{(i + 1) // 2}"))
+    rnd.shuffle(rows)
+    return [(k, *r) for k, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("n,length,fold_rows", [(1, 2000, 20_000), (40, 30, 100), (3, 60, 40)])
+def test_chains_of_shared_values(spark, monkeypatch, n, length, fold_rows):
+    # one component; many that are folded apart; some too large to be folded
+    monkeypatch.setattr(ch, "FOLD_ROWS", fold_rows)
+    # in the order of the chain, each row waits for the one before
+    batch = chains(n, length, random.Random(n)) if n > 1 else [(i, f"u{i // 2}", f"e{(i + 1) // 2}") for i in range(length)]
+    batch += [(10_000 + i, "hot", f"h{i}") for i in range(50)] + [(20_000, None, None), (20_001, None, "e0"), (20_002, "u0-0", None)]
+    existing = [("U5", "x"), ("y", "E7"), ("u1-3", "z")]
+    guards = [("username", True), ("email", True)]
+    t = spark.createDataFrame(existing, "username STRING, email STRING")
+    b = spark.createDataFrame(batch, "rid INT, username STRING, email STRING").repartition(3)
+    rounds = []
+    fold = ch._fold_components
+    monkeypatch.setattr(ch, "_fold_components", lambda *a: (rounds.append(1), fold(*a))[1])
+    acc, rej = ch.guarded_insert(t, b, guards, ["rid"], "rid")
+    low = lambda x: None if x is None else x.lower()
+    used_u, used_e, want = {low(u) for u, _ in existing}, {low(e) for _, e in existing}, set()
+    for rid, u, e in sorted(batch):
+        if (u is None or low(u) not in used_u) and (e is None or low(e) not in used_e):
+            want.add(rid)
+            used_u.add(low(u))
+            used_e.add(low(e))
+    assert {r.rid for r in acc.collect()} == want
+    assert {r.rid for r in rej.collect()} == {r[0] for r in batch} - want
+    assert rounds == [1]
+
+
+def test_a_long_chain_takes_few_jobs(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+
+    def checkpoints(length):
+        calls, real = [], Frame.checkpoint
+        with monkeypatch.context() as m:
+            m.setattr(Frame, "checkpoint", lambda self, *a, **k: (calls.append(1), real(self, *a, **k))[1])
+            batch = [(i, f"u{i // 2}", f"e{(i + 1) // 2}") for i in range(length)]
+            acc, _ = ch.guarded_insert(
+                spark.createDataFrame([], "username STRING, email STRING"),
+                spark.createDataFrame(batch, "rid INT, username STRING, email STRING"),
+                [("username", True), ("email", True)], ["rid"], "rid",
+            )
+            assert acc.count() == (length + 1) // 2
+        return len(calls)
+
+    assert checkpoints(20) == checkpoints(2000)
+
+
 def test_guarded_insert_case_sensitive_newsletter(spark):
     t = spark.createDataFrame([("a@x",)], "email STRING")
     b = spark.createDataFrame([(1, "A@X"), (2, "a@x"), (3, "A@X")], "rid INT, email STRING")
