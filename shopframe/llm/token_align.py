@@ -15,10 +15,11 @@ links, the links as codes into its chunk's list of different pairs; the lists
 are summed by Spark, and the sums meet the chunks' lists again and then the
 documents, chunk by chunk.  No task holds more pairs than one chunk has.
 
-Texts are cut into units, a run of blanks and line feeds and what follows up
-to the next: neither tokenizer has a token over such a border.  A unit is
-encoded by the libraries once per worker; texts with other white space go to
-the libraries whole.
+Texts are cut into units: a run of blanks and line feeds and what follows up
+to the next, and again between a letter and a sign behind it.  Neither
+tokenizer has a token over such a border.  A unit is encoded by the libraries
+once per chunk, and once per worker if a chunk had it twice; texts with other
+white space go to the libraries whole.
 
 Defined cases: a null or empty text, or one whose joined token bytes differ
 from blank + text, has no tokens, zeros and an empty digest; strings of
@@ -34,7 +35,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +44,11 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, stored
 
-CHUNK_BYTES = 4 * 1024 * 1024
-#: Units a worker keeps: about 120 MB, forgotten together.
-CACHE_UNITS = 500_000
-UNIT = re.compile(r"[ \n]+[^ \n]*")
+CHUNK_BYTES = 2 * 1024 * 1024
+#: Units a worker keeps: about 60 MB, forgotten together.
+CACHE_UNITS = 250_000
+_SIGN = ".,;:!?\")"
+UNIT = re.compile(rf"[ \n]+[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e]+(?=[{_SIGN}])|[ \n]+[^ \n]*|[{_SIGN}][^ \n]*")
 OTHER_SPACE = re.compile(r"[^\S \n]")
 MARK = "▁"
 NONE = 1 << 62
@@ -141,13 +143,29 @@ class Pair:
             got_a = [x.ids for x in self.a.encode_batch_fast(some, add_special_tokens=False)]
             # B adds a blank of its own: it stands for the unit's first one,
             # or goes again before a line feed, with which nothing merges
-            got_b = self.b.encode([u[1:] if u[0] == " " else u for u in some], num_threads=1)
+            got_b = self.b.encode([u[1:] if u[0] == " " else u if u[0] == "\n" else f"\n{u}" for u in some], num_threads=1)
             for i in [i for i, u in enumerate(some) if u[0] != " " or u == " "]:
                 # of a lone blank nothing is left to give to B
-                got_b[i] = got_b[i][1:] if some[i] != " " else [self.b.piece_to_id(MARK)]
+                u = some[i]
+                got_b[i] = [self.b.piece_to_id(MARK)] if u == " " else got_b[i][1 if u[0] == "\n" else 2:]
             self.place.update(zip(some, range(len(self.sound), len(self.sound) + len(some))))
             self._add(some, got_a, got_b)
 
+    def _keep(self, new: list[str], first: int, often: np.ndarray) -> None:
+        """Of the units learned since ``first``, only those marked stay; the
+        vocabulary of a corpus grows without end, that of its chunks' repeats
+        does not."""
+        for u in compress(new, ~often[:len(new)]):
+            del self.place[u]
+        kept = np.flatnonzero(often[:len(new)])
+        self.place.update(zip(compress(new, often[:len(new)]), range(first, first + len(kept))))
+        for ids, to in (("ids_a", "to_a"), ("ids_b", "to_b")):
+            bounds, flat = getattr(self, to), getattr(self, ids)
+            size = np.diff(bounds)[first + kept]
+            setattr(self, ids, np.concatenate([flat[:bounds[first]], flat[_ragged(bounds[first + kept], size)]]))
+            setattr(self, to, np.concatenate([bounds[:first + 1], bounds[first] + np.cumsum(size)]))
+        self.sound = np.concatenate([self.sound[:first], self.sound[first + kept]])
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """How many ids each text has on both sides, and the ids."""
         if len(self.sound) > CACHE_UNITS:
@@ -160,10 +178,12 @@ class Pair:
                     whole.append(k)
                 else:
                     split[k] = UNIT.findall(" " + text)
-        known = self.place
-        self._learn(u for u in set().union(*split) if u not in known)
+        known, start = self.place, len(self.sound)
+        new = [u for u in set().union(*split) if u not in known]
+        self._learn(new)
         count = np.array([len(u) for u in split])
         place = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(count.sum()))
+        often = np.bincount(place, minlength=len(self.sound))[start:] > 1
         if whole:  # each is a unit of its own, which is not kept
             prefixed = [" " + texts[k] for k in whole]
             first = len(self.sound)
@@ -179,6 +199,7 @@ class Pair:
         for ids, to in ((self.ids_a, self.to_a), (self.ids_b, self.to_b)):
             size = to[place + 1] - to[place]
             out.append((np.bincount(owner, weights=size, minlength=len(texts)).astype(np.int64), ids[_ragged(to[place], size)].astype(np.int64)))
+        self._keep(new, start, often)
         return out[0][0], out[1][0], out[0][1], out[1][1]
 
 
