@@ -5,7 +5,8 @@ Its product with the Levenshtein automata of all terms is walked lazily: a
 state is a set of (trie node, edits so far), found once per state and
 character and kept, so that a word costs a few table look-ups and most words
 leave the automaton after two or three characters.  A term of 5 letters or
-more tolerates one edit, of 8 or more two; stems are exact.
+more tolerates one edit, of 8 or more two; stems are exact, and stand beside the
+terms that begin so.
 
 Hits are scored in their context window: hits between quotation marks or
 beside reporting verbs count as quotation, hits with other hits or address
@@ -15,7 +16,8 @@ the score.
 The lexicon and the weights are learned from a bounded sample of the
 labelled rows: at most ``per_class`` rows of each class, chosen by a hash of
 the id, equal texts once.  Terms are words and word beginnings that mark the class; their
-counts are combined in Spark and at most ``max_terms`` come to the driver.
+counts are combined in Spark; the lexicon, which comes to the driver, has at
+most ``max_terms`` of them, the clearest first.
 For the weights the sample is cut into halves, and each is measured with the
 lexicon of the other, so that a term's chance luck earns it no trust.
 
@@ -130,16 +132,17 @@ class Lexicon:
         state, moves, alphabet = self.start, self.moves, self.alphabet
         if not self.alphabet:
             return 0
+        stem = 0
         for c in word:
             if c not in alphabet:
                 c = OTHER
             to = moves[state].get(c)
             state = self._move(state, c) if to is None else to
             if state < 0:
-                return 0
+                return stem
             if self.stops[state]:
-                return STEM
-        return self.accepts[state]
+                stem = STEM  # unless a term that begins so takes the word
+        return self.accepts[state] or stem
 
 
 def plain(word: str) -> str:
@@ -252,7 +255,7 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def learn_lexicon(sample: DataFrame, min_rows: int = 4, min_odds: float = 3.5, max_terms: int = 4000) -> tuple[list[str], list[str]]:
+def learn_lexicon(sample: DataFrame, min_rows: int = 4, min_odds: float = 3.5, max_terms: int = 50_000) -> tuple[list[str], list[str]]:
     """(words, stems) that mark class 1 in the sample."""
     def run(batches):
         for batch in batches:
@@ -289,7 +292,8 @@ def learn_lexicon(sample: DataFrame, min_rows: int = 4, min_odds: float = 3.5, m
         one = max((n for w, n in words.items() if w.startswith(stem)), default=0)
         if found[stem] > 1.3 * one and not any(stem.startswith(s) for s in stems):
             stems.add(stem)
-    return sorted(w for w in words if not any(w.startswith(s) for s in stems)), sorted(stems)
+    # the words stay beside their stems: a misspelling inside the stem is theirs
+    return sorted(words), sorted(stems)
 
 
 def _measure(words, stems, seed_words):
