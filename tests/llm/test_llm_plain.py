@@ -412,3 +412,15 @@ def test_sure_labels_teach_the_other_view():
     _, taught = quality_classifier.co_train(text[few], meta[few], y[few], text[12:400], meta[12:400], 3, 60)
     rate = [np.mean((v.raw(meta[400:]) > 0) == (y[400:] == 1)) for v in (alone, taught)]
     assert rate[1] >= rate[0] - 0.02 and rate[1] > 0.8
+
+
+# toxicity: stems and words -------------------------------------------------
+
+def test_misspellings_inside_a_stem_are_found():
+    words = toxicity.Lexicon(["idiot"], [])
+    both = toxicity.Lexicon(["idiot"], ["idio"])
+    for word in ("idiot", "id1ot", "ldiot", "iidiot", "idot"):
+        assert words.match(word) and both.match(word) == words.match(word), word
+    assert both.match("idiocy") == toxicity.STEM and not words.match("idiocy")
+    assert both.match("idiots") == words.match("idiots")
+    assert not both.match("studio")

@@ -7,6 +7,7 @@ import re
 import time
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ OPERATORS = {
     "secrets": lambda s, d: secret_scan.scan_secrets(d, tokenizer_file("byte_bpe_50k.tiktoken")),
     "classifier": lambda s, d: quality_classifier.score_quality(d, labels_of(s, [(1, 1, 0), (2, None, 0), (None, 0, 0), (7, 0, 1)])),
     "keep_good": lambda s, d: quality_classifier.keep_good(d, labels_of(s, [])),
-    "rules": lambda s, d: quality_rules.judge_quality(d, min_group=2),
+    "rules": lambda s, d: quality_rules.judge_quality(d),
     "overlaps": lambda s, d: decontam.find_overlaps(d, s.createDataFrame([(1, SENTENCE, 1, ""), (2, None, 1, ""), (None, "a b", 1, "")], BENCHMARK)),
     "decontaminated": lambda s, d: decontam.drop_contaminated(d, s.createDataFrame([], BENCHMARK)),
 }
@@ -386,3 +387,65 @@ def test_very_many_lines(spark):
     got = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got[1] == docs[0][1] and got[2] == "end" and got[3] == docs[2][1] and got[4] == "mine"
     assert time.time() - begun < 90
+
+
+def test_learned_words_stay_beside_their_stems(spark):
+    plain = [(0, f"a calm text number {i} about the garden") for i in range(60)]
+    bad = [(1, f"you {w} go away number {i}") for i in range(6) for w in ("idiot", "idiotic", "idiots", "idioms")]
+    words, stems = toxicity.learn_lexicon(spark.createDataFrame(plain + bad, "label int, text string"), min_odds=2.0)
+    assert "idiot" in words and any("idiot".startswith(s) for s in stems)
+    assert toxicity.Lexicon(words, stems).match("id1ot")
+
+
+def _vectors(rng, n, shift=0.0):
+    """Texts of one style: statistics that vary little."""
+    out = []
+    for _ in range(n):
+        words = [rng.choice(["river", "garden", "window", "table", "morning", "letter", "stone"]) for _ in range(rng.randint(80, 100))]
+        text = " ".join(words[:40]) + ".\n" + " ".join(words[40:]) + "."
+        out.append(text)
+    return out
+
+
+@pytest.mark.parametrize("size", [151, 199, 201, 251])
+def test_one_verdict_at_every_group_size(spark, size):
+    rng = random.Random(3)
+    odd = "x# y$ " * 60 + " ".join("q" * 30 for _ in range(30))  # symbols and long words
+    rows = [(i, t, "en", "tidy", 1) for i, t in enumerate(_vectors(rng, size))] + [(9999, odd, "en", "tidy", 1)]
+    # another source, whose texts vary much
+    for i in range(300):
+        words = ["w" * rng.randint(1, 14) + rng.choice(["", ",", "#", "1"]) for _ in range(rng.randint(25, 400))]
+        rows.append((20_000 + i, " ".join(words), "en", "wild", 1))
+    got = {r.doc_id: r for r in quality_rules.judge_quality(frame(spark, rows)).collect()}
+    assert not got[9999].kept and not got[9999].base_failed
+    assert sum(got[i].kept for i in range(size)) >= 0.97 * size
+
+
+def test_estimates_equal_numpy(spark):
+    """The shrunk estimates of one concentration step against numpy."""
+    rng = np.random.default_rng(4)
+    p = quality_rules.N_STATS
+    rows = [(l, s, (rng.normal(size=p) * (1 + k) + k).tolist()) for k, (l, s) in enumerate([("en", "a"), ("en", "b"), ("de", "a"), (None, None)])
+            for _ in range([40, 3, 90, 1][k])]
+    df = spark.createDataFrame(rows, "lang string, source string, x array<double>")
+    got, _ = quality_rules._estimates(quality_rules._sums(df), 1.0)
+    mean = {}
+
+    def moments(chosen):
+        x = np.array(chosen)
+        return x.mean(axis=0), np.cov(x.T, bias=True) if len(x) > 1 else np.zeros((p, p)), len(x)
+
+    def shrunk(own, parent):
+        m, c, n = own
+        w = n / (n + quality_rules.PRIOR_ROWS)
+        return w * m + (1 - w) * parent[0], w * c + (1 - w) * parent[1]
+
+    every = moments([x for *_, x in rows])[:2]
+    for r in got.collect():
+        language = shrunk(moments([x for l, _, x in rows if l == r.lang]), every)
+        m, c = shrunk(moments([x for l, s, x in rows if (l, s) == (r.lang, r.source)]), language)
+        c = c + np.diag(np.maximum(np.array(quality_rules.FLOORS) ** 2 - np.diag(c), 1e-9))
+        assert np.allclose(r["mean"], m, atol=1e-9)
+        assert np.allclose(np.array(r["inverse"]).reshape(p, p), np.linalg.inv(c), atol=1e-6)
+        mean[r.lang, r.source] = m
+    assert len(mean) == 4
