@@ -208,34 +208,55 @@ def allocate_ids(target: DataFrame, batch: DataFrame, key: str, order: Sequence[
     """H1: give batch rows without a ``key`` the next ids after the table's
     current maximum, in batch ``order`` (like a serial column), passing over
     ids that other rows of the batch carry; those rows keep theirs - see
-    ``key_conflicts``.  Numbering is a distributed global row number."""
+    ``key_conflicts``.  The rows are numbered once, by a distributed sort; the
+    numbers that are free between carried ids come from ``_free_ids``."""
     spark = batch.sparkSession
     checkpoint_root(spark)
     # the current maximum is one number: read it as a scalar (a partial
     # aggregate per task) and use it as a literal
     base = target.agg(F.max(key)).first()[0] or 0
-    top = (batch.agg(F.max(key)).first()[0] or 0) if key in batch.columns else 0
-    has = F.col(key).isNotNull() if key in batch.columns else F.lit(False)
     if key not in batch.columns:
         batch = batch.withColumn(key, F.lit(None).cast(target.schema[key].dataType))
-    given = batch.where(has)
-    fresh = global_row_number(batch.where(~has), order, "_rn")
-    if top > base:
-        # the j-th given id g above the maximum has g - max - j free numbers
-        # below it: sorted among the row numbers, it moves the later ones up
-        carried = global_row_number(given.where(F.col(key) > base).select(key).distinct(), [key], "_j")
-        marks = fresh.select(F.col("_rn").alias("_v"), F.lit(0).alias("_kind"), "_rn").unionByName(
-            carried.select(
-                (F.col(key).cast("bigint") - base - F.col("_j")).alias("_v"), F.lit(1).alias("_kind"),
-                F.lit(None).cast("bigint").alias("_rn"),
-            )
-        )
-        moved = global_row_number(marks, ["_v", "_kind"], "_place").where("_kind = 0").select("_rn", "_place")
-        fresh = fresh.join(moved, "_rn").drop("_rn").withColumnRenamed("_place", "_rn")
-    fresh = fresh.withColumn(
-        key, (F.lit(base) + F.col("_rn")).cast(target.schema[key].dataType)
-    ).drop("_rn")
-    return given.unionByName(fresh)
+    given = batch.where(F.col(key).isNotNull())
+    fresh = global_row_number(batch.where(F.col(key).isNull()), order, "_rn")
+    carried = given.where(F.col(key) > base).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("least")).first()
+    n_fresh = fresh.count() if carried["n"] else 0
+    if carried["n"] and carried["least"] <= base + n_fresh:
+        ids = given.where(F.col(key) > base).select((F.col(key).cast("bigint") - base).alias("at"))
+        fresh = fresh.join(_free_ids(ids, n_fresh, carried["n"]), "_rn")
+    else:  # no carried id lies among the next ones
+        fresh = fresh.withColumn("_free", F.col("_rn"))
+    fresh = fresh.withColumn(key, (F.lit(base) + F.col("_free")).cast(target.schema[key].dataType)).drop("_rn", "_free")
+    return given.unionByName(fresh.select(*given.columns))
+
+
+#: Numbers of a block of the id space: one bounded array.
+ID_BLOCK = 4096
+
+
+def _free_ids(carried: DataFrame, wanted: int, most: int) -> DataFrame:
+    """``(_rn, _free)``: the ``_rn``-th number from 1 on that is not among the
+    ``at`` of ``carried`` (of which there are ``most``), for the first
+    ``wanted`` of them.  They lie below ``wanted + most``, so the space is cut
+    into that many numbers' blocks; a block knows its taken numbers, and a
+    running sum over one row per block how many are free before it."""
+    top = wanted + most
+    blocks = carried.sparkSession.range(-(-top // ID_BLOCK)).select(F.col("id").alias("b"))
+    taken = (
+        carried.where(F.col("at") <= top).groupBy(F.floor((F.col("at") - 1) / F.lit(ID_BLOCK)).alias("b"))
+        .agg(F.collect_set((F.col("at") - 1) % ID_BLOCK).alias("taken"))
+    )
+    held = blocks.join(taken, "b", "left").select("b", F.coalesce("taken", F.array().cast("array<bigint>")).alias("taken"))
+    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    # the window sees one row of two numbers per block
+    counts = held.select("b", (F.lit(ID_BLOCK) - F.size("taken")).alias("n")).select(
+        "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")
+    )
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(ID_BLOCK - 1).cast("bigint"))
+    free = held.join(counts, "b").select("b", "before", F.posexplode(F.array_except(every, F.col("taken"))).alias("i", "at"))
+    return free.select(
+        (F.col("before") + F.col("i") + 1).alias("_rn"), (F.col("b") * ID_BLOCK + F.col("at") + 1).alias("_free")
+    ).where(F.col("_rn") <= wanted)
 
 
 def key_conflicts(

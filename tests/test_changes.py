@@ -356,3 +356,27 @@ def test_allocated_ids_pass_over_given_ones(spark):
     got = ch.allocate_ids(t, spark.createDataFrame(batch, "k INT, seq INT"), "k", ["seq"])
     free = iter(k for k in range(11, 200) if k not in given)
     assert rows(got, "seq", "k") == sorted([(i, g) for i, g in enumerate(given)] + [(100 + i, next(free)) for i in range(30)], key=lambda r: tuple((x is None, str(x)) for x in r))
+
+
+@pytest.mark.parametrize("block", [4096, 4])
+def test_fresh_ids_pass_over_carried_ones(spark, monkeypatch, block):
+    monkeypatch.setattr(ch, "ID_BLOCK", block)
+    rnd = random.Random(block)
+    target = spark.createDataFrame([(5,), (9,)], "order_id INT")
+    for carried in ([], [10], [11, 12, 13, 14, 15], [10, 12, 40, 41, 2_000_000_000], [9, 3], list(range(10, 60, 2)) + [10, 12]):
+        batch = [(i, None) for i in range(30)] + [(100 + i, c) for i, c in enumerate(carried)]
+        rnd.shuffle(batch)
+        got = ch.allocate_ids(target, spark.createDataFrame(batch, "rid INT, order_id INT").repartition(3), "order_id", ["rid"])
+        free = iter(n for n in range(10, 1000) if n not in carried)
+        want = {i: next(free) for i in range(30)} | {100 + i: c for i, c in enumerate(carried)}
+        assert {r.rid: r.order_id for r in got.collect()} == want
+        assert got.schema["order_id"].dataType.simpleString() == "int"
+
+
+def test_ids_take_one_global_numbering(spark, monkeypatch):
+    calls = []
+    number = ch.global_row_number
+    monkeypatch.setattr(ch, "global_row_number", lambda *a: (calls.append(1), number(*a))[1])
+    batch = spark.createDataFrame([(i, None if i % 2 else 8 + i) for i in range(50)], "rid INT, order_id INT")
+    ids = [r.order_id for r in ch.allocate_ids(spark.createDataFrame([(9,)], "order_id INT"), batch, "order_id", ["rid"]).collect()]
+    assert len(set(ids)) == 50 and calls == [1]
