@@ -2,14 +2,17 @@
 
 Two classifiers see different views of a document: its text content, and the
 metadata of its page (language, source, size and layout).  In every round
-each view is fitted, scores a pool of unlabelled documents, and hands those
-it is surest of to the other view as labelled rows.  At the end both views
-are calibrated on labelled rows kept back, combined by a logistic regression
-of their calibrated log-odds, and all documents are scored.
-
-Fitting uses bounded samples, chosen by a hash of the id: at most
-``per_class`` labelled rows of each class and ``pool`` unlabelled ones.
-Every document is scored.
+each view scores all unlabelled documents, and those it is sure of (a
+probability of ``SURE``) are labelled rows of the other view's next fit.  At
+the end both views are calibrated on labelled rows kept back, combined by a
+logistic regression of their calibrated log-odds, and all documents are scored.
+
+The labelled rows are a bounded sample, at most ``per_class`` of each class,
+chosen by a hash of the id.  The unlabelled documents are all of them, at every
+size: a Newton step of a fit sums gradient and second derivatives over them in
+Spark, and a few thousand sums come to the driver.  The pseudo-labelled rows of
+a class weigh as much together as its labelled ones, so that neither the prior
+nor the say of the labels drifts with the number of documents.
 
 Defined cases: null and empty texts have zero content features; null
 metadata is a value of its own; rows whose id or label is null are not
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_rows
+from .common import bounded_batches, map_rows, stored
 from .toxicity import fit_logistic
 
 PUNCTUATION = [c for c in range(33, 127) if not chr(c).isalnum()]
@@ -77,14 +80,38 @@ def metadata_view(text: str | None, lang: str | None, source: str | None) -> lis
 class View:
     """A logistic regression over standardised features, with calibration."""
 
+    RIDGE = 2.0
+
     def __init__(self, x: np.ndarray, y: np.ndarray):
         self.mean = x.mean(axis=0)
         self.scale = np.maximum(x.std(axis=0), 1e-3)
-        self.weights = fit_logistic((x - self.mean) / self.scale, y, ridge=2.0)
+        self.x, self.y = self.standard(x), y
+        self.weights = fit_logistic(self.x[:, :-1], y, ridge=self.RIDGE)
         self.a, self.b = 1.0, 0.0
 
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        """Standardised features and a one."""
+        return np.hstack([(x - self.mean) / self.scale, np.ones((len(x), 1))])
+
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale @ self.weights[:-1] + self.weights[-1], -30, 30)
+        return np.clip(self.standard(x) @ self.weights, -30, 30)
+
+    def step(self, more: list[tuple[float, np.ndarray, np.ndarray]]) -> float:
+        """One Newton step over the labelled rows and, per class, pseudo-labelled
+        ones: their number, gradient and second derivatives.  Returns the
+        largest move of a weight."""
+        p = sigmoid(self.x @ self.weights)
+        penalty = self.RIDGE * np.eye(len(self.weights))
+        penalty[-1, -1] = 1e-6
+        second = (self.x * (p * (1 - p))[:, None]).T @ self.x + penalty
+        first = self.x.T @ (self.y - p) - penalty @ self.weights
+        if all(n for n, _, _ in more):
+            for label, (n, gradient, curvature) in enumerate(more):
+                weight = np.count_nonzero(self.y == label) / n
+                first, second = first + weight * gradient, second + weight * curvature
+        move = np.linalg.solve(second, first)
+        self.weights = self.weights + move
+        return float(np.abs(move).max())
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
         self.a, self.b = fit_logistic(self.raw(x)[:, None], y, ridge=0.1)
@@ -97,35 +124,59 @@ def sigmoid(v):
     return 1 / (1 + np.exp(-np.clip(v, -30, 30)))
 
 
-def co_train(
-    text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int, per_round: int
-) -> tuple[View, View]:
-    """Views fitted on their labelled rows and on what the other view was
-    sure of.  ``per_round``: pseudo-labels of each class a view may give."""
-    labelled = {0: (text, y), 1: (meta, y)}
-    data = {0: pool_text, 1: pool_meta}
-    free = {0: np.ones(len(pool_text), bool), 1: np.ones(len(pool_text), bool)}  # not yet given to the view
-    views = {v: View(*labelled[v]) for v in (0, 1)}
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def pseudo_sums(data: list[np.ndarray], views: list[View], sure: list[np.ndarray]) -> np.ndarray:
+    """Of each view, for the rows that the other is sure are of class 0, then
+    1: number, gradient, second derivatives, one after another.  ``sure`` are
+    the weights with which the views judge."""
+    x = [v.standard(d) for v, d in zip(views, data)]
+    out = []
+    for taker, giver in ((0, 1), (1, 0)):
+        given = sigmoid(x[giver] @ sure[giver])
+        for label, mask in ((0, given <= 1 - SURE), (1, given >= SURE)):
+            rows = x[taker][mask]
+            p = sigmoid(rows @ views[taker].weights)
+            out += [[float(len(rows))], rows.T @ (label - p), ((rows * (p * (1 - p))[:, None]).T @ rows).ravel()]
+    return np.concatenate(out)
+
+
+def co_train(pool: DataFrame, views: list[View], rounds: int, steps: int) -> None:
+    """Fits the views further, on their labelled rows and on the rows of
+    ``pool`` (``c``: content, ``m``: metadata features) of which the other view
+    was sure at the beginning of the round."""
     for _ in range(rounds):
-        for giver, taker in ((0, 1), (1, 0)):
-            if not len(pool_text):
-                continue
-            p = sigmoid(views[giver].raw(data[giver]))
-            given = []
-            for label, sure in ((1, p), (0, 1 - p)):
-                order = np.argsort(-sure, kind="stable")
-                order = order[(sure[order] >= SURE) & free[taker][order]][:per_round]
-                given.append((order, label))
-                free[taker][order] = False
-            # equal numbers of both, so that the prior does not drift
-            k = min(len(order) for order, _ in given)
-            if k:
-                rows = np.concatenate([order[:k] for order, _ in given])
-                marks = np.concatenate([np.full(k, label, dtype=float) for _, label in given])
-                x, t = labelled[taker]
-                labelled[taker] = (np.vstack([x, data[taker][rows]]), np.concatenate([t, marks]))
-        views = {v: View(*labelled[v]) for v in (0, 1)}
-    return views[0], views[1]
+        sure = [v.weights.copy() for v in views]
+        for _ in range(steps):
+            now = list(views)
+
+            def run(batches):
+                total = None
+                for b in batches:
+                    if b.num_rows:
+                        one = pseudo_sums([_matrix(b.column(0)), _matrix(b.column(1))], now, sure)
+                        total = one if total is None else total + one
+                if total is not None:
+                    place = np.arange(len(total), dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(total)], names=["place", "value"])
+
+            # as many rows as sums, whatever the number of documents
+            sums = pool.select("c", "m").mapInArrow(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
+            if not sums:
+                return
+            flat = np.zeros(len(sums))
+            flat[[r["place"] for r in sums]] = [r["value"] for r in sums]
+            at, moved = 0, 0.0
+            for view in views:
+                d, more = len(view.weights), []
+                for _ in (0, 1):
+                    more.append((flat[at], flat[at + 1:at + 1 + d], flat[at + 1 + d:at + 1 + d + d * d].reshape(d, d)))
+                    at += 1 + d + d * d
+                moved = max(moved, view.step(more))
+            if moved < 0.01:
+                break
 
 
 class Model:
@@ -139,22 +190,19 @@ class Model:
         return sigmoid(a), sigmoid(b), sigmoid(self.weights[0] * a + self.weights[1] * b + self.weights[2])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, pool: int = 8000, rounds: int = 3, per_round: int = 400) -> Model | None:
-    """The model from bounded samples; None without labels of both classes."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, rounds: int = 3, steps: int = 3) -> Model | None:
+    """The model; None without labels of both classes."""
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("label")).where(
         "_id is not null and label in (0, 1)"
     ).dropDuplicates(["_id"])
     order = [F.xxhash64("_id"), F.col("_id")]
-    ids = docs.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null")
     chosen = known.where("label = 0").orderBy(*order).limit(per_class)
     chosen = chosen.unionByName(known.where("label = 1").orderBy(*order).limit(per_class))
-    chosen = chosen.unionByName(
-        ids.join(known, "_id", "left_anti").orderBy(*order).limit(pool).distinct().select("_id", F.lit(-1).alias("label"))
-    )
-    # at most 2 * per_class + pool rows of two numbers: bounded, so broadcast
-    sample = docs.select(
+    texts = docs.select(
         F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string")
-    ).join(F.broadcast(chosen), "_id")
+    )
+    # at most 2 * per_class rows of two numbers: bounded, so broadcast
+    sample = texts.join(F.broadcast(chosen), "_id")
 
     def make():
         return lambda i, text, lang, source, label: (i, label, content_view(text), metadata_view(text, lang, source))
@@ -162,18 +210,23 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, pool: int = 8
     rows = sorted(map_rows(
         sample.select("_id", "text", "lang", "source", "label"), "id long, label int, c array<double>, m array<double>", make
     ).collect())
-    labelled = [r for r in rows if r["label"] >= 0]
-    if len({r["label"] for r in labelled}) < 2:
+    if len({r["label"] for r in rows}) < 2:
         return None
-    back = np.array([zlib.crc32(str(r["id"]).encode()) % CALIBRATION_FOLD == 0 for r in labelled])
-    y = np.array([r["label"] for r in labelled], dtype=float)
+    back = np.array([zlib.crc32(str(r["id"]).encode()) % CALIBRATION_FOLD == 0 for r in rows])
+    y = np.array([r["label"] for r in rows], dtype=float)
     if min(len(set(y[back])), len(set(y[~back]))) < 2:
         back = np.zeros(len(y), bool)  # too few rows to keep any back
-    c, m = np.array([r["c"] for r in labelled]), np.array([r["m"] for r in labelled])
-    free = [r for r in rows if r["label"] < 0]
-    pc = np.array([r["c"] for r in free]).reshape(len(free), c.shape[1])
-    pm = np.array([r["m"] for r in free]).reshape(len(free), m.shape[1])
-    text, meta = co_train(c[~back], m[~back], y[~back], pc, pm, rounds, per_round)
+    c, m = np.array([r["c"] for r in rows]), np.array([r["m"] for r in rows])
+
+    def features():
+        return lambda i, text, lang, source: (i, content_view(text), metadata_view(text, lang, source))
+
+    # the features, not the texts, meet the labels; one plan at every size
+    pool = map_rows(texts, "_id long, c array<double>, m array<double>", features)
+    pool = stored(pool.join(known.select("_id").hint("merge"), "_id", "left_anti").select("c", "m"), "unlabelled")
+    views = [View(c[~back], y[~back]), View(m[~back], y[~back])]
+    co_train(pool, views, rounds, steps)
+    text, meta = views
     check = back if back.any() else ~back
     text.calibrate(c[check], y[check])
     meta.calibrate(m[check], y[check])

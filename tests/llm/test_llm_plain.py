@@ -402,16 +402,32 @@ def test_views_have_one_size():
         assert len(quality_classifier.metadata_view(text, None, "s")) == 4 + 2 * quality_classifier.BUCKETS
 
 
-def test_sure_labels_teach_the_other_view():
-    rng = np.random.default_rng(0)
-    y = np.tile([0.0, 1.0], 300)
-    text = np.column_stack([*(y * 12 + rng.normal(size=600) for _ in range(3))])
-    meta = np.column_stack([y * 2 + rng.normal(size=600), rng.normal(size=600)])
-    few = slice(0, 12)
-    alone = quality_classifier.View(meta[few], y[few])
-    _, taught = quality_classifier.co_train(text[few], meta[few], y[few], text[12:400], meta[12:400], 3, 60)
-    rate = [np.mean((v.raw(meta[400:]) > 0) == (y[400:] == 1)) for v in (alone, taught)]
-    assert rate[1] >= rate[0] - 0.02 and rate[1] > 0.8
+def test_newton_steps_reach_the_plain_fit():
+    """Steps over sums equal a fit on the rows themselves."""
+    rng = np.random.default_rng(1)
+    y = np.tile([0.0, 1.0], 40)
+    x = np.column_stack([y + rng.normal(size=80), rng.normal(size=80)])
+    views = [quality_classifier.View(x, y), quality_classifier.View(x[:, ::-1], y)]
+    sure = [v.weights * 9 for v in views]  # so that the views are sure of some
+    more = rng.normal(size=(200, 2)) * 2
+    for _ in range(12):
+        flat = quality_classifier.pseudo_sums([more, more[:, ::-1]], views, sure)
+        d = 3
+        half = 2 * (1 + d + d * d)
+        for v, part in zip(views, (flat[:half], flat[half:])):
+            one = [part[i * half // 2:(i + 1) * half // 2] for i in (0, 1)]
+            v.step([(o[0], o[1:1 + d], o[1 + d:].reshape(d, d)) for o in one])
+    for taker, giver, data, other in ((0, 1, more, more[:, ::-1]), (1, 0, more[:, ::-1], more)):
+        view = views[taker]
+        p = quality_classifier.sigmoid(views[giver].standard(other) @ sure[giver])
+        picks = [np.flatnonzero(p <= 0.05), np.flatnonzero(p >= 0.95)]
+        assert min(map(len, picks)) > 5
+        gradient = view.x.T @ (view.y - quality_classifier.sigmoid(view.x @ view.weights))
+        for label, rows in enumerate(picks):
+            z = view.standard(data[rows])
+            gradient += 40 / len(rows) * z.T @ (label - quality_classifier.sigmoid(z @ view.weights))
+        penalty = np.array([2.0, 2.0, 1e-6])
+        assert np.abs(gradient - penalty * view.weights).max() < 1e-6
 
 
 # toxicity: stems and words -------------------------------------------------

@@ -449,3 +449,21 @@ def test_estimates_equal_numpy(spark):
         assert np.allclose(np.array(r["inverse"]).reshape(p, p), np.linalg.inv(c), atol=1e-6)
         mean[r.lang, r.source] = m
     assert len(mean) == 4
+
+
+def test_sure_labels_teach_the_other_view(spark):
+    rng = np.random.default_rng(0)
+    y = np.tile([0.0, 1.0], 300)
+    text = np.column_stack([*(y * 12 + rng.normal(size=600) for _ in range(3))])
+    meta = np.column_stack([y * 2 + rng.normal(size=600), rng.normal(size=600)])
+    few, rest = slice(0, 60), slice(400, 600)
+    pool = spark.createDataFrame(
+        [(a.tolist(), b.tolist()) for a, b in zip(text[60:400], meta[60:400])], "c array<double>, m array<double>"
+    )
+    alone = quality_classifier.View(meta[few], y[few])
+    views = [quality_classifier.View(text[few], y[few]), quality_classifier.View(meta[few], y[few])]
+    quality_classifier.co_train(pool, views, 3, 3)
+    rate = [np.mean((v.raw(meta[rest]) > 0) == (y[rest] == 1)) for v in (alone, views[1])]
+    assert rate[1] >= rate[0] and rate[1] > 0.8
+    assert np.abs(views[1].weights - alone.weights).max() > 0.01
+    quality_classifier.co_train(pool.limit(0), views, 3, 3)  # nothing to learn from
