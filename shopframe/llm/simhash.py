@@ -274,7 +274,10 @@ def _search(prints: DataFrame, max_bits: int) -> DataFrame:
         if size:
             yield _links(*forest(np.concatenate(us), np.concatenate(vs)))
 
-    keyed = prints.select("fp").mapInArrow(spread, "key long, side byte, fp long")
+    # an aggregate's few bytes would be coalesced to few tasks, but each row
+    # becomes about a hundred: deal the rows out
+    dealt = prints.select("fp").repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = dealt.mapInArrow(spread, "key long, side byte, fp long")
     return keyed.repartition("key").sortWithinPartitions("key", "side").mapInArrow(link, "u long, v long")
 
 
