@@ -84,20 +84,29 @@ def stock_check(
     # first, so a small request moves no table.  A line id can repeat in
     # loaded data; the lookup answers one row per id: the lowest order id,
     # then quantity, by two aggregates of plain columns.
-    def requested(c: str) -> DataFrame:
-        return requests.where(F.col(c).isNotNull()).select(c).distinct()
-
-    o = orders.join(requested("order_id"), "order_id", "left_semi").select("order_id").distinct().withColumn("_o", F.lit(True))
-    i = order_item.join(requested("order_item_id"), "order_item_id", "left_semi")
+    # The hash of the id goes along as a second key, so the answers are dealt
+    # out otherwise than the joins back to the requests want them: both sides
+    # of those have a plain exchange, and adaptive execution can split an id
+    # that a large part of the requests names.
+    def requested(table: DataFrame, c: str) -> DataFrame:
+        mark = F.xxhash64(F.col(c).cast("string")).alias("_h")
+        wanted = requests.where(F.col(c).isNotNull()).select(c).distinct().select(c, mark)
+        return table.select("*", mark).join(wanted, [c, "_h"], "left_semi")
+
+    def once(found: DataFrame, c: str, *aggs) -> DataFrame:
+        return found.groupBy(c, "_h").agg(*aggs).drop("_h")
+
+    o = once(requested(orders, "order_id"), "order_id", F.lit(True).alias("_o"))
+    i = requested(order_item, "order_item_id")
+    found = F.lit(True).alias("_item_found")
     if "order_id" in order_item.columns:
-        lowest = i.groupBy("order_item_id", "order_id").agg(F.min("quantity").alias("_q"))
-        i = lowest.groupBy("order_item_id").agg(F.min_by("_q", "order_id").alias("_item_qty"))
+        lowest = i.groupBy("order_item_id", "_h", "order_id").agg(F.min("quantity").alias("_q"))
+        i = once(lowest, "order_item_id", F.min_by("_q", "order_id").alias("_item_qty"), found)
     else:
-        i = i.groupBy("order_item_id").agg(F.min("quantity").alias("_item_qty"))
-    i = i.withColumn("_item_found", F.lit(True))
-    p = products.join(requested("product_id"), "product_id", "left_semi").select(
-        "product_id", F.col("name").alias("p_name"), F.col("stock").alias("_stock"),
-        F.lit(True).alias("_p"),
+        i = once(i, "order_item_id", F.min("quantity").alias("_item_qty"), found)
+    p = once(
+        requested(products, "product_id"), "product_id",
+        F.min("name").alias("p_name"), F.min("stock").alias("_stock"), F.lit(True).alias("_p"),
     )
     j = (
         requests.join(o, "order_id", "left")

@@ -233,3 +233,35 @@ def test_one_row_request_moves_no_line_table(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     # the line scan meets the requested ids before any exchange that feeds an aggregate
     assert "LeftSemi" in plan and "SortMergeJoin" not in plan.split("Initial Plan")[0]
+
+
+def test_a_hot_product_of_the_requests_is_split(spark):
+    # a third of the requests on one product, tables too large to broadcast
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    n = 30_000
+    req = spark.range(n).select(
+        F.col("id").cast("int").alias("order_id"), (F.col("id") * 2).cast("int").alias("order_item_id"),
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 5000).cast("int").alias("product_id"),
+    ).repartition(8)
+    items = spark.range(n).select(F.col("id").cast("int").alias("order_item_id"), F.col("id").cast("int").alias("order_id"), F.lit(2).alias("quantity"))
+    orders = spark.range(n - 10).select(F.col("id").cast("int").alias("order_id"))
+    products = spark.range(4000).select(F.col("id").cast("int").alias("product_id"), F.lit("x").alias("name"), F.lit(5).alias("stock"))
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        out = stock.stock_check(req, orders, items, products)
+        assert out.groupBy("code").count().count() == 2
+        got = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(got) == n and "skew=true" in plan.split("Initial Plan")[0]
+    want = sum(1 for i in range(n) if i < n - 10 and 2 * i < n and (7 if i % 3 == 0 else i % 5000) < 4000)
+    assert sum(r.code == 200 for r in got) == want
