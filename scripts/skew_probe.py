@@ -2,8 +2,8 @@
 
 Moves every paid order line of an even product id onto product 1 (about half
 of all paid lines on one key), gives that product a large stock, runs
-``sequential_allocation`` (the hot product goes through the distributed
-rounds) and checks the result against a sequential fold computed on the
+``sequential_allocation`` (the hot product is decided block by block,
+in passes) and checks the result against a sequential fold computed on the
 driver.  The driver-side fold is verification only; it is not library code.
 
 Usage: python scripts/skew_probe.py [sf_dir]
