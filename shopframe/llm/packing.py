@@ -25,12 +25,15 @@ text are read.
 
 from __future__ import annotations
 
+import gc
 import json
+import os
 import re
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +68,8 @@ class Encoder:
     """Ids of texts by a tokenizer file, through a cache of words."""
 
     def __init__(self, path: str):
+        # a task has one core: no threads of the library's own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -102,7 +107,10 @@ class Encoder:
         new = [p for p in pieces if p not in self.known]
         for at in range(0, len(new), 20_000):
             some = new[at:at + 20_000]
-            ids = np.array(self.pieces.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            # the library is quickest with strings of moderate size
+            strings = [" ".join(some[i:i + 200]) for i in range(0, len(some), 200)]
+            found = self.pieces.encode_batch_fast(strings, add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(x.ids for x in found), dtype="<u4")
             bounds = np.flatnonzero(self.ends[ids]) + 1
             if len(bounds) != len(some):
                 raise AssertionError("a piece does not end where its word does")
@@ -129,7 +137,8 @@ class Encoder:
             self.known.clear()
         cut: list[list[str] | None] = []
         split: list[list[str] | None] = []
-        for t in texts:
+        distinct = list(dict.fromkeys(t or "" for t in texts))  # copies lie side by side
+        for t in distinct:
             odd = not t or any(c in t for c in ODD)
             plain = not odd and not PLAIN.search(t)
             cut.append(CUT.findall(t.lower()) if plain else None)
@@ -139,8 +148,8 @@ class Encoder:
         self.learn([w for w in words if w not in self.words])
         end = np.array([END_ID], dtype="<u4").tobytes()
         piece, word = self.known.__getitem__, self.words.__getitem__
-        out = []
-        for t, c, s in zip(texts, cut, split):
+        done = {}
+        for t, c, s in zip(distinct, cut, split):
             if c is not None:
                 raw = b"".join(map(piece, c)) + end
             elif s is not None:
@@ -148,8 +157,8 @@ class Encoder:
             else:
                 ids = self.whole.encode(t, add_special_tokens=False).ids if t else []
                 raw = np.array([*ids, END_ID], dtype="<u4").tobytes()
-            out.append(np.frombuffer(raw, dtype="<u4"))
-        return out
+            done[t] = np.frombuffer(raw, dtype="<u4")
+        return [done[t or ""] for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -295,17 +304,23 @@ def pack(
             base = out[-1][5] + 1
             return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(zip(*out), target)], schema=target)
 
-        for batch in batches:
-            names, texts = (c.to_pylist() for c in batch.columns)
-            for at in range(0, len(texts), 500):
-                for doc_id, t in zip(names[at:at + 500], encode(texts[at:at + 500])):
-                    ids.append(doc_id)
-                    tokens.append(t)
-                    size += len(t)
-                    if size >= SHARD_TOKENS:
-                        yield packed()
-                        ids, tokens, size = [], [], 0
-        if ids:
-            yield packed()
+        # nothing here refers to itself in a circle: looking for that, among
+        # millions of words, is time lost
+        gc.disable()
+        try:
+            for batch in batches:
+                names, texts = (c.to_pylist() for c in batch.columns)
+                for at in range(0, len(texts), 500):
+                    for doc_id, t in zip(names[at:at + 500], encode(texts[at:at + 500])):
+                        ids.append(doc_id)
+                        tokens.append(t)
+                        size += len(t)
+                        if size >= SHARD_TOKENS:
+                            yield packed()
+                            ids, tokens, size = [], [], 0
+            if ids:
+                yield packed()
+        finally:
+            gc.enable()
 
     return ordered.mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
