@@ -10,9 +10,10 @@ logistic regression of their calibrated log-odds, and all documents are scored.
 The labelled rows are a bounded sample, at most ``per_class`` of each class,
 chosen by a hash of the id.  The unlabelled documents are all of them, at every
 size: a Newton step of a fit sums gradient and second derivatives over them in
-Spark, and a few thousand sums come to the driver.  The pseudo-labelled rows of
-a class weigh as much together as its labelled ones, so that neither the prior
-nor the say of the labels drifts with the number of documents.
+Spark, and a few thousand sums come to the driver.  Pseudo-labelled rows weigh
+as much together as the labelled ones, half of it for each class, so that the
+say of the labels does not drift with the number of documents; calibration
+brings the prior back.
 
 Defined cases: null and empty texts have zero content features; null
 metadata is a value of its own; rows whose id or label is null are not
@@ -38,6 +39,8 @@ PUNCTUATION = [c for c in range(33, 127) if not chr(c).isalnum()]
 BUCKETS = 32
 CALIBRATION_FOLD = 5  # one labelled row in so many is kept back
 SURE = 0.95
+#: Bounds of a standardised feature, and of a weight's move in a Newton step.
+FAR, MOST_MOVE = 8.0, 0.5
 #: Scores below it are rejected: low, as a clean document lost costs more than
 #: a poor one kept.
 THRESHOLD = 0.2
@@ -90,8 +93,9 @@ class View:
         self.a, self.b = 1.0, 0.0
 
     def standard(self, x: np.ndarray) -> np.ndarray:
-        """Standardised features and a one."""
-        return np.hstack([(x - self.mean) / self.scale, np.ones((len(x), 1))])
+        """Standardised features and a one; what the labelled rows hardly have
+        must not outweigh all else in others."""
+        return np.hstack([np.clip((x - self.mean) / self.scale, -FAR, FAR), np.ones((len(x), 1))])
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return np.clip(self.standard(x) @ self.weights, -30, 30)
@@ -107,9 +111,10 @@ class View:
         first = self.x.T @ (self.y - p) - penalty @ self.weights
         if all(n for n, _, _ in more):
             for label, (n, gradient, curvature) in enumerate(more):
-                weight = np.count_nonzero(self.y == label) / n
+                weight = len(self.y) / 2 / n
                 first, second = first + weight * gradient, second + weight * curvature
         move = np.linalg.solve(second, first)
+        move *= min(1.0, MOST_MOVE / max(np.abs(move).max(), 1e-12))  # far from the solution, steps overshoot
         self.weights = self.weights + move
         return float(np.abs(move).max())
 
