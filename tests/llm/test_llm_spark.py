@@ -410,7 +410,7 @@ def _vectors(rng, n, shift=0.0):
 @pytest.mark.parametrize("size", [151, 199, 201, 251])
 def test_one_verdict_at_every_group_size(spark, size):
     rng = random.Random(3)
-    odd = "x# y$ " * 60 + " ".join("q" * 30 for _ in range(30))  # symbols and long words
+    odd = " ".join([f"x{i}# y{i}$" for i in range(60)] + ["q" * 30 + str(i) for i in range(30)])  # symbols and long words
     rows = [(i, t, "en", "tidy", 1) for i, t in enumerate(_vectors(rng, size))] + [(9999, odd, "en", "tidy", 1)]
     # another source, whose texts vary much
     for i in range(300):
