@@ -13,6 +13,8 @@ on the key; no group is collected into one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import as_of_ts, default_false, line_total, norm_login, notice_body, parse_float, update_applies, NOTICE_SUBJECT
 from ..plans.ranking import global_row_number
-from ..session import checkpoint_root
+from ..session import checkpoint_root, scratch_path
 
 # Reject codes and reasons.
 CODE_NOT_FOUND = 404
@@ -53,9 +55,12 @@ def upsert(
     ``keep_on_conflict`` keep the target's value, unmatched staged rows are
     inserted.  A key staged twice raises, as the database does.
 
-    One full outer join on the key; the duplicate check is a count over the
-    same key partitioning, so it adds no shuffle of its own.  It is part of
-    the join key, so no column pruning can remove it.
+    Where the target gives no column of a matched row (a restore of whole
+    rows), the staged rows go straight to the result and only keys are
+    shuffled (``_keys_apart``); the target's rows meet the few keys that are
+    not staged.  Else it is one full outer join on the key; the duplicate
+    check is a filter over the same key partitioning, so it adds no shuffle of
+    its own and no column pruning can remove it.
     """
     keys = list(keys)
     tcols = target.columns
@@ -65,12 +70,15 @@ def upsert(
     s_cast = staged.select(
         *[F.col(c).cast(target.schema[c].dataType).alias(c) if c in tcols else F.col(c) for c in staged.columns]
     )
+    if set(tcols) <= {*keys, *update_cols}:
+        apart = _keys_apart(target, s_cast, keys)
+        # a key that the target repeats stands in the result as often: joined
+        if apart.where("_staged > 0").isEmpty():
+            null_key = reduce(or_, (F.col(k).isNull() for k in keys))
+            kept = target.join(apart.select(*keys), keys, "left_semi").unionByName(target.where(null_key))
+            return s_cast.select(*tcols).unionByName(kept.select(*tcols))
     dup = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    first = keys[0]
-    checked = F.when(
-        F.col("_n") > 1, F.raise_error(F.lit("staged rows contain a key more than once")).cast(target.schema[first].dataType)
-    ).otherwise(F.col(first))
-    s = s_cast.withColumn("_n", dup).withColumn(first, checked).drop("_n").withColumn("_s", F.lit(True))
+    s = s_cast.withColumn("_n", dup).where(_staged_once(F.col("_n"))).drop("_n").withColumn("_s", F.lit(True))
     t = target.withColumn("_t", F.lit(True))
     j = t.alias("t").join(s.alias("s"), keys, "full_outer")
     out = []
@@ -86,6 +94,34 @@ def upsert(
     return j.select(*out)
 
 
+def _staged_once(n: Column, then: Column | None = None) -> Column:
+    """A condition that raises where a staged key comes ``n`` > 1 times, else
+    ``then`` (default: true)."""
+    error = F.raise_error(F.lit("staged rows contain a key more than once")).cast("boolean")
+    return F.when(n > 1, error).otherwise(F.lit(True) if then is None else then)
+
+
+def _keys_apart(target: DataFrame, staged: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys of the target that are not staged (``_staged`` 0), or that are
+    staged but repeated in the target (``_staged`` 1).  A key staged twice
+    raises; a null in a target's key matches nothing, such keys are left out.
+
+    One aggregate over the keys of both sides, written to the checkpoint
+    folder: the planner sees how few they are, and broadcasts them then."""
+    spark = target.sparkSession
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    named = target.select(*keys, none.alias("_s"), one.alias("_t")).where(reduce(and_, (F.col(k).isNotNull() for k in keys)))
+    counted = (
+        staged.select(*keys, one.alias("_s"), none.alias("_t")).unionByName(named)
+        .groupBy(*keys).agg(F.sum("_s").alias("_staged"), F.sum("_t").alias("_rows"))
+    )
+    apart = (F.col("_rows") > 0) & ((F.col("_staged") == 0) | (F.col("_rows") > 1))
+    found = counted.where(_staged_once(F.col("_staged"), apart)).select(*keys, "_staged")
+    path = scratch_path(spark, "keys-apart")
+    found.write.parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
 # --------------------------------------------------------------------------
 # H3 / H4 with G11 / G12: updates with fallback
 # --------------------------------------------------------------------------

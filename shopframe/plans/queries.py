@@ -435,8 +435,11 @@ def q_restore_all(spark, sf_dir):
     # and has other texts in some of those left
     t = ShopTables(spark, sf_dir)
     backup, store_root = scratch_path(spark, "backup"), scratch_path(spark, "store")
-    csv_transfer.export_all(spark, t.table, backup, MAPPED_TABLES)
-    lost = t.events().select("user_id").distinct()
+    csv_transfer.export_all(spark, t.table, backup, MAPPED_TABLES, compression="gzip")
+    # written once for all tables: its size tells the planner how to join it
+    lost_ids = scratch_path(spark, "lost-ids")
+    t.events().select("user_id").distinct().write.parquet(lost_ids)
+    lost = spark.read.parquet(lost_ids)
     altered = {"orders": "description", "users": "user_type", "products": "name", "delivery_details": "status",
                "customer_testimonial": "comment", "slide_show": "title"}
 

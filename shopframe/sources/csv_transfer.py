@@ -60,10 +60,11 @@ def export_projection(df: DataFrame, table: str) -> DataFrame:
     return df.select(*cols)
 
 
-def export_csv(df: DataFrame, table: str, path: str) -> str:
-    """A4: write the export projection of ``df`` as CSV under ``path``."""
+def export_csv(df: DataFrame, table: str, path: str, compression: str = "none") -> str:
+    """A4: write the export projection of ``df`` as CSV under ``path``;
+    ``read_export_csv`` reads any ``compression`` Spark writes."""
     export_projection(df, table).write.mode("errorifexists").options(
-        **CSV_OPTIONS, maxRecordsPerFile=MAX_RECORDS_PER_FILE
+        **CSV_OPTIONS, maxRecordsPerFile=MAX_RECORDS_PER_FILE, compression=compression
     ).csv(path)
     return path
 
@@ -127,7 +128,7 @@ def _report(spark: SparkSession, rows: list[tuple[str, bool, str | None]]) -> Da
 
 
 def export_all(
-    spark: SparkSession, load: Callable[[str], DataFrame], out_root: str, tables=TABLE_ORDER
+    spark: SparkSession, load: Callable[[str], DataFrame], out_root: str, tables=TABLE_ORDER, compression: str = "none"
 ) -> DataFrame:
     """A5: export every table to ``out_root/<table>``; a failing table is
     reported and the others continue.  The loop runs over table names on the
@@ -135,7 +136,7 @@ def export_all(
     rows = []
     for t in tables:
         try:
-            export_csv(load(t), t, os.path.join(out_root, t))
+            export_csv(load(t), t, os.path.join(out_root, t), compression)
             rows.append((t, True, None))
         except Exception as e:  # noqa: BLE001 - reported per table
             rows.append((t, False, f"{type(e).__name__}: {e}"))

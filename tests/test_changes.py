@@ -380,3 +380,23 @@ def test_ids_take_one_global_numbering(spark, monkeypatch):
     batch = spark.createDataFrame([(i, None if i % 2 else 8 + i) for i in range(50)], "rid INT, order_id INT")
     ids = [r.order_id for r in ch.allocate_ids(spark.createDataFrame([(9,)], "order_id INT"), batch, "order_id", ["rid"]).collect()]
     assert len(set(ids)) == 50 and calls == [1]
+
+
+def test_upsert_shuffles_staged_rows_once_at_most(spark):
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    t = spark.createDataFrame([(1, "NL", "a"), (2, "DE", "b"), (None, "X", "c")], "k INT, country STRING, city STRING")
+    s = spark.createDataFrame([(1, "FR", "z"), (3, "BE", "y"), (None, "Y", "d")], "k INT, country STRING, city STRING")
+    whole = ch.upsert(t, s, ["k"])
+    assert exchanges(whole) == 0  # the keys were compared, the rows stay where they are
+    assert rows(whole) == [(1, "FR", "z"), (2, "DE", "b"), (3, "BE", "y"), (None, "X", "c"), (None, "Y", "d")]
+    assert exchanges(ch.upsert(t, s, ["k"], keep_on_conflict=["country"])) == 2  # one a side, with the duplicate check
+
+
+def test_upsert_keeps_repeated_target_rows(spark):
+    t = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (2, "d"), (3, "e")], "k INT, v STRING")
+    s = spark.createDataFrame([(1, "x"), (3, "y")], "k INT, v STRING")
+    assert rows(ch.upsert(t, s, ["k"])) == [(1, "x"), (1, "x"), (2, "c"), (2, "d"), (3, "y")]
+    with pytest.raises(Exception, match="more than once"):
+        ch.upsert(t.limit(0), s.unionByName(s), ["k"]).count()
