@@ -19,10 +19,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..catalog import FOREIGN_KEYS, spec
+from ..session import scratch_path
 
 Load = Callable[[str], DataFrame]
 
@@ -98,20 +100,39 @@ def orphan_summary(load: Load, tables) -> DataFrame:
     )
 
 
+def _missing_keys(load: Load, table: str, column: str, parent: str) -> DataFrame:
+    """``key``, once each: the keys that ``column`` of ``table`` names and
+    ``parent`` lacks.  They are written to the checkpoint folder, so the
+    planner knows how few they are before it moves a row of the table."""
+    there = load(parent)
+    name = spec(parent).key[0]
+    named = load(table).select(_key(F.col(column), there.schema[name].dataType).alias("key")).where("key is not null").distinct()
+    missing = named.join(there.select(_key(F.col(name), there.schema[name].dataType).alias("key")), "key", "left_anti")
+    path = scratch_path(there.sparkSession, "missing-keys")
+    missing.write.parquet(path)
+    return there.sparkSession.read.schema(missing.schema).parquet(path)
+
+
+def _key(column: Column, key_type: T.DataType) -> Column:
+    """A key as the parent's type, and as text if that is no whole number."""
+    typed = column.cast(key_type)
+    return typed if isinstance(key_type, T.IntegralType) else typed.cast("string")
+
+
 def orphan_rows(load: Load, table: str, tables) -> DataFrame:
     """The rows of ``table`` that name a missing parent, with ``missing``, the
     names of the foreign key columns that do.  The rows meet the missing keys
-    only (one row per key), by plain joins that adaptive execution may split."""
+    only (one row per key), by plain joins that adaptive execution may split;
+    while these keys are few, the rows are not shuffled at all."""
     relations = [r for r in _relations(tables) if r[0] == table]
     out = load(table)
     columns = out.columns
     if not relations:
         return out.limit(0).withColumn("missing", F.array().cast("array<string>"))
-    lost = orphan_report(load, tables).where(F.col("child") == table)
     marks = []
     for i, (_, column, parent) in enumerate(relations):
         key_type = load(parent).schema[spec(parent).key[0]].dataType
-        keys = lost.where(F.col("column") == column).select(F.col("missing_key").alias(f"_k{i}"))
+        keys = _missing_keys(load, table, column, parent).select(F.col("key").alias(f"_k{i}"))
         marks.append(F.when(F.col(f"_k{i}").isNotNull(), F.lit(column)))
-        out = out.join(keys, out[column].cast(key_type).cast("string") == F.col(f"_k{i}"), "left")
+        out = out.join(keys, _key(out[column], key_type) == F.col(f"_k{i}"), "left")
     return out.withColumn("missing", F.array_compact(F.array(*marks))).where(F.size("missing") > 0).select(*columns, "missing")

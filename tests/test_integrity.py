@@ -127,3 +127,9 @@ def test_deletes_make_the_orphans(spark):
     left, _ = changes.delete_table("orders", load("orders"), spark.createDataFrame([(100,)], "order_id INT"))
     after = integrity.orphan_report(lambda n: left if n == "orders" else load(n), tables)
     assert ("order_item", "order_id", "orders", "100", 52) in rows(after)
+
+
+def test_dangling_rows_are_not_shuffled_for_few_missing_keys(spark):
+    load, tables = shop(spark, **DATA)
+    plan = integrity.orphan_rows(load, "order_item", tables)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
