@@ -178,37 +178,38 @@ def sequential_allocation(
         "product_id", "order_id", "order_item_id",
         F.coalesce(F.col("quantity"), F.lit(0)).cast("bigint").alias("quantity"), *extra,
     )
-    # the one copy of the lines: ranked, and written to the checkpoint folder
+    # the one copy of the lines: ranked, and written to the checkpoint folder;
+    # from here on, rank, product and quantity stand for a line until the end
     base = global_row_number(plain, ["product_id", *order, "quantity"], "rank")
+    narrow = base.select("rank", "product_id", "quantity")
     stock = products.select("product_id", F.coalesce(F.col("stock").cast("bigint"), F.lit(0)).alias("stock"))
     positive = F.col("quantity") > 0
-    demand = base.where(positive).groupBy("product_id").agg(F.sum("quantity").alias("_d"))
+    demand = narrow.where(positive).groupBy("product_id").agg(F.sum("quantity").alias("_d"))
     # one row per product: small next to the lines
     cls = stock.join(demand, "product_id", "left").select(
         "product_id", "stock", (F.coalesce(F.col("_d"), F.lit(0)) > F.col("stock")).alias("contended")
     ).checkpoint(eager=True)
-    classed = base.join(cls, "product_id", "left").withColumn(
+    # the lines meet their class once, in files that all later steps read
+    classed = _written(narrow.join(cls, "product_id", "left").withColumn(
         "_contended", F.coalesce("contended", F.lit(False)) & positive
-    )
+    ), "allocation-lines")
     settled = classed.where("not _contended").select(
-        *cols, F.col("contended").isNull().alias("_unknown"),
+        "rank", F.col("contended").isNull().alias("_unknown"),
         F.when(F.col("contended").isNull() | (F.col("quantity") < 0), F.lit(False))
         .when(F.col("quantity") == 0, F.col("stock") >= 0).otherwise(F.lit(True)).alias("accepted"),
     )
-    work = classed.where("_contended")
+    work = classed.where("_contended").select("rank", "product_id", "quantity")
     spans, folded = _passes(work, cls.where("contended"), block_rows)
     if spans is None:  # nothing is contended, or no contended product has stock
         decided = work.withColumn("accepted", F.lit(False))
     else:
         block = F.floor(F.col("rank") / F.lit(block_rows))
-        decided = (
-            work.join(folded, "rank", "left").join(spans, "product_id", "left")
-            .withColumn("_small", F.exists(
-                "spans", lambda x: (block >= x["first"]) & (block < x["end"]) & (F.col("quantity") < x["below"])
-            ))
-            .withColumn("accepted", F.coalesce("fits", "_small", F.lit(False)))
-        )
-    out = settled.unionByName(decided.select(*cols, F.lit(False).alias("_unknown"), "accepted"))
+        decided = work.join(spans, "product_id", "left").withColumn("accepted", F.coalesce(F.exists(
+            "spans", lambda x: (block >= x["first"]) & (block < x["end"]) & (F.col("quantity") < x["below"])
+        ), F.lit(False)))
+    out = base.join(settled.unionByName(decided.select("rank", F.lit(False).alias("_unknown"), "accepted")), "rank")
+    if spans is not None:
+        out = out.join(folded, "rank", "left").withColumn("accepted", F.coalesce("fits", "accepted"))
     code = (
         F.when(F.col("_unknown"), F.lit(CODE_NOT_FOUND))
         .when(F.col("accepted"), F.lit(CODE_OK))
@@ -221,6 +222,13 @@ def sequential_allocation(
     return out.select(*cols, "accepted", code.alias("code"), error.alias("error"))
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` read back from files in the checkpoint folder."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _passes(work: DataFrame, contended: DataFrame, block_rows: int) -> tuple[DataFrame | None, DataFrame | None]:
     """Per product the ``spans`` of blocks that accept their lines ``below`` a
     bound, and ``(rank, fits)`` for the lines of folded blocks.
@@ -228,28 +236,26 @@ def _passes(work: DataFrame, contended: DataFrame, block_rows: int) -> tuple[Dat
     The blocks are written once; a pass writes one row per product that is
     still going on: its span, the block it folded and the stock left.  Both
     lie in the shared checkpoint folder, so a pass reads files and lineage
-    never grows."""
-    spark = work.sparkSession
-    checkpoint_root(spark)
-    state = contended.where(F.col("stock") > 0).select(
-        "product_id", F.col("stock").alias("r"), F.lit(0).cast("bigint").alias("first")
-    )
-    blocks_path = scratch_path(spark, "allocation-blocks")
-    (
+    never grows.  A product ends with its last block, and the state of the
+    next pass is a file of its own: once few products are left, the planner
+    broadcasts them and the blocks stay where they are."""
+    checkpoint_root(work.sparkSession)
+    blocks = _written(
         work.select("product_id", F.floor(F.col("rank") / F.lit(block_rows)).alias("block"), F.struct("rank", "quantity").alias("line"))
-        .groupBy("product_id", "block").agg(F.sort_array(F.collect_list("line")).alias("ls"))
-        .write.parquet(blocks_path)
+        .groupBy("product_id", "block").agg(F.sort_array(F.collect_list("line")).alias("ls")),
+        "allocation-blocks",
+    )
+    last = blocks.groupBy("product_id").agg(F.max("block").alias("last"))
+    state = contended.where(F.col("stock") > 0).join(last, "product_id").select(
+        "product_id", F.col("stock").alias("r"), F.lit(0).cast("bigint").alias("first"), "last"
     )
-    blocks = spark.read.schema(
-        "product_id %s, block BIGINT, ls ARRAY<STRUCT<rank: BIGINT, quantity: BIGINT>>" % work.schema["product_id"].dataType.simpleString()
-    ).parquet(blocks_path)
     done: list[DataFrame] = []
     while not state.isEmpty():
-        path = scratch_path(spark, "allocation-pass")
-        _pass(blocks, state).write.parquet(path)
-        now = spark.read.parquet(path)
+        now = _written(_pass(blocks, state), "allocation-pass")
         done.append(now)
-        state = now.where("left > 0").select("product_id", F.col("left").alias("r"), (F.col("end") + 1).alias("first"))
+        state = _written(now.where("left > 0 and end < last").select(
+            "product_id", F.col("left").alias("r"), (F.col("end") + 1).alias("first"), "last"
+        ), "allocation-state")
     if not done:
         return None, None
     every = done[0]
@@ -272,24 +278,25 @@ def _pass(blocks: DataFrame, state: DataFrame) -> DataFrame:
     now = state.withColumn("below", F.expr("shiftleft(1L, length(bin(r)) - 1)"))
 
     def met(acc, x):
-        small = x["quantity"] < F.col("below")
-        between = ~small & (x["quantity"] - F.col("below") < F.col("below"))
+        small = x < F.col("below")
+        between = ~small & (x - F.col("below") < F.col("below"))
         return F.struct(
-            F.when(small, acc["sum"] + x["quantity"]).otherwise(acc["sum"]).alias("sum"),
-            F.when(between, F.least(acc["need"], acc["sum"] + x["quantity"])).otherwise(acc["need"]).alias("need"),
+            F.when(small, acc["sum"] + x).otherwise(acc["sum"]).alias("sum"),
+            F.when(between, F.least(acc["need"], acc["sum"] + x)).otherwise(acc["need"]).alias("need"),
         )
 
     start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(1 << 62).cast("bigint").alias("need"))
     summed = (
-        blocks.join(now, "product_id").where(F.col("block") >= F.col("first"))
-        .select("product_id", "block", "r", "below", F.aggregate("ls", start, met).alias("b"))
+        blocks.select("product_id", "block", F.col("ls.quantity").alias("qs"))
+        .join(now, "product_id").where(F.col("block") >= F.col("first"))
+        .select("product_id", "block", "r", "below", F.aggregate("qs", start, met).alias("b"))
     )
     before = Window.partitionBy("product_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     reached = summed.select(
         "product_id", "block", "below", "b",
         (F.col("r") - F.coalesce(F.sum("b.sum").over(before), F.lit(0))).alias("r"),
     ).where((F.col("r") - F.col("b.sum") < F.col("below")) | (F.col("b.need") <= F.col("r")))
-    end = reached.groupBy("product_id").agg(F.min(F.struct("block", "r")).alias("e"))
+    end = _written(reached.groupBy("product_id").agg(F.min(F.struct("block", "r")).alias("e")), "allocation-ends")
 
     def fold(acc, x):
         fits = x["quantity"] <= acc["r"]
@@ -306,7 +313,7 @@ def _pass(blocks: DataFrame, state: DataFrame) -> DataFrame:
         )
         .select("product_id", "end", "ranks", F.col("f.flags").alias("flags"), F.col("f.r").alias("left"))
     )
-    return now.join(folded, "product_id", "left").select("product_id", "first", "end", "below", "left", "ranks", "flags")
+    return now.join(folded, "product_id", "left").select("product_id", "first", "end", "last", "below", "left", "ranks", "flags")
 
 
 def allocation_outcome(paid_orders: DataFrame, allocation: DataFrame, keys=("order_id",)) -> DataFrame:

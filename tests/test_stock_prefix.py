@@ -265,3 +265,11 @@ def test_a_hot_product_of_the_requests_is_split(spark):
     assert len(got) == n and "skew=true" in plan.split("Initial Plan")[0]
     want = sum(1 for i in range(n) if i < n - 10 and 2 * i < n and (7 if i % 3 == 0 else i % 5000) < 4000)
     assert sum(r.code == 200 for r in got) == want
+
+
+def test_a_product_ends_with_its_last_block(spark, monkeypatch):
+    # 3 of the stock are left, but there is no line for another pass
+    lines = [(1, 1, "a", 7), (1, 2, "b", 7)]
+    passes = counted_passes(monkeypatch)
+    assert allocated(spark, lines, {1: 10}) == {(1, "a"): (True, 200), (1, "b"): (False, 400)}
+    assert len(passes) == 1
