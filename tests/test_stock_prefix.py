@@ -273,3 +273,14 @@ def test_a_product_ends_with_its_last_block(spark, monkeypatch):
     passes = counted_passes(monkeypatch)
     assert allocated(spark, lines, {1: 10}) == {(1, "a"): (True, 200), (1, "b"): (False, 400)}
     assert len(passes) == 1
+
+
+def test_outcomes_read_the_ranked_lines_once(spark):
+    lines = spark.createDataFrame([(1, o, f"{o}", 4) for o in range(9)] + [(2, 3, "x", 1), (9, 4, "y", 1)], LINES)
+    pdf = spark.createDataFrame([(1, 8), (2, 5)], "product_id INT, stock INT")
+    alloc = stock.sequential_allocation(lines, pdf)
+    got = rows(stock.allocation_outcome(lines.select("order_id").distinct(), alloc), "order_id", "code")
+    assert got == [(o, 200 if o < 2 else 500) for o in range(9)]
+    plan = alloc._jdf.queryExecution().executedPlan().toString()
+    # the lines themselves, and the sizes of their partitions
+    assert sum("ExistingRDD" in x and "order_item_id" in x for x in plan.splitlines()) <= 2
