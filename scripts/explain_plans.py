@@ -29,7 +29,7 @@ SCALE_NOTES = """
 | table views (`orders_view`, `order_item_view`, `delivery_view`, ...) | one per equi join on a big side (lines: by order id, by product id if products do not fit) | AQE splits skewed sort-merge partitions | sides estimated (10 MB) or measured under the threshold |
 | keyed views and lookups (`*_by_ids`, `order_lines`, `login_lookup`) | semi join pushed to the scan of the big side | semi join keeps one row per key on the small side | request side if measured small |
 | `stock_check` | the distinct requested ids; tables are cut down by semi joins before their exchanges, so a small request moves no table | the line lookup aggregates by (line id, order id) and then by line id, combined on the map side; the joins back hold one row per requested id on one side, and a hot requested id is not split there (that side is an aggregate) | if estimated or measured small |
-| `stock_sequential`, `paid_order_outcomes` | one sort gives every line its rank (the one checkpointed copy); one count/sum aggregate, one join to the class table, one grouped fold for products with few lines | hot products leave the fold and run exact rounds with running sums over blocks of ranks; same rows either way | class table if measured small |
+| `stock_sequential`, `paid_order_outcomes` | one sort gives every line its rank (the one checkpointed copy); one count/sum aggregate, one join of narrow lines to the class table, passes over blocks, one join of the lines to their decision by rank | hot products leave the fold and run exact rounds with running sums over blocks of ranks; same rows either way | class table if measured small |
 | upsert / fallback updates / deletes | one: both sides by key (the duplicate check reuses the join's exchange) | per-key aggregates are partial; staged keys are unique by check | none forced |
 | `insert_orders` (id allocation) | one range-partitioned sort | range partitioning splits on the full order key | partition offsets (one row per partition) |
 | guarded inserts | per-value `min` aggregates and equi joins on the row id | one guard: only a row per value meets the table; several guards: the anti joins with the table have plain exchanges on both sides, which AQE can split | none forced |
